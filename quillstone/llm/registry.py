@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = {
     "op1_token_counts": "op1_token_counts",
     "op2_sharding": "op2_sharding",
+    "op3_decontamination": "op3_decontamination",
     "op4_packing": "op4_packing",
+    "op5_substring_dedup": "op5_substring_dedup",
     "op6_exact_dedup": "op6_exact_dedup",
 }
 
