@@ -1,6 +1,80 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written and read again.
+
+Order: quality (documents scored below 0.3 go), exact deduplication, near
+duplicates (one document of each class stays), benchmark decontamination
+(documents that hold a passage of a benchmark item go), packing into sequences of
+at most 1024 tokens. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillstone.llm import op3_decontamination, op4_packing, op6_exact_dedup, op8_jaccard_join, op9_quality, scratch
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: documents that the classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    # The tables that an earlier run wrote between its steps are read no more.
+    scratch.release(spark)
+    return op9_quality.score(docs, labels).where("predicted = 1").select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one document of equal texts stays."""
+    scratch.release(spark)
+    return op6_exact_dedup.deduplicate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: one document of each class of near duplicates stays."""
+    scratch.release(spark)
+    return op8_jaccard_join.deduplicate(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents with a phrase of ten words of a benchmark item go."""
+    scratch.release(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    marked = docs.withColumn("__row", F.monotonically_increasing_id())
+    hits = op3_decontamination.decontaminate(docs, items).where("contaminated").select(F.col("row_id").alias("__row"))
+    return marked.join(hits, "__row", "left_anti").drop("__row")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: the pieces of all documents in their sequences."""
+    scratch.release(spark)
+    return op4_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("packing", packing),
+]
+
+#: SQL can't express the classifier or the packing; tests hold stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply all stages to ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = []
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name == STAGES[-1][0]:
+            return out
+        # Stage tables outlive what their successors release.
+        path = f"{scratch.folder(spark)}/quillstone/{spark.sparkContext.applicationId}/stage-{name}-{len(kept)}-{scratch.token()}"
+        out.write.parquet(path)
+        kept.append(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -15,11 +15,18 @@ MODULES = {
     "op4_packing": "op4_packing",
     "op5_substring_dedup": "op5_substring_dedup",
     "op6_exact_dedup": "op6_exact_dedup",
+    "op7_pii": "op7_pii",
+    "op8_jaccard_join": "op8_jaccard_join",
+    "op9_quality": "op9_quality",
+    "op10_licenses": "op10_licenses",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
+    import corpus_pipeline
+
+    found = {name: import_module(f"{__package__}.{module}").query for name, module in MODULES.items()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

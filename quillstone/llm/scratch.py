@@ -55,3 +55,8 @@ def release(spark: SparkSession, since: int = 0) -> None:
     while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(conf).delete(path, True)
+
+
+def token() -> str:
+    """A short random name."""
+    return uuid.uuid4().hex[:12]
