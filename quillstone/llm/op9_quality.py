@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 BINS = 12
+#: All bytes but the marks that prose seldom has.
+_PLAIN = bytes(b for b in range(256) if b not in _MARKS or b in b",.'-")
 
 
 def figures(text: str | None) -> list[float]:
@@ -51,6 +53,13 @@ def figures(text: str | None) -> list[float]:
         sum(x.isupper() for x in words) / w, sum(x[-1:].isalpha() or x[-1] >= 128 for x in words) / w, sum(x[:1].isupper() for x in words) / w,
         max(map(len, words), default=0), sum(len(x) == 1 for x in words) / w, ends / w, (counts[list(_MARKS)].sum() - counts[44] - counts[46]) / n,
     ]
+    again = [a == b for a, b in zip(words, words[1:], strict=False)]
+    run = longest = 0
+    for same in again:
+        run = run + 1 if same else 0
+        longest = max(longest, run)
+    marked = [len(x.translate(None, _PLAIN)) / len(x) for x in lines]
+    out += [sum(again) / w, np.log1p(longest), max(marked, default=0), min(marked, default=0)]
     out += [counts[m] / n for m in _MARKS]
     return [float(x) for x in out]
 
@@ -80,7 +89,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-3) -> Model:
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Minimise the non-negative risk by Adam on full batches; the same input gives the same model."""
     both = np.concatenate([positive, unlabelled])
     edges = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:-1])).astype(np.float32) for k in range(both.shape[1])]
