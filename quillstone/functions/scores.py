@@ -30,12 +30,13 @@ def age_days(ts: Column, now: Column) -> Column:
 
 def recency(ts: Column, now: Column, scale: float = 45.0) -> Column:
     """exp(-whole days / scale); 0 without a time."""
-    return F.coalesce(F.exp(-F.greatest(F.floor(age_days(ts, now)), F.lit(0)) / F.lit(scale)), F.lit(0.0))
+    value = F.exp(-F.greatest(F.floor(age_days(ts, now)), F.lit(0)) / F.lit(scale))
+    return F.when(ts.isNull(), F.lit(0.0)).otherwise(value)  # greatest() skips nulls
 
 
 def decayed(weight: Column, ts: Column, now: Column, half_life: float = 30.0) -> Column:
-    """weight * 0.5 ** (age / half_life); no age below 0."""
-    return weight * F.pow(F.lit(0.5), F.greatest(age_days(ts, now), F.lit(0.0)) / F.lit(half_life))
+    """weight * 0.5 ** (age / half_life); no age below 0; null without a time."""
+    return F.when(ts.isNotNull(), weight * F.pow(F.lit(0.5), F.greatest(age_days(ts, now), F.lit(0.0)) / F.lit(half_life)))
 
 
 def saturated(strength: Column, saturation: float = 3.0) -> Column:
@@ -44,7 +45,8 @@ def saturated(strength: Column, saturation: float = 3.0) -> Column:
 
 def staleness(ts: Column, now: Column, half_life: float = 30.0) -> Column:
     """1 - 0.5 ** (age / half_life); 1 without a time."""
-    return F.coalesce(F.lit(1.0) - F.pow(F.lit(0.5), F.greatest(age_days(ts, now), F.lit(0.0)) / F.lit(half_life)), F.lit(1.0))
+    value = F.lit(1.0) - F.pow(F.lit(0.5), F.greatest(age_days(ts, now), F.lit(0.0)) / F.lit(half_life))
+    return F.when(ts.isNull(), F.lit(1.0)).otherwise(value)
 
 
 def unit_cosine(cosine: Column) -> Column:

@@ -11,8 +11,9 @@ DRILL = ["contains", "derived_from"]
 def closure(edges: DataFrame, roots: DataFrame, chunks: DataFrame, max_depth: int = 8) -> DataFrame:
     """root_level, root_id, chunk_id: live chunks under each root, over drill-down relations only.
 
-    One frontier join per level for all roots at once; visited nodes aren't entered again,
-    so cycles end, and the depth bounds the rounds.
+    One frontier join per level for all roots at once. A frontier holds each node once per
+    root, so a cycle only repeats nodes until the depth bound; frontiers are kept
+    while the next one is made, and the first empty one ends the walk.
     """
     steps = edges.where(F.col("relation").isin(DRILL)).select("parent_level", "parent_id", "child_level", "child_id").distinct()
     frontier = roots.select(F.col("level").alias("root_level"), F.col("node_id").alias("root_id"), F.col("level"), F.col("node_id").alias("id"))
@@ -21,8 +22,11 @@ def closure(edges: DataFrame, roots: DataFrame, chunks: DataFrame, max_depth: in
         children = frontier.join(steps, (F.col("level") == F.col("parent_level")) & (F.col("id") == F.col("parent_id"))).select(
             "root_level", "root_id", F.col("child_level").alias("level"), F.col("child_id").alias("id")
         )
-        frontier = children.distinct().join(visited, ["root_level", "root_id", "level", "id"], "left_anti")
+        frontier = children.distinct().persist()
+        if frontier.isEmpty():
+            break
         visited = visited.unionByName(frontier)
+    visited = visited.distinct()
     leaves = visited.where("level = 0").select("root_level", "root_id", F.col("id").alias("chunk_id"))
     return leaves.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("root_level", "root_id", "chunk_id")
 
@@ -34,31 +38,66 @@ def cooccurrence(membership: DataFrame, group: str, item: str) -> DataFrame:
     return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, every: int = 10) -> DataFrame:
+#: Edges up to which one task ranks the whole graph.
+SMALL_GRAPH = 200_000
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, small: int = SMALL_GRAPH) -> DataFrame:
     """node_id, centrality: weighted, undirected, dangling mass spread evenly, divided by the largest.
 
-    Parallel edges add up. Lineage is cut by checkpoint() every few rounds where the
-    session has a checkpoint folder.
+    ``edges``: a, b, weight; parallel edges add up. A graph of at most ``small`` edges (counted
+    first) is ranked in one task, as rounds of tiny jobs would cost more than the work; a larger
+    one takes a join and a sum per round, each round's ranks written to the checkpoint folder.
     """
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
-    both = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    both = both.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")).persist()
+    if both.count() <= 2 * small and nodes.count() <= small:
+        return _pagerank_small(nodes, both, damping, iterations)
+    spark = nodes.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
     shares = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).persist()
     n = nodes.count()
-    dangling_ids = nodes.join(out.select(F.col("src").alias("node_id")), "node_id", "left_anti").select("node_id").withColumn("dangling", F.lit(True))
-    base = nodes.select("node_id").join(dangling_ids, "node_id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(False))).persist()
-    rank = base.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    durable = nodes.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    for i in range(iterations):
-        lost = rank.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+    linked = out.select(F.col("src").alias("node_id"), F.lit(False).alias("dangling"))
+    base = nodes.select("node_id").join(linked, "node_id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))).persist()
+    rank = base.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(iterations):
+        lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         flow = rank.join(shares, rank.node_id == shares.src).groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        rank = base.join(flow, "node_id", "left").join(F.broadcast(lost)).select(
-            "node_id", "dangling", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") / max(n, 1))).alias("rank")
-        )
-        if durable and (i + 1) % every == 0:
-            rank = rank.checkpoint()
-    top = rank.agg(F.max("rank").alias("top"))
-    return rank.join(F.broadcast(top)).select("node_id", (F.col("rank") / F.col("top")).alias("centrality"))
+        rank = base.join(flow, "node_id", "left").select(
+            "node_id", "dangling", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")
+        ).checkpoint()
+    top = rank.agg(F.max("rank")).first()[0]
+    return rank.select("node_id", (F.col("rank") / F.lit(top)).alias("centrality"))
+
+
+def _pagerank_small(nodes: DataFrame, both: DataFrame, damping: float, iterations: int) -> DataFrame:
+    import numpy as np
+    import pandas as pd
+
+    kind = nodes.schema["node_id"].dataType.simpleString()
+    rows = nodes.select(F.lit(1).alias("g"), F.col("node_id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(0.0).alias("weight")).unionByName(
+        both.select(F.lit(1).alias("g"), F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "weight")
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        links = pdf[pdf["dst"].notna()]
+        ids = sorted(set(pdf.loc[pdf["dst"].isna(), "src"]))
+        place = {v: k for k, v in enumerate(ids)}
+        links = links[links["src"].isin(place) & links["dst"].isin(place)].sort_values(["src", "dst"])
+        a, b, w = links["src"].map(place).to_numpy(int), links["dst"].map(place).to_numpy(int), links["weight"].to_numpy(float)
+        n = len(ids)
+        total = np.bincount(a, w, n)
+        rank = np.full(n, 1.0 / n)
+        for _ in range(iterations):
+            lost = rank[total == 0].sum()
+            flow = np.bincount(b, rank[a] * w / total[a], n)
+            rank = (1 - damping) / n + damping * (flow + lost / n)
+        return pd.DataFrame({"node_id": ids, "centrality": rank / rank.max()})
+
+    return rows.groupBy("g").applyInPandas(run, f"node_id {kind}, centrality double")
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:

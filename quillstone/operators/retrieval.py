@@ -18,34 +18,22 @@ from ..functions import scores, text, vectors
 
 def postings(chunks: DataFrame, key: str = "chunk_id", column: str = "text") -> DataFrame:
     """``key``, token, n, norm2 (of the whole chunk)."""
-    counted = chunks.select(key, F.explode(text.tokenize(F.col(column))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    counted = text.exploded_tokens(chunks, key, column).groupBy(key, "token").agg(F.count("*").alias("n"))
     return counted.withColumn("norm2", F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
 
 
 def lexical_scores(chunks: DataFrame, query: str, key: str = "chunk_id", column: str = "text") -> DataFrame:
-    """``key``, lexical: cosine of raw token counts with the query's; rows without a common token are absent.
-
-    The query's tokens are literals: counts are made per chunk in one projection, without a shuffle.
-    """
+    """``key``, lexical: cosine of raw token counts with the query's; rows without a common token are absent."""
     wanted = query_tokens(query)
     if not wanted:
         return chunks.select(key, F.lit(0.0).alias("lexical")).limit(0)
     q_norm = math.sqrt(sum(n * n for n in wanted.values()))
-    tokens = text.tokenize(F.col(column))
-    names = F.array(*[F.lit(t) for t in sorted(wanted)])
-    per = chunks.select(key, tokens.alias("__t")).where(F.arrays_overlap("__t", names))
-    count = lambda t: F.size(F.filter("__t", lambda x: x == t))
-    dot = sum((count(t) * n for t, n in sorted(wanted.items())), F.lit(0))
-    # Squares of all counts: runs of equal tokens in sorted order.
-    squares = F.aggregate(
-        F.array_sort("__t"),
-        F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s")),
-        lambda a, t: F.when(a["t"] == t, F.struct(t.alias("t"), (a["n"] + 1).alias("n"), (a["s"] + 2 * a["n"] + 1).alias("s"))).otherwise(
-            F.struct(t.alias("t"), F.lit(1).cast("long").alias("n"), (a["s"] + 1).alias("s"))
-        ),
-        lambda a: a["s"],
-    )
-    return per.select(key, (dot / (F.lit(q_norm) * F.sqrt(squares))).alias("lexical")).where("lexical > 0")
+    weight = F.lit(0)
+    for t, n in sorted(wanted.items()):
+        weight = F.when(F.col("token") == t, n).otherwise(weight)
+    counted = text.exploded_tokens(chunks, key, column).groupBy(key, "token").agg(F.count("*").alias("n"))
+    per = counted.groupBy(key).agg(F.sum(F.col("n") * weight).alias("__dot"), F.sum(F.col("n") * F.col("n")).alias("__norm2"))
+    return per.where("__dot > 0").select(key, (F.col("__dot") / (F.lit(q_norm) * F.sqrt("__norm2"))).alias("lexical"))
 
 
 def query_tokens(query: str) -> Counter:
