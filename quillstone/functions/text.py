@@ -132,7 +132,7 @@ def gold_uris(raw: Column) -> Column:
     text = F.trim(F.coalesce(raw, F.lit("")))
     listed = F.from_json(text, "array<string>")
     single = F.when(text.rlike('^".*"$'), F.array(F.get_json_object(F.concat(F.lit('{"x":'), text, F.lit("}")), "$.x")))
-    cut = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    cut = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     empty = F.array().cast("array<string>")
     return F.when(text == "", empty).when(text.startswith("["), F.coalesce(listed, cut)).otherwise(F.coalesce(single, cut))
 
