@@ -41,6 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Operator 3: documents with a phrase of ten words of a benchmark item go."""
     scratch.release(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    docs = scratch.pinned(docs)
     marked = docs.withColumn("__row", F.monotonically_increasing_id())
     hits = op3_decontamination.decontaminate(docs, items).where("contaminated").select(F.col("row_id").alias("__row"))
     return marked.join(hits, "__row", "left_anti").drop("__row")

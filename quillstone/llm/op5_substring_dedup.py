@@ -7,9 +7,10 @@
    that a third of the documents share is a row per block, not per document.
 2. Symbols that only one text has are dropped. The others go back to their documents,
    and windows that picked one are candidates (as are the rare windows without such
-   a symbol). Candidates are compared by a 128-bit digest of all their words: in a block
-   the earliest stays and the others are marked; the earliest of the blocks meet in one
-   shuffle, where the earliest of all stays.
+   a symbol). In a block candidates are compared by a 128-bit digest of all their words: the
+   earliest stays and the others are marked. The earliest of the blocks meet in one shuffle on
+   their symbol, in runs, and are compared by symbol and a 64-bit digest of all words; the
+   earliest of all stays.
 3. Marks go back to their documents; words that a marked window covers are removed.
 
 Documents whose whole text has an earlier copy are settled at once: all their windows
@@ -118,25 +119,25 @@ def _ordinal(owner: np.ndarray) -> np.ndarray:
     return np.arange(len(owner)) - np.repeat(new, np.diff(np.append(new, len(owner))))
 
 
-FOUND = "kind int, row_id bigint, doc_id bigint, n_words bigint, kept_sha256 string, text string, marked array<int>, h1 bigint, h2 bigint, start int"
+FOUND = "kind int, row_id bigint, doc_id bigint, n_words bigint, kept_sha256 string, text string, marked array<int>, name bigint, digests array<bigint>, start int"
 _FOUND = pa.schema(
-    [("kind", pa.int32()), ("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("marked", pa.list_(pa.int32())), ("h1", pa.int64()), ("h2", pa.int64()), ("start", pa.int32())]
+    [("kind", pa.int32()), ("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("marked", pa.list_(pa.int32())), ("name", pa.int64()), ("digests", pa.list_(pa.int64())), ("start", pa.int32())]
 )
 
 
 def _candidates(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
-    """kind 0: a document, settled (kept_sha256) or with its text; kind 1: the earliest of a block's equal candidates."""
+    """kind 0: a document, settled (kept_sha256) or with its text; kind 1: a run of
+    consecutive windows that picked one symbol, each the earliest of its equals in the block."""
 
     def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         texts = [r[2] for r in rows]
         n_words = np.zeros(len(rows), np.int64)
-        h1, h2, doc, start = [], [], [], []
+        h1, h2, doc, start, name = [], [], [], [], []
         for a, b in _parts(texts, PARSE_BYTES):
             words = hash_words(texts[a:b])
             n_words[a:b] = np.diff(words.bounds)
             found = anchors(words, window, rounds, cap)
             used, owner = _used(found, words)
-            ordinal = _ordinal(owner)
             base = np.searchsorted(owner, np.arange(b - a))
             shared = np.zeros(len(used) + 1, bool)
             for k in range(a, b):
@@ -150,10 +151,12 @@ def _candidates(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFram
             at = np.flatnonzero(pick & ~settled[text] if len(pick) else pick)
             h1.append(window_hashes(words.first, window, _Q1)[at])
             h2.append(window_hashes(words.second, window, _Q2)[at])
+            # Equal windows pick equal symbols; one that has none stands for itself.
+            own = found.name[found.block[at]] if len(found.name) else h2[-1]
+            name.append(np.where(found.alive[at], own, h2[-1]))
             doc.append(text[at] + a)
             start.append(at - words.bounds[text[at]])
-            del ordinal
-        h1, h2, doc, start = (np.concatenate(x) for x in (h1, h2, doc, start))
+        h1, h2, doc, start, name = (np.concatenate(x) for x in (h1, h2, doc, start, name))
         ids = np.array([_LAST if r[1] is None else r[1] for r in rows], np.int64)
         row_ids = np.array([r[0] for r in rows], np.int64)
         order, head = _groups(h1, h2, ids[doc], start, row_ids[doc])
@@ -184,9 +187,17 @@ def _candidates(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFram
             "marked": [marked.get(k) for k in range(n)],
         }
         yield pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
-        m = len(first)
-        values = {"kind": np.ones(m, np.int32), "row_id": row_ids[doc[first]], "doc_id": ids[doc[first]], "h1": h1[first].view(np.int64), "h2": h2[first].view(np.int64), "start": start[first].astype(np.int32)}
-        yield pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(m, f.type) for f in _FOUND], schema=_FOUND)
+        first = first[np.lexsort((start[first], doc[first]))]
+        d, at, picked = doc[first], start[first], name[first]
+        cut = np.ones(len(first), bool)
+        cut[1:] = (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1) | (picked[1:] != picked[:-1])
+        head = np.flatnonzero(cut)
+        m = len(head)
+        digests = pa.ListArray.from_arrays(pa.array(np.append(head, len(first)).astype(np.int32)), pa.array(h1[first].view(np.int64)))
+        values = {"kind": np.ones(m, np.int32), "row_id": row_ids[d[head]], "doc_id": ids[d[head]], "name": picked[head].view(np.int64), "start": at[head].astype(np.int32)}
+        yield pa.RecordBatch.from_arrays(
+            [digests if f.name == "digests" else pa.array(values[f.name], f.type) if f.name in values else pa.nulls(m, f.type) for f in _FOUND], schema=_FOUND
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -233,6 +244,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 4, cap: int
     """
     if not 2 * cap < window:
         raise ValueError("cap must be below half the window")
+    docs = scratch.pinned(docs)
     keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Copies of whole texts: all rows but the earliest of each.
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("row_id"))
@@ -249,9 +261,11 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 4, cap: int
     per_row = marks.groupBy("row_id").agg(F.first("ordinals", ignorenulls=True).alias("ordinals"), F.max("copy").alias("copy"))
     found = scratch.keep(_candidates(keyed.join(per_row.hint("shuffle_hash"), "row_id", "left"), window, rounds, cap), "candidates")
 
-    place = F.struct("doc_id", "start", "row_id")
-    by_window = Window.partitionBy("h1", "h2")
-    later = found.where("kind = 1").select("row_id", "start", place.alias("place"), F.min(place).over(by_window).alias("earliest")).where("place <> earliest")
+    # Runs meet on their symbol; each window in them is told apart by its digest.
+    runs = found.where("kind = 1").select("name", "doc_id", "row_id", "start", "digests").repartition("name")
+    each = runs.select("name", "doc_id", "row_id", F.posexplode("digests").alias("at", "digest"), "start").select("name", "digest", "doc_id", (F.col("start") + F.col("at")).alias("start"), "row_id")
+    rank = F.row_number().over(Window.partitionBy("name", "digest").orderBy("doc_id", "start", "row_id"))
+    later = each.withColumn("rank", rank).where("rank > 1").select("row_id", "start")
     per_doc = later.groupBy("row_id").agg(F.collect_list("start").alias("later"))  # at most a document's own windows
     open_ = found.where("kind = 0 and kept_sha256 is null")
     cut = _remove(open_.join(per_doc, "row_id", "left"), window).select("row_id", "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

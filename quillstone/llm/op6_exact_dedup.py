@@ -67,7 +67,7 @@ def _stream(spark: SparkSession, staged: DataFrame, path: str, files_per_batch:
 
 def groups(docs: DataFrame, files_per_batch: int = 100_000) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, locator (the row's own)."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, scratch.pinned(docs)
     locator = F.monotonically_increasing_id()
     text = normalised(F.col("text"))
     doc_id = F.col("doc_id").cast("long")
@@ -105,6 +105,7 @@ def groups(docs: DataFrame, files_per_batch: int = 100_000) -> DataFrame:
 
 def deduplicate(docs: DataFrame, files_per_batch: int = 100_000) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = scratch.pinned(docs)
     marked = docs.withColumn("__locator", F.monotonically_increasing_id())
     dropped = groups(docs, files_per_batch).where("not kept").select(F.col("locator").alias("__locator"))
     return marked.join(dropped, "__locator", "left_anti").drop("__locator")

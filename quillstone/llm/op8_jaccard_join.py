@@ -199,6 +199,7 @@ def _verify(work: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 128, whole_limit: int = 1 << 17) -> DataFrame:
     """Per row of ``docs``: row_id, doc_id, class_id, n_links, stays (the first row of its class)."""
     bands, rows = bands_for(recall, threshold)
+    docs = scratch.pinned(docs)
     keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.keep(signatures(keyed, size, bands, rows), "signatures")
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("row_id"))
@@ -255,6 +256,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: floa
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
+    docs = scratch.pinned(docs)
     marked = docs.withColumn("__row", F.monotonically_increasing_id())
     dropped = classes(docs, **options).where("not stays").select(F.col("row_id").alias("__row"))
     return marked.join(dropped, "__row", "left_anti").drop("__row")

@@ -67,3 +67,14 @@ def release(spark: SparkSession, since: int = 0) -> None:
 def token() -> str:
     """A short random name."""
     return uuid.uuid4().hex[:12]
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """``df``, written first unless it is a plain scan of files.
+
+    Rows get numbers from their place in their partition, and a frame that is read twice must
+    give the same places: a scan with projections and filters does, a shuffle need not.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" :+-").split(" ", 1)[0] for line in plan.splitlines() if line.strip()]
+    return df if all(n in ("Project", "Filter", "Relation") for n in nodes) else keep(df, "input")
