@@ -117,7 +117,7 @@ def wording(block: str, words: list[str]) -> tuple[int, int, int, list[str]] | N
     return spans[first][1], spans[last - 1][2], sum(m.size for m in same), differences
 
 
-def scan(text: str | None, least_saved: int = 8, share: float = 0.85, tries: int = 6) -> list[dict]:
+def scan(text: str | None, least_saved: int = 8, share: float = 0.8, tries: int = 6) -> list[dict]:
     """Confirmed licences of a whole text: license, start, end, saved, exact, differences."""
     out = []
     for a, b in blocks(text or ""):
