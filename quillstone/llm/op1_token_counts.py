@@ -26,10 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .bpe import encode, plain, tokenizer, units
+from .bpe import PRE_TOKEN, encode, plain, tokenizer, units
 
-#: The pre-tokens of a byte-level tokenizer (fixed value).
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FLUSH = 400_000
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from .bpe import UnitCache, id_bytes
+from .bpe import ids_of
 
 PIECES = (
     "doc_id bigint, row_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, klass int"
@@ -64,12 +64,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = UnitCache(id_bytes(tokenizer_path))
         for batch in batches:
             rows: list[list] = [[] for _ in schema]
-            ids_of = cache.of(batch.column(2).to_pylist())
-            for doc, row, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids_of, strict=True):
-                ids = memoryview(b"".join(parts) + tail)
+            for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                ids = memoryview(ids_of(tokenizer_path, text) + tail)
                 total, at = len(ids) // 4, 0
                 for length, klass in cut(total, capacity, classes, slack):
                     crc = zlib.crc32(ids[4 * at : 4 * (at + length)])

@@ -227,3 +227,15 @@ def test_licenses():
         for t in texts:
             got = op10_licenses.scan("before it. " + t + " after it")
             assert got and got[0]["exact"] and got[0]["license"] == name, (name, t, got)
+
+
+def test_ids_equal_the_library():
+    import numpy as np
+    import public_tokenizers
+
+    from quillstone.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert bpe.rank_encoder(path) is not None and bpe.rank_encoder(public_tokenizers.path("word_bpe_49k.json")) is None
+    for text in ["", " ", "a <|endoftext|> b", "<|endoftext|>x", "  x\n\n  y\t", "I'Ll don't", "é ½ ² 日本\u3000b \n c", "\x00\x1f", "a" * 60_000, " " * 6_000 + "x"]:
+        assert np.frombuffer(bpe.ids_of(path, text), "<u4").tolist() == bpe.encode(path, [text])[0]
