@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -117,31 +118,40 @@ def wording(block: str, words: list[str]) -> tuple[int, int, int, list[str]] | N
     return spans[first][1], spans[last - 1][2], sum(m.size for m in same), differences
 
 
-def scan(text: str | None, least_saved: int = 8, share: float = 0.8, tries: int = 6) -> list[dict]:
-    """Confirmed licences of a whole text: license, start, end, saved, exact, differences."""
-    out = []
-    for a, b in blocks(text or ""):
-        at = a
-        while at < b:
-            block, best = text[at:b], None
-            for saved, name, _, words in [r for r in ranked(block) if r[0] >= least_saved][:tries]:
-                found = wording(block, words)
-                if found is None or found[2] < share * len(words):
-                    continue
-                # Words that tell licences apart are never among the differences: a number or a name missing is another licence.
-                if any(re.search(r"[0-9]|\b(?:nc|nd|sa|by|mit|bsd|gnu|lesser|apache|mozilla)\b", d) for d in found[3]):
-                    continue
-                rank = (not found[3], found[2], saved)
-                if best is None or rank > best[0]:
-                    best = (rank, saved, name, found)
-            if best is None:
-                break
-            _, saved, name, (s, e, _, differences) = best
-            out.append({"license": name, "start": at + s, "end": at + e, "saved": saved, "exact": not differences, "differences": differences})
-            at += e
-            if not CUE.search(text, at, b):
+def scan(text: str | None, least_saved: int = 8, share: float = 0.8) -> list[dict]:
+    """Confirmed licences of a whole text, by place: license, start, end, saved, exact, differences.
+
+    The best match of a block splits it, and what lies before and behind is searched again.
+    """
+    out: list[dict] = []
+    todo = blocks(text or "")[::-1]
+    while todo:
+        a, b = todo.pop()
+        block, best = text[a:b], None
+        have = Counter(WORD.findall(block.lower()))
+        for saved, name, _, words in ranked(block):
+            if saved < least_saved:
                 break
-    return out
+            # The alignment can have no more words in common than the two bags.
+            if (Counter(words) & have).total() < share * len(words):
+                continue
+            found = wording(block, words)
+            if found is None or found[2] < share * len(words):
+                continue
+            # Words that tell licences apart are never among the differences: a number or a name missing is another licence.
+            if any(re.search(r"[0-9]|\b(?:nc|nd|sa|by|mit|bsd|gnu|lesser|apache|mozilla)\b", d) for d in found[3]):
+                continue
+            rank = (not found[3], found[2], saved)
+            if best is None or rank > best[0]:
+                best = (rank, saved, name, found)
+        if best is None:
+            continue
+        _, saved, name, (s, e, _, differences) = best
+        # Long runs of cues give blocks that overlap, so a notice may be seen twice.
+        if not any(m["start"] < a + e and a + s < m["end"] for m in out):
+            out.append({"license": name, "start": a + s, "end": a + e, "saved": saved, "exact": not differences, "differences": differences})
+        todo += [(x, y) for x, y in ((a + e, b), (a, a + s)) if CUE.search(text, x, y)]
+    return sorted(out, key=lambda m: m["start"])
 
 
 MATCHES = "array<struct<license:string,start:bigint,end:bigint,saved:bigint,exact:boolean,differences:array<string>>>"

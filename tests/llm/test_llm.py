@@ -239,3 +239,13 @@ def test_ids_equal_the_library():
     assert bpe.rank_encoder(path) is not None and bpe.rank_encoder(public_tokenizers.path("word_bpe_49k.json")) is None
     for text in ["", " ", "a <|endoftext|> b", "<|endoftext|>x", "  x\n\n  y\t", "I'Ll don't", "é ½ ² 日本\u3000b \n c", "\x00\x1f", "a" * 60_000, " " * 6_000 + "x"]:
         assert np.frombuffer(bpe.ids_of(path, text), "<u4").tolist() == bpe.encode(path, [text])[0]
+
+
+def test_licenses_before_and_behind_the_best():
+    from quillstone.llm.op10_licenses import scan
+
+    text = "Released under the MIT License. words between. This program uses more. Licensed under the Apache License, Version 2.0. then All rights reserved."
+    found = scan(text)
+    assert [m["license"] for m in found] == ["MIT", "Apache-2.0", "Proprietary"] and all(m["exact"] for m in found)
+    assert [text[m["start"] : m["end"]] for m in found][0] == "Released under the MIT License"
+    assert scan(None) == scan("") == [] and len(scan(" ".join([text] * 60))) == 180
