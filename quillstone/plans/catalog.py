@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, text, vectors
+from ..functions import chunking, scores, text, vectors
 from ..operators import conversations, evaluation, graph, memory, retrieval, store, usage
 
 NOW = "2024-02-01 00:00:00"
@@ -391,3 +391,10 @@ def token_lists(spark, sf_dir):
 @query()
 def stub_embedding(spark, sf_dir):
     return _read(spark, sf_dir, "benchmark").select("item_id", vectors.bucket_embedding(F.col("text")).alias("vector"))
+
+
+@query()
+def chunk_documents(spark, sf_dir):
+    """Overlapping chunks of every document."""
+    docs = _read(spark, sf_dir, "documents")
+    return chunking.chunk_rows(docs, chunking.text_chunks(F.col("text")), "doc_id")
