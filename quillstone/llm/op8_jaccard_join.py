@@ -156,8 +156,11 @@ def _verify(work: DataFrame, threshold: float) -> DataFrame:
         sets = [np.frombuffer(r[3], U) for r in rows]
         n_left = sum(r[0] == i for r in rows)
         common = _common(sets, None)
-        sizes = np.array([len(s) for s in sets], np.float32)
-        linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-4
+        sizes = np.array([len(s) for s in sets], np.float64)
+        linked = np.empty(common.shape, bool)
+        for at in range(0, len(sets), 256):  # in double precision, a few rows at a time
+            part = common[at : at + 256].astype(np.float64)
+            linked[at : at + 256] = part >= threshold * (sizes[at : at + 256, None] + sizes[None, :] - part) - 1e-6
         np.fill_diagonal(linked, False)
         if i != j:
             linked[:n_left, :n_left] = False
