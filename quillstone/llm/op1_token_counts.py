@@ -3,8 +3,8 @@
 1. Every block of documents counts its distinct pre-tokens; a shuffle on the
    pre-token sums the counts, and the tokenizer is asked once per distinct
    pre-token how many pieces it has. That table is written.
-2. The ``head`` most frequent pre-tokens (a fixed number, so a bounded broadcast)
-   go to all workers. A worker sums their pieces per document as it reads, and
+2. The most frequent pre-tokens, at most ``head`` (so a bounded broadcast), go to all
+   workers: a histogram of the counts gives the count from which they are taken. A worker sums their pieces per document as it reads, and
    hands on per-document frequencies of the other pre-tokens only.
 3. Those frequencies join the table of pieces on the pre-token; as every pre-token
    left has a small share of all occurrences, the join has no hot key. A sum per
@@ -91,11 +91,24 @@ def pre_token_pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return found.mapInArrow(measure, "pre_token string, n bigint, pieces bigint")
 
 
+def _common_from(table: DataFrame, head: int) -> int:
+    """The least power of two that at most ``head`` of the table's counts ``n`` reach, from one row per power."""
+    bits = F.length(F.bin("n"))
+    left, power = head, 63
+    for bit, rows in table.groupBy(bits.alias("bit")).count().orderBy(F.desc("bit")).collect():
+        left -= rows
+        if left < 0:
+            break
+        power = bit - 1
+    return 1 << min(power, 62)
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, head: int = 100_000, head_bytes: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) per row of ``docs``."""
     spark = docs.sparkSession
     table = scratch.keep(pre_token_pieces(docs, tokenizer_path), "pre-tokens")
-    top = table.where(F.octet_length("pre_token") <= head_bytes).orderBy(F.desc("n"), "pre_token").limit(head).select("pre_token", "pieces")
+    short = table.where(F.octet_length("pre_token") <= head_bytes)
+    top = short.where(F.col("n") >= _common_from(short, head)).select("pre_token", "pieces")
     known = spark.sparkContext.broadcast({r[0]: r[1] for r in top.collect()})  # at most head x head_bytes bytes of keys
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
