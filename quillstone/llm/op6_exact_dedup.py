@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .hot import join_groups
 
 #: Space and the controls from tab to carriage return.
 BLANK = " \t\n\x0b\x0c\r"
@@ -87,11 +88,11 @@ def groups(docs: DataFrame, files_per_batch: int = 100_000) -> DataFrame:
     clashing = scratch.keep(unequal, "clashes")
     of_digest = kept.select("digest", F.col("n").alias("group_size"), "best")
     if clashing.isEmpty():
-        rows = staged.join(of_digest, "digest")
+        rows = join_groups(staged, of_digest, "digest", "group_size")
     else:
         other = with_text.select(F.unhex(F.sha2(text, 256)).alias("digest"), rank.alias("rank"), "doc_id", text.alias("whole")).join(clashing, "digest", "left_semi")
         by_text = other.groupBy("whole").agg(F.count("*").alias("group_size"), F.max("rank").alias("best"))
-        rows = staged.join(clashing, "digest", "left_anti").join(of_digest, "digest").unionByName(other.join(by_text, "whole").drop("whole"))
+        rows = join_groups(staged.join(clashing, "digest", "left_anti"), of_digest, "digest", "group_size").unionByName(other.join(by_text, "whole").drop("whole"))
     keep_id = F.bitwise_not(F.col("best.first"))
     return rows.select(
         "doc_id",
