@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
+from .hot import join_groups
 from .op3_decontamination import _TABLE
 from .recompress import U, hash_words, mix, window_hashes
 
@@ -249,9 +250,9 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: floa
     joined = components(found.select(F.col("row_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row_id")
     of_rep = reps.join(links, "row_id", "left").join(joined, "row_id", "left").select("digest", "first", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "row_id").alias("label"))
     of_rep = scratch.keep(of_rep, "classes")
-    heads = of_rep.groupBy("label").agg(F.min("first").alias("head"))
-    info = of_rep.join(heads, "label").select("digest", "head", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    with_grams = sig.where("digest is not null").join(info, "digest").select("row_id", "doc_id", "head", "n_links")
+    heads = scratch.keep(of_rep.groupBy("label").agg(F.min("first").alias("head"), F.count("*").alias("m")), "heads")
+    info = scratch.keep(join_groups(of_rep, heads, "label", "m").select("digest", "head", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "class-info")
+    with_grams = join_groups(sig.where("digest is not null").select("row_id", "doc_id", "digest"), info, "digest", "copies").select("row_id", "doc_id", "head", "n_links")
     without = sig.where("digest is null").select("row_id", "doc_id", order.alias("head"), F.lit(0).cast("long").alias("n_links"))
     head_id = F.col("head.doc_id")
     return with_grams.unionByName(without).select("row_id", "doc_id", F.when(head_id != _LAST, head_id).alias("class_id"), "n_links", (F.col("row_id") == F.col("head.row_id")).alias("stays"))
