@@ -224,8 +224,9 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: floa
         return groups.withColumn("nb", F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("total") / F.lit(1 << 20)), F.lit(1)).cast("int"))
 
     sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total")).where("m > 1")
+    sizes = scratch.keep(sizes, "group-sizes")
     whole = blocks(sizes.where(F.col("m") <= whole_limit))
-    work = members.join(whole, "label").select(F.col("label").alias("gid"), F.lit(-1).alias("band"), "row_id", "copies", F.lit(None).cast("array<bigint>").alias("bands"), "nb")
+    work = join_groups(members, whole, "label", "m").select(F.col("label").alias("gid"), F.lit(-1).alias("band"), "row_id", "copies", F.lit(None).cast("array<bigint>").alias("bands"), "nb")
     large = sizes.where(F.col("m") > whole_limit).select("label")
     if not large.isEmpty():
         loose = ties.join(members.join(large, "label", "left_semi"), "row_id")
