@@ -18,3 +18,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, share:
     hot = F.broadcast(groups.where(is_hot))
     cold = rows.join(F.broadcast(groups.where(is_hot).select(key)), key, "left_anti").join(groups.where(~is_hot), key)
     return rows.join(hot, key).unionByName(cold)
+
+
+def with_salt(rows: DataFrame, groups: DataFrame, key: str, size: str, place: str, share: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``groups`` with a column ``salt``, to be joined on ``key`` and ``salt``.
+
+    A group above one row in ``share`` is dealt by ``place`` over so many salts that each holds about that
+    share; ``groups`` repeats such a group once per salt, fewer than 2 x ``share`` rows in all.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    part = max(total // share, 1)
+    salts = F.ceil(F.col(size) / part).cast("int")
+    hot = groups.where(F.col(size) > part).select(key, salts.alias("salts"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(place), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    return dealt, groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1)))

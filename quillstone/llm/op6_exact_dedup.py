@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .hot import join_groups
+from .hot import join_groups, with_salt
 
 #: Space and the controls from tab to carriage return.
 BLANK = " \t\n\x0b\x0c\r"
@@ -81,10 +81,12 @@ def groups(docs: DataFrame, files_per_batch: int = 100_000) -> DataFrame:
     kept = scratch.keep(_stream(spark, staged.select("digest", "rank"), staged_path, files_per_batch), "groups")
 
     # Hits in full: equal digests must hide equal bytes. min and max of the whole texts see any difference.
-    hits = kept.where("n > 1").select("digest")
-    texts = with_text.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("whole"))
-    # Four independent parts of the text's bytes would do for a digest; the whole text is compared instead.
-    unequal = texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low <> high").select("digest")
+    # The texts of a large group are compared in parts, and then what the parts found.
+    texts = with_text.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("whole"), "locator")
+    texts, salted = with_salt(texts, kept.select("digest", "n"), "digest", "n", "locator")
+    hits = salted.where("n > 1").select("digest", "salt")
+    unequal = texts.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("whole").alias("low"), F.max("whole").alias("high"))
+    unequal = unequal.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("digest")
     clashing = scratch.keep(unequal, "clashes")
     of_digest = kept.select("digest", F.col("n").alias("group_size"), "best")
     if clashing.isEmpty():
