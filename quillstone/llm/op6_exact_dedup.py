@@ -84,7 +84,7 @@ def groups(docs: DataFrame, files_per_batch: int = 100_000) -> DataFrame:
     # The texts of a large group are compared in parts, and then what the parts found.
     texts = with_text.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("whole"), "locator")
     texts, salted = with_salt(texts, kept.select("digest", "n"), "digest", "n", "locator")
-    hits = salted.where("n > 1").select("digest", "salt")
+    hits = salted.where("n > 1").select("digest", "salt").hint("shuffle_merge")  # their number has no bound
     unequal = texts.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("whole").alias("low"), F.max("whole").alias("high"))
     unequal = unequal.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("digest")
     clashing = scratch.keep(unequal, "clashes")
