@@ -2,8 +2,8 @@
 
 Stretches of a text around lines that speak of licensing are candidate blocks. Each is compressed
 alone and with every template as a raw dictionary; templates are ranked by how many bytes the
-dictionary saves. The best are confirmed by wording: words of the template are aligned
-with the block's, and what is missing or other is kept as the exact differences.
+dictionary saves. All that hold enough of a template's words are confirmed by wording: words of
+the template are aligned with the block's, and what is missing or other is kept as the exact differences.
 
 All rows pass through one map over the table, with the templates as a fixed list.
 
@@ -91,55 +91,71 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def ranked(block: str) -> list[tuple[int, str, str, list[str]]]:
-    """(bytes saved, name, template, its words) for all templates, best first."""
+def ranked(block: str, share: float) -> list[tuple[int, str, list[str]]]:
+    """(bytes saved, name, words) of the templates whose words ``block`` holds to ``share``, best first.
+
+    An alignment can have no more words in common than the two bags, so no template is left out that could be confirmed.
+    """
     plain, known = _compressors()
+    have = Counter(WORD.findall(block.lower()))
+    known = [k for k in known if (Counter(k[2]) & have).total() >= share * len(k[2])]
+    if not known:
+        return []
     raw = block.lower().encode()
     alone = len(plain.compress(raw))
-    return sorted(((alone - len(c.compress(raw)), name, t, words) for name, t, words, c in known), key=lambda x: (-x[0], -len(x[3]), x[1]))
+    return sorted(((alone - len(c.compress(raw)), name, words) for name, _, words, c in known), key=lambda x: (-x[0], -len(x[2]), x[1]))
+
+
+def _tells(differences: list[str]) -> bool:
+    """Words that tell licences apart are never among the differences: a number or a name missing is another licence."""
+    return any(re.search(r"[0-9]|\b(?:nc|nd|sa|by|mit|bsd|gnu|lesser|apache|mozilla)\b", d) for d in differences)
 
 
-def wording(block: str, words: list[str]) -> tuple[int, int, int, list[str]] | None:
-    """(start, end, words in common, differences) of the closest stretch of ``block``, or None."""
+def wording(block: str, words: list[str], share: float) -> tuple[int, int, int, list[str]] | None:
+    """(start, end, words in common, differences) of the closest stretch of ``block`` that confirms a template, or None.
+
+    Where the closest stretch doesn't, what lies before and behind its longest common run is searched too.
+    """
     spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(block.lower())]
     have = [s[0] for s in spans]
-    match = difflib.SequenceMatcher(None, have, words, autojunk=False)
-    whole = [m for m in match.get_matching_blocks() if m.size]
-    if not whole:
-        return None
-    anchor = max(whole, key=lambda m: m.size)
-    low = max(0, anchor.a - anchor.b)
-    high = min(len(have), low + len(words) + 2)
-    inner = difflib.SequenceMatcher(None, have[low:high], words, autojunk=False)
-    same = [m for m in inner.get_matching_blocks() if m.size]
-    first, last = low + same[0].a, low + same[-1].a + same[-1].size
-    part = have[first:last]
-    differences = [f"{op} {' '.join(part[a:b])!r} for {' '.join(words[c:d])!r}" for op, a, b, c, d in difflib.SequenceMatcher(None, part, words, autojunk=False).get_opcodes() if op != "equal"]
-    return spans[first][1], spans[last - 1][2], sum(m.size for m in same), differences
-
-
-def scan(text: str | None, least_saved: int = 8, share: float = 0.8) -> list[dict]:
+    todo, best = [(0, len(have))], None
+    while todo:
+        x, y = todo.pop()
+        if (Counter(words) & Counter(have[x:y])).total() < share * len(words):
+            continue
+        anchor = difflib.SequenceMatcher(None, have[x:y], words, autojunk=False).find_longest_match()
+        at = x + anchor.a
+        low = max(x, at - anchor.b)
+        high = min(y, low + len(words) + 2)
+        same = [m for m in difflib.SequenceMatcher(None, have[low:high], words, autojunk=False).get_matching_blocks() if m.size]
+        first, last, common = low + same[0].a, low + same[-1].a + same[-1].size, sum(m.size for m in same)
+        if common >= share * len(words):
+            part = have[first:last]
+            changes = [(op, part[a:b], words[c:d], c, d) for op, a, b, c, d in difflib.SequenceMatcher(None, part, words, autojunk=False).get_opcodes() if op != "equal"]
+            differences = [f"{op} {' '.join(new)!r} for {' '.join(old)!r}" for op, new, old, _, _ in changes]
+            if not _tells(differences):
+                found = (spans[first][1], spans[last - 1][2], common, differences)
+                if best is None or (not differences, common) > (not best[3], best[2]):
+                    best = found
+                continue
+        todo += [(at + anchor.size, y), (x, at)]
+    return best
+
+
+def scan(text: str | None, share: float = 0.8) -> list[dict]:
     """Confirmed licences of a whole text, by place: license, start, end, saved, exact, differences.
 
-    The best match of a block splits it, and what lies before and behind is searched again.
+    The saving only ranks; wording confirms. The best match of a block splits it, and what lies
+    before and behind is searched again.
     """
     out: list[dict] = []
     todo = blocks(text or "")[::-1]
     while todo:
         a, b = todo.pop()
         block, best = text[a:b], None
-        have = Counter(WORD.findall(block.lower()))
-        for saved, name, _, words in ranked(block):
-            if saved < least_saved:
-                break
-            # The alignment can have no more words in common than the two bags.
-            if (Counter(words) & have).total() < share * len(words):
-                continue
-            found = wording(block, words)
-            if found is None or found[2] < share * len(words):
-                continue
-            # Words that tell licences apart are never among the differences: a number or a name missing is another licence.
-            if any(re.search(r"[0-9]|\b(?:nc|nd|sa|by|mit|bsd|gnu|lesser|apache|mozilla)\b", d) for d in found[3]):
+        for saved, name, words in ranked(block, share):
+            found = wording(block, words, share)
+            if found is None:
                 continue
             rank = (not found[3], found[2], saved)
             if best is None or rank > best[0]:

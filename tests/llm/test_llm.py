@@ -249,3 +249,17 @@ def test_licenses_before_and_behind_the_best():
     assert [m["license"] for m in found] == ["MIT", "Apache-2.0", "Proprietary"] and all(m["exact"] for m in found)
     assert [text[m["start"] : m["end"]] for m in found][0] == "Released under the MIT License"
     assert scan(None) == scan("") == [] and len(scan(" ".join([text] * 60))) == 180
+
+
+def test_licenses_in_long_blocks():
+    from quillstone.llm.op10_licenses import scan
+
+    rng = np.random.default_rng(3)
+    words = "the river of a small town under old permit was read by people who licensed work and wrote for their friends in summer rights".split()
+    filler = lambda n: " ".join(rng.choice(words, n))
+    for notice, name in (("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("All rights reserved.", "Proprietary"), ("Released under the MIT License.", "MIT")):
+        for _ in range(20):
+            text = " ".join(f"{filler(40)} a licence {filler(40)}." for _ in range(4)) + f" {notice} " + " ".join(f"{filler(40)} one licence {filler(40)}." for _ in range(4))
+            assert [(m["license"], m["exact"], text[m["start"] : m["end"]]) for m in scan(text) if m["exact"]] == [(name, True, notice[:-1])]
+    # Another licence's notice before it, with as long a run of common words, hides nothing.
+    assert [m["license"] for m in scan("Licensed under the MIT 9 License. " + filler(30) + " Licensed under the MIT Licence.")] == ["MIT"]
