@@ -26,6 +26,11 @@ from pyspark.sql import functions as F
 
 # Public licence notices by SPDX name.
 TEMPLATES = {
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
@@ -38,7 +43,9 @@ TEMPLATES = {
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."],
@@ -60,11 +67,23 @@ TEMPLATES = {
 CUE = re.compile(
     r"licen[cs]e|copyright|all rights reserved|hereby granted|public domain|redistribut|creative commons|source code form", re.I
 )
-WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+WORD = re.compile(r"non[\s-]commercial\b|no[\s-]deriv(?:ative)?s\b|share[\s-]alike\b|[a-z0-9]+(?:\.[0-9]+)*")
+#: Words that licences are named by; a name is a run of them from one of the first eight on.
+NAMES = "apache bsd cc cc0 creative gnu mit mozilla".split()
+NAMED = {*NAMES, *"1.0 2 2.0 3 4.0 affero attribution by clause commons general international lesser license nc nd noncommercial noderivatives public sa sharealike v version".split()}
+#: Words that tell licences apart wherever they stand.
+TELLING = re.compile(r"[0-9]|^(?:nc|nd|sa|by|mit|bsd|gnu|lesser|library|affero|apache|mozilla|noncommercial|noderivatives|sharealike|modified)$")
+#: Words that a name may have or lack, besides those of ``_plain``.
+LOOSE = {"a", "an", "the", "v", "version", "license", "international", "software", "agpl", "gpl", "lgpl", "mpl"}
 #: Characters around a cue that make a block.
 BEFORE, AFTER = 160, 700
 
 
+def words_of(text: str) -> list[tuple[str, int, int]]:
+    """(word, start, end) of each word in small letters; the parts of 'Non-Commercial' and the like are one word."""
+    return [(re.sub(r"[\s-]", "", m.group()), m.start(), m.end()) for m in WORD.finditer(text.lower())]
+
+
 @lru_cache(maxsize=1)
 def _compressors():
     import zstandard as z
@@ -75,7 +94,7 @@ def _compressors():
         for t in texts:
             raw = t.lower().encode()
             dictionary = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            out.append((name, t, WORD.findall(t.lower()), z.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            out.append((name, t, [w for w, _, _ in words_of(t)], z.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)))
     return plain, out
 
 
@@ -97,7 +116,7 @@ def ranked(block: str, share: float) -> list[tuple[int, str, list[str]]]:
     An alignment can have no more words in common than the two bags, so no template is left out that could be confirmed.
     """
     plain, known = _compressors()
-    have = Counter(WORD.findall(block.lower()))
+    have = Counter(w for w, _, _ in words_of(block))
     known = [k for k in known if (Counter(k[2]) & have).total() >= share * len(k[2])]
     if not known:
         return []
@@ -106,9 +125,35 @@ def ranked(block: str, share: float) -> list[tuple[int, str, list[str]]]:
     return sorted(((alone - len(c.compress(raw)), name, words) for name, _, words, c in known), key=lambda x: (-x[0], -len(x[2]), x[1]))
 
 
-def _tells(differences: list[str]) -> bool:
-    """Words that tell licences apart are never among the differences: a number or a name missing is another licence."""
-    return any(re.search(r"[0-9]|\b(?:nc|nd|sa|by|mit|bsd|gnu|lesser|apache|mozilla)\b", d) for d in differences)
+def _plain(words: list[str]) -> str:
+    """``words`` without what doesn't tell licences apart: spelling and ``LOOSE`` words."""
+    same = {"licence": "license", "noderivs": "noderivatives"}
+    words = [same.get(re.sub(r"^v(?=[0-9])", "", w), re.sub(r"^v(?=[0-9])", "", w)) for w in words]
+    return "".join(w for w in words if w not in LOOSE)
+
+
+def _name(words: list[str]) -> tuple[int, int]:
+    """(first, behind the last) of the words of a template that name its licence; (0, 0) where none do."""
+    first = next((k for k, w in enumerate(words) if w in NAMES), None)
+    if first is None:
+        return 0, 0
+    return first, next((k for k in range(first, len(words)) if words[k] not in NAMED), len(words))
+
+
+def _tells(changes: list[tuple], words: list[str], behind: str) -> bool:
+    """Whether ``changes`` (words of the text, words of the template, their place in it) make another licence.
+
+    They do where a number or a word that tells licences apart is among them, or where any word inside the
+    licence's name is more, less or other. ``behind`` is the text that follows.
+    """
+    first, end = _name(words)
+    for new, old, c, d in changes:
+        if _plain(new) != _plain(old) and (any(TELLING.search(w) for w in new + old) or (c < end and d > first)):
+            return True
+        # A name cut short by words too many to align: 'the MIT No Attribution (MIT-0) License'.
+        if not new and c < end == d == len(words) and re.match(r"[^\w.;\n]*(?!licen[cs]e\b)\w[^.;\n]{0,60}?\blicen[cs]e\b", behind):
+            return True
+    return False
 
 
 def wording(block: str, words: list[str], share: float) -> tuple[int, int, int, list[str]] | None:
@@ -116,7 +161,7 @@ def wording(block: str, words: list[str], share: float) -> tuple[int, int, int,
 
     Where the closest stretch doesn't, what lies before and behind its longest common run is searched too.
     """
-    spans = [(m.group(), m.start(), m.end()) for m in WORD.finditer(block.lower())]
+    spans = words_of(block)
     have = [s[0] for s in spans]
     todo, best = [(0, len(have))], None
     while todo:
@@ -133,7 +178,7 @@ def wording(block: str, words: list[str], share: float) -> tuple[int, int, int,
             part = have[first:last]
             changes = [(op, part[a:b], words[c:d], c, d) for op, a, b, c, d in difflib.SequenceMatcher(None, part, words, autojunk=False).get_opcodes() if op != "equal"]
             differences = [f"{op} {' '.join(new)!r} for {' '.join(old)!r}" for op, new, old, _, _ in changes]
-            if not _tells(differences):
+            if not _tells([x[1:] for x in changes], words, block[spans[last - 1][2] :].lower()):
                 found = (spans[first][1], spans[last - 1][2], common, differences)
                 if best is None or (not differences, common) > (not best[3], best[2]):
                     best = found

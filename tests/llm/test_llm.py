@@ -263,3 +263,25 @@ def test_licenses_in_long_blocks():
             assert [(m["license"], m["exact"], text[m["start"] : m["end"]]) for m in scan(text) if m["exact"]] == [(name, True, notice[:-1])]
     # Another licence's notice before it, with as long a run of common words, hides nothing.
     assert [m["license"] for m in scan("Licensed under the MIT 9 License. " + filler(30) + " Licensed under the MIT Licence.")] == ["MIT"]
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+        ("Licensed under the GNU Library General Public License, version 2.", []),
+        ("It is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-Non-Commercial-Share Alike 4.0 International Licence.", ["CC-BY-NC-SA-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 4.0 License.", ["CC-BY-NC-ND-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 License.", ["CC-BY-4.0"]),
+        ("This work is licensed under a Creative Commons Sampling Attribution 4.0 International License.", []),
+        ("This work is licensed under the GNU General Public License (GPL), version 3.", ["GPL-3.0"]),
+        ("Licensed under the MIT No Attribution License.", []),
+        ("Licensed under the MIT No Attribution (MIT-0) License.", []),
+        ("Licensed under the BSD 3-Clause Clear License.", []),
+        ("Licensed under the MIT", ["MIT"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", ["MPL-2.0"]),
+    ],
+)
+def test_licenses_of_other_names(text, expected):
+    assert [m["license"] for m in op10_licenses.scan(f"Some words before. {text}")] == expected
