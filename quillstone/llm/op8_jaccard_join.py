@@ -9,9 +9,10 @@
    representative goes to the block pairs of its component, and a task counts common
    n-grams of two blocks at once. It hands on, per representative, the number of linked
    rows and the smallest representative it is tied to, so output never grows with the
-   pairs. Components above ``whole_limit`` are verified per bucket instead, each
-   pair in the first band that it shares, so loose chains of candidates cost no more than
-   their buckets.
+   pairs. Components above ``whole_limit`` whose rare n-grams make less work are verified
+   by these instead: in an order of all n-grams, rare ones first, two sets of at least the
+   threshold share one among the first of each, so each pair is counted in the group of the
+   first that it shares. Both ways find all pairs of a component.
 
 Links and classes are of rows: ``n_links`` counts the other rows with a similarity of at
 least ``threshold``, copies included; the class is the smallest doc_id that links lead to.
@@ -148,11 +149,51 @@ def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarra
     return common
 
 
-def _verify(work: DataFrame, threshold: float) -> DataFrame:
-    """Of rows (gid, band, i, j, block, row_id, copies, grams, bands) sorted by group: row_id, links, root."""
+_SLOTS = 20  # bits of an n-gram that tell its count
+
+
+def _gram_counts(sets: DataFrame) -> np.ndarray:
+    """How many n-grams of all ``sets`` fall in each slot: close to an n-gram's own count where that is large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << _SLOTS, np.int64)
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                np.add.at(counts, (np.frombuffer(g, U) >> U(64 - _SLOTS)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["slot", "n"])
+
+    found = sets.select("grams").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(1 << _SLOTS, np.int64)
+    counts[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return counts
+
+
+def _prefix(grams: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The first n-grams of a set, rare ones first: another set of at least ``threshold`` has one of them among its own first."""
+    order = np.lexsort((grams, counts[(grams >> U(64 - _SLOTS)).astype(np.int64)]))
+    return grams[order[: len(grams) - int(np.ceil(threshold * len(grams) - 1e-5)) + 1]]
+
+
+def _prefixes(sets: DataFrame, counts, threshold: float) -> DataFrame:
+    """row_id, gram: one row for each n-gram of a row's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = [_prefix(np.frombuffer(g, U), counts.value, threshold).view(np.int64) for g in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.list_(pa.int64()))], names=["row_id", "first"])
+
+    return sets.select("row_id", "grams").mapInArrow(run, "row_id bigint, first array<bigint>").select("row_id", F.explode("first").alias("gram"))
+
+
+def _verify(work: DataFrame, threshold: float, counts=None) -> DataFrame:
+    """Of rows (gid, gram, i, j, block, row_id, copies, grams) sorted by group: row_id, links, root.
+
+    ``gram`` is null where a group holds a whole component; ``counts``: broadcast, for the others.
+    """
 
     def settle(key: tuple, rows: list[tuple]) -> tuple[list, list, list]:
-        _, band, i, j = key
+        _, gram, i, j = key
         rows = sorted(rows, key=lambda r: (r[0] != i, r[1]))
         sets = [np.frombuffer(r[3], U) for r in rows]
         n_left = sum(r[0] == i for r in rows)
@@ -166,10 +207,9 @@ def _verify(work: DataFrame, threshold: float) -> DataFrame:
         if i != j:
             linked[:n_left, :n_left] = False
             linked[n_left:, n_left:] = False
-        if band > 0:  # a pair that an earlier band has counts there
-            hashes = np.array([r[4] for r in rows], np.int64)
-            for k in range(band):
-                linked &= hashes[:, k][:, None] != hashes[:, k][None, :]
+        if gram is not None:  # a pair that shares an earlier n-gram counts there
+            first = [_prefix(s, counts.value, threshold) for s in sets]
+            linked &= _common([x[: int(np.flatnonzero(x.view(np.int64) == gram)[0])] for x in first], None) == 0
         ids = np.array([r[1] for r in rows], np.int64)
         copies = np.array([r[2] for r in rows], np.int64)
         at = np.flatnonzero(linked.any(axis=1))
@@ -197,7 +237,7 @@ def _verify(work: DataFrame, threshold: float) -> DataFrame:
         if len(rows) > 1:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in settle(key, rows)], names=["row_id", "links", "root"])
 
-    return work.select("gid", "band", "i", "j", "block", "row_id", "copies", "grams", "bands").mapInArrow(run, "row_id bigint, links bigint, root bigint")
+    return work.select("gid", "gram", "i", "j", "block", "row_id", "copies", "grams").mapInArrow(run, "row_id bigint, links bigint, root bigint")
 
 
 def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 128, whole_limit: int = 1 << 17) -> DataFrame:
@@ -215,7 +255,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: floa
     buckets = entries.groupBy("band", "hash").agg(F.min("row_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     ties = scratch.keep(entries.join(buckets, ["band", "hash"]).select("row_id", "band", "hash", "least"), "ties")
     of_component = components(ties.select(F.col("row_id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "row_id")
-    members = of_component.join(reps, "row_id").select("row_id", "label", "copies", "bands", "n_grams")
+    members = of_component.join(reps, "row_id").select("row_id", "label", "copies", "n_grams")
     members = scratch.keep(members, "members")
 
     # Blocks of a group: by rows, and by n-grams so that two blocks fit a worker.
@@ -225,14 +265,6 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: floa
 
     sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total")).where("m > 1")
     sizes = scratch.keep(sizes, "group-sizes")
-    whole = blocks(sizes.where(F.col("m") <= whole_limit))
-    work = join_groups(members, whole, "label", "m").select(F.col("label").alias("gid"), F.lit(-1).alias("band"), "row_id", "copies", F.lit(None).cast("array<bigint>").alias("bands"), "nb")
-    large = sizes.where(F.col("m") > whole_limit).select("label")
-    if not large.isEmpty():
-        loose = ties.join(members.join(large, "label", "left_semi"), "row_id")
-        per_bucket = blocks(loose.groupBy("band", "hash").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total")).where("m > 1"))
-        work = work.unionByName(loose.join(per_bucket, ["band", "hash"]).select(F.col("hash").alias("gid"), "band", "row_id", "copies", "bands", "nb"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -241,11 +273,26 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: floa
 
     wanted = members.select("row_id")
     sets = keyed.select("row_id", "text").join(wanted.hint("shuffle_hash"), "row_id", "left_semi").mapInArrow(run, "row_id bigint, grams binary")
+    large, whole, by_gram, counts = sizes.where(F.col("m") > whole_limit), blocks(sizes), None, None
+    if not large.isEmpty():
+        loose = members.join(F.broadcast(large.select("label")), "label", "left_semi").select("row_id", "label", "copies", "n_grams")
+        large_sets = scratch.keep(sets.join(loose.select("row_id"), "row_id", "left_semi"), "large-sets")
+        counts = docs.sparkSession.sparkContext.broadcast(_gram_counts(large_sets))
+        prefixes = scratch.keep(_prefixes(large_sets, counts, threshold).join(loose, "row_id"), "prefixes")
+        per_gram = scratch.keep(blocks(prefixes.groupBy("label", "gram").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total")).where("m > 1")), "prefix-groups")
+        # The n-grams that tasks would read in either way; both find the same pairs.
+        work_of = F.sum(F.col("total").cast("double") * F.col("nb"))
+        cost = blocks(large).select("label", (F.col("total").cast("double") * F.col("nb")).alias("cost")).join(per_gram.groupBy("label").agg(work_of.alias("rare_cost")), "label", "left")
+        rare = scratch.keep(cost.where(F.coalesce("rare_cost", F.lit(0.0)) < F.col("cost")).select("label"), "by-prefix")
+        whole = whole.join(F.broadcast(rare), "label", "left_anti")
+        by_gram = prefixes.join(F.broadcast(rare), "label", "left_semi").join(per_gram.select("label", "gram", "nb"), ["label", "gram"]).select(F.col("label").alias("gid"), "gram", "row_id", "copies", "nb")
+    work = join_groups(members, whole, "label", "m").select(F.col("label").alias("gid"), F.lit(None).cast("bigint").alias("gram"), "row_id", "copies", "nb")
+    work = work if by_gram is None else work.unionByName(by_gram)
     own = F.pmod(F.xxhash64("row_id"), F.col("nb")).cast("int")
     dealt = work.join(sets.hint("shuffle_merge"), "row_id").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    dealt = dealt.repartition("gid", "band", "i", "j").sortWithinPartitions("gid", "band", "i", "j")
-    found = scratch.keep(_verify(dealt, threshold), "links")
+    dealt = dealt.repartition("gid", "gram", "i", "j").sortWithinPartitions("gid", "gram", "i", "j")
+    found = scratch.keep(_verify(dealt, threshold, counts), "links")
 
     links = found.groupBy("row_id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("row_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row_id")

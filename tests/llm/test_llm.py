@@ -285,3 +285,13 @@ def test_licenses_in_long_blocks():
 )
 def test_licenses_of_other_names(text, expected):
     assert [m["license"] for m in op10_licenses.scan(f"Some words before. {text}")] == expected
+
+
+def test_jaccard_of_pairs_without_a_common_band(spark):
+    """A loose chain in one component: its pairs are counted alike at every size, though some share no band."""
+    words = [f"z{k}" for k in range(430)]
+    df = spark.createDataFrame([(k, " ".join(words[k : k + 30])) for k in range(400)], "doc_id long, text string")
+    expected = {k: sum(0 <= k + d < 400 for d in (-2, -1, 1, 2)) for k in range(400)}
+    for options in ({}, {"whole_limit": 1}):
+        got = op8_jaccard_join.classes(df, recall=0.9, block=4, **options).collect()
+        assert {r.doc_id: r.n_links for r in got} == expected and {r.class_id for r in got} == {0}
