@@ -248,7 +248,7 @@ def pagerank(spark, sf_dir):
     user = F.concat(F.lit("u:"), F.col("user_id").cast("string"))
     edges = links.select(user.alias("a"), kind.alias("b"), "weight")
     nodes = edges.select(F.col("a").alias("node_id")).union(edges.select("b")).distinct()
-    return graph.pagerank(nodes, edges, iterations=10).select("node_id", F.round("centrality", 6).alias("centrality"))
+    return graph.pagerank(nodes, edges).select("node_id", F.round("centrality", 6).alias("centrality"))
 
 
 def _geography(spark, sf_dir):

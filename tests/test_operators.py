@@ -107,3 +107,21 @@ def test_usage_and_history(spark):
 def test_gates():
     assert evaluation.modality_gate(1.0, 0.7) and not evaluation.modality_gate(1.0, 0.75) and not evaluation.modality_gate(0, 0)
     assert evaluation.distill_gate(1.0, 0.96, 0.5) and not evaluation.distill_gate(1.0, 0.9, 0.5)
+
+
+def test_pagerank_query_runs_all_rounds(spark, tmp_path):
+    from collections import Counter
+
+    from quillstone.plans import catalog
+
+    seen = [(u, t) for u in range(12) for t in ("view", "click", "buy")[: 1 + u % 3] for _ in range(1 + u * len(t) % 4)]
+    spark.createDataFrame(seen, "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    links = Counter((f"u:{u}", f"t:{t}") for u, t in seen)
+    links.update({(b, a): w for (a, b), w in list(links.items())})
+    nodes = {a for a, _ in links}
+    total = {n: sum(w for (a, _), w in links.items() if a == n) for n in nodes}
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(50):
+        rank = {n: 0.15 / len(nodes) + 0.85 * sum(rank[a] * w / total[a] for (a, b), w in links.items() if b == n) for n in nodes}
+    got = {r.node_id: r.centrality for r in catalog.QUERIES["pagerank"](spark, str(tmp_path)).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n] / max(rank.values())) < 2e-6 for n in nodes)
