@@ -2,7 +2,8 @@
 
 One pattern finds candidates; each is validated in its own format: card numbers by
 their check digit, IPv4 addresses by their octets, dates by the calendar, phone
-numbers by their groups. A valid value is permuted within its format by a keyed
+numbers by their count of digits. A card's candidate is a whole run of digit groups; the cards
+in it are the stretches of whole groups that have 13 to 19 digits and a right check digit. A valid value is permuted within its format by a keyed
 Feistel network over a grid of m x n values: a pair (a, b) becomes (a + F(b)) mod m and
 (b + F(a)) mod n in turns, which is a bijection of the grid, so equal values stay equal,
 different ones stay different, and a holder of the key can go back. Card numbers get the check
@@ -24,17 +25,23 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 #: Between the groups of a phone number.
-_GAP = r"[^0-9A-Za-z\r\n]{1,6}"
+_GAP = r"(?:[^0-9A-Za-z\r\n]{1,6})?"
+#: Between digits of a phone number in any other grouping.
+_SEP = r"(?: ?\(|\)[ \-]?|[ .\-/])"
+_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9\-/])"
+#: What a number in groups doesn't run into: an address, a date, a social security number.
+_OTHER = r"(?!\d{1,3}(?:\.\d{1,3}){3}(?![0-9])|\d{3}-\d{2}-\d{4}(?![0-9\-])|" + _DATE + ")"
+_CARD = r"(?!(?:\d{4}[ \-]\d{4}[ \-]\d{4}[ \-]\d{4}|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{13,19})(?!\d|[ \-]\d{4}))"
 #: Candidates by kind, in order of precedence.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "secret": r"(?i:(?:token|secret|api[_-]?key|password)\s*[=:]\s*\"[^\"\s]{8,}\")",
     "ipv4": r"(?<![0-9.])\d{1,3}(?:\.\d{1,3}){3}(?![0-9])",
-    "phone": r"\+\d{1,3}" + _GAP + r"\d{3}" + _GAP + r"\d{3}" + _GAP + r"?\d{4}(?!\d)",
+    "phone": r"\+\d{1,3}" + _GAP + r"\d{3}" + _GAP + r"\d{3}" + _GAP + r"\d{4}(?!\d)|(?<![0-9A-Za-z])\+[1-9](?:(?:" + _SEP + _OTHER + _CARD + r")?\d){7,14}(?!\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9\-])\d{3}-\d{2}-\d{4}(?![0-9\-])",
-    "date": r"(?<![0-9\-/.])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![0-9\-/])",
-    "card": r"(?<![0-9A-Za-z])\d(?:[ \-]?\d){12,18}(?![0-9A-Za-z])",
+    "date": r"(?<![0-9\-/.])" + _DATE,
+    "card": r"(?<![0-9A-Za-z])(?=\d(?:[ \-]?\d){12})\d++(?![A-Za-z])(?:(?: " + _OTHER + r"|-)\d++(?![A-Za-z]))*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must hold to be worth the search: a digit, an at sign or a quoted assignment.
@@ -158,7 +165,7 @@ def kind_of(value: Column) -> Column:
         F.when(value.contains("@"), "email")
         .when(value.contains('"'), "secret")
         .when(value.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(octets, "ipv4"))
-        .when(value.startswith("+"), F.when(n.between(11, 13), "phone"))
+        .when(value.startswith("+"), F.when(n.between(8, 15), "phone"))
         .when(value.rlike("^[A-Z]{2}"), F.when(mod97 == 1, "iban"))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~value.rlike(r"^(000|666|9)|-00-|-0000$"), "ssn"))
         .when(value.rlike(r"^(\d{4}-\d\d-\d\d|\d\d[/.]\d\d[/.]\d{4})$"), F.when(_day(value).isNotNull(), "date"))
@@ -166,6 +173,47 @@ def kind_of(value: Column) -> Column:
     )
 
 
+#: Ways in which cards are grouped.
+_SHAPE = r"^(\d{13,19}|\d{4}([ \-]\d{4}){3}([ \-]\d{3})?|\d{4}[ \-]\d{6}[ \-]\d{4,5})$"
+
+
+def parts(value: Column) -> Column:
+    """A candidate as strings that join to it: a run of digit groups cut before and behind each card in it, others whole.
+
+    Stretches grouped as cards are come first, then the leftmost, then the longest; none overlap.
+    """
+    words = F.regexp_extract_all(value, F.lit(r"\d+[ \-]?"), F.lit(0))
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+
+        def stretch(i: Column, j: Column) -> Column:
+            text = F.regexp_replace(F.array_join(F.slice(words, i, j - i + 1), ""), r"[ \-]$", "")
+            return _bind(text, lambda t: F.struct((~t.rlike(_SHAPE)).alias("odd"), i.alias("i"), (-j).alias("last"), only_digits(t).alias("digits")))
+
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(i + 18, n)), lambda j: stretch(i, j))))
+        valid = F.filter(spans, lambda s: F.length(s["digits"]).between(13, 19) & (luhn_sum(s["digits"]) % 10 == 0))
+        none = F.array().cast("array<struct<i:int,j:int>>")
+
+        def choose(acc: Column, s: Column) -> Column:
+            return F.when(F.exists(acc, lambda c: (c["i"] <= -s["last"]) & (s["i"] <= c["j"])), acc).otherwise(
+                F.concat(acc, F.array(F.struct(s["i"].alias("i"), (-s["last"]).alias("j"))))
+            )
+
+        chosen = F.aggregate(F.array_sort(valid), none, choose)
+
+        def marked(cards: Column) -> Column:
+            word = lambda w, k: F.concat(
+                F.when(F.exists(cards, lambda c: c["i"] == k + 1), "|").otherwise(""),
+                F.when(F.exists(cards, lambda c: c["j"] == k + 1), F.concat(only_digits(w), F.lit("|"), F.regexp_replace(w, "[0-9]", ""))).otherwise(w),
+            )
+            return F.split(F.array_join(F.transform(words, word), ""), r"\|")
+
+        return _bind(chosen, marked)
+
+    return F.when(value.rlike(r"^\d[\d \-]*$") & (F.length(only_digits(value)) >= 13), _bind(words, cut)).otherwise(F.array(value))
+
+
 def pseudonym(value: Column, key: str) -> Column:
     """What stands for a candidate; itself where it doesn't validate."""
     kind = kind_of(value)
@@ -176,8 +224,10 @@ def pseudonym(value: Column, key: str) -> Column:
     digest = F.substring(F.concat(digest, F.sha2(digest, 256)), F.lit(1), F.length(inside))
     secret = F.concat(F.split_part(value, F.lit('"'), F.lit(1)), F.lit('"'), F.when(F.upper(inside) == inside, F.upper(digest)).otherwise(digest), F.lit('"'))
     digits = only_digits(value)
-    # The country code stays; ten digits are permuted.
-    phone = refill(value, F.concat(F.substring(digits, F.lit(1), F.length(digits) - 10), permute_digits(F.substring(digits, F.length(digits) - 9, F.lit(10)), key, "phone")))
+    # The country code stays; ten digits are permuted, or all but three where there are fewer or more than with a country code.
+    size = F.length(digits)
+    own = F.when(size.between(11, 13), F.lit(10)).otherwise(size - 3)
+    phone = refill(value, F.concat(F.substring(digits, F.lit(1), size - own), permute_digits(F.substring(digits, size - own + 1, own), key, "phone")))
     # Country and check digits of an account number: the check follows from the new digits.
     plain = F.regexp_replace(value, " ", "")
     body = permute_digits(F.substring(plain, F.lit(5), F.length(plain)), key, "iban")
@@ -204,12 +254,12 @@ def pseudonym(value: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its text pseudonymised, and ``pii``: kind, value and pseudonym of each finding, in order."""
-    candidates = F.when(F.col("text").rlike(_HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)))
+    candidates = F.when(F.col("text").rlike(_HINT), F.transform(F.regexp_extract_all("text", F.lit(ANY), F.lit(0)), parts))
     found = docs.withColumn("__found", candidates)
     some = F.coalesce(F.size("__found") > 0, F.lit(False))
-    turned = found.withColumn("__new", F.when(some, F.transform("__found", lambda v: pseudonym(v, key))))
-    joined = F.array_join(F.zip_with(F.split("text", ANY, -1), F.col("__new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit("")))), "")
-    kinds = F.zip_with("__found", "__new", lambda v, new: F.struct(kind_of(v).alias("kind"), v.alias("value"), new.alias("pseudonym")))
+    turned = found.withColumn("__new", F.when(some, F.transform("__found", lambda p: F.transform(p, lambda v: pseudonym(v, key)))))
+    joined = F.array_join(F.zip_with(F.split("text", ANY, -1), F.col("__new"), lambda gap, new: F.concat(gap, F.coalesce(F.array_join(new, ""), F.lit("")))), "")
+    kinds = F.zip_with(F.flatten("__found"), F.flatten("__new"), lambda v, new: F.struct(kind_of(v).alias("kind"), v.alias("value"), new.alias("pseudonym")))
     pii = F.when(some, F.filter(kinds, lambda s: s["kind"].isNotNull())).otherwise(F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>"))
     return turned.withColumn("text", F.when(some, joined).otherwise(F.col("text"))).withColumn("pii", pii).drop("__found", "__new")
 

@@ -295,3 +295,30 @@ def test_jaccard_of_pairs_without_a_common_band(spark):
     for options in ({}, {"whole_limit": 1}):
         got = op8_jaccard_join.classes(df, recall=0.9, block=4, **options).collect()
         assert {r.doc_id: r.n_links for r in got} == expected and {r.class_id for r in got} == {0}
+
+
+def test_pii_beside_other_numbers(spark):
+    card = "4111 1111 1111 1111"
+    cases = [
+        (f"{card} 12/27", ["card"], [card]),
+        ("4111111111111111 123", ["card"], ["4111111111111111"]),
+        (f"order 1234567 {card} 123 5500-0000-0000-0004", ["card", "card"], [card, "5500-0000-0000-0004"]),
+        (f"{card} 2024-02-29 {card} 10.0.30.1", ["card", "date", "card", "ipv4"], [card, "2024-02-29", card, "10.0.30.1"]),
+        (f"{card} 7a", ["card"], [card]),
+        ("4111 1111 1111 1112 99", [], []),
+        ("+12125550123", ["phone"], ["+12125550123"]),
+        ("+1 212 5550123", ["phone"], ["+1 212 5550123"]),
+        ("call +44 20 7946 0958.", ["phone"], ["+44 20 7946 0958"]),
+        (f"+33 1 23 45 67 89 {card} 123", ["phone", "card"], ["+33 1 23 45 67 89", card]),
+        ("+49 30 123456, +1234", ["phone"], ["+49 30 123456"]),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)] + [(99, "1 " * 3000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op7_pii.pseudonymise(df, "k").collect()}
+    for k, (text, kinds, values) in enumerate(cases):
+        assert ([p.kind for p in got[k].pii], [p.value for p in got[k].pii]) == (kinds, values)
+        want = text
+        for p in got[k].pii:
+            assert p.pseudonym != p.value and (p.kind == "ipv4" or re.sub(r"\d", "9", p.pseudonym) == re.sub(r"\d", "9", p.value))
+            want = want.replace(p.value, p.pseudonym)
+        assert got[k].text == want
+    assert len(got[99].text) == 6000
