@@ -8,9 +8,10 @@ most ``slack`` tokens; bins of whole pieces then carry almost no padding.
 
 Workers cut and class documents independently. The pieces are written once; a
 count per (block, class) gives every block the rank at which its pieces start in
-each class, and the rank alone decides bin and slot. Only the last, incomplete bin
-of each class is left over; these fewer than ``classes ** 2`` pieces are packed by
-first-fit decreasing in one small task, whatever the size of the corpus.
+each class, and the rank alone decides bin and slot. Classes go on to the capacity, so that
+tiny pieces fill their bins too; of 1024 only those of a whole ``capacity // length`` and their next are used.
+Only the last, incomplete bin of each class is left over; these few thousand pieces are packed
+by first-fit decreasing in one small task, whatever the size of the corpus.
 
 Defined results: a null text counts as empty; an empty text still has its
 separator id, so it is one piece of length 1; repeated rows are packed once each;
@@ -56,7 +57,7 @@ def cut(total: int, capacity: int, classes: int, slack: int) -> list[tuple[int,
     return out
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator: int = 0, classes: int = 64, slack: int = 8) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator: int = 0, classes: int = 1024, slack: int = 8) -> DataFrame:
     """Cut every document's ids, followed by ``separator``, into classed pieces."""
     tail = int(separator).to_bytes(4, "little")
     schema = pa.schema(
@@ -97,7 +98,7 @@ def _fit(rows: list[tuple[int, int]], capacity: int) -> list[tuple[int, int]]:
     return [(n, *where[n]) for _, n in rows]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator: int = 0, classes: int = 64, slack: int = 8, blocks: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator: int = 0, classes: int = 1024, slack: int = 8, blocks: int = 256) -> DataFrame:
     """Place all pieces of ``docs``; see the module's text.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, klass.
@@ -107,7 +108,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator:
     table = scratch.keep(pieces(docs, tokenizer_path, capacity, separator, classes, slack), "pieces")
     # Blocks hold a range of hashes of the piece, so no document or source makes one large.
     placed = table.withColumn("block", F.pmod(F.xxhash64("row_id", "start"), F.lit(blocks)).cast("int"))
-    counts = {(r.klass, r.block): r.n for r in placed.groupBy("klass", "block").agg(F.count("*").alias("n")).collect()}  # at most classes x blocks
+    counts = {(r.klass, r.block): r.n for r in placed.groupBy("klass", "block").agg(F.count("*").alias("n")).collect()}  # at most classes in use x blocks
     first, bins, base, starts = {}, 0, {}, []
     for k in sorted({k for k, _ in counts}):
         rank = 0
@@ -124,7 +125,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator:
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "klass", "row_id"]
     whole = ranked.where("rank < whole").select(*columns, (F.col("base") + F.expr("rank div klass")).alias("sequence_id"), F.expr("rank % klass").alias("place"))
     rest = ranked.where("rank >= whole").select(*columns)
-    left = sorted((r.row_id, r.start, r.length) for r in rest.select("row_id", "start", "length").collect())  # under classes ** 2 rows
+    left = sorted((r.row_id, r.start, r.length) for r in rest.select("row_id", "start", "length").collect())  # fewer than the sum of the classes in use
     spots = [(left[n][0], left[n][1], bins + b, p) for n, b, p in _fit([(x[2], n) for n, x in enumerate(left)], capacity)]
     spots_df = F.broadcast(spark.createDataFrame(spots, "row_id bigint, start bigint, sequence_id bigint, place bigint"))
     both = whole.unionByName(rest.join(spots_df, ["row_id", "start"]))

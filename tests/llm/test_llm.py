@@ -322,3 +322,13 @@ def test_pii_beside_other_numbers(spark):
             want = want.replace(p.value, p.pseudonym)
         assert got[k].text == want
     assert len(got[99].text) == 6000
+
+
+def test_packing_of_tiny_texts(spark):
+    tiny = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "").alias("text"))
+    got = op4_packing.pack(tiny, BPE).toPandas()
+    assert len(got) == 3000 and got.length.sum() == 4000 and got.sequence_id.nunique() == 4
+    for _, part in got.sort_values("offset").groupby("sequence_id"):
+        assert list(part.offset) == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() <= 1024
+    used = {k for n in range(1, 1025) for _, k in op4_packing.cut(n, 1024, 1024, 8)}
+    assert sum(used) < 6000  # rows left over for the one task
