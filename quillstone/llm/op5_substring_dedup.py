@@ -1,284 +1,373 @@
 """Substring deduplication by recompression.
 
-1. Rounds of naming (``recompress``) turn every text into symbols of a few words. Each
-   window of 20 words picks one symbol that lies inside it whatever surrounds the
-   window, so equal windows pick equal symbols. Workers hand on these symbols, one row
-   per symbol and block of documents with all its places in the block, so a passage
-   that a third of the documents share is a row per block, not per document.
-2. Symbols that only one text has are dropped. The others go back to their documents,
-   and windows that picked one are candidates (as are the rare windows without such
-   a symbol). In a block candidates are compared by a 128-bit digest of all their words: the
-   earliest stays and the others are marked. The earliest of the blocks meet in one shuffle on
-   their symbol, in runs, and are compared by symbol and a 64-bit digest of all words; the
-   earliest of all stays.
-3. Marks go back to their documents; words that a marked window covers are removed.
-
-Documents whose whole text has an earlier copy are settled at once: all their windows
-start earlier too. Order: smaller doc_id (nulls last), then start, then row.
+1. Texts become blocks of numbered words, written once; a document is known by its block and its place there.
+   Later copies of whole texts (by SHA-256) lose all their windows and take no further part.
+2. Rounds (``recompress``): every block plans its merges of runs and pairs of symbols. A Spark round names them: distinct keys of
+   all blocks meet in buckets, those that stand in two places get one name, the others none, and the names go
+   back to their blocks. Windows with a nameless symbol in their interior stand nowhere else and are dropped.
+3. The windows left are candidates. Equal ones have equal interiors, so they pick equal symbols. In a block they are
+   compared word by word: the earliest stays and the others are marked. The earliest of all blocks travel with their
+   words, in runs of consecutive windows, to the place of their symbol, where their words are compared again; the earliest of all stays.
+   Symbols of more than a thousandth of all runs are settled in salted parts first.
+4. Marks go back to their blocks; words that a marked window covers are removed.
+
+Hashes only bring windows together; no word is removed but for a window that was compared in full (or a copy of a whole text).
+Order: smaller doc_id (nulls last), then start, then place in the table of blocks.
 
 Defined results: null and empty texts have no words; texts of fewer words than a
 window lose none; repeated rows are one result each, and later ones lose all their
-windows; an empty table gives no rows; other columns are ignored.
+windows; a text is never cut, and a very long one is a block of its own, held by one worker in about 20 bytes a word;
+an empty table gives no rows; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
-from .recompress import anchors, hash_words, window_hashes
+from . import recompress, scratch
+from .hot import join_groups
+from .recompress import ALIVE, Merges, State, U
 
 _LAST = (1 << 63) - 1
-_Q1, _Q2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
-#: Bytes of text parsed at once, and bytes whose candidates are compared at once.
-PARSE_BYTES, BLOCK_BYTES = 1 << 20, 12 << 20
-
-
-def _parts(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of ``texts`` of about ``limit`` bytes."""
-    first, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size > limit:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts of equal keys in that order); the order within a group is that of the rows."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for k in keys:
-        s = k[order]
-        new[1:] |= s[1:] != s[:-1]
-    return order, np.flatnonzero(new)
-
-
-def _symbols(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
-    """name, copy (of the text's digest), again (two texts or twice in one), places: the rows and ordinals in the block."""
-    place = pa.struct([("row_id", pa.int64()), ("ordinal", pa.int32())])
-
-    def emit(names, rows, ordinals, digests) -> pa.RecordBatch:
-        name, row, ordinal, digest = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, rows, ordinals, digests))
-        order, head = _groups(name, digest, row)
-        name, row, ordinal, digest = name[order], row[order], ordinal[order], digest[order]
-        new = np.ones(len(name), bool)
-        new[1:] = name[1:] != name[:-1]
-        start = np.flatnonzero(new)
-        # Twice in one row, or two digests: neighbours in this order show both.
-        differs = np.zeros(len(name), bool)
-        differs[1:] = ~new[1:] & ((digest[1:] != digest[:-1]) | (row[1:] == row[:-1]))
-        again = np.maximum.reduceat(differs, start) if len(start) else differs
-        values = pa.StructArray.from_arrays([pa.array(row), pa.array(ordinal.astype(np.int32))], fields=list(place))
-        places = pa.ListArray.from_arrays(pa.array(np.append(start, len(name)).astype(np.int32)), values)
-        arrays = [pa.array(name[start].view(np.int64)), pa.array(digest[start]), pa.array(again), places]
-        return pa.RecordBatch.from_arrays(arrays, names=["name", "copy", "again", "places"])
+#: Bytes of text in a block, bytes of runs compared at once, and keys named at once.
+BLOCK_BYTES, SETTLE_BYTES, BUCKET_KEYS = 4 << 20, 4 << 20, 500_000
+BLOCK = "doc_ids array<bigint>, digests array<binary>, docs binary, nulls binary, bounds binary, words binary, ids binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
-            row_ids, copies = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            for low, high in _parts(texts, BLOCK_BYTES):
-                names, rows, ordinals, digests = [], [], [], []
-                for a, b in _parts(texts[low:high], PARSE_BYTES):
-                    words = hash_words(texts[low + a : low + b])
-                    found = anchors(words, window, rounds, cap)
-                    used, owner = _used(found, words)
-                    names.append(found.name[used])
-                    rows.append(row_ids[low + a : low + b][owner])
-                    digests.append(copies[low + a : low + b][owner])
-                    ordinals.append(_ordinal(owner))
-                yield emit(names, rows, ordinals, digests)
-
-    return docs.select("row_id", F.xxhash64("text").alias("copy"), "text").mapInArrow(
-        run, "name bigint, copy bigint, again boolean, places array<struct<row_id:bigint,ordinal:int>>"
-    )
-
-
-def _used(found, words) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks that windows picked, ascending, and the text of each."""
-    at = np.flatnonzero(found.alive)
-    used, first = np.unique(found.block[at], return_index=True)
-    return used, np.searchsorted(words.bounds, at[first], "right") - 1
-
-
-def _ordinal(owner: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each run of equal owners."""
-    if not len(owner):
-        return owner
-    new = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    return np.arange(len(owner)) - np.repeat(new, np.diff(np.append(new, len(owner))))
-
-
-FOUND = "kind int, row_id bigint, doc_id bigint, n_words bigint, kept_sha256 string, text string, marked array<int>, name bigint, digests array<bigint>, start int"
-_FOUND = pa.schema(
-    [("kind", pa.int32()), ("row_id", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("marked", pa.list_(pa.int32())), ("name", pa.int64()), ("digests", pa.list_(pa.int64())), ("start", pa.int32())]
-)
 
+def _blocks(docs: DataFrame) -> DataFrame:
+    """block, and of its documents: ids, digests of their texts (null: no text), where their words begin, the words."""
 
-def _candidates(docs: DataFrame, window: int, rounds: int, cap: int) -> DataFrame:
-    """kind 0: a document, settled (kept_sha256) or with its text; kind 1: a run of
-    consecutive windows that picked one symbol, each the earliest of its equals in the block."""
-
-    def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        texts = [r[2] for r in rows]
-        n_words = np.zeros(len(rows), np.int64)
-        h1, h2, doc, start, name = [], [], [], [], []
-        for a, b in _parts(texts, PARSE_BYTES):
-            words = hash_words(texts[a:b])
-            n_words[a:b] = np.diff(words.bounds)
-            found = anchors(words, window, rounds, cap)
-            used, owner = _used(found, words)
-            base = np.searchsorted(owner, np.arange(b - a))
-            shared = np.zeros(len(used) + 1, bool)
-            for k in range(a, b):
-                if rows[k][3] is not None:
-                    shared[base[k - a] + np.asarray(rows[k][3], np.int64)] = True
-            pick = found.valid & ~found.alive
-            live = np.flatnonzero(found.alive)
-            pick[live] = shared[np.searchsorted(used, found.block[live])]
-            text = np.searchsorted(words.bounds, np.arange(len(pick)), "right") - 1
-            settled = np.array([rows[k][4] for k in range(a, b)], bool)
-            at = np.flatnonzero(pick & ~settled[text] if len(pick) else pick)
-            h1.append(window_hashes(words.first, window, _Q1)[at])
-            h2.append(window_hashes(words.second, window, _Q2)[at])
-            # Equal windows pick equal symbols; one that has none stands for itself.
-            own = found.name[found.block[at]] if len(found.name) else h2[-1]
-            name.append(np.where(found.alive[at], own, h2[-1]))
-            doc.append(text[at] + a)
-            start.append(at - words.bounds[text[at]])
-        h1, h2, doc, start, name = (np.concatenate(x) for x in (h1, h2, doc, start, name))
-        ids = np.array([_LAST if r[1] is None else r[1] for r in rows], np.int64)
-        row_ids = np.array([r[0] for r in rows], np.int64)
-        order, head = _groups(h1, h2, ids[doc], start, row_ids[doc])
-        new = np.zeros(len(order), bool)
-        new[:1] = True
-        new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        first, later = order[new], order[~new]
-        marked: dict[int, list[int]] = {}
-        for d, s in zip(doc[later].tolist(), start[later].tolist(), strict=True):
-            marked.setdefault(d, []).append(s)
-        open_ = set(np.unique(doc).tolist())
-        sha = []
-        for k, r in enumerate(rows):
-            if k in open_:
-                sha.append(None)
-            elif r[4] and n_words[k] >= window:
-                sha.append(hashlib.sha256(b"").hexdigest())
-            else:
-                sha.append(hashlib.sha256(b" ".join(r[2].split())).hexdigest())
-        n = len(rows)
-        values = {
-            "kind": np.zeros(n, np.int32),
-            "row_id": row_ids,
-            "doc_id": [r[1] for r in rows],
-            "n_words": n_words,
-            "kept_sha256": sha,
-            "text": [r[2].decode() if k in open_ else None for k, r in enumerate(rows)],
-            "marked": [marked.get(k) for k in range(n)],
-        }
-        yield pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
-        first = first[np.lexsort((start[first], doc[first]))]
-        d, at, picked = doc[first], start[first], name[first]
-        cut = np.ones(len(first), bool)
-        cut[1:] = (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1) | (picked[1:] != picked[:-1])
-        head = np.flatnonzero(cut)
-        m = len(head)
-        digests = pa.ListArray.from_arrays(pa.array(np.append(head, len(first)).astype(np.int32)), pa.array(h1[first].view(np.int64)))
-        values = {"kind": np.ones(m, np.int32), "row_id": row_ids[d[head]], "doc_id": ids[d[head]], "name": picked[head].view(np.int64), "start": at[head].astype(np.int32)}
-        yield pa.RecordBatch.from_arrays(
-            [digests if f.name == "digests" else pa.array(values[f.name], f.type) if f.name in values else pa.nulls(m, f.type) for f in _FOUND], schema=_FOUND
-        )
+    def emit(doc_ids: list, texts: list) -> pa.RecordBatch:
+        words, ids, bounds = recompress.numbered([(t or b"").split() for t in texts])
+        digests = [None if t is None else hashlib.sha256(t).digest() for t in texts]
+        arrays = [pa.array([doc_ids], pa.list_(pa.int64())), pa.array([digests], pa.list_(pa.binary()))]
+        docs, nulls = np.array([_LAST if d is None else d for d in doc_ids], np.int64), np.array([d is None for d in doc_ids])
+        arrays += [pa.array([x], pa.binary()) for x in (docs.tobytes(), nulls.tobytes(), bounds.tobytes(), b" ".join(words), ids.tobytes())]
+        return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in BLOCK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        doc_ids, texts, size = [], [], 0
         for batch in batches:
-            for row_id, doc_id, text, ordinals, copy in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                rows.append((row_id, doc_id, (text or "").encode(), ordinals, bool(copy)))
-                size += len(rows[-1][2])
-                if size > BLOCK_BYTES:
-                    yield from block(rows)
-                    rows, size = [], 0
-        if rows:
-            yield from block(rows)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if texts and size + len(text or b"") > BLOCK_BYTES:
+                    yield emit(doc_ids, texts)
+                    doc_ids, texts, size = [], [], 0
+                doc_ids.append(doc_id)
+                texts.append(text)
+                size += len(text or b"")
+        if texts:
+            yield emit(doc_ids, texts)
+
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, BLOCK)
+    return scratch.keep(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def _copies(blocks: DataFrame) -> DataFrame:
+    """block, part: places of the documents whose whole text stands earlier."""
+    each = blocks.select("block", F.posexplode(F.arrays_zip("digests", "doc_ids")).alias("part", "d")).where("d.digests is not null")
+    order = F.struct(F.coalesce("d.doc_ids", F.lit(_LAST)).alias("doc_id"), "block", "part")
+    placed = each.select(F.col("d.digests").alias("digest"), order.alias("order"))
+    groups = scratch.keep(placed.groupBy("digest").agg(F.min("order").alias("earliest"), F.count("*").alias("n")).where("n > 1"), "copies")
+    return join_groups(placed, groups, "digest", "n").where("order <> earliest").select("order.block", "order.part")
+
+
+def _rows(frame: DataFrame, kind: int, *data: str) -> DataFrame:
+    """block, kind, part, data: a part of what a block needs."""
+    values = F.array(*[F.col(c) for c in data]) if data else F.lit(None)
+    part = F.col("part") if "part" in frame.columns else F.lit(0)
+    return frame.select("block", F.lit(kind).alias("kind"), part.cast("int").alias("part"), values.cast("array<binary>").alias("data"))
+
+
+def _by_block(parts: list[DataFrame], step: Callable[[int, dict], list[list]], schema: str) -> DataFrame:
+    """``step`` of each block, given its rows by kind in order of part, as (part, data)."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    fields = [types[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(block: int, found: dict) -> Iterator[pa.RecordBatch]:
+            columns = step(block, found)
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields, strict=True)], names=names)
+
+        block, found = None, {}
+        for batch in batches:
+            for at, kind, part, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if at != block and block is not None:
+                    yield from done(block, found)
+                    found = {}
+                block = at
+                found.setdefault(kind, []).append((part, data))
+        if block is not None:
+            yield from done(block, found)
+
+    return rows.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(run, schema)
+
+
+def _start(data: list[bytes], skip: np.ndarray, window: int) -> State:
+    ids, words, bounds = np.frombuffer(data[0], np.int32), data[1].split(), np.frombuffer(data[2], np.int64)
+    return recompress.begin(recompress.word_hashes(words)[ids] if len(ids) else np.zeros(0, U), bounds, window, skip)
+
+
+def _packed(state: State) -> list[bytes]:
+    return [state.sym.tobytes(), state.pos.astype(np.int32).tobytes(), state.flag.tobytes(), state.low.tobytes(), state.high.tobytes(), state.bounds.tobytes()]
 
-    return docs.select("row_id", "doc_id", "text", "ordinals", "copy").mapInArrow(run, FOUND)
 
+def _unpacked(data: list[bytes]) -> State:
+    sym, pos, flag, low, high, bounds = (np.frombuffer(d, t) for d, t in zip(data, (U, np.int32, np.int8, np.int8, np.int8, np.int64), strict=True))
+    return State(bounds, sym, pos.astype(np.int64), flag, low, high)
 
-def _remove(docs: DataFrame, window: int) -> DataFrame:
-    """Of row_id, doc_id, text, marked, later (window starts to remove): the words that stay."""
+
+def _distinct(merges: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the key, a, b, whether it stands twice, number of the key of each merge); keys in order of place."""
+    place = recompress.mix(recompress.mix(merges.a) * U(0x9E3779B97F4A7C15) + merges.b)
+    by = np.argsort(place, kind="stable")
+    p, a, b = place[by], merges.a[by], merges.b[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (p[1:] != p[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    head = np.flatnonzero(new)
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return p[head], a[head], b[head], np.diff(np.append(head, len(by))) > 1, number
+
+
+KEYS = "block bigint, state0 binary, state1 binary, state2 binary, state3 binary, state4 binary, state5 binary, n_keys bigint, a binary, b binary, again binary"
+
+
+def _keys(block: int, state: list[bytes | None], merges: Merges) -> list[list]:
+    _, a, b, again, _ = _distinct(merges)
+    return [[x] for x in (block, *state, len(a), a.tobytes(), b.tobytes(), again.tobytes())]
+
+
+def _names(keys: DataFrame, level: int) -> DataFrame:
+    """block, part, names: a Spark round. Distinct keys of all blocks meet in buckets; those that stand twice or more
+    are numbered there, and each block gets the numbers of its keys, bucket by bucket (0: stands once)."""
+    spark = keys.sparkSession
+    total = keys.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_KEYS + 1)
+    names = ["part", "block", "a", "b", "again"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                a, b, again = (np.frombuffer(d, t) for d, t in zip(data, (U, U, bool), strict=True))
+                place = recompress.mix(recompress.mix(a) * U(0x9E3779B97F4A7C15) + b) >> U(32)
+                part = (place * U(buckets) >> U(32)).astype(np.int64)
+                ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part)) if len(part) else np.zeros(0, int)
+                begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+                cut = lambda x: [x[i:j].tobytes() for i, j in zip(begins, ends, strict=True)]  # noqa: B023, E731
+                arrays = [pa.array(part[begins], pa.int32()), pa.array([block] * len(ends), pa.int64()), *(pa.array(cut(x), pa.binary()) for x in (a, b, again))]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    def number(part: int, rows: list[tuple]) -> pa.RecordBatch:
+        a, b, again = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((1, U), (2, U), (3, bool)))
+        by = np.lexsort((b, a))
+        new = np.ones(len(by), bool)
+        new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(by)))
+        shared = (size > 1) | np.logical_or.reduceat(again[by], head)
+        rank = np.cumsum(shared) * buckets + part
+        name = np.zeros(len(by), np.int64)
+        name[by] = np.repeat(np.where(shared, rank * 4 + level, 0), size)
+        ends = np.cumsum([len(r[1]) // 8 for r in rows])
+        found = [x.tobytes() for x in np.split(name, ends[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(found, pa.binary())], names=["block", "part", "names"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
+        for batch in batches:
+            for at, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if at != part and rows:
+                    yield number(part, rows)
+                    rows = []
+                part = at
+                rows.append(tuple(row))
+        if rows:
+            yield number(part, rows)
+
+    dealt = keys.where("n_keys > 0").select("block", "a", "b", "again").mapInArrow(deal, "part int, block bigint, a binary, b binary, again binary")
+    return dealt.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, "block bigint, part int, names binary")
+
+
+def _named(state: State, found: list[tuple], level: int, window: int, cap: int) -> State:
+    """The state after a round whose names came in parts."""
+    merges = recompress.plan(state, level, window, cap)
+    names = np.concatenate([np.frombuffer(data[0], U) for _, data in found]) if found else np.zeros(0, U)
+    return recompress.apply(state, merges, names[_distinct(merges)[-1]], level, window, cap)
+
+
+RUNS = "block bigint, at int, start int, doc_id bigint, key bigint, words binary"
+
+
+def _runs(at: np.ndarray, text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) places of runs of consecutive windows of one text and key, ``at`` ascending."""
+    cut = np.ones(len(at), bool)
+    cut[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+    first = np.flatnonzero(cut)
+    return first, np.append(first[1:], len(at)) if len(at) else first
+
+
+def _settle(rows: DataFrame, window: int) -> DataFrame:
+    """Of runs sorted by key: the later of equal windows (key null, ``words`` holding their places), and the runs of the earliest."""
+    names = [c.split()[0] for c in RUNS.split(", ")]
+
+    def settle(runs: list[tuple]) -> pa.RecordBatch:
+        words, ids, bounds = recompress.numbered([r[5].split() for r in runs])
+        sizes = np.diff(bounds) - window + 1
+        run = np.repeat(np.arange(len(runs)), sizes)
+        inside = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        column = lambda k: np.array([r[k] for r in runs], np.int64)
+        block, at, start, doc, key = (column(k)[run] for k in range(5))
+        at, start, place = at + inside, start + inside, bounds[run] + inside
+        digest = recompress.mix(recompress.chained(recompress.mix(ids.astype(U) + U(1)), window, place) + key.astype(np.int64).view(U))
+        by, head = recompress.equal_windows(ids, place, digest, window, doc, start, block, at)
+        later = by[~head]
+        later = later[np.lexsort((at[later], block[later]))]
+        ends = np.flatnonzero(np.append(np.diff(block[later]) != 0, True)) + 1 if len(later) else np.zeros(0, int)
+        begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        out = [[int(block[later[i]]), None, None, None, None, at[later[i:j]].astype(np.int32).tobytes()] for i, j in zip(begins, ends, strict=True)]
+        first = np.sort(by[head])
+        for i, j in zip(*_runs(place[first], run[first], key[first]), strict=True):
+            w = first[i]
+            out.append([int(block[w]), int(at[w]), int(start[w]), int(doc[w]), int(key[w]), b" ".join([words[k] for k in ids[place[w] : place[first[j - 1]] + window]])])
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, runs, size = None, [], 0
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for row_id, doc_id, text, marked, later in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                words = text.encode().split()
-                steps = np.zeros(len(words) + 1, np.int64)
-                at = np.array((marked or []) + (later or []), np.int64)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + window, -1)
-                stays = np.cumsum(steps)[:-1] == 0
-                kept = b" ".join([words[k] for k in np.flatnonzero(stays)])
-                for column, value in zip(out, (row_id, doc_id, len(words), int((~stays).sum()), kept.decode()), strict=True):
-                    column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row_id", "doc_id", "n_words", "n_removed", "kept"])
-
-    return docs.select("row_id", "doc_id", "text", "marked", "later").mapInArrow(run, "row_id bigint, doc_id bigint, n_words bigint, n_removed bigint, kept string")
-
-
-def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 4, cap: int = 8) -> DataFrame:
-    """Per row of ``docs``: row_id, doc_id, n_words, n_removed, kept_sha256.
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r[4] != key and size > SETTLE_BYTES:
+                    yield settle(runs)
+                    runs, size = [], 0
+                key = r[4]
+                runs.append(r)
+                size += len(r[5])
+        if runs:
+            yield settle(runs)
+
+    return rows.select(names).mapInArrow(run, RUNS)
+
+
+def _marks(runs: DataFrame, window: int) -> DataFrame:
+    """block, marks: windows that a run of another block, or an earlier part of the same, holds earlier."""
+    share = 1000
+    counts = scratch.keep(runs.groupBy("key").agg(F.count("*").alias("n")), "symbols")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") > max(total // share, 1)).select("key", F.ceil(F.col("n") * share / max(total, 1)).cast("int").alias("salts"))  # fewer than ``share``
+    cold, found = runs.join(F.broadcast(hot), "key", "left_anti"), []
+    dealt = runs.join(F.broadcast(hot), "key").withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")))
+    parts = scratch.keep(_settle(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt"), window), "hot-runs")
+    found.append(parts.where("key is null"))
+    rest = cold.unionByName(parts.where("key is not null")) if not parts.isEmpty() else runs
+    found.append(_settle(rest.repartition("key").sortWithinPartitions("key"), window).where("key is null"))
+    return found[0].unionByName(found[1]).select("block", F.col("words").alias("marks"))
+
+
+CANDIDATES = RUNS + ", marks binary"
+
+
+def _candidates(block: int, data: list[bytes], state: State, window: int) -> list[list]:
+    """Runs of the windows that may stand elsewhere, the earliest of equals in the block, and the places of the others."""
+    ids, words, bounds = np.frombuffer(data[0], np.int32), data[1].split(), np.frombuffer(data[2], np.int64)
+    doc_ids = np.frombuffer(data[3], np.int64)
+    at, pick = recompress.picks(state, window)
+    text = np.searchsorted(bounds, at, "right") - 1
+    digest = recompress.chained(recompress.word_hashes(words)[ids], window, at) if len(at) else np.zeros(0, U)
+    key = np.where(state.flag[at] == ALIVE, pick, digest).view(np.int64)
+    by, head = recompress.equal_windows(ids, at, digest, window, doc_ids[text], at - bounds[text], at)
+    first, later = np.sort(by[head]), np.sort(at[by[~head]])
+    out = []
+    for i, j in zip(*_runs(at[first], text[first], key[first]), strict=True):
+        w = first[i]
+        stretch = b" ".join([words[k] for k in ids[at[w] : at[first[j - 1]] + window]])
+        out.append((block, int(at[w]), int(at[w] - bounds[text[w]]), int(doc_ids[text[w]]), int(key[w]), stretch, None))
+    if len(later):
+        out.append((block, None, None, None, None, None, later.astype(np.int32).tobytes()))
+    return [[r[k] for r in out] for k in range(7)]
+
+
+RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept binary"
+
+
+def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 3, cap: int = 8) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_removed, kept (the words that stay, joined by one space, UTF-8).
 
     ``rounds`` and ``cap`` (below half the window) set how long the shared symbols get; any
     values give the same result.
     """
-    if not 2 * cap < window:
-        raise ValueError("cap must be below half the window")
-    docs = scratch.pinned(docs)
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # Copies of whole texts: all rows but the earliest of each.
-    order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("row_id"))
-    digests = keyed.where("text is not null").select("row_id", F.unhex(F.sha2("text", 256)).alias("digest"), order.alias("order"))
-    earliest = digests.groupBy("digest").agg(F.min("order").alias("earliest"), F.count("*").alias("n")).where("n > 1")
-    copies = digests.join(earliest, "digest").where("order <> earliest").select("row_id")
-
-    by_name = Window.partitionBy("name")
-    symbols = _symbols(keyed, window, rounds, cap).select(
-        F.explode("places").alias("place"), (F.max("again").over(by_name) | (F.min("copy").over(by_name) != F.max("copy").over(by_name))).alias("shared")
-    )
-    shared = symbols.where("shared").groupBy(F.col("place.row_id").alias("row_id")).agg(F.collect_list("place.ordinal").alias("ordinals"))  # at most a document's own symbols
-    marks = scratch.keep(shared.withColumn("copy", F.lit(False)).unionByName(copies.select("row_id", F.lit(None).cast("array<int>").alias("ordinals"), F.lit(True).alias("copy"))), "symbols")
-    per_row = marks.groupBy("row_id").agg(F.first("ordinals", ignorenulls=True).alias("ordinals"), F.max("copy").alias("copy"))
-    found = scratch.keep(_candidates(keyed.join(per_row.hint("shuffle_hash"), "row_id", "left"), window, rounds, cap), "candidates")
-
-    # Runs meet on their symbol; each window in them is told apart by its digest.
-    runs = found.where("kind = 1").select("name", "doc_id", "row_id", "start", "digests").repartition("name")
-    each = runs.select("name", "doc_id", "row_id", F.posexplode("digests").alias("at", "digest"), "start").select("name", "digest", "doc_id", (F.col("start") + F.col("at")).alias("start"), "row_id")
-    rank = F.row_number().over(Window.partitionBy("name", "digest").orderBy("doc_id", "start", "row_id"))
-    later = each.withColumn("rank", rank).where("rank > 1").select("row_id", "start")
-    per_doc = later.groupBy("row_id").agg(F.collect_list("start").alias("later"))  # at most a document's own windows
-    open_ = found.where("kind = 0 and kept_sha256 is null")
-    cut = _remove(open_.join(per_doc, "row_id", "left"), window).select("row_id", "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-    nothing = F.sha2(F.lit("").cast("binary"), 256)
-    settled = found.where("kind = 0 and kept_sha256 is not null").select(
-        "row_id", "doc_id", "n_words", F.when((F.col("kept_sha256") == nothing), F.col("n_words")).otherwise(0).alias("n_removed"), "kept_sha256"
-    )
-    return cut.unionByName(settled)
+    if not 2 * cap < window or rounds < 1:
+        raise ValueError("cap must be below half the window, and there is at least one round")
+    blocks = _blocks(docs)
+    copies = scratch.keep(_copies(blocks), "later-copies")
+    words = _rows(blocks, 0, "ids", "words", "bounds", "docs", "nulls")
+
+    def first(block: int, found: dict) -> list[list]:
+        data = found[0][0][1]
+        skip = np.zeros(len(data[4]), bool)
+        skip[[part for part, _ in found.get(1, [])]] = True
+        return _keys(block, [skip.tobytes(), *[None] * 5], recompress.plan(_start(data, skip, window), 1, window, cap))
+
+    def before(found: dict, level: int) -> State:
+        """The state that the round's names are for."""
+        kept = found[1][0][1]
+        return _unpacked(kept) if level > 1 else _start(found[0][0][1], np.frombuffer(kept[0], bool), window)
+
+    def step_to(level: int) -> Callable[[int, dict], list[list]]:
+        def step(block: int, found: dict) -> list[list]:
+            state = _named(before(found, level), found.get(2, []), level, window, cap)
+            return _keys(block, _packed(state), recompress.plan(state, level + 1, window, cap))
+
+        return step
+
+    def last(block: int, found: dict) -> list[list]:
+        return _candidates(block, found[0][0][1], _named(before(found, rounds), found.get(2, []), rounds, window, cap), window)
+
+    keys = scratch.keep(_by_block([words, _rows(copies, 1)], first, KEYS), "keys")
+    for level in range(1, rounds + 1):
+        kept = _rows(keys, 1, *[f"state{k}" for k in range(6 if level > 1 else 1)])
+        parts = [kept, _rows(_names(keys, level), 2, "names")]
+        if level in (1, rounds):
+            parts.append(words)
+        was = keys
+        keys = scratch.keep(_by_block(parts, last, CANDIDATES) if level == rounds else _by_block(parts, step_to(level), KEYS), "candidates" if level == rounds else "keys")
+        scratch.drop(was)
+    marks = scratch.keep(_marks(keys.where("marks is null").select([c.split()[0] for c in RUNS.split(", ")]), window).unionByName(keys.where("marks is not null").select("block", "marks")), "marks")
+    scratch.drop(keys)
+
+    def remove(block: int, found: dict) -> list[list]:
+        ids, bounds = np.frombuffer(found[0][0][1][0], np.int32), np.frombuffer(found[0][0][1][2], np.int64)
+        words, docs, nulls = found[0][0][1][1].split(), np.frombuffer(found[0][0][1][3], np.int64), np.frombuffer(found[0][0][1][4], bool)
+        steps = np.zeros(len(ids) + 1, np.int64)
+        for _, (at,) in found.get(1, []):
+            np.add.at(steps, np.frombuffer(at, np.int32), 1)
+            np.add.at(steps, np.frombuffer(at, np.int32) + window, -1)
+        for part, _ in found.get(2, []):
+            if bounds[part + 1] - bounds[part] >= window:
+                steps[bounds[part]] += 1
+                steps[bounds[part + 1]] -= 1
+        stays = np.cumsum(steps)[:-1] == 0
+        kept = [b" ".join([words[k] for k in ids[a:b][stays[a:b]]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        left = np.concatenate([[0], np.cumsum(stays)])[bounds]
+        n = np.diff(bounds)
+        return [[None if x else d for d, x in zip(docs.tolist(), nulls, strict=True)], n, n - np.diff(left), kept]
+
+    return _by_block([words, _rows(marks, 1, "marks"), _rows(copies, 2)], remove, RESULT).withColumn("kept", F.col("kept").cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op5_substring_dedup``: windows of 20 words over all documents."""
-    return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("row_id")
+    done = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = r"""

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 #: A write's own shuffle files go as soon as it ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -48,7 +50,22 @@ def keep(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _path_of[kept] = path
+    return kept
+
+
+def drop(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` returned; frames that read them must be done with."""
+    for df in kept:
+        path = _path_of.pop(df)
+        _delete(df.sparkSession, path)
+        _written.remove(path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mark() -> int:
@@ -58,10 +75,8 @@ def mark() -> int:
 
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables written after ``since``; frames that read them must be done with."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def token() -> str:
