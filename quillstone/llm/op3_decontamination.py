@@ -3,8 +3,9 @@
 The index is cut by document: a segment holds the postings of a block of documents
 of bounded size, term by term, as ascending word positions; documents are one
 position apart, so no phrase runs from one into the next. Segments are rows of a
-stored table. Test items go to the workers in blocks of bounded bytes. In each
-segment a phrase takes the positions of its rarest term, shifted by the term's
+stored table. Test items go to the workers in blocks of bounded bytes. Each phrase is filed under its
+rarest term, by the counts of the whole index; a segment looks up which of its own terms have phrases, and touches
+only these. Such a phrase takes the positions of its rarest term in the segment, shifted by the term's
 place in the phrase, and intersects them with the shifted lists of its other terms,
 rarest first; a phrase with a term that the segment lacks ends at once. Proximity
 asks for all terms within a number of words instead.
@@ -12,8 +13,8 @@ asks for all terms within a number of words instead.
 Words: A-Z are lower-cased, then runs of digits, a-z and all characters from U+0080 on.
 
 Defined results: null and empty texts have no words and are never contaminated;
-items without words match nothing; equal item ids count once; repeated rows are
-one result each; an empty table gives no rows; other columns are ignored.
+items without words match nothing; equal item ids count once, and a null id never; repeated rows are
+one result each; a document is never cut, a very long one is a segment of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,17 +38,19 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-SEGMENTS = "row_ids binary, doc_ids binary, starts binary, counts binary, terms binary, lengths binary, postings binary"
+SEGMENTS = "files binary, file_of binary, row_ids binary, doc_ids binary, starts binary, counts binary, terms binary, lengths binary, postings binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """One row per segment. starts, counts: first position and words of each document;
+    """One row per segment. files, file_of, row_ids: where each document's row is (``scratch.located``); starts, counts: first position and words of each document;
     postings: for each term, in the order of ``terms``, the differences of its positions."""
 
     def segment(rows: list[tuple]) -> pa.RecordBatch:
         number: dict[bytes, int] = {}
         ids, counts = [], []
-        for _, _, ws in rows:
+        files: dict[str, int] = {}
+        file_of = [files.setdefault(r[3], len(files)) for r in rows]
+        for _, _, ws, _ in rows:
             ids += [number.setdefault(w, len(number)) for w in ws]
             counts.append(len(ws))
         counts_ = np.array(counts, "<i8")
@@ -61,6 +64,8 @@ def build_index(docs: DataFrame) -> DataFrame:
         first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype("i8") if len(number) else np.zeros(0, "i8")
         delta[first] = sorted_position[first]
         values = [
+            "\n".join(files).encode(),
+            np.array(file_of, "<i4").tobytes(),
             np.array([r[0] for r in rows], "<i8").tobytes(),
             np.array([_NO_ID if r[1] is None else r[1] for r in rows], "<i8").tobytes(),
             starts.tobytes(),
@@ -75,17 +80,17 @@ def build_index(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for row, doc, text, file in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 ws = words(text)
                 if rows and size + len(ws) > SEGMENT_WORDS:
                     yield segment(rows)
                     rows, size = [], 0
-                rows.append((row, doc, ws))
+                rows.append((row, doc, ws, file))
                 size += len(ws)
         if rows:
             yield segment(rows)
 
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = scratch.located(docs).select("__row", F.col("doc_id").cast("long").alias("doc_id"), "text", "__file")
     return keyed.mapInArrow(run, SEGMENTS)
 
 
@@ -93,6 +98,8 @@ class Segment:
     """Posting lists of one stored segment, of the wanted terms only."""
 
     def __init__(self, row: dict, wanted: set[bytes]):
+        files, file_of = row["files"].decode().split("\n"), np.frombuffer(row["file_of"], "<i4")
+        self.files = [files[k] for k in file_of]
         self.row_ids, self.doc_ids, self.starts, self.counts = (np.frombuffer(row[k], "<i8") for k in ("row_ids", "doc_ids", "starts", "counts"))
         lengths = np.frombuffer(row["lengths"], "<i4").astype("i8")
         ends = np.cumsum(lengths)
@@ -134,7 +141,7 @@ class Segment:
         return np.array(out, "i8").reshape(-1, 2)
 
 
-RESULT = "row_id bigint, doc_id bigint, n_words bigint, spans array<struct<first:bigint,n:bigint>>, items array<string>"
+RESULT = "__file string, __row bigint, doc_id bigint, n_words bigint, spans array<struct<first:bigint,n:bigint>>, items array<string>"
 
 
 def windows_of(text: str | None, size: int) -> set[tuple[bytes, ...]]:
@@ -157,8 +164,47 @@ def _blocks(items: DataFrame, limit: int) -> Iterator[list[tuple]]:
     yield block
 
 
+#: What the tasks of a worker have made of the last block of items.
+_filed: dict[str, tuple] = {}
+
+
+def _file(token: str, block: list[tuple], counts: dict[bytes, int], window: int, within: int | None) -> tuple[set, dict]:
+    """(terms of all phrases, phrases with their items by rarest term) of a block of items."""
+    if token not in _filed:
+        phrases: dict[tuple, set] = {}
+        for item, text in block:
+            for w in [tuple(sorted(set(words(text))))] if within else windows_of(text, window):
+                phrases.setdefault(w, set()).add(item)
+        phrases.pop((), None)
+        by_rarest: dict[bytes, list] = {}
+        for w, ids in phrases.items():
+            if all(t in counts for t in w):
+                by_rarest.setdefault(min(w, key=lambda t: (counts[t], t)), []).append((w, ids))
+        _filed.clear()
+        _filed[token] = ({t for w in phrases for t in w}, by_rarest)
+    return _filed[token]
+
+
+def _counts(index: DataFrame, terms: set[bytes]) -> dict[bytes, int]:
+    """How often each of ``terms``, a bounded set, stands in the whole index."""
+    sent = index.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, int] = {}
+        for batch in batches:
+            for listed, lengths in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for t, n in zip(listed.split(b" "), np.frombuffer(lengths, "<i4").tolist(), strict=False):
+                    if t in sent.value:
+                        found[t] = found.get(t, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+
+    rows = index.select("terms", "lengths").mapInArrow(run, "term binary, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    sent.destroy()
+    return {bytes(r.term): r.n for r in rows}
+
+
 def search(index: DataFrame, items: DataFrame, window: int = 10, within: int | None = None, block_bytes: int = 8 << 20) -> DataFrame:
-    """Per document: row_id, doc_id, n_words, spans of hit words (from 0, merged) and items found.
+    """Per document: __file, __row (its place), doc_id, n_words, spans of hit words (from 0, merged) and items found.
 
     Phrases of ``window`` words of each item; with ``within``, all distinct words of an
     item within so many words. Items are taken in blocks, each of which passes over the
@@ -168,24 +214,17 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, within: int | N
     names = [c.split()[0] for c in SEGMENTS.split(", ")]
 
     def pass_over(block: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+        token = scratch.token()
+        sent = spark.sparkContext.broadcast((block, _counts(index, {t for _, text in block for t in words(text)})))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_window: dict[tuple, set] = {}
-            for item, text in sent.value:
-                if within:
-                    by_window.setdefault(tuple(sorted(set(words(text)))), set()).add(item)
-                else:
-                    for w in windows_of(text, window):
-                        by_window.setdefault(w, set()).add(item)
-            by_window.pop((), None)
-            wanted = {t for w in by_window for t in w}
+            wanted, by_rarest = _file(token, *sent.value, window, within)
             for batch in batches:
                 for row in batch.select(names).to_pylist():
                     seg = Segment(row, wanted)
                     hit = np.zeros(seg.size + 1, bool)
                     found_items: dict[int, set] = {}
-                    for w, item_ids in by_window.items():
+                    for w, item_ids in (x for t in seg.postings for x in by_rarest.get(t, ())):
                         pairs = seg.proximity(set(w), within) if within else None
                         starts = pairs[:, 0] if within else seg.phrase(w)
                         if not len(starts):
@@ -204,8 +243,8 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, within: int | N
                     listed = [sorted(x for x in found_items.get(d, ()) if x is not None) for d in range(len(spans))]
                     docs = [None if d == _NO_ID else d for d in seg.doc_ids.tolist()]
                     span_type = pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())]))
-                    arrays = [pa.array(seg.row_ids), pa.array(docs, pa.int64()), pa.array(seg.counts), pa.array(spans, span_type), pa.array(listed, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["row_id", "doc_id", "n_words", "spans", "items"])
+                    arrays = [pa.array(seg.files, pa.string()), pa.array(seg.row_ids), pa.array(docs, pa.int64()), pa.array(seg.counts), pa.array(spans, span_type), pa.array(listed, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["__file", "__row", "doc_id", "n_words", "spans", "items"])
 
         return index.mapInArrow(run, RESULT)
 
@@ -216,14 +255,14 @@ def search(index: DataFrame, items: DataFrame, window: int = 10, within: int | N
     union = found[0]
     for f in found[1:]:
         union = union.unionByName(f)
-    merged = union.groupBy("row_id").agg(
+    merged = union.groupBy("__file", "__row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     return merged
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Per row of ``docs``: row_id, doc_id, n_words, n_hit, items, contaminated."""
+    """Per row of ``docs``: __file, __row (its place), doc_id, n_words, n_hit, items, contaminated."""
     index = scratch.keep(build_index(docs), "postings")
     found = search(index, items, window)
     # Words covered by spans that may overlap where items came in several blocks.
@@ -235,7 +274,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         ),
         lambda a: a["n"],
     )
-    return found.select("row_id", "doc_id", "n_words", covered.alias("n_hit"), "items", (F.size("spans") > 0).alias("contaminated"))
+    return found.select("__file", "__row", "doc_id", "n_words", covered.alias("n_hit"), "items", (F.size("spans") > 0).alias("contaminated"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,9 +36,8 @@ from . import scratch
 from .components import components
 from .hot import join_groups
 from .op3_decontamination import _TABLE
-from .recompress import U, hash_words, mix, window_hashes
+from .recompress import U, chained, mix, numbered, word_hashes
 
-_Q = 0xDB4F0B9175AE2165
 _LAST = (1 << 63) - 1
 
 
@@ -60,15 +59,15 @@ def bands_for(recall: float, threshold: float, most: int = 64) -> tuple[int, int
 
 def gram_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
-    words = hash_words([(t or "").encode().translate(_TABLE) for t in texts])
-    grams = window_hashes(words.first, size, _Q)
+    words, ids, bounds = numbered([(t or "").encode().translate(_TABLE).split() for t in texts])
+    hashes = word_hashes(words)[ids] if len(ids) else np.zeros(0, U)
+    grams = chained(hashes, size)
     out = []
-    for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True):
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= size:
             out.append(np.unique(grams[a : b - size + 1]))
         elif b > a:
-            few = words.first[a:b]
-            out.append(window_hashes(few, len(few), _Q ^ 2 * len(few)))
+            out.append(chained(hashes[a:b], int(b - a)))
         else:
             out.append(np.zeros(0, U))
     return out
@@ -86,14 +85,14 @@ def _chunks(texts: list, limit: int = 1 << 20) -> Iterator[slice]:
 
 
 def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """row_id, doc_id, digest (of the set; null without n-grams), n_grams, bands."""
+    """__file, __row, doc_id, digest (of the set; null without n-grams), n_grams, bands."""
     rng = np.random.default_rng(20240501)
     a = rng.integers(0, 1 << 63, bands * rows, dtype=U) * U(2) + U(1)
     c = rng.integers(0, 1 << 63, bands * rows, dtype=U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             digests, counts, hashes = [], [], []
             for part in _chunks(texts):
                 for grams in gram_sets(texts[part], size):
@@ -111,10 +110,10 @@ def signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     for k in range(rows):
                         value = mix(value * U(0x9E3779B97F4A7C15) + band[:, k])
                     hashes.append(value.view(np.int64))
-            arrays = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row_id", "doc_id", "digest", "n_grams", "bands"])
+            arrays = [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["__file", "__row", "doc_id", "digest", "n_grams", "bands"])
 
-    return docs.select("row_id", "doc_id", "text").mapInArrow(run, "row_id bigint, doc_id bigint, digest binary, n_grams bigint, bands array<bigint>")
+    return docs.select("__file", "__row", "doc_id", "text").mapInArrow(run, "__file string, __row bigint, doc_id bigint, digest binary, n_grams bigint, bands array<bigint>")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -216,7 +215,9 @@ def _verify(work: DataFrame, threshold: float, counts=None) -> DataFrame:
         linked = linked[np.ix_(at, at)]
         label = ids[at]
         while len(at):
-            lower = np.minimum(label, np.where(linked, label[None, :], _LAST).min(axis=1))
+            lower = label.copy()
+            for k in range(0, len(at), 256):  # a few rows at a time
+                lower[k : k + 256] = np.minimum(label[k : k + 256], np.where(linked[k : k + 256], label[None, :], _LAST).min(axis=1))
             if (lower == label).all():
                 break
             label = lower
@@ -240,44 +241,50 @@ def _verify(work: DataFrame, threshold: float, counts=None) -> DataFrame:
     return work.select("gid", "gram", "i", "j", "block", "row_id", "copies", "grams").mapInArrow(run, "row_id bigint, links bigint, root bigint")
 
 
-def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 128, whole_limit: int = 1 << 17) -> DataFrame:
-    """Per row of ``docs``: row_id, doc_id, class_id, n_links, stays (the first row of its class)."""
-    bands, rows = bands_for(recall, threshold)
-    docs = scratch.pinned(docs)
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sig = scratch.keep(signatures(keyed, size, bands, rows), "signatures")
+def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999, block: int = 128, whole_limit: int = 1 << 15) -> DataFrame:
+    """Per row of ``docs``: __file, __row (its place), doc_id, class_id, n_links, stays (the first row of its class).
+
+    ``block`` and ``whole_limit`` (rows of a component above which its rare n-grams may be the cheaper way) change the
+    work, not the result.
+    """
+    spark, (bands, rows) = docs.sparkSession, bands_for(recall, threshold)
+    docs = scratch.located(docs)
+    since = scratch.mark()
+    keyed = docs.select("__file", "__row", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sig = scratch.keep(signatures(keyed, size, bands, rows).withColumn("row_id", F.monotonically_increasing_id()), "signatures")
     order = F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.col("row_id"))
     reps = scratch.keep(
-        sig.where("digest is not null").groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.max("n_grams").alias("n_grams")).withColumn("row_id", F.col("first.row_id")),
+        sig.where("digest is not null").groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.max("n_grams").alias("n_grams"), F.min_by(F.struct("__file", "__row"), order).alias("place")).withColumn("row_id", F.col("first.row_id")),
         "representatives",
     )
     entries = reps.select("row_id", F.posexplode("bands").alias("band", "hash"))
     buckets = entries.groupBy("band", "hash").agg(F.min("row_id").alias("least"), F.count("*").alias("n")).where("n > 1")
     ties = scratch.keep(entries.join(buckets, ["band", "hash"]).select("row_id", "band", "hash", "least"), "ties")
     of_component = components(ties.select(F.col("row_id").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "row_id")
-    members = of_component.join(reps, "row_id").select("row_id", "label", "copies", "n_grams")
+    members = of_component.join(reps, "row_id").select("row_id", "label", "copies", "n_grams", "place.*")
     members = scratch.keep(members, "members")
 
     # Blocks of a group: by rows, and by n-grams so that two blocks fit a worker.
     def blocks(groups: DataFrame) -> DataFrame:
-        per = F.least(F.greatest(F.lit(block), F.ceil(F.col("m") / 64)), F.lit(4096))
-        return groups.withColumn("nb", F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("total") / F.lit(1 << 20)), F.lit(1)).cast("int"))
+        per = F.least(F.greatest(F.lit(block), F.ceil(F.col("m") / 16)), F.lit(2048))
+        return groups.withColumn("nb", F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("total") / F.lit(1 << 21)), F.lit(1)).cast("int"))
 
     sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total")).where("m > 1")
     sizes = scratch.keep(sizes, "group-sizes")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             grams = [g.tobytes() for part in _chunks(texts) for g in gram_sets(texts[part], size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["row_id", "grams"])
 
-    wanted = members.select("row_id")
-    sets = keyed.select("row_id", "text").join(wanted.hint("shuffle_hash"), "row_id", "left_semi").mapInArrow(run, "row_id bigint, grams binary")
+    wanted = members.select("__file", "__row", "row_id")
+    sets = keyed.select("__file", "__row", "text").join(wanted.hint("shuffle_hash"), ["__file", "__row"]).select("row_id", "text").mapInArrow(run, "row_id bigint, grams binary")
     large, whole, by_gram, counts = sizes.where(F.col("m") > whole_limit), blocks(sizes), None, None
     if not large.isEmpty():
         loose = members.join(F.broadcast(large.select("label")), "label", "left_semi").select("row_id", "label", "copies", "n_grams")
         large_sets = scratch.keep(sets.join(loose.select("row_id"), "row_id", "left_semi"), "large-sets")
-        counts = docs.sparkSession.sparkContext.broadcast(_gram_counts(large_sets))
+        counts = spark.sparkContext.broadcast(_gram_counts(large_sets))
         prefixes = scratch.keep(_prefixes(large_sets, counts, threshold).join(loose, "row_id"), "prefixes")
         per_gram = scratch.keep(blocks(prefixes.groupBy("label", "gram").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total")).where("m > 1")), "prefix-groups")
         # The n-grams that tasks would read in either way; both find the same pairs.
@@ -300,20 +307,41 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: floa
     of_rep = scratch.keep(of_rep, "classes")
     heads = scratch.keep(of_rep.groupBy("label").agg(F.min("first").alias("head"), F.count("*").alias("m")), "heads")
     info = scratch.keep(join_groups(of_rep, heads, "label", "m").select("digest", "head", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "class-info")
-    with_grams = join_groups(sig.where("digest is not null").select("row_id", "doc_id", "digest"), info, "digest", "copies").select("row_id", "doc_id", "head", "n_links")
-    without = sig.where("digest is null").select("row_id", "doc_id", order.alias("head"), F.lit(0).cast("long").alias("n_links"))
+    scratch.release(spark, since, sig, info)
+    place = ["__file", "__row", "row_id", "doc_id"]
+    with_grams = join_groups(sig.where("digest is not null").select(*place, "digest"), info, "digest", "copies").select(*place, "head", "n_links")
+    without = sig.where("digest is null").select(*place, order.alias("head"), F.lit(0).cast("long").alias("n_links"))
     head_id = F.col("head.doc_id")
-    return with_grams.unionByName(without).select("row_id", "doc_id", F.when(head_id != _LAST, head_id).alias("class_id"), "n_links", (F.col("row_id") == F.col("head.row_id")).alias("stays"))
+    return with_grams.unionByName(without).select("__file", "__row", "doc_id", F.when(head_id != _LAST, head_id).alias("class_id"), "n_links", (F.col("row_id") == F.col("head.row_id")).alias("stays"))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with all their columns."""
-    docs = scratch.pinned(docs)
-    marked = docs.withColumn("__row", F.monotonically_increasing_id())
-    dropped = classes(docs, **options).where("not stays").select(F.col("row_id").alias("__row"))
-    return marked.join(dropped, "__row", "left_anti").drop("__row")
+    marked = scratch.located(docs)
+    dropped = classes(marked.select("doc_id", "text"), **options).where("not stays").select("__file", "__row")
+    return marked.join(dropped, ["__file", "__row"], "left_anti").transform(scratch.original, docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op8_jaccard_join``: class and number of links of every document, five words, 0.8."""
     return classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "class_id", "n_links")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 10 * c >= 8 * (p.n + q.n - c)
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x
+), class AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY 1
+), degree AS (SELECT x AS doc_id, count(*) AS n_links FROM link GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM class LEFT JOIN degree USING (doc_id)
+"""

@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **sample) -> DataFrame:
-    """``docs`` with score and predicted added (any such columns are replaced)."""
+    """``docs`` with score and predicted added (columns of these names, in any case, are replaced)."""
     model, prior = fit(docs, labels, **sample)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     plain = docs.drop("score", "predicted")
@@ -160,6 +160,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **sample)
     return plain.mapInArrow(run, schema)
 
 
+def select(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **sample) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, with all their columns unchanged."""
+    own = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("score", "predicted")}
+    scored = score(docs.withColumnsRenamed(own), labels, threshold, **sample)
+    return scored.where("predicted = 1").select([F.col(f"`{own.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``op9_quality``: a score for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -12,6 +12,7 @@ import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[str] = []
 _path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -59,11 +60,12 @@ def drop(*kept: DataFrame) -> None:
     """Delete tables that ``keep`` returned; frames that read them must be done with."""
     for df in kept:
         path = _path_of.pop(df)
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
         _written.remove(path)
 
 
-def _delete(spark: SparkSession, name: str) -> None:
+def delete(spark: SparkSession, name: str) -> None:
+    """Delete a folder, in whatever file system it is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -73,10 +75,13 @@ def mark() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables written after ``since``; frames that read them must be done with."""
-    while len(_written) > since:
-        _delete(spark, _written.pop())
+def release(spark: SparkSession, since: int, *kept: DataFrame, spare: str | None = None) -> None:
+    """Delete the tables written after ``since`` but ``kept`` and the folder ``spare``; frames that read them must be done with."""
+    stay = {spare, *(_path_of[df] for df in kept)}
+    for path in _written[since:]:
+        if path not in stay:
+            delete(spark, path)
+    _written[since:] = [path for path in _written[since:] if path in stay]
 
 
 def token() -> str:
@@ -84,12 +89,25 @@ def token() -> str:
     return uuid.uuid4().hex[:12]
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """``df``, written first unless it is a plain scan of files.
+#: Names that ``located`` needs for itself.
+_OWN = ("_metadata", "__file", "__row")
 
-    Rows get numbers from their place in their partition, and a frame that is read twice must
-    give the same places: a scan with projections and filters does, a shuffle need not.
+
+def located(df: DataFrame) -> DataFrame:
+    """``df`` with ``__file`` and ``__row``: the file that holds a row, and its place there.
+
+    Such a place stays the same however a scan is split, so two scans can be joined on it. A frame that isn't a plain
+    scan of Parquet files is written first. Columns of these names get others, which ``original`` undoes.
     """
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    nodes = [line.lstrip(" :+-").split(" ", 1)[0] for line in plan.splitlines() if line.strip()]
-    return df if all(n in ("Project", "Filter", "Relation") for n in nodes) else keep(df, "input")
+    nodes = [line.strip(" :+-") for line in plan.splitlines() if line.strip()]
+    plain = all(n.startswith(("Project ", "Filter ")) or (n.startswith("Relation ") and n.endswith(" parquet")) for n in nodes)
+    clash = {c: f"__own{c}" for c in df.columns if c.lower() in _OWN}
+    if clash or not plain:
+        df = keep(df.withColumnsRenamed(clash), "input")
+    return df.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+
+
+def original(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that a frame had before ``located``."""
+    return df.select([F.col(f"`__own{c}`").alias(c) if c.lower() in _OWN else F.col(f"`{c}`") for c in columns])

@@ -129,8 +129,8 @@ def test_substring_dedup(docs, table, empty):
                 gone |= set(range(i, i + 20))
         kept = b" ".join(w for i, w in enumerate(ws) if i not in gone)
         expected.append((str(table[k][0]), len(ws), len(gone), hashlib.sha256(kept).hexdigest()))
-    for options in ({}, {"rounds": 6, "cap": 9}, {"rounds": 1, "cap": 2}):
-        got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in op5_substring_dedup.substring_dedup(docs, **options).collect()]
+    for options in ({}, {"rounds": 5, "cap": 9}, {"rounds": 1, "cap": 2}):
+        got = [(str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in op5_substring_dedup.substring_dedup(docs, **options).withColumn("kept_sha256", F.sha2("kept", 256)).collect()]
         assert sorted(got) == sorted(expected)
     assert op5_substring_dedup.substring_dedup(empty).count() == 0
 
