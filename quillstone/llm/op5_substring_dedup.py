@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import recompress, scratch
 from .hot import join_groups
-from .recompress import ALIVE, Merges, State, U
+from .recompress import ALIVE, Merges, State, U, pack, unpack
 
 _LAST = (1 << 63) - 1
 #: Bytes of text in a block, bytes of runs compared at once, and keys named at once.
@@ -48,7 +48,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         digests = [None if t is None else hashlib.sha256(t).digest() for t in texts]
         arrays = [pa.array([doc_ids], pa.list_(pa.int64())), pa.array([digests], pa.list_(pa.binary()))]
         docs, nulls = np.array([_LAST if d is None else d for d in doc_ids], np.int64), np.array([d is None for d in doc_ids])
-        arrays += [pa.array([x], pa.binary()) for x in (docs.tobytes(), nulls.tobytes(), bounds.tobytes(), b" ".join(words), ids.tobytes())]
+        arrays += [pa.array([x], pa.binary()) for x in (pack(docs), pack(nulls), pack(bounds), b" ".join(words), pack(ids))]
         return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in BLOCK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,38 +114,31 @@ def _by_block(parts: list[DataFrame], step: Callable[[int, dict], list[list]], s
 
 
 def _start(data: list[bytes], skip: np.ndarray, window: int) -> State:
-    ids, words, bounds = np.frombuffer(data[0], np.int32), data[1].split(), np.frombuffer(data[2], np.int64)
+    ids, words, bounds = unpack(data[0], np.int32), data[1].split(), unpack(data[2], np.int64)
     return recompress.begin(recompress.word_hashes(words)[ids] if len(ids) else np.zeros(0, U), bounds, window, skip)
 
 
 def _packed(state: State) -> list[bytes]:
-    return [state.sym.tobytes(), state.pos.astype(np.int32).tobytes(), state.flag.tobytes(), state.low.tobytes(), state.high.tobytes(), state.bounds.tobytes()]
+    return [pack(x) for x in (state.sym, np.diff(state.pos, prepend=0).astype(np.int32), state.flag, state.low, state.high, state.bounds)]
 
 
 def _unpacked(data: list[bytes]) -> State:
-    sym, pos, flag, low, high, bounds = (np.frombuffer(d, t) for d, t in zip(data, (U, np.int32, np.int8, np.int8, np.int8, np.int64), strict=True))
-    return State(bounds, sym, pos.astype(np.int64), flag, low, high)
+    sym, steps, flag, low, high, bounds = (unpack(d, t) for d, t in zip(data, (U, np.int32, np.int8, np.int8, np.int8, np.int64), strict=True))
+    return State(bounds, sym, np.cumsum(steps.astype(np.int64)), flag, low, high)
 
 
-def _distinct(merges: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the key, a, b, whether it stands twice, number of the key of each merge); keys in order of place."""
-    place = recompress.mix(recompress.mix(merges.a) * U(0x9E3779B97F4A7C15) + merges.b)
-    by = np.argsort(place, kind="stable")
-    p, a, b = place[by], merges.a[by], merges.b[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (p[1:] != p[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    head = np.flatnonzero(new)
-    number = np.empty(len(by), np.int64)
-    number[by] = np.cumsum(new) - 1
-    return p[head], a[head], b[head], np.diff(np.append(head, len(by))) > 1, number
+def _distinct(merges: Merges) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, whether each stands twice, number of the key of each merge)."""
+    keys, number, count = np.unique(merges.key, return_inverse=True, return_counts=True)
+    return keys, count > 1, number
 
 
-KEYS = "block bigint, state0 binary, state1 binary, state2 binary, state3 binary, state4 binary, state5 binary, n_keys bigint, a binary, b binary, again binary"
+KEYS = "block bigint, state0 binary, state1 binary, state2 binary, state3 binary, state4 binary, state5 binary, n_keys bigint, keys binary, again binary"
 
 
 def _keys(block: int, state: list[bytes | None], merges: Merges) -> list[list]:
-    _, a, b, again, _ = _distinct(merges)
-    return [[x] for x in (block, *state, len(a), a.tobytes(), b.tobytes(), again.tobytes())]
+    keys, again, _ = _distinct(merges)
+    return [[x] for x in (block, *state, len(keys), pack(np.diff(keys, prepend=U(0))), pack(again))]
 
 
 def _names(keys: DataFrame, level: int) -> DataFrame:
@@ -154,39 +147,33 @@ def _names(keys: DataFrame, level: int) -> DataFrame:
     spark = keys.sparkSession
     total = keys.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_KEYS + 1)
-    names = ["part", "block", "a", "b", "again"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, *data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                a, b, again = (np.frombuffer(d, t) for d, t in zip(data, (U, U, bool), strict=True))
-                place = recompress.mix(recompress.mix(a) * U(0x9E3779B97F4A7C15) + b) >> U(32)
-                part = (place * U(buckets) >> U(32)).astype(np.int64)
+            for block, packed, twice in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                key, again = np.cumsum(unpack(packed, U), dtype=U), unpack(twice, bool)
+                part = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
                 ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part)) if len(part) else np.zeros(0, int)
                 begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
-                cut = lambda x: [x[i:j].tobytes() for i, j in zip(begins, ends, strict=True)]  # noqa: B023, E731
-                arrays = [pa.array(part[begins], pa.int32()), pa.array([block] * len(ends), pa.int64()), *(pa.array(cut(x), pa.binary()) for x in (a, b, again))]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                spans = list(zip(begins.tolist(), ends.tolist(), strict=True))
+                cut = [[pack(np.diff(key[i:j], prepend=U(0))) for i, j in spans], [pack(again[i:j]) for i, j in spans]]
+                arrays = [pa.array(part[begins], pa.int32()), pa.array([block] * len(ends), pa.int64()), *(pa.array(c, pa.binary()) for c in cut)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "block", "keys", "again"])
 
     def number(part: int, rows: list[tuple]) -> pa.RecordBatch:
-        a, b, again = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((1, U), (2, U), (3, bool)))
-        by = np.lexsort((b, a))
-        new = np.ones(len(by), bool)
-        new[1:] = (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])
-        head = np.flatnonzero(new)
-        size = np.diff(np.append(head, len(by)))
-        shared = (size > 1) | np.logical_or.reduceat(again[by], head)
-        rank = np.cumsum(shared) * buckets + part
-        name = np.zeros(len(by), np.int64)
-        name[by] = np.repeat(np.where(shared, rank * 4 + level, 0), size)
-        ends = np.cumsum([len(r[1]) // 8 for r in rows])
-        found = [x.tobytes() for x in np.split(name, ends[:-1])]
+        keys = [np.cumsum(unpack(r[1], U), dtype=U) for r in rows]
+        twice = np.concatenate([unpack(r[2], bool) for r in rows])
+        _, place, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        shared = count > 1
+        shared[place[twice]] = True
+        name = np.where(shared, (np.cumsum(shared) * buckets + part) * 4 + level, 0)[place]
+        found = [pack(x) for x in np.split(name, np.cumsum([len(k) for k in keys])[:-1])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(found, pa.binary())], names=["block", "part", "names"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows = None, []
         for batch in batches:
-            for at, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for at, *row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 if at != part and rows:
                     yield number(part, rows)
                     rows = []
@@ -195,14 +182,14 @@ def _names(keys: DataFrame, level: int) -> DataFrame:
         if rows:
             yield number(part, rows)
 
-    dealt = keys.where("n_keys > 0").select("block", "a", "b", "again").mapInArrow(deal, "part int, block bigint, a binary, b binary, again binary")
+    dealt = keys.where("n_keys > 0").select("block", "keys", "again").mapInArrow(deal, "part int, block bigint, keys binary, again binary")
     return dealt.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, "block bigint, part int, names binary")
 
 
 def _named(state: State, found: list[tuple], level: int, window: int, cap: int) -> State:
     """The state after a round whose names came in parts."""
     merges = recompress.plan(state, level, window, cap)
-    names = np.concatenate([np.frombuffer(data[0], U) for _, data in found]) if found else np.zeros(0, U)
+    names = np.concatenate([unpack(data[0], U) for _, data in found]) if found else np.zeros(0, U)
     return recompress.apply(state, merges, names[_distinct(merges)[-1]], level, window, cap)
 
 
@@ -217,8 +204,9 @@ def _runs(at: np.ndarray, text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray
     return first, np.append(first[1:], len(at)) if len(at) else first
 
 
-def _settle(rows: DataFrame, window: int) -> DataFrame:
-    """Of runs sorted by key: the later of equal windows (key null, ``words`` holding their places), and the runs of the earliest."""
+def _settle(rows: DataFrame, window: int, split: bool = False) -> DataFrame:
+    """Of runs sorted by key: the later of equal windows (key null, ``words`` holding their places); with ``split`` also
+    the earliest, each window by itself with its digest as the key."""
     names = [c.split()[0] for c in RUNS.split(", ")]
 
     def settle(runs: list[tuple]) -> pa.RecordBatch:
@@ -229,17 +217,16 @@ def _settle(rows: DataFrame, window: int) -> DataFrame:
         column = lambda k: np.array([r[k] for r in runs], np.int64)
         block, at, start, doc, key = (column(k)[run] for k in range(5))
         at, start, place = at + inside, start + inside, bounds[run] + inside
-        digest = recompress.mix(recompress.chained(recompress.mix(ids.astype(U) + U(1)), window, place) + key.astype(np.int64).view(U))
+        digest = recompress.chained(recompress.word_hashes(words)[ids], window, place)
         by, head = recompress.equal_windows(ids, place, digest, window, doc, start, block, at)
         later = by[~head]
         later = later[np.lexsort((at[later], block[later]))]
         ends = np.flatnonzero(np.append(np.diff(block[later]) != 0, True)) + 1 if len(later) else np.zeros(0, int)
         begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
         out = [[int(block[later[i]]), None, None, None, None, at[later[i:j]].astype(np.int32).tobytes()] for i, j in zip(begins, ends, strict=True)]
-        first = np.sort(by[head])
-        for i, j in zip(*_runs(place[first], run[first], key[first]), strict=True):
-            w = first[i]
-            out.append([int(block[w]), int(at[w]), int(start[w]), int(doc[w]), int(key[w]), b" ".join([words[k] for k in ids[place[w] : place[first[j - 1]] + window]])])
+        first, names_ = np.sort(by[head]), recompress.listed(words)
+        for w in first if split else ():
+            out.append([int(block[w]), int(at[w]), int(start[w]), int(doc[w]), int(digest[w].astype(np.int64)), b" ".join(names_[ids[place[w] : place[w] + window]].tolist())])
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,18 +246,19 @@ def _settle(rows: DataFrame, window: int) -> DataFrame:
 
 
 def _marks(runs: DataFrame, window: int) -> DataFrame:
-    """block, marks: windows that a run of another block, or an earlier part of the same, holds earlier."""
+    """block, marks: windows that a run of another block, or an earlier part of the same, holds earlier.
+
+    A symbol of more than a thousandth of all runs is settled in parts first, and then window by window.
+    """
     share = 1000
     counts = scratch.keep(runs.groupBy("key").agg(F.count("*").alias("n")), "symbols")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = counts.where(F.col("n") > max(total // share, 1)).select("key", F.ceil(F.col("n") * share / max(total, 1)).cast("int").alias("salts"))  # fewer than ``share``
-    cold, found = runs.join(F.broadcast(hot), "key", "left_anti"), []
     dealt = runs.join(F.broadcast(hot), "key").withColumn("salt", F.pmod(F.xxhash64("block"), F.col("salts")))
-    parts = scratch.keep(_settle(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt"), window), "hot-runs")
-    found.append(parts.where("key is null"))
-    rest = cold.unionByName(parts.where("key is not null")) if not parts.isEmpty() else runs
-    found.append(_settle(rest.repartition("key").sortWithinPartitions("key"), window).where("key is null"))
-    return found[0].unionByName(found[1]).select("block", F.col("words").alias("marks"))
+    parts = scratch.keep(_settle(dealt.repartition("key", "salt").sortWithinPartitions("key", "salt"), window, split=True), "hot-windows")
+    rest = runs.join(F.broadcast(hot), "key", "left_anti").unionByName(parts.where("key is not null"))
+    later = _settle(rest.repartition("key").sortWithinPartitions("key"), window)
+    return parts.where("key is null").unionByName(later).select("block", F.col("words").alias("marks"))
 
 
 CANDIDATES = RUNS + ", marks binary"
@@ -278,8 +266,8 @@ CANDIDATES = RUNS + ", marks binary"
 
 def _candidates(block: int, data: list[bytes], state: State, window: int) -> list[list]:
     """Runs of the windows that may stand elsewhere, the earliest of equals in the block, and the places of the others."""
-    ids, words, bounds = np.frombuffer(data[0], np.int32), data[1].split(), np.frombuffer(data[2], np.int64)
-    doc_ids = np.frombuffer(data[3], np.int64)
+    ids, words, bounds = unpack(data[0], np.int32), data[1].split(), unpack(data[2], np.int64)
+    doc_ids, listed = unpack(data[3], np.int64), recompress.listed(words)
     at, pick = recompress.picks(state, window)
     text = np.searchsorted(bounds, at, "right") - 1
     digest = recompress.chained(recompress.word_hashes(words)[ids], window, at) if len(at) else np.zeros(0, U)
@@ -289,7 +277,7 @@ def _candidates(block: int, data: list[bytes], state: State, window: int) -> lis
     out = []
     for i, j in zip(*_runs(at[first], text[first], key[first]), strict=True):
         w = first[i]
-        stretch = b" ".join([words[k] for k in ids[at[w] : at[first[j - 1]] + window]])
+        stretch = b" ".join(listed[ids[at[w] : at[first[j - 1]] + window]].tolist())
         out.append((block, int(at[w]), int(at[w] - bounds[text[w]]), int(doc_ids[text[w]]), int(key[w]), stretch, None))
     if len(later):
         out.append((block, None, None, None, None, None, later.astype(np.int32).tobytes()))
@@ -313,7 +301,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 3, cap: int
 
     def first(block: int, found: dict) -> list[list]:
         data = found[0][0][1]
-        skip = np.zeros(len(data[4]), bool)
+        skip = np.zeros(len(unpack(data[4], bool)), bool)
         skip[[part for part, _ in found.get(1, [])]] = True
         return _keys(block, [skip.tobytes(), *[None] * 5], recompress.plan(_start(data, skip, window), 1, window, cap))
 
@@ -345,8 +333,9 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 3, cap: int
     scratch.drop(keys)
 
     def remove(block: int, found: dict) -> list[list]:
-        ids, bounds = np.frombuffer(found[0][0][1][0], np.int32), np.frombuffer(found[0][0][1][2], np.int64)
-        words, docs, nulls = found[0][0][1][1].split(), np.frombuffer(found[0][0][1][3], np.int64), np.frombuffer(found[0][0][1][4], bool)
+        data = found[0][0][1]
+        ids, words, bounds = unpack(data[0], np.int32), recompress.listed(data[1].split()), unpack(data[2], np.int64)
+        docs, nulls = unpack(data[3], np.int64), unpack(data[4], bool)
         steps = np.zeros(len(ids) + 1, np.int64)
         for _, (at,) in found.get(1, []):
             np.add.at(steps, np.frombuffer(at, np.int32), 1)
@@ -356,7 +345,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 3, cap: int
                 steps[bounds[part]] += 1
                 steps[bounds[part + 1]] -= 1
         stays = np.cumsum(steps)[:-1] == 0
-        kept = [b" ".join([words[k] for k in ids[a:b][stays[a:b]]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        kept = [b" ".join(words[ids[a:b][stays[a:b]]].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         left = np.concatenate([[0], np.cumsum(stays)])[bounds]
         n = np.diff(bounds)
         return [[None if x else d for d, x in zip(docs.tolist(), nulls, strict=True)], n, n - np.diff(left), kept]

@@ -13,12 +13,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
+import zstandard
 
 U = np.uint64
 
 
+def pack(x: np.ndarray) -> bytes:
+    """An array of numbers, compressed: all first bytes, then all second ones ..."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def unpack(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
+
+
+def listed(words: list[bytes]) -> np.ndarray:
+    """Words as an array, from which many are taken at once."""
+    out = np.empty(len(words), object)
+    out[:] = words
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -34,10 +54,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def numbered(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(distinct words, number of each word, where each text's words begin)."""
-    number: dict[bytes, int] = {}
-    ids = [number.setdefault(w, len(number)) for ws in texts for w in ws]
     bounds = np.concatenate([[0], np.cumsum([len(ws) for ws in texts])]).astype(np.int64)
-    return list(number), np.array(ids, np.int32), bounds
+    distinct = list(dict.fromkeys(chain.from_iterable(texts)))
+    number = {w: k for k, w in enumerate(distinct)}
+    return distinct, np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int32, int(bounds[-1])), bounds
 
 
 def chained(h: np.ndarray, size: int, at: np.ndarray | None = None) -> np.ndarray:
@@ -97,12 +117,14 @@ def _same_owner(state: State) -> np.ndarray:
 
 @dataclass
 class Merges:
-    """What a round would merge: first symbol, number of symbols, and the two parts of its key."""
+    """What a round would merge: first symbol, number of symbols, and a key.
+
+    The key is a hash of the two parts. Should two pairs share one, they share a name, which only brings more windows together.
+    """
 
     at: np.ndarray
     count: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
+    key: np.ndarray
 
 
 def plan(state: State, level: int, window: int, cap: int) -> Merges:
@@ -110,7 +132,7 @@ def plan(state: State, level: int, window: int, cap: int) -> Merges:
     sym, m = state.sym, len(state.sym)
     none = np.zeros(0, np.int64)
     if not m:
-        return Merges(none, none, none.astype(U), none.astype(U))
+        return Merges(none, none, none.astype(U))
     length = state.length()
     steps = np.zeros(state.n + 1, np.int64)
     open_ = np.flatnonzero(state.flag)
@@ -129,12 +151,10 @@ def plan(state: State, level: int, window: int, cap: int) -> Merges:
         merged = (run > 1) & (run <= cap) & live[head]
         at, count = head[merged], run[merged]
     pair = np.flatnonzero(single[:-1] & single[1:] & ~right[:-1] & right[1:] & joined & (length[:-1] + length[1:] <= cap) & live[:-1] & live[1:])
-    return Merges(
-        np.concatenate([at, pair]),
-        np.concatenate([count, np.full(len(pair), 2)]),
-        np.concatenate([sym[at], sym[pair]]),
-        np.concatenate([(-count).astype(np.int64).view(U), sym[pair + 1]]),
-    )
+    first = np.concatenate([sym[at], sym[pair]])
+    second = np.concatenate([(-count).astype(np.int64).view(U), sym[pair + 1]])
+    key = mix(mix(first + U(level)) * U(0x9E3779B97F4A7C15) + second)
+    return Merges(np.concatenate([at, pair]), np.concatenate([count, np.full(len(pair), 2)]), key)
 
 
 def _edges(state: State, level: int, cap: int) -> tuple[np.ndarray, np.ndarray]:
