@@ -9,12 +9,12 @@ texts within ``tolerance`` of a shard stays there, so that group of equal texts
 is not cut; a group larger than that is cut by the row hash. When all splitters
 hold, one exchange sends each row to its key range, which numbers its rows.
 
-Only histograms of at most ``cells`` x splitters sums reach the driver.
+Only histograms reach the driver: 4096 sums for each of the seven splitters, whatever the number of rows.
 
 Law ``bytes``: shard sizes differ from the mean by at most 2 x ``tolerance``
 (plus one row's size). Defined results: a null text has size 1 and the checksum of the
-empty text; repeated rows are placed once each; an empty table gives no rows;
-other columns are ignored.
+empty text; a very long text is one row like any; equal texts, and repeated rows, are neighbours and are placed once each; rows of
+equal keys come by doc_id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def _as_key(cells: tuple[int, ...]) -> tuple[int, int]:
     return k1, k2
 
 
-def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, rows_per_range: int = 50_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, rows_per_range: int = 1_000_000) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard per row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
     raw = docs.select(
@@ -99,34 +99,23 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, rows_per_r
     )
     rows = scratch.keep(raw, "sizes")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    if not n:
-        return raw.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    # Shard splitters, and within each shard ranges of about rows_per_range rows, whose tolerance is wide.
-    per = min(max(4, -(-n // (shards * rows_per_range))), 4096)
     mean = total / shards
-    main = find_splitters(rows, [mean * i for i in range(1, shards)], tolerance * mean)
-    inner = [mean * (s + j / per) for s in range(shards) for j in range(1, per)]
-    cuts = sorted({_as_key(c) for c in main} | {_as_key(c) for c in find_splitters(rows, inner, 0.25 * mean / per)})
-    edges = sorted(_as_key(c) for c in main)
-    # Keys as unsigned 60-bit words; ranges are looked up by binary search in a literal array.
-    spark = rows.sparkSession
-    u1, u2 = F.shiftrightunsigned("k1", 4), F.shiftrightunsigned("k2", 4)
-    key = F.concat(F.lpad(F.hex(u1), 15, "0"), F.lpad(F.hex(u2), 15, "0"))
-    text_of = lambda k: f"{k[0]:015X}{k[1]:015X}"
-    ranged = rows.withColumn("key", key).withColumn("part", _bisect(F.col("key"), [text_of(k) for k in cuts]))
-    order = Window.partitionBy("part").orderBy("key", "doc_id")
-    # One exchange: each range is numbered where it lands.
-    landed = ranged.select("doc_id", "size", "text_crc32", "key", "part").withColumn("place", F.row_number().over(order) - 1)
-    counts = dict(ranged.groupBy("part").count().collect())  # a row per range
-    offset, shard_of, before = {}, {}, [0] * shards
-    for p in range(len(cuts) + 1):
-        low = text_of(cuts[p - 1]) if p else ""
-        s = sum(text_of(e) <= low for e in edges) if p else 0
-        shard_of[p], offset[p] = s, before[s]
-        before[s] += counts.get(p, 0)
-    table = F.broadcast(spark.createDataFrame([(p, shard_of[p], offset[p]) for p in shard_of], "part int, shard int, before bigint"))
-    return landed.join(table, "part").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    cuts = sorted(_as_key(c) for c in find_splitters(rows, [mean * i for i in range(1, shards)], tolerance * mean)) if n else []
+    # Keys as unsigned words, which sort as text.
+    key = F.concat(F.lpad(F.hex(F.shiftrightunsigned("k1", 4)), 15, "0"), F.lpad(F.hex(F.shiftrightunsigned("k2", 4)), 15, "0"))
+    keyed = rows.select("doc_id", "size", "text_crc32", key.alias("key")).withColumn("shard", _bisect(F.col("key"), [f"{k[0]:015X}{k[1]:015X}" for k in cuts]))
+    # The one exchange: ranges of the key, whose rows are numbered where they land.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // rows_per_range + 1)
+    place = F.monotonically_increasing_id()
+    landed = keyed.repartitionByRange(parts, "shard", "key").sortWithinPartitions("shard", "key", "doc_id")
+    landed = scratch.keep(landed.drop("key").withColumn("part", F.shiftright(place, 33)).withColumn("place", place.bitwiseAND((1 << 33) - 1)), "ranges")
+    scratch.drop(rows)
+    # A row per range and shard in it: what comes before it in its shard.
+    order = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = landed.groupBy("shard", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    ranges = ranges.select("shard", "part", (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first")).alias("shift"))
+    return landed.join(F.broadcast(ranges), ["shard", "part"]).select(  # ranges x shards rows at most
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 

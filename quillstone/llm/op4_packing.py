@@ -98,30 +98,27 @@ def _fit(rows: list[tuple[int, int]], capacity: int) -> list[tuple[int, int]]:
     return [(n, *where[n]) for _, n in rows]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator: int = 0, classes: int = 1024, slack: int = 8, blocks: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator: int = 0, classes: int = 1024, slack: int = 8, block_pieces: int = 100_000) -> DataFrame:
     """Place all pieces of ``docs``; see the module's text.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, klass.
-    ``blocks`` is the number of independently ranked blocks, fixed per run.
+    About ``block_pieces`` pieces are ranked in one task, whatever their class.
     """
     spark = docs.sparkSession
     table = scratch.keep(pieces(docs, tokenizer_path, capacity, separator, classes, slack), "pieces")
-    # Blocks hold a range of hashes of the piece, so no document or source makes one large.
-    placed = table.withColumn("block", F.pmod(F.xxhash64("row_id", "start"), F.lit(blocks)).cast("int"))
-    counts = {(r.klass, r.block): r.n for r in placed.groupBy("klass", "block").agg(F.count("*").alias("n")).collect()}  # at most classes in use x blocks
-    first, bins, base, starts = {}, 0, {}, []
-    for k in sorted({k for k, _ in counts}):
-        rank = 0
-        for b in range(blocks):
-            if (k, b) in counts:
-                starts.append((k, b, rank))
-                rank += counts[k, b]
-        first[k], base[k] = rank - rank % k, bins  # ranks from first[k] on are left over
-        bins += rank // k
-    offsets = F.broadcast(spark.createDataFrame(starts, "klass int, block int, before bigint"))  # bounded as counts are
+    # Blocks hold a range of hashes of the piece, so no document, source or class makes one large.
+    blocks = table.count() // block_pieces + 1
+    placed = table.withColumn("block", F.pmod(F.xxhash64("row_id", "start"), F.lit(blocks)))
+    counts = scratch.keep(placed.groupBy("klass", "block").agg(F.count("*").alias("n")), "blocks")
+    before = Window.partitionBy("klass").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    offsets = counts.select("klass", "block", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("before"))
+    first, bins, base = {}, 0, {}
+    for k, n in sorted(counts.groupBy("klass").agg(F.sum("n")).collect()):  # at most a row per class
+        first[k], base[k] = n - n % k, bins  # ranks from first[k] on are left over
+        bins += n // k
     per_class = F.broadcast(spark.createDataFrame([(k, base[k], first[k]) for k in base], "klass int, base bigint, whole bigint"))
     order = Window.partitionBy("klass", "block").orderBy("row_id", "start")
-    ranked = placed.join(offsets, ["klass", "block"]).join(per_class, "klass").withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
+    ranked = placed.join(offsets.hint("shuffle_hash"), ["klass", "block"]).join(per_class, "klass").withColumn("rank", F.col("before") + F.row_number().over(order) - 1)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "klass", "row_id"]
     whole = ranked.where("rank < whole").select(*columns, (F.col("base") + F.expr("rank div klass")).alias("sequence_id"), F.expr("rank % klass").alias("place"))
     rest = ranked.where("rank >= whole").select(*columns)
