@@ -7,14 +7,14 @@ non-negative unbiased risk
     prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
 
 with logistic loss, from trusted positives (labelled 1, not held out) and unlabelled
-documents. The class prior is the share of positives among the training labels.
+documents. The class prior is estimated from the same two samples (``class_prior``).
 
 Fitting takes a bounded sample (``positives``, ``unlabelled`` rows with the smallest hashes of
 doc_id); scoring reads every whole text in one pass without a shuffle.
 
 Defined results: null text counts as empty and gets a score like any; a doc_id of null
-is held in training; repeated rows score alike; without a positive label every score is
-the prior; an empty table gives no rows; other columns are ignored.
+is never learnt from; repeated rows score alike, and equal texts tie; very long texts are read whole; without a positive label every score is
+0.5; an empty table gives no rows; other columns are kept by ``score`` and ``select``, whatever their names.
 """
 
 from __future__ import annotations
@@ -89,24 +89,37 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1000, rate: float = 0.05, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative risk by Adam on full batches; the same input gives the same model."""
+def _sigmoid(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+
+
+def risk_and_slopes(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of scores of positives and unlabelled rows, and how to descend: slopes by score.
+
+    Where the negatives' part is below zero it has been overfitted: the slopes step back along that part.
+    """
+    sp, su = _sigmoid(fp), _sigmoid(fu)
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    risk = prior * np.logaddexp(0, -fp).mean() + max(0.0, negative)
+    if negative < 0:
+        return risk, prior * sp / len(fp), -su / len(fu)
+    return risk, prior * (sp - 1) / len(fp) - prior * sp / len(fp), su / len(fu)
+
+
+def _descend(positive: np.ndarray, unlabelled: np.ndarray, bias: float, slopes, steps: int, rate: float = 0.05, decay: float = 1e-4) -> Model:
+    """Fit a model by Adam on full batches; the same input gives the same model."""
     both = np.concatenate([positive, unlabelled])
     edges = [np.unique(np.quantile(both[:, k], np.linspace(0, 1, BINS + 1)[1:-1])).astype(np.float32) for k in range(both.shape[1])]
-    model = Model(edges, np.zeros(both.shape[1] * BINS), float(np.log(prior / (1 - prior))))
+    model = Model(edges, np.zeros(both.shape[1] * BINS), bias)
     p, u = model.bins(positive), model.bins(unlabelled)
     m, v = np.zeros(len(model.weights) + 1), np.zeros(len(model.weights) + 1)
 
-    def slope(rows: np.ndarray, g: np.ndarray) -> np.ndarray:
+    def gathered(rows: np.ndarray, g: np.ndarray) -> np.ndarray:
         return np.append(np.bincount(rows.ravel(), np.repeat(g, rows.shape[1]), len(model.weights)), g.sum())
 
     for t in range(1, steps + 1):
-        fp, fu = (model.weights[r].sum(axis=1) + model.bias for r in (p, u))
-        sp, su = (1 / (1 + np.exp(-np.clip(f, -40, 40))) for f in (fp, fu))
-        risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        negative = slope(u, su / len(u)) - prior * slope(p, sp / len(p))
-        # Below zero the risk has been overfitted: step back along it.
-        grad = prior * slope(p, (sp - 1) / len(p)) + negative if risk >= 0 else -negative
+        gp, gu = slopes(*(model.weights[r].sum(axis=1) + model.bias for r in (p, u)))
+        grad = gathered(p, gp) + gathered(u, gu)
         grad[:-1] += decay * model.weights
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -115,30 +128,60 @@ def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return model
 
 
+def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1000) -> Model:
+    """Minimise the non-negative risk."""
+    return _descend(positive, unlabelled, float(np.log(prior / (1 - prior))), lambda fp, fu: risk_and_slopes(fp, fu, prior)[1:], steps)
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5, steps: int = 100, errors: float = 2.0) -> float:
+    """The share of positives among unlabelled rows, from these alone.
+
+    Every fold is scored by a model that tells positives from unlabelled rows, fitted on the other folds. The share of
+    unlabelled rows above a bound over that of positives above it is the prior plus what negatives score so high, so the least of these ratios
+    is nearest to it, and never below but by chance; two standard errors are taken off.
+    """
+    if len(positive) < folds or len(unlabelled) < folds:
+        return 0.5
+    rng = np.random.default_rng(5)
+    p, u = (x[rng.permutation(len(x))] for x in (positive, unlabelled))
+    sp, su = np.zeros(len(p)), np.zeros(len(u))
+    for k in range(folds):
+        own_p, own_u = np.arange(len(p)) % folds == k, np.arange(len(u)) % folds == k
+        model = _descend(p[~own_p], u[~own_u], 0.0, lambda fp, fu: ((_sigmoid(fp) - 1) / len(fp), _sigmoid(fu) / len(fu)), steps)
+        sp[own_p], su[own_u] = model.score(p[own_p]), model.score(u[own_u])
+    bounds = np.quantile(sp, np.linspace(0.02, 0.9, 89))
+    above_p, above_u = (1 - np.searchsorted(np.sort(s), bounds) / len(s) for s in (sp, su))
+    ratios = np.where((above_p > 0) & (above_u > 0), above_u / np.maximum(above_p, 1e-9), np.inf)
+    k = int(np.argmin(ratios))
+    if not np.isfinite(ratios[k]):
+        return 0.5
+    error = ratios[k] * np.sqrt((1 - above_p[k]) / (above_p[k] * len(p)) + (1 - above_u[k]) / (above_u[k] * len(u)))
+    return float(np.clip(ratios[k] - errors * error, 0.02, 0.98))
+
+
 def held_out(doc_id) -> F.Column:
     """Whether labels of this document are kept from learning."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: int = 16000) -> tuple[Model | None, float]:
-    """(model, prior) from at most so many rows of each kind."""
-    train = labels.where(~held_out(F.col("doc_id"))).where("quality is not null and doc_id is not null")
-    total, good = train.agg(F.count("*"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0))).first()
-    if not good:
-        return None, 0.5
-    prior = min(max(good / total, 0.02), 0.98)
+    """(model, prior) from at most so many rows of each kind; labelled negatives aren't used."""
+    train = labels.where(~held_out(F.col("doc_id"))).where("quality = 1 and doc_id is not null")
     by_hash = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     texts = docs.select("doc_id", "text")
 
-    def sample(ids: DataFrame) -> np.ndarray:
-        rows = _figure_frame(texts.join(F.broadcast(ids), "doc_id")).collect()  # at most the sample's size
-        return np.array([r[0] for r in rows], np.float32).reshape(len(rows), -1)
+    def sample(ids: DataFrame, n: int) -> np.ndarray:
+        # A doc_id may have many rows; as many rows as ids are taken, in an order that holds everywhere.
+        rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n)
+        found = [r[0] for r in _figure_frame(rows).collect()]
+        return np.array(found, np.float32).reshape(len(found), -1) if found else np.zeros((0, 1), np.float32)
 
-    p = sample(by_hash(train.where("quality = 1"), positives))
-    u = sample(by_hash(texts.where(~held_out(F.col("doc_id"))), unlabelled))
+    p = sample(by_hash(train, positives), positives)
+    u = sample(by_hash(texts.where(~held_out(F.col("doc_id"))), unlabelled), unlabelled)
     if not len(p) or not len(u):
-        return None, prior
+        return None, 0.5
     p, u = (x[np.lexsort(x.T)] for x in (p, u))  # the order of rows doesn't matter
+    prior = class_prior(p, u)
     return nn_pu(p, u, prior), prior
 
 
