@@ -57,7 +57,10 @@ def _stream(spark: SparkSession, path: str, files_per_batch: int, folder: str) -
     settings = {
         "spark.sql.streaming.stateStore.providerClass": ROCKS,
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+        "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
+        "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+        # Stores of streams that have ended are closed soon, so a long session doesn't gather them.
+        "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
         # Many small stores: no disk is set aside before it is needed.
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
