@@ -137,8 +137,8 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5, st
     """The share of positives among unlabelled rows, from these alone.
 
     Every fold is scored by a model that tells positives from unlabelled rows, fitted on the other folds. The share of
-    unlabelled rows above a bound over that of positives above it is the prior plus what negatives score so high, so the least of these ratios
-    is nearest to it, and never below but by chance; two standard errors are taken off.
+    unlabelled rows above a bound over that of positives above it is the prior plus what negatives score so high, so the ratio that is
+    surely least (two standard errors added) is nearest to it, and never below but by chance; as many errors are taken off.
     """
     if len(positive) < folds or len(unlabelled) < folds:
         return 0.5
@@ -151,12 +151,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5, st
         sp[own_p], su[own_u] = model.score(p[own_p]), model.score(u[own_u])
     bounds = np.quantile(sp, np.linspace(0.02, 0.9, 89))
     above_p, above_u = (1 - np.searchsorted(np.sort(s), bounds) / len(s) for s in (sp, su))
-    ratios = np.where((above_p > 0) & (above_u > 0), above_u / np.maximum(above_p, 1e-9), np.inf)
-    k = int(np.argmin(ratios))
-    if not np.isfinite(ratios[k]):
+    some = (above_p > 0) & (above_u > 0)
+    above_p, above_u = above_p[some], above_u[some]
+    if not some.any():
         return 0.5
-    error = ratios[k] * np.sqrt((1 - above_p[k]) / (above_p[k] * len(p)) + (1 - above_u[k]) / (above_u[k] * len(u)))
-    return float(np.clip(ratios[k] - errors * error, 0.02, 0.98))
+    ratios = above_u / above_p
+    error = ratios * np.sqrt((1 - above_p) / (above_p * len(p)) + (1 - above_u) / (above_u * len(u)))
+    k = int(np.argmin(ratios + errors * error))
+    return float(np.clip(ratios[k] - errors * error[k], 0.02, 0.98))
 
 
 def held_out(doc_id) -> F.Column:
