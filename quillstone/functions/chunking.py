@@ -1,99 +1,114 @@
 """Chunkers: plain text, markdown and diffs, as Arrow-batched functions over columns.
 
-Where a chunk ends decides where the next begins, so these are loops over one text at a
-time; tables stay distributed and only ``chunk_rows`` explodes them.
+Where a chunk ends decides where the next begins, so a text is cut in one loop; where it may be cut is
+found once, and every choice is a search in these places. Tables stay distributed and only ``chunk_rows`` explodes them.
 """
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_left
 from collections.abc import Callable
+from functools import reduce
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Where a chunk may end, best first: paragraph, sentence, line, word.
-_ENDS = [re.compile(p) for p in (r"\n(?=\n)", r"(?<=[.!?])\s", r"\n", r"\s")]
-_SPACE = _ENDS[-1]
-_SECTION = re.compile(r"(?m)^(?=#{1,6}[^\S\n])")
-_HEADING = re.compile(r"(#{1,6})[^\S\n](.*)")
-_BLANK_LINES = re.compile(r"\n\s*\n")
-_FILE, _HUNK = re.compile(r"(?m)^(?=diff --git )"), re.compile(r"(?m)^(?=@@ )")
+#: What ends a sentence, and the marks of headings, files and hunks.
+SENTENCE_ENDS, HEADING, FILE, HUNK = ".!?", "#", "diff --git ", "@@ "
 
 
-def _last(pattern: re.Pattern, text: str, low: int, high: int) -> int:
-    """Start of the last match in text[low:high], or -1."""
-    at = -1
-    for m in pattern.finditer(text, low, high):
-        at = m.start()
-    return at
+class _Places:
+    """Where a text may be cut, by kind and ascending: before blank lines, behind sentences, at line ends, at white space."""
 
+    def __init__(self, text: str):
+        self.space = [k for k, c in enumerate(text) if c.isspace()]
+        self.line = [k for k in self.space if text[k] == "\n"]
+        self.paragraph = [k for k, following in zip(self.line, self.line[1:], strict=False) if following == k + 1]
+        self.sentence = [k for k in self.space if k and text[k - 1] in SENTENCE_ENDS]
 
-def _end(text: str, start: int, limit: int) -> int:
-    """The best end in the second half of text[start:limit]; ``limit`` where it has no white space."""
-    low = start + (limit - start) // 2 + 1
-    return next((at for p in _ENDS if (at := _last(p, text, low, limit)) >= 0), limit)
+    @staticmethod
+    def last(places: list[int], low: int, high: int) -> int | None:
+        """The last of ``places`` from ``low`` on and before ``high``."""
+        k = bisect_left(places, high) - 1
+        return places[k] if k >= 0 and places[k] >= low else None
 
+    def end(self, start: int, limit: int) -> int:
+        """The best place behind the middle: a paragraph's before a sentence's, a line's, a word's, and else the limit itself."""
+        middle = start + (limit - start) // 2 + 1
+        kinds = ((self.paragraph, limit - 1), (self.sentence, limit), (self.line, limit), (self.space, limit))
+        found = (self.last(places, middle, high) for places, high in kinds)
+        return next((at for at in found if at is not None), limit)
 
-def _resume(text: str, start: int, end: int, overlap: int) -> int:
-    """Where the next chunk starts: ``overlap`` before ``end``, moved back to a line that starts near, else to a word."""
-    want = end - overlap if end - overlap > start else end
-    line = text.rfind("\n", start, want) + 1
-    if not line or want - line > max(overlap, 1):
-        line = _last(_SPACE, text, start, want) + 1
-    at = line or want
-    while at < len(text) and text[at].isspace():
-        at += 1
-    return at
+    def again(self, start: int, end: int, overlap: int) -> int:
+        """Where the next chunk repeats from: a line that begins at most ``overlap`` before the overlap, else the word that it falls in."""
+        back = end - overlap if end - overlap > start else end
+        line, word = self.last(self.line, start, back), self.last(self.space, start, back)
+        if line is not None and back - line - 1 <= max(overlap, 1):
+            return line + 1
+        return back if word is None else word + 1
 
 
 def chunk_text(text: str | None, max_chars: int = 900, overlap: int = 120) -> list[str]:
-    """Overlapping chunks that end and start at words wherever there is white space."""
+    """Overlapping chunks that end and start at words wherever there is white space; ``overlap`` is below ``max_chars``."""
     text = (text or "").strip()
-    overlap = max(0, min(overlap, max_chars - 1))
-    out, start = [], 0
-    while len(text) - start > max_chars:
-        end = _end(text, start, start + max_chars)
-        out.append(text[start:end].strip())
-        start = _resume(text, start, end, overlap)
-    out.append(text[start:].strip())
-    return [c for c in out if c]
+    places, repeated = _Places(text), min(max(overlap, 0), max_chars - 1)
+    spans, start = [], 0
+    while start + max_chars < len(text):
+        end = places.end(start, start + max_chars)
+        spans.append((start, end))
+        start = places.again(start, end, repeated)
+        start += len(text[start:]) - len(text[start:].lstrip()) if text[start].isspace() else 0
+    spans.append((start, len(text)))
+    return [c for c in (text[a:b].strip() for a, b in spans) if c]
 
 
-def _fitted(part: str, max_chars: int, overlap: int) -> list[str]:
-    return [part] if len(part) <= max_chars else chunk_text(part, max_chars, overlap)
+def _fitted(parts: list[str], max_chars: int, overlap: int) -> list[str]:
+    """Parts without blank ones, long ones in chunks."""
+    return [c for p in parts if p.strip() for c in ([p] if len(p) <= max_chars else chunk_text(p, max_chars, overlap))]
+
+
+def _level(line: str) -> int:
+    """How deep a heading is; 0 for other lines."""
+    marks = len(line) - len(line.lstrip(HEADING))
+    return marks if 1 <= marks <= 6 and line[marks : marks + 1].isspace() else 0
+
+
+def _grouped(lines: list[str], begins: Callable[[str], bool]) -> list[list[str]]:
+    """Lines in stretches, each from one that ``begins`` on; what comes before the first is a stretch too."""
+    numbers = accumulate(int(begins(x)) for x in lines)
+    return [[x for _, x in rows] for _, rows in groupby(zip(numbers, lines, strict=True), key=lambda r: r[0])]
 
 
 def chunk_markdown(text: str | None, max_chars: int = 900, overlap: int = 120, title: str | None = None) -> list[str]:
     """Paragraphs by section, each below a line ``title > heading > subheading``, which isn't counted."""
     out: list[str] = []
-    path: list[tuple[int, str]] = []
-    for section in _SECTION.split((text or "").strip()):
-        heading = _HEADING.match(section)
-        if heading:
-            level = len(heading[1])
-            path = [p for p in path if p[0] < level] + [(level, heading[2].strip())]
-        names = [n for n in ((title or "").strip(), *(p[1] for p in path)) if n]
-        context = " > ".join(n for k, n in enumerate(names) if not k or n != names[k - 1])
-        paragraphs = [p for p in map(str.strip, _BLANK_LINES.split(section.strip())) if p]
-        if heading and len(paragraphs) > 1 and "\n" not in paragraphs[0]:  # a bare heading goes with what follows
-            paragraphs[:2] = ["\n\n".join(paragraphs[:2])]
-        for p in paragraphs:
-            out += [f"{context}\n\n{c}" if context else c for c in _fitted(p, max_chars, overlap)]
+    open_headings: dict[int, str] = {}
+    for section in _grouped((text or "").strip().split("\n"), lambda x: _level(x) > 0):
+        level = _level(section[0])
+        if level:
+            open_headings = {k: v for k, v in open_headings.items() if k < level} | {level: section[0].lstrip(HEADING).strip()}
+        # A name that is the one before it is said once.
+        names = reduce(lambda said, n: said if not n or said[-1:] == [n] else [*said, n], [(title or "").strip(), *open_headings.values()], [])
+        context = " > ".join(names) + "\n\n" if names else ""
+        paragraphs = ["\n".join(rows).strip() for filled, rows in groupby(section, key=lambda x: bool(x.strip())) if filled]
+        if level and len(paragraphs) > 1 and paragraphs[0] == section[0].strip():  # a heading alone says nothing
+            paragraphs = [paragraphs[0] + "\n\n" + paragraphs[1], *paragraphs[2:]]
+        out += [context + c for c in _fitted(paragraphs, max_chars, overlap)]
     return out
 
 
 def chunk_diff(text: str | None, max_chars: int = 1400, overlap: int = 180) -> list[str]:
     """What precedes the first file, then every hunk below its file's header; files without hunks as they are."""
-    segments: list[str] = []
-    for part in _FILE.split((text or "").strip()):
-        if part.startswith("diff --git "):
-            header, *hunks = _HUNK.split(part)
-            segments += [header + h for h in hunks] or [header]
+    parts: list[list[str]] = []
+    for block in _grouped((text or "").strip().split("\n"), lambda x: x.startswith(FILE)):
+        if block[0].startswith(FILE):
+            header, *hunks = _grouped(block, lambda x: x.startswith(HUNK))
+            parts += [header + h for h in hunks] or [header]
         else:
-            segments.append(part)
-    return [c for s in map(str.strip, segments) if s for c in _fitted(s, max_chars, overlap)]
+            parts.append(block)
+    return _fitted(["\n".join(p).strip() for p in parts], max_chars, overlap)
 
 
 def _column(function: Callable, *inputs: Column) -> Column:

@@ -42,26 +42,32 @@ def conversation_title(first_query: Column) -> Column:
     return preview(first_query, 80, "…")
 
 
+#: What may stand around a title, and behind it (fixed values).
+TITLE_QUOTES, TITLE_TAIL = "\"'`“”‘’", ".,;:!?-–—"
+
+
 def llm_title(raw: Column) -> Column:
-    """First line of a model's answer, without quotes or ``Title:``, at most seven words and 60 characters."""
-    line = F.trim(F.element_at(F.split(F.trim(raw), "\n"), 1))
-    bare = F.trim(F.regexp_replace(F.regexp_replace(line, r"^[\"'`]+|[\"'`]+$", ""), r"(?i)^title:\s*", ""))
-    words = F.array_join(F.slice(F.split(bare, r"\s+"), 1, 7), " ")
-    return F.rtrim(F.substring(F.regexp_replace(words, r"[.,:;!?]+$", ""), 1, 60))
+    """First line of a model's answer, without quotes or ``Title:``, at most seven words, then 60 characters and an ellipsis."""
+    line = F.trim(F.element_at(F.split(_strip(raw), r"\R"), 1))
+    bare = F.regexp_replace(F.btrim(line, F.lit(TITLE_QUOTES)), r"^[Tt]itle\s*:\s*", "")
+    words = F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
+    title = F.rtrim(F.array_join(F.slice(words, 1, 7), " "), F.lit(TITLE_TAIL))
+    return F.when(F.length(title) > 60, F.concat(F.rtrim(F.substring(title, 1, 60)), F.lit("…"))).otherwise(title)
+
 
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
-#: First words that make a label a sentence (fixed values).
-PRONOUNS = ["i", "we", "you", "he", "she", "it", "they"]
+
+#: First words of a label that make it a sentence, and last characters that leave one open (fixed values).
+LABEL_FIRST, LABEL_LAST = ["it", "this", "that", "these", "those", "there", "here"], [":", ".", ","]
 
 
 def valid_label(label: Column) -> Column:
-    flat = F.trim(label)
-    words = F.split(flat, r"\s+")
-    return (
-        (F.length(flat).between(1, 80))
-        & ~flat.rlike(r"[:.,]$")
-        & (F.size(words) <= 8)
-        & ~F.lower(F.element_at(words, 1)).isin(PRONOUNS)
+    """At most 80 characters and eight words, not the beginning of a sentence; null and blank labels are invalid."""
+    words = F.filter(F.split(F.coalesce(label, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+    return F.coalesce(
+        F.size(words).between(1, 8) & (F.length(label) <= 80) & ~F.right(label, F.lit(1)).isin(LABEL_LAST) & ~F.lower(F.try_element_at(words, F.lit(1))).isin(LABEL_FIRST), F.lit(False)
     )
 
 
@@ -70,24 +76,44 @@ def citations(answer: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[E(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
 
 
+def split_citations(cited: Column, n_evidence: Column) -> Column:
+    """struct(valid, invalid): cited numbers from 1 to ``n_evidence``, and the others, in order."""
+    known = lambda x: x.between(1, n_evidence)
+    return F.struct(F.filter(cited, known).alias("valid"), F.filter(cited, lambda x: ~known(x)).alias("invalid"))
+
+
 def strip_citations(answer: Column) -> Column:
-    return F.regexp_replace(answer, r"\s*\[E\d+\]", "")
+    return F.regexp_replace(answer, r"\[E\d+\]", "")
 
 
 def project_key(source_type: Column, uri: Column) -> Column:
-    """What groups events into episodes."""
-    blank = F.coalesce(F.trim(uri), F.lit("")) == ""
-    fallback = F.when(F.coalesce(source_type, F.lit("")) == "", "unknown").otherwise(source_type)
-    before_at = F.when(uri.contains("@"), F.regexp_replace(uri, "@[^@]*$", "")).otherwise(uri)
-    folder = F.when(uri.contains("/"), F.regexp_replace(uri, "/[^/]*$", "")).otherwise(F.lit(""))
+    """What groups events into episodes: a commit's repository, a file's folder, else the type, else the uri."""
+    kind = F.coalesce(source_type, F.lit(""))
+    folder = F.regexp_replace(uri, "/+[^/]*$", "")
+    folder = F.when(folder != "", folder).when(uri.startswith("/"), "/").otherwise(uri)
     return (
-        F.when(blank, fallback)
-        .when(source_type.isin("git", "git_commit"), before_at)
-        .when(source_type.isin("note", "pdf", "image"), F.when(folder == "", uri).otherwise(folder))
-        .otherwise(fallback)
+        F.when(F.coalesce(uri, F.lit("")) == "", F.when(kind == "", "unknown").otherwise(kind))
+        .when(kind == "git_commit", F.regexp_replace(uri, "(?s)@[^@]*$", ""))
+        .when(kind.isin("note", "pdf", "image"), folder)
+        .otherwise(F.when(kind == "", uri).otherwise(kind))
     )
 
 
+def name_list(names: Column, shown: int = 8) -> Column:
+    """The first names joined by ``; `` and how many more there are; empty ones don't count."""
+    named = F.filter(names, lambda n: F.coalesce(n, F.lit("")) != "")
+    more = F.when(F.size(named) > shown, F.concat(F.lit("; … (+"), (F.size(named) - shown).cast("string"), F.lit(" more)")))
+    return F.concat(F.array_join(F.slice(named, 1, shown), "; "), F.coalesce(more, F.lit("")))
+
+
+def episode_title(project: Column, n: Column, start: Column, end: Column) -> Column:
+    """``folder: N event(s), first day..last day``; times are texts that begin with their day."""
+    base = F.element_at(F.split(F.rtrim(project, F.lit("/")), "/"), -1)
+    first, last = F.substring(start, 1, 10), F.substring(F.coalesce(end, start), 1, 10)
+    span = F.when(start.isNull(), "undated").when(first == last, first).otherwise(F.concat(first, F.lit(".."), last))
+    return F.concat(F.when(base == "", project).otherwise(base), F.lit(": "), n.cast("string"), F.when(n == 1, " event, ").otherwise(" events, "), span)
+
+
 def fingerprint(text: Column, *prefix: str, version: str = CHUNKER_VERSION) -> Column:
     """sha256 of the prefixes (engine, its version), the chunker's version and the text, unit-separated."""
     return F.sha2(F.concat_ws("\x1f", *[F.lit(p) for p in prefix], F.lit(version), text), 256)
@@ -98,8 +124,16 @@ LOCATOR = "modality string, page string, region string, figure_index string, ocr
 
 
 def build_locator(**fields: Column) -> Column:
-    """JSON of the fields that aren't null."""
-    return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    """JSON of the fields that aren't null; an unknown ``modality`` is an error."""
+    row = F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    known = fields["modality"].isin(MODALITIES) if "modality" in fields else F.lit(True)
+    return F.when(F.coalesce(known, F.lit(False)), row).otherwise(F.raise_error(F.lit("unknown modality")))
+
+
+def event_source(metadata: Column) -> Column:
+    """The source_id that an event's metadata names; null unless it is a JSON integer."""
+    raw = F.regexp_extract(F.coalesce(metadata, F.lit("")), r'"source_id"\s*:\s*(-?\d+)\s*[,}]', 1)
+    return F.when(F.get_json_object(metadata, "$.source_id") == raw, raw.try_cast("bigint"))
 
 
 def parse_locator(raw: Column) -> Column:
@@ -138,23 +172,63 @@ def gold_uris(raw: Column) -> Column:
 
 
 def uri_problem(uri: Column) -> Column:
-    """What is wrong with a gold uri by its form, or null."""
-    return F.when(~uri.startswith("/"), "not_absolute").when(uri.contains("//"), "doubled_slash")
+    """What is wrong with a gold uri by its form, or null: it names no place (a path from the root, or a scheme), or a part of its path is empty."""
+    colon = F.instr(uri, "://")
+    path = F.when(colon > 0, F.substring(uri, colon + 3, F.length(uri))).otherwise(uri)
+    return F.when(colon == 1, "not_absolute").when((colon == 0) & ~uri.startswith("/"), "not_absolute").when(path.contains("//"), "doubled_slash")
+
+
+def uri_warnings(queries: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """query_text, uri, issue of the gold uris of ``queries`` (query_text, expected_source_uris) that can match nothing.
+
+    ``known`` (source_uri): sources that are there; with none, no uri counts as unknown.
+    """
+    each = queries.select("query_text", F.explode("expected_source_uris").alias("uri")).withColumn("issue", uri_problem(F.col("uri")))
+    if known is not None and not known.isEmpty():
+        there = known.select(F.col("source_uri").alias("uri")).distinct().withColumn("__known", F.lit(True))
+        each = each.join(there, "uri", "left").withColumn("issue", F.coalesce("issue", F.when(F.col("__known").isNull(), "unknown_source")))
+    return each.where("issue is not null").select("query_text", "uri", "issue")
+
+
+#: What opens a comparison and what joins its sides (fixed values), the first that is found counting.
+COMPARISONS = [(["difference between", "differences between"], ["and"]), (["compare"], ["with", "to", "and"]), ([], ["vs", "vs.", "versus"])]
+#: Words that a side doesn't begin with, and marks that it neither begins nor ends with (fixed values).
+SIDE_FIRST, SIDE_MARKS = ["a", "an", "the", "using"], ",;:"
 
 
-_SIDES = (
-    re.compile(r"^(?:what(?:'s| is| are)?\s+the\s+)?differences?\s+between\s+(?P<a>.+?)\s+and\s+(?P<b>.+?)\??$", re.I),
-    re.compile(r"^compare\s+(?P<a>.+?)\s+(?:and|with|to|vs\.?|versus)\s+(?P<b>.+?)\??$", re.I),
-    re.compile(r"^(?P<a>.+?)\s+(?:vs\.?|versus)\s+(?P<b>.+?)\??$", re.I),
-)
+def _comparison(openings: list[str], joiners: list[str]) -> str:
+    """Anywhere: opening, side, joiner, side up to the end of the sentence. Without an opening the first side begins with the first word."""
+    either = lambda names: "(?:" + "|".join(re.escape(n).replace(r"\ ", r"\s+") for n in sorted(names, key=len, reverse=True)) + ")"
+    begin = rf"\b{either(openings)}\s+" if openings else r"^(?:.*?\b)?(?=\S)"
+    return rf"{begin}(.+?)\s+{either(joiners)}\s+(.+?)(?:[.?!]|$)"
+
+
+def _side(found: str) -> str:
+    bare = found.strip().strip(SIDE_MARKS)
+    first, _, rest = bare.partition(" ")
+    return (rest if rest.strip() and first.lower() in SIDE_FIRST else bare).strip()
 
 
 def comparative_sides(query: str) -> tuple[str, str] | None:
     """The two sides of a comparative question, or None."""
-    flat = " ".join(query.split())
-    for pattern in _SIDES:
-        if m := pattern.match(flat):
-            a, b = (re.sub(r"^(?:the|an?)\s+", "", m[k].strip(" .,?"), flags=re.I) for k in "ab")
-            if a and b and a.lower() != b.lower():
-                return a, b
+    for openings, joiners in COMPARISONS:
+        if m := re.search(_comparison(openings, joiners), query, re.I):
+            sides = _side(m[1]), _side(m[2])
+            if all(sides) and sides[0].lower() != sides[1].lower():
+                return sides
     return None
+
+
+def comparative(query: Column) -> Column:
+    """``comparative_sides`` of a column: struct(left, right), or null."""
+
+    def side(pattern: str, group: int) -> Column:
+        bare = F.btrim(F.trim(F.regexp_extract(query, pattern, group)), F.lit(SIDE_MARKS))
+        return F.trim(F.regexp_replace(bare, rf"(?iU)^(?:{'|'.join(SIDE_FIRST)})\s+(?=\S)", ""))
+
+    found = []
+    for openings, joiners in COMPARISONS:
+        pattern = "(?iU)" + _comparison(openings, joiners)
+        left, right = side(pattern, 1), side(pattern, 2)
+        found.append(F.when((left != "") & (right != "") & (F.lower(left) != F.lower(right)), F.struct(left.alias("left"), right.alias("right"))))
+    return F.coalesce(*found)

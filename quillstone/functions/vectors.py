@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import tokenize
 
@@ -22,16 +27,82 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
-def centroids(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """``keys`` and centroid: the mean of unit vectors, at unit length (a zero mean stays)."""
-    n = norm(F.col(vector))
-    parts = df.select(*keys, F.posexplode(F.transform(vector, lambda x: x.cast("double"))).alias("__pos", "__x"), n.alias("__n"))
-    mean = parts.groupBy(*keys, "__pos").agg(F.avg(F.col("__x") / F.when(F.col("__n") > 0, F.col("__n")).otherwise(1.0)).alias("__m"))
-    rows = mean.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pos", "__m"))).alias("__v"), F.sqrt(F.sum(F.col("__m") * F.col("__m"))).alias("__len"))
-    return rows.select(*keys, F.transform("__v", lambda s: s["__m"] / F.when(F.col("__len") > 0, F.col("__len")).otherwise(1.0)).alias("centroid"))
+def centroids(df: DataFrame, keys: list[str], vector: str, groups_at_once: int = 10_000) -> DataFrame:
+    """``keys`` and centroid: the mean of unit vectors, at unit length (a zero mean stays).
+
+    Each task sums its own rows first, so a group is shuffled as one sum per task.
+    """
+    fields = [df.schema[k] for k in keys]
+    sums = T.StructType([*fields, T.StructField("__sum", T.ArrayType(T.DoubleType())), T.StructField("__n", T.LongType())])
+
+    def frame(found: dict) -> pd.DataFrame:
+        out = pd.DataFrame(list(found), columns=keys)
+        return out.assign(__sum=[s.tolist() for s, _ in found.values()], __n=[n for _, n in found.values()])
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple, tuple] = {}
+        for pdf in frames:
+            for *key, v in pdf.itertuples(index=False, name=None):
+                x = np.asarray(v, float)
+                length = np.sqrt(x @ x)
+                s, n = found.get(tuple(key), (0.0, 0))
+                found[tuple(key)] = (s + x / (length or 1.0), n + 1)
+            if len(found) > groups_at_once:
+                yield frame(found)
+                found = {}
+        if found:
+            yield frame(found)
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of equal keys are neighbours, so one is held at a time."""
+        key, total, n, done = None, None, 0, {}
+        for pdf in frames:
+            for *k, s, m in pdf.itertuples(index=False, name=None):
+                if tuple(k) != key and key is not None:
+                    done[key] = (total / n, n)
+                if tuple(k) != key:
+                    key, total, n = tuple(k), 0.0, 0
+                total, n = total + np.asarray(s, float), n + m
+            if done:
+                yield frame(done)
+                done = {}
+        if key is not None:
+            yield frame({key: (total / n, n)})
+
+    rows = df.where(F.col(vector).isNotNull()).select(*keys, vector)
+    parts = rows.mapInPandas(add, sums)
+    means = parts.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merge, sums)
+    length = norm(F.col("__sum"))
+    return means.select(*keys, F.transform("__sum", lambda x: x / F.when(length > 0, length).otherwise(1.0)).alias("centroid"))
+
+
+def pack(vector: Column) -> Column:
+    """A vector as bytes: 32-bit floats, little-endian."""
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return run(vector)
+
+
+def unpack(packed: Column) -> Column:
+    """What ``pack`` was given, of imported tables."""
+
+    @F.pandas_udf("array<float>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else np.frombuffer(b, "<f4").tolist())
+
+    return run(packed)
+
+
+def node_text(title: Column, content: Column) -> Column:
+    """What a node's vector is made of: title and content on lines of their own."""
+    return F.regexp_replace(F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(content, F.lit(""))), r"(?U)^\s+|\s+$", "")
 
 
 def bucket_embedding(text: Column, dim: int = 64) -> Column:
     """Deterministic embedding for tests: token counts by the last byte of their md5 (``dim`` divides 256)."""
     buckets = F.transform(tokenize(text), lambda t: F.conv(F.right(F.md5(t), F.lit(2)), 16, 10).cast("int") % dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(buckets, lambda b: b == k)).cast("float"))
+    counts = F.transform(F.array(buckets), lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: (F.size(b) - F.size(F.array_remove(b, k))).cast("float")))
+    return F.element_at(counts, 1)

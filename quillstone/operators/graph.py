@@ -1,103 +1,116 @@
-"""Graph operators over memory edges (parent_level, parent_id, child_level, child_id, relation)."""
+"""Graph operators over memory edges (parent_level, parent_id, child_level, child_id, relation[, weight])."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 DRILL = ["contains", "derived_from"]
+EDGE = ["parent_level", "parent_id", "child_level", "child_id", "relation"]
 
 
 def closure(edges: DataFrame, roots: DataFrame, chunks: DataFrame, max_depth: int = 8) -> DataFrame:
     """root_level, root_id, chunk_id: live chunks under each root, over drill-down relations only.
 
-    One frontier join per level for all roots at once. A frontier holds each node once per
-    root, so a cycle only repeats nodes until the depth bound; frontiers are kept
-    while the next one is made, and the first empty one ends the walk.
+    One frontier join per level for all roots at once. A node is walked once per root, so cycles and
+    diamonds end; a frontier is written before it is walked, and the first empty one ends the walk.
+    Chunks have nothing below them and are only gathered.
     """
-    steps = edges.where(F.col("relation").isin(DRILL)).select("parent_level", "parent_id", "child_level", "child_id").distinct()
-    frontier = roots.select(F.col("level").alias("root_level"), F.col("node_id").alias("root_id"), F.col("level"), F.col("node_id").alias("id"))
-    visited = frontier
+    steps = edges.where(F.col("relation").isin(DRILL)).select(EDGE[:4]).distinct()
+    upper, last = steps.where("child_level <> 0"), steps.where("child_level = 0")
+    key = ["root_level", "root_id", "level", "id"]
+    frontier = roots.select(F.col("level").alias("root_level"), F.col("node_id").alias("root_id"), "level", F.col("node_id").alias("id")).distinct()
+    leaves, seen = roots.select(F.col("level").alias("root_level"), F.col("node_id").alias("root_id"), F.col("node_id").alias("id")).where("root_level = 0"), frontier
     for _ in range(max_depth):
-        children = frontier.join(steps, (F.col("level") == F.col("parent_level")) & (F.col("id") == F.col("parent_id"))).select(
-            "root_level", "root_id", F.col("child_level").alias("level"), F.col("child_id").alias("id")
-        )
-        frontier = children.distinct().persist()
+        met = (F.col("level") == F.col("parent_level")) & (F.col("id") == F.col("parent_id"))
+        leaves = leaves.unionByName(frontier.join(last, met).select("root_level", "root_id", F.col("child_id").alias("id")))
+        below = frontier.join(upper, met).select("root_level", "root_id", F.col("child_level").alias("level"), F.col("child_id").alias("id")).distinct()
+        frontier = durable(below.join(seen, key, "left_anti"))
         if frontier.isEmpty():
             break
-        visited = visited.unionByName(frontier)
-    visited = visited.distinct()
-    leaves = visited.where("level = 0").select("root_level", "root_id", F.col("id").alias("chunk_id"))
-    return leaves.join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("root_level", "root_id", "chunk_id")
+        seen = seen.unionByName(frontier)
+    return leaves.distinct().withColumnRenamed("id", "chunk_id").join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("root_level", "root_id", "chunk_id")
 
 
-def cooccurrence(membership: DataFrame, group: str, item: str) -> DataFrame:
-    """a, b (a < b), weight: in how many groups two items meet."""
-    rows = membership.select(group, item).distinct()
-    left, right = rows.select(group, F.col(item).alias("a")), rows.select(group, F.col(item).alias("b"))
-    return left.join(right, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+def children(edges: DataFrame, nodes: DataFrame, relation: str | None = None) -> DataFrame:
+    """Edges below ``nodes`` (level, node_id), of one relation where given."""
+    return _next_to(edges, nodes, "parent", relation)
 
 
-#: Edges up to which one task ranks the whole graph.
-SMALL_GRAPH = 200_000
+def parents(edges: DataFrame, nodes: DataFrame, relation: str | None = None) -> DataFrame:
+    """Edges above ``nodes`` (level, node_id), of one relation where given."""
+    return _next_to(edges, nodes, "child", relation)
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, small: int = SMALL_GRAPH) -> DataFrame:
-    """node_id, centrality: weighted, undirected, dangling mass spread evenly, divided by the largest.
+def _next_to(edges: DataFrame, nodes: DataFrame, end: str, relation: str | None) -> DataFrame:
+    rows = edges if relation is None else edges.where(F.col("relation") == relation)
+    ids = nodes.select(F.col("level").alias(f"{end}_level"), F.col("node_id").alias(f"{end}_id")).distinct()
+    return rows.join(ids, [f"{end}_level", f"{end}_id"], "left_semi")
+
+
+def cooccurrence(membership: DataFrame, group: str, item: str, part: int = 2048) -> DataFrame:
+    """a, b (a < b), weight: in how many groups two items meet.
 
-    ``edges``: a, b, weight; parallel edges add up. A graph of at most ``small`` edges (counted
-    first) is ranked in one task, as rounds of tiny jobs would cost more than the work; a larger
-    one takes a join and a sum per round, each round's ranks written to the checkpoint folder.
+    The pairs of a group of m items are m x m rows of work by definition; a group above ``part`` items is dealt over
+    several tasks, and pairs are summed before they are shuffled.
     """
-    both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
-    both = both.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight")).persist()
-    if both.count() <= 2 * small and nodes.count() <= small:
-        return _pagerank_small(nodes, both, damping, iterations)
-    spark = nodes.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    out = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    shares = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).persist()
-    n = nodes.count()
-    linked = out.select(F.col("src").alias("node_id"), F.lit(False).alias("dangling"))
-    base = nodes.select("node_id").join(linked, "node_id", "left").withColumn("dangling", F.coalesce("dangling", F.lit(True))).persist()
-    rank = base.withColumn("rank", F.lit(1.0 / n))
-    for _ in range(iterations):
-        lost = rank.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        flow = rank.join(shares, rank.node_id == shares.src).groupBy(F.col("dst").alias("node_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        rank = base.join(flow, "node_id", "left").select(
-            "node_id", "dangling", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")
-        ).checkpoint()
-    top = rank.agg(F.max("rank")).first()[0]
-    return rank.select("node_id", (F.col("rank") / F.lit(top)).alias("centrality"))
+    rows = membership.select(group, item).distinct()
+    salts = rows.groupBy(group).agg(F.ceil(F.count("*") / part).cast("int").alias("__salts"))
+    sized = rows.join(salts, group)
+    left = sized.select(group, F.col(item).alias("a"), F.pmod(F.xxhash64(item), F.col("__salts")).cast("int").alias("__salt"))
+    right = sized.select(group, F.col(item).alias("b"), F.explode(F.sequence(F.lit(0), F.col("__salts") - 1)).alias("__salt"))
+    return left.join(right, [group, "__salt"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
-def _pagerank_small(nodes: DataFrame, both: DataFrame, damping: float, iterations: int) -> DataFrame:
-    import numpy as np
-    import pandas as pd
+def concept_links(edges: DataFrame) -> DataFrame:
+    """All edges with those between concepts made anew: two concepts relate by the number of episodes that hold events of both."""
+    held = edges.where("relation = 'contains' and child_level = 1")
+    of = lambda level, name: held.where(F.col("parent_level") == level).select(F.col("child_id").alias("event"), F.col("parent_id").alias(name)).distinct()
+    pairs = cooccurrence(of(3, "concept").join(of(2, "episode"), "event"), "episode", "concept")
+    fresh = pairs.select(F.lit(3).alias("parent_level"), F.col("a").alias("parent_id"), F.lit(3).alias("child_level"), F.col("b").alias("child_id"), F.lit("relates_to").alias("relation"), F.col("weight").cast("double").alias("weight"))
+    return edges.where("relation <> 'relates_to'").unionByName(fresh, allowMissingColumns=True)
 
-    kind = nodes.schema["node_id"].dataType.simpleString()
-    rows = nodes.select(F.lit(1).alias("g"), F.col("node_id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(0.0).alias("weight")).unionByName(
-        both.select(F.lit(1).alias("g"), F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), "weight")
-    )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = pdf[pdf["dst"].notna()]
-        ids = sorted(set(pdf.loc[pdf["dst"].isna(), "src"]))
-        place = {v: k for k, v in enumerate(ids)}
-        links = links[links["src"].isin(place) & links["dst"].isin(place)].sort_values(["src", "dst"])
-        a, b, w = links["src"].map(place).to_numpy(int), links["dst"].map(place).to_numpy(int), links["weight"].to_numpy(float)
-        n = len(ids)
-        total = np.bincount(a, w, n)
-        rank = np.full(n, 1.0 / n)
-        for _ in range(iterations):
-            lost = rank[total == 0].sum()
-            flow = np.bincount(b, rank[a] * w / total[a], n)
-            rank = (1 - damping) / n + damping * (flow + lost / n)
-        return pd.DataFrame({"node_id": ids, "centrality": rank / rank.max()})
+def rank_edges(edges: DataFrame, low: int = 1, high: int = 3) -> DataFrame:
+    """a, b, weight of the edges that PageRank walks: containment and relations between nodes of the levels."""
+    inside = F.col("parent_level").between(low, high) & F.col("child_level").between(low, high)
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    return edges.where(inside & F.col("relation").isin("contains", "relates_to")).select(F.col("parent_id").alias("a"), F.col("child_id").alias("b"), weight.alias("weight"))
+
+
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 50, every: int = 10) -> DataFrame:
+    """node_id, centrality: weighted, undirected, dangling mass spread evenly, divided by the largest.
+
+    ``edges``: a, b, weight; parallel edges add up, and an edge to an unknown node counts for neither end.
 
-    return rows.groupBy("g").applyInPandas(run, f"node_id {kind}, centrality double")
+    A round is linear: rank(t + 1) = even(t) + M rank(t), where M walks the edges and even(t) holds what teleports and what dangling
+    nodes spread. As edges lead both ways, a dangling node has none at all and only ever holds even mass, so all even(t) follow from
+    the number of such nodes, and the rounds need one join and one sum each. Every
+    ``every`` rounds are one job, whose ranks are written to the checkpoint folder.
+    """
+    ids = nodes.select("node_id").distinct()
+    ends = edges.where("weight > 0").join(ids.select(F.col("node_id").alias("a")), "a", "left_semi").join(ids.select(F.col("node_id").alias("b")), "b", "left_semi")
+    both = ends.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(ends.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
+    both = both.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
+    out = both.groupBy("src").agg(F.sum("weight").alias("total"))
+    shares = durable(both.join(out, "src").select("src", "dst", (damping * F.col("weight") / F.col("total")).alias("share")))
+    linked = shares.select(F.col("src").alias("node_id")).distinct()
+    n, alone = max(ids.count(), 1), ids.join(linked, "node_id", "left_anti")
+    n_alone = alone.count()
+    # A rank is the sum of even masses, each walked as many rounds as it is old: oldest first here.
+    mass = [1.0]
+    for _ in range(iterations):
+        mass.append((1 - damping) + damping * mass[-1] * n_alone / n)
+    rank = linked.withColumn("rank", F.lit(mass[0] / n))
+    for k, m in enumerate(mass[1:], 1):
+        walked = rank.withColumnRenamed("node_id", "src").join(shares, "src").groupBy(F.col("dst").alias("node_id"))
+        rank = walked.agg((F.sum(F.col("rank") * F.col("share")) + m / n).alias("rank"))
+        rank = durable(rank) if k % every == 0 else rank
+    rank = durable(rank.unionByName(alone.withColumn("rank", F.lit(mass[-1] / n))))
+    top = rank.agg(F.max("rank")).first()[0]
+    return rank.select("node_id", (F.col("rank") / F.lit(top or 1.0)).alias("centrality"))
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -124,6 +137,5 @@ def reanchor(edges: DataFrame, events: DataFrame, chunks: DataFrame) -> DataFram
         F.lit(1).alias("parent_level"), F.col("node_id").alias("parent_id"), F.lit(0).alias("child_level"), F.col("chunk_id").alias("child_id"), F.lit("derived_from").alias("relation")
     )
     repaired = fresh.select(F.col("parent_id")).distinct()
-    columns = ["parent_level", "parent_id", "child_level", "child_id", "relation"]
-    kept = edges.join(dead.join(repaired, "parent_id", "left_semi"), columns, "left_anti").select(columns)
+    kept = edges.join(dead.join(repaired, "parent_id", "left_semi"), EDGE, "left_anti").select(EDGE)
     return kept.unionByName(fresh).distinct()

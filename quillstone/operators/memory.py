@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scores, vectors
+from ..functions import scores, text, vectors
 
 
 def sessionise(events: DataFrame, gap_hours: float = 24.0, key: str = "project", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
@@ -24,23 +24,30 @@ def episodes(sessioned: DataFrame, key: str = "project", ts: str = "ts") -> Data
     return sessioned.groupBy(key, "session").agg(F.count("*").alias("n_events"), F.min(ts).alias("time_start"), F.max(ts).alias("time_end"))
 
 
+def window_index(events: DataFrame, days: float = 30.0, key: str = "concept_id", ts: str = "ts") -> DataFrame:
+    """Dated events with idx: which window they fall in, counted from the concept's first event (``__t0``)."""
+    first = events.where(F.col(ts).isNotNull()).groupBy(key).agg(F.min(ts).alias("__t0"))
+    idx = F.floor((F.unix_micros(ts) - F.unix_micros("__t0")) / int(days * scores.DAY)).cast("long")
+    return events.where(F.col(ts).isNotNull()).join(first, key).withColumn("idx", idx)
+
+
 def drift_windows(events: DataFrame, days: float = 30.0, key: str = "concept_id", ts: str = "ts") -> DataFrame:
     """``key``, idx, window_start, window_end, support; windows are anchored at the concept's first event."""
-    first = F.min(ts).over(Window.partitionBy(key))
     size = int(days * scores.DAY)
-    dated = events.where(F.col(ts).isNotNull()).withColumn("__t0", first)
-    idx = F.floor((F.unix_micros(ts) - F.unix_micros("__t0")) / size).cast("long")
-    rows = dated.withColumn("idx", idx).groupBy(key, "idx").agg(F.count("*").alias("support"), F.first("__t0").alias("__t0"))
+    rows = window_index(events, days, key, ts).groupBy(key, "idx").agg(F.count("*").alias("support"), F.min("__t0").alias("__t0"))
     start = F.timestamp_micros(F.unix_micros("__t0") + F.col("idx") * size)
     end = F.timestamp_micros(F.unix_micros("__t0") + (F.col("idx") + 1) * size)
     return rows.select(key, "idx", start.alias("window_start"), end.alias("window_end"), "support")
 
 
 def relearned(windows: DataFrame, key: str = "concept_id") -> DataFrame:
-    """``key``, n_windows, support, relearned: some window starts after the previous one ended."""
+    """``key``, n_windows, support, span_start, span_end, relearned (some window starts after the previous one ended) and, of windows with a drift, overall_drift."""
     order = Window.partitionBy(key).orderBy("idx")
     flagged = windows.withColumn("__gap", F.coalesce(F.col("window_start") > F.lag("window_end").over(order), F.lit(False)))
-    return flagged.groupBy(key).agg(F.count("*").alias("n_windows"), F.sum("support").alias("support"), F.max("__gap").alias("relearned"))
+    most = [F.max("drift").alias("overall_drift")] if "drift" in windows.columns else []
+    return flagged.groupBy(key).agg(
+        F.count("*").alias("n_windows"), F.sum("support").alias("support"), F.max("__gap").alias("relearned"), F.min("window_start").alias("span_start"), F.max("window_end").alias("span_end"), *most
+    )
 
 
 def drift_metric(vectors_by_window: DataFrame, keys: list[str], idx: str, vector: str) -> DataFrame:
@@ -107,6 +114,79 @@ def forgetting_risk(nodes: DataFrame, now: Column, half_life: float = 30.0, min_
     return rows.withColumn("risk", F.col("importance") * F.col("staleness")).withColumn("confidence", scores.confidence(F.col("support")))
 
 
+def last_touch(nodes: DataFrame, evidence: DataFrame, chunks: DataFrame, usage: DataFrame | None = None) -> DataFrame:
+    """``nodes`` (node_id, time_start, time_end) that have evidence, with support and last_touch: the latest of their use, their span and their sources' times.
+
+    ``evidence``: root_id, chunk_id; ``chunks``: chunk_id, ts; ``usage``: target_kind, target_id, last_event_at, of which nodes' uses count.
+    """
+    of_chunks = evidence.join(chunks.select("chunk_id", "ts"), "chunk_id").groupBy(F.col("root_id").alias("node_id")).agg(F.count("*").alias("support"), F.max("ts").alias("__content"))
+    rows = nodes.join(of_chunks, "node_id").withColumn("__used", F.lit(None).cast("timestamp"))
+    if usage is not None:
+        used = usage.where("target_kind = 'node'").select(F.col("target_id").alias("node_id"), F.col("last_event_at").cast("timestamp").alias("__used"))
+        rows = rows.drop("__used").join(used, "node_id", "left")
+    touched = F.greatest("__used", F.col("time_end").cast("timestamp"), F.col("time_start").cast("timestamp"), F.col("__content").cast("timestamp"))
+    return rows.withColumn("last_touch", touched).drop("__used", "__content")
+
+
+def by_risk(risks: DataFrame, top: int | None = None) -> DataFrame:
+    """The riskiest first; of equal ones the surer, then the older node."""
+    ordered = risks.orderBy(F.desc("risk"), F.desc("confidence"), "node_id")
+    return ordered if top is None else ordered.limit(top)
+
+
+def by_drift(summaries: DataFrame, top: int | None = None, min_support: int = 1) -> DataFrame:
+    """Concepts that moved most first; of equal ones the surer, then the older."""
+    sure = summaries.where(F.col("support") >= min_support).withColumn("confidence", scores.confidence(F.col("support")))
+    ordered = sure.orderBy(F.desc("overall_drift"), F.desc("confidence"), "concept_id")
+    return ordered if top is None else ordered.limit(top)
+
+
+def central_ranks(members: DataFrame, group: str = "cluster", item: str = "node_id", vector: str = "vector") -> DataFrame:
+    """``members`` with place (from 1 per group): nearest to the group's centroid first, then by id, those without a vector last."""
+    centre = vectors.centroids(members, [group], vector)
+    # Rounded, so that equal cosines tie by id whatever the order of summation.
+    near = F.when(F.col(vector).isNotNull(), F.round(vectors.cosine(F.col(vector), F.col("centroid")), 9))
+    order = Window.partitionBy(group).orderBy(near.desc_nulls_last(), item)
+    return members.join(centre, group, "left").withColumn("place", F.row_number().over(order)).drop("centroid")
+
+
+def representative_titles(ranked: DataFrame, limit: int = 8, group: str = "cluster", title: str = "title") -> DataFrame:
+    """``group``, titles: the most central titles that differ in more than case, in order; blank ones don't count."""
+    named = ranked.withColumn("__title", F.trim(title)).where("__title <> ''")
+    once = named.withColumn("__n", F.row_number().over(Window.partitionBy(group, F.lower("__title")).orderBy("place"))).where("__n = 1")
+    first = once.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy("place"))).where(F.col("__n") <= limit)
+    return first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "__title"))), lambda s: s["__title"]).alias("titles"))
+
+
+def episode_nodes(sessioned: DataFrame, key: str = "project", ts: str = "ts", title: str = "title", event_id: str = "event_id", gap_hours: float = 24.0, version: str = "1") -> DataFrame:
+    """An episode per session: title, content, n_events, time_start, time_end, members (ascending event ids) and a fingerprint of what it was made from."""
+    order = F.struct(F.col(ts).isNull(), F.col(ts), F.col(event_id), F.col(title).alias("title"))
+    rows = sessioned.groupBy(key, "session").agg(
+        F.count("*").alias("n_events"), F.min(ts).alias("time_start"), F.max(ts).alias("time_end"), F.array_sort(F.collect_list(event_id)).alias("members"), F.array_sort(F.collect_list(order)).alias("__rows")
+    )  # an episode's own events
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    made = F.concat_ws("\x1f", F.lit(version), F.lit(str(int(gap_hours * 3600))), F.col(key).cast("string"), F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    return rows.select(
+        key, "session", "n_events", "time_start", "time_end", "members",
+        text.episode_title(F.col(key).cast("string"), F.col("n_events"), day("time_start"), day("time_end")).alias("title"),
+        text.name_list(F.transform("__rows", lambda r: r["title"])).alias("content"),
+        F.sha2(made, 256).alias("fingerprint"),
+    )
+
+
+def concept_nodes(clusters: DataFrame, titles: DataFrame, model: str, theta: float = 0.80, version: str = "1") -> DataFrame:
+    """cluster, title, content, members, fingerprint of clustered events (node_id, cluster, vector; ``titles``: node_id, title): named by the most central title."""
+    ranked = central_ranks(clusters.join(titles, "node_id", "left"))
+    names = representative_titles(ranked)
+    rows = ranked.groupBy("cluster").agg(F.array_sort(F.collect_list("node_id")).alias("members"), F.array_sort(F.collect_list(F.struct("node_id", "title"))).alias("__titles"))  # a cluster's own events
+    made = F.concat_ws("\x1f", F.lit(version), F.lit(f"{theta:.4f}"), F.lit(model), F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+    base = F.coalesce(F.try_element_at("titles", F.lit(1)), F.lit("Concept"))
+    more = F.when(F.size("members") > 1, F.concat(F.lit(" (+"), (F.size("members") - 1).cast("string"), F.lit(" related)"))).otherwise("")
+    return rows.join(names, "cluster", "left").select(
+        "cluster", F.concat(base, more).alias("title"), text.name_list(F.transform("__titles", lambda r: r["title"])).alias("content"), "members", F.sha2(made, 256).alias("fingerprint")
+    )
+
+
 def embed_pending(rows: DataFrame, stored: DataFrame, provider, key: str, text: str, batch: int = 64) -> DataFrame:
     """Vectors of rows that have none of the provider's model, by its ``embed(list[str])``."""
     missing = rows.join(stored.where(F.col("model") == provider.name), key, "left_anti").select(key, text)

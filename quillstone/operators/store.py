@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import numbered
+
 
 def reconcile(stored: DataFrame, desired: DataFrame, key: str = "fingerprint") -> DataFrame:
     """``key``, action: created, kept or deleted."""
@@ -26,11 +29,62 @@ def source_changes(stored: DataFrame, scanned: DataFrame) -> DataFrame:
     return scanned.join(canonical, keys, "left").select(*keys, state.alias("state"))
 
 
+SOURCE = ["source_type", "source_uri"]
+
+
+def upsert_sources(stored: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sources as they should be, ids whose chunks go) after a scan.
+
+    ``stored``: id, source_type, source_uri, source_fingerprint, timestamp, title, metadata_json; ``scanned``: the same without id. Of
+    several stored rows of a scanned source the newest stays. An unchanged one keeps its timestamp, and takes fingerprint,
+    title and metadata only where it had no fingerprint; a changed one takes all, and its chunks go; new ones get the next ids. Sources that weren't scanned stay.
+    """
+    values = ["source_fingerprint", "timestamp", "title", "metadata_json"]
+    touched = stored.join(scanned.select(SOURCE).distinct(), SOURCE, "left_semi")
+    newest = Window.partitionBy(*SOURCE).orderBy(F.desc("id"))
+    ranked = touched.withColumn("__n", F.row_number().over(newest))
+    found = scanned.select(*SOURCE, *[F.col(c).alias(f"__{c}") for c in values])
+    met = ranked.where("__n = 1").drop("__n").join(found, SOURCE)
+    legacy = F.col("source_fingerprint").isNull()
+    same = F.coalesce(F.col("source_fingerprint") == F.col("__source_fingerprint"), F.lit(False)) | (legacy & F.col("timestamp").eqNullSafe(F.col("__timestamp")))
+    taken = {c: F.when(~same, F.col(f"__{c}")).when(legacy & F.lit(c != "timestamp"), F.col(f"__{c}")).otherwise(F.col(c)) for c in values}
+    kept = met.select("id", *SOURCE, *[v.alias(c) for c, v in taken.items()])
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = numbered(scanned.join(stored.select(SOURCE).distinct(), SOURCE, "left_anti").dropDuplicates(SOURCE).select(*SOURCE, *values), "__id", *SOURCE)
+    new = new.select((F.col("__id") + top).alias("id"), *SOURCE, *values)
+    others = stored.select("id", *SOURCE, *values).join(scanned.select(SOURCE).distinct(), SOURCE, "left_anti")
+    gone = ranked.where("__n > 1").select("id").unionByName(met.where(~same).select("id"))
+    return others.unionByName(kept).unionByName(new), gone
+
+
+def replace_chunks(chunks: DataFrame, vectors: DataFrame, gone: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors) without those of the sources in ``gone`` (id), and with ``fresh`` (source_id, chunk_index, text, metadata_json) under new ids."""
+    dead = chunks.join(gone.select(F.col("id").alias("source_id")).distinct(), "source_id", "left_semi").select("chunk_id")
+    top = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
+    new = numbered(fresh, "__id", "source_id", "chunk_index").withColumn("chunk_id", F.col("__id") + top).drop("__id")
+    left = chunks.join(dead, "chunk_id", "left_anti")
+    return left.unionByName(new.select(left.columns)), vectors.join(dead, "chunk_id", "left_anti")
+
+
 def replace_rows(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows of every ``key`` that ``fresh`` has come from there (chunks of a source, vectors of a chunk)."""
+    """Rows of every ``key`` that ``fresh`` has come from there (a chunk's or a node's vector, a recall card)."""
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+def reconciled(stored: DataFrame, desired: DataFrame, key: str = "fingerprint", name: str = "node_id", taken: DataFrame | None = None) -> DataFrame:
+    """Stored rows whose ``key`` is still desired, as they are, and the others of ``desired`` under the next ids; ``taken`` are other rows with ids."""
+    kept = stored.join(desired.select(key).distinct(), key, "left_semi")
+    top = (stored if taken is None else taken).agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
+    new = numbered(desired.join(stored.select(key).distinct(), key, "left_anti").dropDuplicates([key]), "__id", key)
+    return kept.unionByName(new.withColumn(name, F.col("__id") + top).drop("__id"), allowMissingColumns=True)
+
+
+def set_centrality(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Nodes with the centrality of ``ranks`` (node_id, centrality); those it lacks keep theirs."""
+    new = ranks.select("node_id", F.col("centrality").alias("__new"))
+    return nodes.join(new, "node_id", "left").withColumn("centrality", F.coalesce("__new", "centrality")).drop("__new").select(nodes.columns)
+
+
 EDGE = ["parent_level", "parent_id", "child_level", "child_id", "relation"]
 
 
@@ -58,11 +112,55 @@ def pending(rows: DataFrame, stored: DataFrame, model: str, key: str = "chunk_id
 
 
 def upsert_eval_queries(stored: DataFrame, fresh: DataFrame) -> DataFrame:
-    """By exact text: the lowest id stays and takes the fresh sources; new texts get the next ids."""
+    """By exact text: the lowest id stays and takes the fresh sources; new texts get the next ids, in order of the text."""
     first = Window.partitionBy("query_text").orderBy("id")
     canonical = stored.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    new = fresh.dropDuplicates(["query_text"]).withColumnRenamed("expected_source_uris", "__uris")
-    both = canonical.join(new, "query_text", "full_outer")
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
-    ranked = both.join(F.broadcast(top)).withColumn("__r", F.sum(F.when(F.col("id").isNull(), 1).otherwise(0)).over(Window.orderBy("query_text")))
-    return ranked.select(F.coalesce("id", F.col("__top") + F.col("__r")).alias("id"), "query_text", F.coalesce("__uris", "expected_source_uris").alias("expected_source_uris"))
+    new = fresh.dropDuplicates(["query_text"]).select("query_text", F.col("expected_source_uris").alias("__uris"))
+    kept = canonical.join(new, "query_text", "left").select("id", "query_text", F.coalesce("__uris", "expected_source_uris").alias("expected_source_uris"))
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = numbered(new.join(canonical.select("query_text"), "query_text", "left_anti"), "__id", "query_text")
+    return kept.unionByName(added.select((F.col("__id") + top).alias("id"), "query_text", F.col("__uris").alias("expected_source_uris")))
+
+
+def without_prefix(sources: DataFrame, chunks: DataFrame, queries: DataFrame, usage: DataFrame, uri_prefixes: list[str], query_prefix: str) -> dict[str, DataFrame]:
+    """All tables without the sources below some uris, their chunks and these chunks' uses, and without the queries of a prefix."""
+    below = F.lit(False)
+    for prefix in uri_prefixes:
+        below = below | F.col("source_uri").startswith(prefix)
+    gone = sources.where(below).select(F.col("id").alias("source_id"))
+    dead = chunks.join(gone, "source_id", "left_semi").select(F.col("chunk_id").alias("target_id"))
+    return {
+        "sources": sources.where(~F.coalesce(below, F.lit(False))),
+        "chunks": chunks.join(gone, "source_id", "left_anti"),
+        "queries": queries.where(~F.col("query_text").ilike(f"{query_prefix}%")),
+        "usage": usage.where("target_kind <> 'chunk'").unionByName(usage.where("target_kind = 'chunk'").join(dead, "target_id", "left_anti")),
+    }
+
+
+def backup(tables: dict[str, DataFrame], folder: str) -> DataFrame:
+    """Write every table below ``folder`` and, last, a manifest: name, n. A folder without a manifest is no backup."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, table in tables.items():
+        table.write.mode("errorifexists").parquet(f"{folder}/{name}")
+    counts = [(name, spark.read.parquet(f"{folder}/{name}").count()) for name in tables]
+    manifest = spark.createDataFrame(counts, "name string, n bigint")
+    manifest.coalesce(1).write.parquet(f"{folder}/_manifest")
+    return manifest
+
+
+def restore(spark: SparkSession, folder: str, target: str, force: bool = False) -> dict[str, DataFrame]:
+    """The tables of a backup, written below ``target``. ValueError where it isn't complete; FileExistsError where the target has tables and ``force`` isn't set."""
+    try:
+        manifest = spark.read.parquet(f"{folder}/_manifest").collect()
+    except AnalysisException as e:
+        raise ValueError(f"{folder} holds no backup") from e
+    tables = {r.name: (spark.read.parquet(f"{folder}/{r.name}"), r.n) for r in manifest}
+    for name, (table, n) in tables.items():
+        if table.count() != n:
+            raise ValueError(f"{folder}/{name} isn't what was backed up")
+    for name, (table, _) in tables.items():
+        try:
+            table.write.mode("overwrite" if force else "errorifexists").parquet(f"{target}/{name}")
+        except AnalysisException as e:
+            raise FileExistsError(f"{target}/{name}") from e
+    return {name: spark.read.parquet(f"{target}/{name}") for name in tables}

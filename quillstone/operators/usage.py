@@ -15,6 +15,22 @@ def summary(events: DataFrame, now: Column, half_life: float = 30.0) -> DataFram
     )
 
 
+def appended(events: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The log with new events (target_kind, target_id, event_type, event_at[, weight]); a weight that isn't given is its type's."""
+    given = F.col("weight") if "weight" in fresh.columns else None
+    return events.unionByName(fresh.withColumn("weight", scores.event_weight(given, F.col("event_type"))), allowMissingColumns=True)
+
+
+def hits_of(chunk_ids: list[int], event_type: str, event_at) -> list[tuple]:
+    """Rows of the log for the chunks of an answer, each once, in order: target_kind, target_id, event_type, event_at."""
+    return [("chunk", c, event_type, event_at) for c in dict.fromkeys(chunk_ids)]
+
+
+def stats(events: DataFrame, now: Column, top: int = 10, half_life: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """(events by type, the top targets by strength)."""
+    return by_type(events).orderBy("event_type"), top_targets(summary(events, now, half_life), top)
+
+
 def by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"))
 

@@ -56,6 +56,10 @@ def _query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return _read(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).first()["embedding"]
 
 
+#: The tokens of ``text`` in DuckDB.
+SQL_TOKENS = """flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_]+'),
+    lambda x: CASE WHEN contains(x, '_') AND replace(lower(x), '_', '') <> '' THEN [lower(x), replace(lower(x), '_', '')] ELSE [lower(x)] END))"""
+
 _WANTED = sorted(retrieval.query_tokens(QUERY).items())
 _TOK = """tok AS (
   SELECT doc_id, source, flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_]+'),
@@ -214,7 +218,8 @@ def drift_windows_support(spark, sf_dir):
 SELECT concept_id, count(*) AS n_windows, CAST(sum(support) AS BIGINT) AS support, bool_or(gap) AS relearned FROM g GROUP BY 1"""
 )
 def drift_relearning(spark, sf_dir):
-    return memory.relearned(memory.drift_windows(_project_events(spark, sf_dir).withColumnRenamed("project", "concept_id"), 7.0))
+    rows = memory.relearned(memory.drift_windows(_project_events(spark, sf_dir).withColumnRenamed("project", "concept_id"), 7.0))
+    return rows.select("concept_id", "n_windows", "support", "relearned")
 
 
 _CENT = """p AS (SELECT label, vec_id // 100 AS idx, generate_subscripts(embedding, 1) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x,
@@ -241,16 +246,6 @@ def cooccurrence_pairs(spark, sf_dir):
     return graph.cooccurrence(items, "l_orderkey", "p_brand")
 
 
-@query()
-def pagerank(spark, sf_dir):
-    links = _read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").cast("double").alias("weight"))
-    kind = F.concat(F.lit("t:"), F.col("event_type"))
-    user = F.concat(F.lit("u:"), F.col("user_id").cast("string"))
-    edges = links.select(user.alias("a"), kind.alias("b"), "weight")
-    nodes = edges.select(F.col("a").alias("node_id")).union(edges.select("b")).distinct()
-    return graph.pagerank(nodes, edges).select("node_id", F.round("centrality", 6).alias("centrality"))
-
-
 def _geography(spark, sf_dir):
     """region (3) > nation (2) > customer (1) > order (0)."""
     edge = lambda df, pl, p, cl, c: df.select(F.lit(pl).alias("parent_level"), F.col(p).cast("long").alias("parent_id"), F.lit(cl).alias("child_level"), F.col(c).cast("long").alias("child_id"), F.lit("contains").alias("relation"))
@@ -281,13 +276,6 @@ def dangling_edges(spark, sf_dir):
     return graph.dangling_edges(_part_edges(spark, sf_dir), nodes, chunks).select("parent_id", "child_id")
 
 
-@query("SELECT c_custkey AS node_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def unsupported_nodes(spark, sf_dir):
-    nodes = _read(spark, sf_dir, "customer").select(F.lit(1).alias("level"), F.col("c_custkey").alias("node_id"))
-    chunks = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("chunk_id"))
-    return graph.unsupported_nodes(nodes, _part_edges(spark, sf_dir), chunks).select("node_id")
-
-
 @query()
 def leader_clusters(spark, sf_dir):
     rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("vector"), "label")
@@ -324,7 +312,7 @@ def _messages(spark, sf_dir):
 def conversation_history(spark, sf_dir):
     m = _messages(spark, sf_dir)
     heads = m.groupBy("conversation_id").agg(F.max("turn_index").alias("updated_at"))
-    return conversations.history(heads, m).join(conversations.next_turn(m), "conversation_id").select("conversation_id", "n_messages", "next_turn")
+    return conversations.history(heads, m).select("conversation_id", "n_messages", "next_turn")
 
 
 @query(
@@ -341,60 +329,17 @@ def last_n_turns(spark, sf_dir):
     return conversations.last_turns(_messages(spark, sf_dir).where("role = 'user'"), 2).select("conversation_id", "turn_index")
 
 
-_RANK = """t AS (SELECT row_number() OVER (PARTITION BY label ORDER BY round(embedding[1], 6) DESC, vec_id) AS rank, label AS query_id, vec_id AS uri FROM embeddings),
-g AS (SELECT DISTINCT label AS query_id, vec_id AS uri FROM embeddings WHERE vec_id % 7 = 0),
-f AS (SELECT q.query_id, min(t.rank) AS rank FROM (SELECT DISTINCT query_id FROM g) q LEFT JOIN g ON q.query_id = g.query_id LEFT JOIN t ON t.query_id = g.query_id AND t.uri = g.uri GROUP BY 1)"""
-
-
-@query(f"WITH {_RANK} SELECT count(*) AS n_queries, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(CASE WHEN rank <= 5 THEN 1.0 / rank ELSE 0.0 END), 6) AS mrr FROM f")
-def eval_recall_mrr(spark, sf_dir):
-    e = _read(spark, sf_dir, "embeddings").withColumn("s", F.round(F.element_at("embedding", 1), 6))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("s"), "vec_id"))
-    ranked = e.select(F.col("label").alias("query_id"), F.col("vec_id").alias("uri"), rank.alias("rank"))
-    gold = e.where("vec_id % 7 = 0").select(F.col("label").alias("query_id"), F.col("vec_id").alias("uri"))
-    m = evaluation.retrieval_metrics(evaluation.first_correct_rank(ranked, gold), 5)
-    return m.select("n_queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"))
-
-
 @query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT round(sum(greatest(1, round_even(0.5 * n, 0))) / sum(n), 6) AS ratio FROM n")
 def compression_ratio(spark, sf_dir):
     return evaluation.compression_ratio(memory.distill_core(_vectors(spark, sf_dir), 0.5, "label", "chunk_id")).select(F.round("ratio", 6).alias("ratio"))
 
 
-@query(r"SELECT conv_id, turn, CAST(len(list_distinct(regexp_extract_all(text || ' [E' || (turn % 3) || '] [E1]', '\[E(\d+)\]', 1))) AS BIGINT) AS n_cited FROM conversations")
-def citations(spark, sf_dir):
-    answer = F.concat(F.col("text"), F.lit(" [E"), (F.col("turn") % 3).cast("string"), F.lit("] [E1]"))
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(text.citations(answer)).cast("long").alias("n_cited"))
-
-
-@query(
-    """SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'usage', count(*) FROM events
-UNION ALL SELECT 'messages', count(*) FROM conversations UNION ALL SELECT 'sources', count(DISTINCT source) FROM documents"""
-)
-def memory_stats(spark, sf_dir):
-    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    docs = _read(spark, sf_dir, "documents")
-    out = count("documents", docs)
-    for name, table in (("embeddings", "embeddings"), ("usage", "events"), ("messages", "conversations")):
-        out = out.unionByName(count(name, _read(spark, sf_dir, table)))
-    return out.unionByName(count("sources", docs.select("source").distinct()))
-
-
-@query(
-    r"""SELECT doc_id, CAST(len(flatten(list_transform(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9_]+'),
-  lambda x: CASE WHEN contains(x, '_') AND replace(lower(x), '_', '') <> '' THEN [lower(x), replace(lower(x), '_', '')] ELSE [lower(x)] END))) AS BIGINT) AS n_tokens FROM documents"""
-)
-def token_lists(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.size(text.tokenize(F.col("text"))).cast("long").alias("n_tokens"))
-
-
-@query()
-def stub_embedding(spark, sf_dir):
-    return _read(spark, sf_dir, "benchmark").select("item_id", vectors.bucket_embedding(F.col("text")).alias("vector"))
-
-
 @query()
 def chunk_documents(spark, sf_dir):
     """Overlapping chunks of every document."""
     docs = _read(spark, sf_dir, "documents")
     return chunking.chunk_rows(docs, chunking.text_chunks(F.col("text")), "doc_id")
+
+
+# The other queries add themselves to the same tables.
+from . import changes, memories, texts  # noqa: E402, F401

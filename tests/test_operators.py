@@ -25,6 +25,8 @@ def test_scores(spark):
 def test_text_parsers(spark):
     assert text.comparative_sides("difference between the alpha and beta?") == ("alpha", "beta")
     assert text.comparative_sides("alpha vs Alpha") is None and text.comparative_sides("tell me about alpha") is None
+    assert text.comparative_sides("Please compare using Rust to a Zig compiler. Now") == ("Rust", "Zig compiler") and text.comparative_sides("(tea) versus coffee!") == ("tea)", "coffee")
+    assert [text.comparative_sides(q) for q in ("", "difference in taste", "compare teas", "vs", "tea vs ")] == [None] * 5
     assert one(spark, text.citations(F.lit("a [E2] b [E1] [E2]"))) == [2, 1]
     assert one(spark, text.gold_uris(F.lit('["/a", "/b"]'))) == ["/a", "/b"]
     assert one(spark, text.gold_uris(F.lit('"/a"'))) == ["/a"] and one(spark, text.gold_uris(F.lit("/a, /b"))) == ["/a", "/b"]
@@ -74,12 +76,22 @@ def test_graph(spark):
     assert ranks["h"] == 1.0 and ranks["a"] == ranks["b"] < 1 and ranks["z"] < ranks["a"]
 
 
-def test_pagerank_rounds_equal_small(spark, tmp_path):
-    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 2, 0.5)], "a long, b long, weight double")
-    ids = spark.createDataFrame([(1,), (2,), (3,), (4,)], "node_id long")
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    few = {r.node_id: round(r.centrality, 9) for r in graph.pagerank(ids, edges, iterations=3).collect()}
-    assert few == {r.node_id: round(r.centrality, 9) for r in graph.pagerank(ids, edges, iterations=3, small=0).collect()}
+def test_pagerank_against_plain_rounds(spark):
+    links = [(1, 2, 1.0), (2, 3, 2.0), (1, 2, 0.5), (3, 99, 7.0)]
+    edges = spark.createDataFrame(links, "a long, b long, weight double")
+    ids = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 5)], "node_id long")
+    both = [(a, b, w) for a, b, w in links if b != 99] + [(b, a, w) for a, b, w in links if b != 99]
+    nodes = [1, 2, 3, 4, 5]
+    total = {n: sum(w for a, _, w in both if a == n) for n in nodes}
+    for rounds in (1, 3, 20, 50):
+        rank = dict.fromkeys(nodes, 0.2)
+        for _ in range(rounds):
+            lost = sum(rank[n] for n in nodes if not total[n])
+            rank = {n: (0.15 + 0.85 * lost) / 5 + 0.85 * sum(rank[a] * w / total[a] for a, b, w in both if b == n) for n in nodes}
+        got = {r.node_id: r.centrality for r in graph.pagerank(ids, edges, iterations=rounds, every=4).collect()}
+        assert got.keys() == rank.keys() and all(abs(got[n] - rank[n] / max(rank.values())) < 1e-12 for n in nodes)
+    alone = graph.pagerank(ids, edges.limit(0)).collect()
+    assert {(r.node_id, r.centrality) for r in alone} == {(n, 1.0) for n in nodes} and graph.pagerank(ids.limit(0), edges).count() == 0
 
 
 def test_store(spark):
@@ -107,21 +119,3 @@ def test_usage_and_history(spark):
 def test_gates():
     assert evaluation.modality_gate(1.0, 0.7) and not evaluation.modality_gate(1.0, 0.75) and not evaluation.modality_gate(0, 0)
     assert evaluation.distill_gate(1.0, 0.96, 0.5) and not evaluation.distill_gate(1.0, 0.9, 0.5)
-
-
-def test_pagerank_query_runs_all_rounds(spark, tmp_path):
-    from collections import Counter
-
-    from quillstone.plans import catalog
-
-    seen = [(u, t) for u in range(12) for t in ("view", "click", "buy")[: 1 + u % 3] for _ in range(1 + u * len(t) % 4)]
-    spark.createDataFrame(seen, "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    links = Counter((f"u:{u}", f"t:{t}") for u, t in seen)
-    links.update({(b, a): w for (a, b), w in list(links.items())})
-    nodes = {a for a, _ in links}
-    total = {n: sum(w for (a, _), w in links.items() if a == n) for n in nodes}
-    rank = dict.fromkeys(nodes, 1 / len(nodes))
-    for _ in range(50):
-        rank = {n: 0.15 / len(nodes) + 0.85 * sum(rank[a] * w / total[a] for (a, b), w in links.items() if b == n) for n in nodes}
-    got = {r.node_id: r.centrality for r in catalog.QUERIES["pagerank"](spark, str(tmp_path)).collect()}
-    assert got.keys() == rank.keys() and all(abs(got[n] - rank[n] / max(rank.values())) < 2e-6 for n in nodes)
