@@ -1,34 +1,35 @@
 """Exact token counts without ids.
 
-1. Every block of documents counts its distinct pre-tokens; a shuffle on the
-   pre-token sums the counts, and the tokenizer is asked once per distinct
-   pre-token how many pieces it has. That table is written.
-2. The most frequent pre-tokens, at most ``head`` (so a bounded broadcast), go to all
-   workers: a histogram of the counts gives the count from which they are taken. A worker sums their pieces per document as it reads, and
-   hands on per-document frequencies of the other pre-tokens only.
-3. Those frequencies join the table of pieces on the pre-token; as every pre-token
-   left has a small share of all occurrences, the join has no hot key. A sum per
-   document ends it.
+1. Documents become blocks, written once: each holds its distinct pre-tokens, and its documents as frequencies of these, in the
+   order of the text.
+2. Distinct pre-tokens of all blocks meet in buckets, where the tokenizer is asked once per distinct one how many pieces it has.
+3. The numbers join their blocks, and each document's frequencies are summed with them.
+
+A pre-token that stands in every document is one entry per block, so no key is hot.
 
 Defined results: a null text counts as empty, an empty text has 0 tokens, repeated
-rows are counted once each, an empty table gives no rows, and other columns are
-ignored. A special token's string inside a text is one token, as the library's
-default has it.
+rows are counted once each, rows of equal texts or ids tie in nothing, an empty table gives no rows, and other columns are
+ignored. A text is never cut; a very long one is a block of its own, held by one worker in about 20 bytes a word. A special token's
+string inside a text is one token, as the library's default has it. A tokenizer file that isn't plain byte-level BPE is an error.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .bpe import PRE_TOKEN, encode, plain, tokenizer, units
+from .blocks import by_block, pack, pack_words, rows_of, unpack, unpack_words
+from .bpe import PRE_TOKEN, encode, plain, rank_encoder, tokenizer, units
 
-FLUSH = 400_000
+#: Bytes of text in a block, and pre-tokens measured at once.
+BLOCK_BYTES, BUCKET_KEYS = 8 << 20, 250_000
 
 
 def _splitter(path: str):
@@ -59,102 +60,111 @@ def _unit_list(text: str) -> list[str]:
     return units(text)
 
 
-def pre_token_pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """One row per distinct pre-token of ``docs.text``: pre_token, n (occurrences), pieces."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = _splitter(tokenizer_path), Counter()
-
-        def flush() -> pa.RecordBatch:
-            out: Counter = Counter()
-            for unit, n in seen.items():
-                for p in split(unit):
-                    out[p] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["pre_token", "n"])
-
+BLOCK = "docs binary, sizes binary, bounds binary, ids binary, splits binary, parts binary, keys binary, crcs binary, n_keys bigint"
+
+
+def _blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """block, and of its documents: ids, bytes, where their units begin, the units' numbers; of each distinct unit: how many
+    pre-tokens it has, and which; the distinct pre-tokens in order of their checksum."""
+
+    def emit(split, docs_: list, texts: list[bytes]) -> pa.RecordBatch:
+        lists = [_unit_list(t.decode()) for t in texts]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        distinct = list(dict.fromkeys(chain.from_iterable(lists)))
+        number = {u: k for k, u in enumerate(distinct)}
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int32, int(bounds[-1]))
+        pieces = [split(u) for u in distinct]
+        keys = [k.encode() for k in dict.fromkeys(chain.from_iterable(pieces))]
+        crcs = np.fromiter(map(zlib.crc32, keys), np.uint32, len(keys))
+        order = np.argsort(crcs, kind="stable")
+        place = dict(zip((keys[k].decode() for k in order), range(len(keys)), strict=True))
+        parts = np.fromiter(map(place.__getitem__, chain.from_iterable(pieces)), np.int32, sum(map(len, pieces)))
+        values = [pack(np.array(docs_, np.int64)), pack(np.array([len(t) for t in texts], np.int64)), pack(bounds), pack(ids), pack(np.array([len(p) for p in pieces], np.int32)), pack(parts)]
+        values += [pack_words([keys[k] for k in order]), pack(crcs[order])]
+        arrays = [*(pa.array([v], pa.binary()) for v in values), pa.array([len(keys)], pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in BLOCK.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, docs_, texts, size = _splitter(tokenizer_path), [], [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(_unit_list(text))
-                if len(seen) > FLUSH:
-                    yield flush()
-        yield flush()
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if texts and size + len(text) > BLOCK_BYTES:
+                    yield emit(split, docs_, texts)
+                    docs_, texts, size = [], [], 0
+                docs_.append(_NO_ID if doc is None else doc)
+                texts.append(text)
+                size += len(text)
+        if texts:
+            yield emit(split, docs_, texts)
+
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, BLOCK)
+    return scratch.keep(made.withColumn("block", F.monotonically_increasing_id()), "blocks")
+
+
+def pre_token_pieces(blocks: DataFrame, tokenizer_path: str) -> DataFrame:
+    """block, part, pieces: how many pieces each of a block's pre-tokens has, bucket by bucket; each distinct one is measured once."""
+    spark = blocks.sparkSession
+    total = blocks.agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_KEYS + 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, keys, crcs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = unpack_words(keys)
+                part = (unpack(crcs, np.uint32).astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                ends = (np.append(np.flatnonzero(np.diff(part)) + 1, len(part)) if len(part) else np.zeros(0, int)).tolist()
+                begins = [0, *ends[:-1]][: len(ends)]
+                cut = [pack_words(words[i:j]) for i, j in zip(begins, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[begins], pa.int32()), pa.array([block] * len(ends), pa.int64()), pa.array(cut, pa.binary())], names=["part", "block", "keys"])
+
+    def measure(part: int, rows: list[tuple]) -> pa.RecordBatch:
+        lists = [unpack_words(keys) for _, keys in rows]
+        distinct = list(dict.fromkeys(chain.from_iterable(lists)))
+        sizes: list[int] = []
+        for at in range(0, len(distinct), 20_000):
+            sizes += map(len, encode(tokenizer_path, [w.decode() for w in distinct[at : at + 20_000]]))
+        known = dict(zip(distinct, sizes, strict=True))
+        found = [pack(np.fromiter(map(known.__getitem__, x), np.int64, len(x))) for x in lists]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(found, pa.binary())], names=["block", "part", "pieces"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            pieces = [len(ids) for ids in encode(tokenizer_path, keys)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int64())], names=["pre_token", "n", "pieces"])
+            for at, block, keys in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if at != part and rows:
+                    yield measure(part, rows)
+                    rows = []
+                part = at
+                rows.append((block, keys))
+        if rows:
+            yield measure(part, rows)
 
-    texts = docs.where("text is not null").select("text")
-    found = texts.mapInArrow(count, "pre_token string, n bigint").groupBy("pre_token").agg(F.sum("n").alias("n"))
-    return found.mapInArrow(measure, "pre_token string, n bigint, pieces bigint")
+    dealt = blocks.where("n_keys > 0").select("block", "keys", "crcs").mapInArrow(deal, "part int, block bigint, keys binary")
+    return dealt.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, "block bigint, part int, pieces binary")
 
 
-def _common_from(table: DataFrame, head: int) -> int:
-    """The least power of two that at most ``head`` of the table's counts ``n`` reach, from one row per power."""
-    bits = F.length(F.bin("n"))
-    left, power = head, 63
-    for bit, rows in table.groupBy(bits.alias("bit")).count().orderBy(F.desc("bit")).collect():
-        left -= rows
-        if left < 0:
-            break
-        power = bit - 1
-    return 1 << min(power, 62)
+_NO_ID = -(1 << 63)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, head: int = 100_000, head_bytes: int = 64) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``) per row of ``docs``."""
-    spark = docs.sparkSession
-    table = scratch.keep(pre_token_pieces(docs, tokenizer_path), "pre-tokens")
-    short = table.where(F.octet_length("pre_token") <= head_bytes)
-    top = short.where(F.col("n") >= _common_from(short, head)).select("pre_token", "pieces")
-    known = spark.sparkContext.broadcast({r[0]: r[1] for r in top.collect()})  # at most head x head_bytes bytes of keys
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces, cache = _splitter(tokenizer_path), known.value, {}
-
-        def look(unit: str):
-            if len(cache) > FLUSH:
-                cache.clear()
-            parts = split(unit)
-            base = sum(pieces.get(p, 0) for p in parts)
-            other = [p for p in parts if p not in pieces]
-            value = cache[unit] = (base, other) if other else base
-            return value
-
-        for batch in batches:
-            rows, docs_, bases, keys, ns = [], [], [], [], []
-            for row, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                total, other, get = 0, Counter(), cache.get
-                for unit in _unit_list(text):
-                    v = get(unit)
-                    if v is None:
-                        v = look(unit)
-                    if v.__class__ is int:
-                        total += v
-                    else:
-                        total += v[0]
-                        other.update(v[1])
-                rows += [row] * (1 + len(other))
-                docs_ += [doc] * (1 + len(other))
-                bases += [total] + [0] * len(other)
-                keys += [None, *other]
-                ns += [len(text.encode()), *other.values()]
-            arrays = [pa.array(rows, pa.int64()), pa.array(docs_, pa.int64()), pa.array(bases, pa.int64()), pa.array(keys, pa.string()), pa.array(ns, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["row_id", "doc_id", "base", "pre_token", "n"])
-
-    keyed = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = keyed.mapInArrow(count, "row_id bigint, doc_id bigint, base bigint, pre_token string, n bigint")
-    # The row of a document itself joins on a key of its own, so no null key gathers them.
-    key = F.when(F.col("pre_token").isNull(), F.concat(F.lit("\n\n"), F.col("row_id"))).otherwise(F.concat(F.lit(" "), F.col("pre_token")))
-    pieces = table.select(F.concat(F.lit(" "), F.col("pre_token")).alias("key"), "pieces")
-    summed = counted.withColumn("key", key).join(pieces.hint("shuffle_merge"), "key", "left").groupBy("row_id").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max(F.when(F.col("pre_token").isNull(), F.col("n"))).alias("n_bytes"),
-        F.sum(F.col("base") + F.when(F.col("pre_token").isNull(), 0).otherwise(F.col("n") * F.col("pieces"))).alias("n_tokens"),
-    )
-    return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    if rank_encoder(tokenizer_path) is None:
+        raise ValueError(f"{tokenizer_path} is no plain byte-level BPE, whose pre-tokens are known")
+    blocks = _blocks(docs, tokenizer_path)
+
+    def total(block: int, found: dict) -> list[list]:
+        data = found[0][0][1]
+        doc, sizes, bounds = (unpack(d, np.int64) for d in data[:3])
+        ids, splits, parts = (unpack(d, np.int32) for d in data[3:])
+        pieces = np.concatenate([unpack(d[0], np.int64) for _, d in found[1]]) if 1 in found else np.zeros(0, np.int64)
+        sums = np.concatenate([[0], np.cumsum(pieces[parts])])
+        ends = np.cumsum(splits)
+        of_unit = sums[ends] - sums[ends - splits]
+        tokens = np.concatenate([[0], np.cumsum(of_unit[ids])])[bounds]
+        return [[None if d == _NO_ID else d for d in doc.tolist()], sizes, np.diff(tokens)]
+
+    rows = [rows_of(blocks, 0, "docs", "sizes", "bounds", "ids", "splits", "parts"), rows_of(pre_token_pieces(blocks, tokenizer_path), 1, "pieces")]
+    return by_block(rows, total, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import recompress, scratch
+from .blocks import by_block, pack, rows_of, unpack
 from .hot import join_groups
-from .recompress import ALIVE, Merges, State, U, pack, unpack
+from .recompress import ALIVE, Merges, State, U
 
 _LAST = (1 << 63) - 1
 #: Bytes of text in a block, bytes of runs compared at once, and keys named at once.
@@ -77,42 +78,6 @@ def _copies(blocks: DataFrame) -> DataFrame:
     return join_groups(placed, groups, "digest", "n").where("order <> earliest").select("order.block", "order.part")
 
 
-def _rows(frame: DataFrame, kind: int, *data: str) -> DataFrame:
-    """block, kind, part, data: a part of what a block needs."""
-    values = F.array(*[F.col(c) for c in data]) if data else F.lit(None)
-    part = F.col("part") if "part" in frame.columns else F.lit(0)
-    return frame.select("block", F.lit(kind).alias("kind"), part.cast("int").alias("part"), values.cast("array<binary>").alias("data"))
-
-
-def _by_block(parts: list[DataFrame], step: Callable[[int, dict], list[list]], schema: str) -> DataFrame:
-    """``step`` of each block, given its rows by kind in order of part, as (part, data)."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    names = [c.split()[0] for c in schema.split(", ")]
-    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
-    fields = [types[c.split()[1]] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(block: int, found: dict) -> Iterator[pa.RecordBatch]:
-            columns = step(block, found)
-            if len(columns[0]):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, fields, strict=True)], names=names)
-
-        block, found = None, {}
-        for batch in batches:
-            for at, kind, part, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if at != block and block is not None:
-                    yield from done(block, found)
-                    found = {}
-                block = at
-                found.setdefault(kind, []).append((part, data))
-        if block is not None:
-            yield from done(block, found)
-
-    return rows.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(run, schema)
-
-
 def _start(data: list[bytes], skip: np.ndarray, window: int) -> State:
     ids, words, bounds = unpack(data[0], np.int32), data[1].split(), unpack(data[2], np.int64)
     return recompress.begin(recompress.word_hashes(words)[ids] if len(ids) else np.zeros(0, U), bounds, window, skip)
@@ -297,7 +262,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 3, cap: int
         raise ValueError("cap must be below half the window, and there is at least one round")
     blocks = _blocks(docs)
     copies = scratch.keep(_copies(blocks), "later-copies")
-    words = _rows(blocks, 0, "ids", "words", "bounds", "docs", "nulls")
+    words = rows_of(blocks, 0, "ids", "words", "bounds", "docs", "nulls")
 
     def first(block: int, found: dict) -> list[list]:
         data = found[0][0][1]
@@ -320,14 +285,14 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 3, cap: int
     def last(block: int, found: dict) -> list[list]:
         return _candidates(block, found[0][0][1], _named(before(found, rounds), found.get(2, []), rounds, window, cap), window)
 
-    keys = scratch.keep(_by_block([words, _rows(copies, 1)], first, KEYS), "keys")
+    keys = scratch.keep(by_block([words, rows_of(copies, 1)], first, KEYS), "keys")
     for level in range(1, rounds + 1):
-        kept = _rows(keys, 1, *[f"state{k}" for k in range(6 if level > 1 else 1)])
-        parts = [kept, _rows(_names(keys, level), 2, "names")]
+        kept = rows_of(keys, 1, *[f"state{k}" for k in range(6 if level > 1 else 1)])
+        parts = [kept, rows_of(_names(keys, level), 2, "names")]
         if level in (1, rounds):
             parts.append(words)
         was = keys
-        keys = scratch.keep(_by_block(parts, last, CANDIDATES) if level == rounds else _by_block(parts, step_to(level), KEYS), "candidates" if level == rounds else "keys")
+        keys = scratch.keep(by_block(parts, last, CANDIDATES) if level == rounds else by_block(parts, step_to(level), KEYS), "candidates" if level == rounds else "keys")
         scratch.drop(was)
     marks = scratch.keep(_marks(keys.where("marks is null").select([c.split()[0] for c in RUNS.split(", ")]), window).unionByName(keys.where("marks is not null").select("block", "marks")), "marks")
     scratch.drop(keys)
@@ -350,7 +315,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, rounds: int = 3, cap: int
         n = np.diff(bounds)
         return [[None if x else d for d, x in zip(docs.tolist(), nulls, strict=True)], n, n - np.diff(left), kept]
 
-    return _by_block([words, _rows(marks, 1, "marks"), _rows(copies, 2)], remove, RESULT).withColumn("kept", F.col("kept").cast("string"))
+    return by_block([words, rows_of(marks, 1, "marks"), rows_of(copies, 2)], remove, RESULT).withColumn("kept", F.col("kept").cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,22 +16,10 @@ from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
-import zstandard
 
 U = np.uint64
 
 
-def pack(x: np.ndarray) -> bytes:
-    """An array of numbers, compressed: all first bytes, then all second ones ..."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
-
-
-def unpack(data: bytes, kind) -> np.ndarray:
-    kind = np.dtype(kind)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).reshape(-1)
-
-
 def listed(words: list[bytes]) -> np.ndarray:
     """Words as an array, from which many are taken at once."""
     out = np.empty(len(words), object)

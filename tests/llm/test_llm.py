@@ -54,11 +54,14 @@ def tokens(text):
     return Tokenizer.from_file(BPE).encode(text or "", add_special_tokens=False).ids
 
 
-def test_token_counts(docs, table, empty):
-    for head in (100_000, 5):  # with hardly any common pre-tokens all go through the join
-        got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in op1_token_counts.token_counts(docs, BPE, head=head).collect())
+def test_token_counts(docs, table, empty, monkeypatch):
+    for size in (1, 1 << 23):
+        monkeypatch.setattr(op1_token_counts, "BLOCK_BYTES", size)
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in op1_token_counts.token_counts(docs, BPE).collect())
         assert got == sorted((str(d), len((t or "").encode()), n := len(tokens(t)), n > 512) for d, t, *_ in table)
     assert op1_token_counts.token_counts(empty, BPE).count() == 0
+    with pytest.raises(ValueError):
+        op1_token_counts.token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_sharding(docs, table, empty):
