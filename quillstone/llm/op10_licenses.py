@@ -1,14 +1,15 @@
 """Licence scans by conditional compression.
 
-Stretches of a text around lines that speak of licensing are candidate blocks. Each is compressed
+Stretches of a text around words that licences need are candidate blocks: a notice that holds ``SHARE`` of a template's words can't lack
+all of a set that makes up more than the rest, so the words of such sets, chosen by rule, find every block. Each block is compressed
 alone and with every template as a raw dictionary; templates are ranked by how many bytes the
 dictionary saves. All that hold enough of a template's words are confirmed by wording: words of
 the template are aligned with the block's, and what is missing or other is kept as the exact differences.
 
 All rows pass through one map over the table, with the templates as a fixed list.
 
-Defined results: null and empty texts have no blocks; a block that matches equally well
-in two templates goes to the one with more words in common, then by name; repeated rows give
+Defined results: null and empty texts have no blocks; texts of any length are searched whole, block by block; a stretch that matches equally well
+in two templates goes to the one with more words in common, then to that which saves more bytes, then by name; repeated rows give
 repeated results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Public licence notices by SPDX name.
+# What the BSD licences share, and public licence notices and whole texts by SPDX name.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
 TEMPLATES = {
     "AGPL-3.0": [
         "This work is licensed under the GNU Affero General Public License, version 3.",
@@ -35,11 +39,15 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License.", _BSD + " " + _BSD_END],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        _BSD + _BSD_THIRD + _BSD_END,
+    ],
+    "BSL-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
@@ -53,30 +61,39 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
     "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "Proprietary": ["All rights reserved."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ],
 }
-CUE = re.compile(
-    r"licen[cs]e|copyright|all rights reserved|hereby granted|public domain|redistribut|creative commons|source code form", re.I
-)
 WORD = re.compile(r"non[\s-]commercial\b|no[\s-]deriv(?:ative)?s\b|share[\s-]alike\b|[a-z0-9]+(?:\.[0-9]+)*")
-#: Words that licences are named by; a name is a run of them from one of the first eight on.
-NAMES = "apache bsd cc cc0 creative gnu mit mozilla".split()
+#: Words that licences are named by; a name is a run of them from one of ``NAMES`` on.
+NAMES = "apache boost bsd cc cc0 creative gnu mit mozilla".split()
 NAMED = {*NAMES, *"1.0 2 2.0 3 4.0 affero attribution by clause commons general international lesser license nc nd noncommercial noderivatives public sa sharealike v version".split()}
 #: Words that tell licences apart wherever they stand.
 TELLING = re.compile(r"[0-9]|^(?:nc|nd|sa|by|mit|bsd|gnu|lesser|library|affero|apache|mozilla|noncommercial|noderivatives|sharealike|modified)$")
 #: Words that a name may have or lack, besides those of ``_plain``.
 LOOSE = {"a", "an", "the", "v", "version", "license", "international", "software", "agpl", "gpl", "lgpl", "mpl"}
-#: Characters around a cue that make a block.
-BEFORE, AFTER = 160, 700
+#: The share of a template's words that a notice must hold.
+SHARE = 0.8
+#: Words that speak of licences and of little else, the first choice for finding blocks (fixed values).
+CUES = [*NAMES, *"affero agpl commons copyright licence license licensed licenses merchantability mpl noninfringement permission redistribution redistributions reserved software sublicense unencumbered warranties warranty".split()]
 
 
 def words_of(text: str) -> list[tuple[str, int, int]]:
@@ -98,12 +115,33 @@ def _compressors():
     return plain, out
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidate blocks: around cues, joined where they touch, of the whole text."""
+@lru_cache(maxsize=4)
+def _cues(share: float) -> tuple[re.Pattern, int]:
+    """(words one of which every confirmed notice holds, the most characters that a notice may lie before or behind it)."""
+    chosen: set[str] = set()
+    for texts in TEMPLATES.values():
+        for t in texts:
+            count = Counter(w for w, _, _ in words_of(t))
+            # A notice may lack what is over its share: the words taken here make up more than that.
+            lacking = count.total() - int(-(-share * count.total() // 1))
+            for w in sorted(count, key=lambda w: (w not in CUES, -len(w), w)):
+                if lacking < 0:
+                    break
+                chosen.add(w)
+                lacking -= count[w]
+    longest = max(len(t) for texts in TEMPLATES.values() for t in texts)
+    # Words that ``words_of`` joins are looked for with a space or dash in them too.
+    spelt = "|".join(sorted(r"non[\s-]?commercial" if w == "noncommercial" else r"no[\s-]?derivatives" if w == "noderivatives" else r"share[\s-]?alike" if w == "sharealike" else re.escape(w) for w in chosen))
+    return re.compile(rf"(?<![a-z0-9])(?:{spelt})(?![a-z0-9])", re.I), longest + longest // 4
+
+
+def blocks(text: str, share: float = SHARE) -> list[tuple[int, int]]:
+    """(start, end) of candidate blocks: around cues, joined where they touch, of the whole text; long runs of cues give blocks that overlap."""
+    cue, around = _cues(share)
     out: list[list[int]] = []
-    for m in CUE.finditer(text):
-        a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-        if out and a <= out[-1][1] and b - out[-1][0] < 8 * AFTER:
+    for m in cue.finditer(text):
+        a, b = max(0, m.start() - around), min(len(text), m.end() + around)
+        if out and a <= out[-1][1] and b - out[-1][0] < 4 * around:
             out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
@@ -170,10 +208,12 @@ def wording(block: str, words: list[str], share: float) -> tuple[int, int, int,
             continue
         anchor = difflib.SequenceMatcher(None, have[x:y], words, autojunk=False).find_longest_match()
         at = x + anchor.a
-        low = max(x, at - anchor.b)
-        high = min(y, low + len(words) + 2)
-        same = [m for m in difflib.SequenceMatcher(None, have[low:high], words, autojunk=False).get_matching_blocks() if m.size]
-        first, last, common = low + same[0].a, low + same[-1].a + same[-1].size, sum(m.size for m in same)
+        tries = []
+        for more in (0, 2 + len(words) // 10):  # words that the text has besides the template's move its ends
+            low, high = max(x, at - anchor.b - more), min(y, at - anchor.b + len(words) + 2 + more)
+            same = [m for m in difflib.SequenceMatcher(None, have[low:high], words, autojunk=False).get_matching_blocks() if m.size]
+            tries.append((sum(m.size for m in same), -more, low + same[0].a, low + same[-1].a + same[-1].size))
+        common, _, first, last = max(tries)
         if common >= share * len(words):
             part = have[first:last]
             changes = [(op, part[a:b], words[c:d], c, d) for op, a, b, c, d in difflib.SequenceMatcher(None, part, words, autojunk=False).get_opcodes() if op != "equal"]
@@ -187,14 +227,15 @@ def wording(block: str, words: list[str], share: float) -> tuple[int, int, int,
     return best
 
 
-def scan(text: str | None, share: float = 0.8) -> list[dict]:
+def scan(text: str | None, share: float = SHARE) -> list[dict]:
     """Confirmed licences of a whole text, by place: license, start, end, saved, exact, differences.
 
     The saving only ranks; wording confirms. The best match of a block splits it, and what lies
     before and behind is searched again.
     """
     out: list[dict] = []
-    todo = blocks(text or "")[::-1]
+    cue = _cues(share)[0]
+    todo = blocks(text or "", share)[::-1]
     while todo:
         a, b = todo.pop()
         block, best = text[a:b], None
@@ -211,7 +252,7 @@ def scan(text: str | None, share: float = 0.8) -> list[dict]:
         # Long runs of cues give blocks that overlap, so a notice may be seen twice.
         if not any(m["start"] < a + e and a + s < m["end"] for m in out):
             out.append({"license": name, "start": a + s, "end": a + e, "saved": saved, "exact": not differences, "differences": differences})
-        todo += [(x, y) for x, y in ((a + e, b), (a, a + s)) if CUE.search(text, x, y)]
+        todo += [(x, y) for x, y in ((a + e, b), (a, a + s)) if cue.search(text, x, y)]
     return sorted(out, key=lambda m: m["start"])
 
 
@@ -224,7 +265,7 @@ def scan_all(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan(t) if t and CUE.search(t) else [] for t in batch.column(1).to_pylist()]
+            found = [scan(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "matches"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id bigint, matches {MATCHES}")

@@ -335,3 +335,27 @@ def test_packing_of_tiny_texts(spark):
         assert list(part.offset) == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() <= 1024
     used = {k for n in range(1, 1025) for _, k in op4_packing.cut(n, 1024, 1024, 8)}
     assert sum(used) < 6000  # rows left over for the one task
+
+
+def test_licenses_of_whole_texts():
+    """A changed whole text in the midst of a long document is found, with its exact differences; every template can be found by its cues."""
+    from quillstone.llm import op10_licenses as o
+
+    rng = np.random.default_rng(4)
+    filler = " ".join(rng.choice("river town water boat bridge morning stone garden winter".split(), 3000))
+    mit = max(o.TEMPLATES["MIT"], key=len)
+    changed = mit.replace("publish, distribute, ", "publish, lend, distribute, ")
+    found = o.scan(f"{filler} {changed} {filler}")
+    assert [(m["license"], m["exact"], m["differences"]) for m in found] == [("MIT", False, ["delete 'lend' for ''"])]
+    assert found[0]["end"] - found[0]["start"] > 1000
+    two = max(o.TEMPLATES["BSD-2-Clause"], key=len)
+    three = max(o.TEMPLATES["BSD-3-Clause"], key=len)
+    assert [m["license"] for m in o.scan(f"{filler} {two} {filler} {three}")] == ["BSD-2-Clause", "BSD-3-Clause"]
+    cue, around = o._cues(o.SHARE)
+    for texts in o.TEMPLATES.values():
+        for t in texts:
+            words = [w for w, _, _ in o.words_of(t)]
+            need = int(-(-o.SHARE * len(words) // 1))
+            kept = sorted(words, key=lambda w: bool(cue.fullmatch(w)))[:need]
+            assert any(cue.fullmatch(w) for w in kept) and len(t) < around, t
+    assert [m["license"] for m in o.scan("Released under the MIT, so they say")] == ["MIT"]
