@@ -102,12 +102,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, separator:
     """Place all pieces of ``docs``; see the module's text.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, klass.
-    About ``block_pieces`` pieces are ranked in one task, whatever their class.
+    At most about ``block_pieces`` pieces are ranked in one task, whatever their class.
     """
     spark = docs.sparkSession
     table = scratch.keep(pieces(docs, tokenizer_path, capacity, separator, classes, slack), "pieces")
     # Blocks hold a range of hashes of the piece, so no document, source or class makes one large.
-    blocks = table.count() // block_pieces + 1
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count() // block_pieces + 1)
     placed = table.withColumn("block", F.pmod(F.xxhash64("row_id", "start"), F.lit(blocks)))
     counts = scratch.keep(placed.groupBy("klass", "block").agg(F.count("*").alias("n")), "blocks")
     before = Window.partitionBy("klass").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
