@@ -266,7 +266,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: floa
 
     # Blocks of a group: by rows, and by n-grams so that two blocks fit a worker.
     def blocks(groups: DataFrame) -> DataFrame:
-        per = F.least(F.greatest(F.lit(block), F.ceil(F.col("m") / 16)), F.lit(2048))
+        per = F.least(F.greatest(F.lit(block), F.ceil(F.col("m") / 32)), F.lit(2048))
         return groups.withColumn("nb", F.greatest(F.ceil(F.col("m") / per), F.ceil(F.col("total") / F.lit(1 << 21)), F.lit(1)).cast("int"))
 
     sizes = members.groupBy("label").agg(F.count("*").alias("m"), F.sum("n_grams").alias("total")).where("m > 1")
