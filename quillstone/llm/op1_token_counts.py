@@ -1,7 +1,7 @@
 """Exact token counts without ids.
 
-1. Documents become blocks, written once: each holds its distinct pre-tokens, and its documents as frequencies of these, in the
-   order of the text.
+1. Documents become blocks, written once: each holds its distinct pre-tokens, and its documents as frequencies of units (one or few
+   pre-tokens between two spaces), common units first.
 2. Distinct pre-tokens of all blocks meet in buckets, where the tokenizer is asked once per distinct one how many pieces it has.
 3. The numbers join their blocks, and each document's frequencies are summed with them.
 
@@ -60,26 +60,37 @@ def _unit_list(text: str) -> list[str]:
     return units(text)
 
 
-BLOCK = "docs binary, sizes binary, bounds binary, ids binary, splits binary, parts binary, keys binary, crcs binary, n_keys bigint"
+BLOCK = "docs binary, sizes binary, bounds binary, steps binary, counts binary, splits binary, parts binary, keys binary, crcs binary, n_keys bigint"
 
 
 def _blocks(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """block, and of its documents: ids, bytes, where their units begin, the units' numbers; of each distinct unit: how many
-    pre-tokens it has, and which; the distinct pre-tokens in order of their checksum."""
+    """block, and of its documents: ids, bytes, where their units begin, the ascending numbers of their distinct units (as steps) and how
+    often each stands; of each distinct unit: how many pre-tokens it has, and which; the distinct pre-tokens in order of their checksum."""
 
     def emit(split, docs_: list, texts: list[bytes]) -> pa.RecordBatch:
         lists = [_unit_list(t.decode()) for t in texts]
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+        lengths = np.array([len(x) for x in lists], np.int64)
         distinct = list(dict.fromkeys(chain.from_iterable(lists)))
         number = {u: k for k, u in enumerate(distinct)}
-        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int32, int(bounds[-1]))
+        ids = np.fromiter(map(number.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
+        by_use = np.argsort(-np.bincount(ids, minlength=len(distinct)), kind="stable")
+        rank = np.empty(len(distinct), np.int64)
+        rank[by_use] = np.arange(len(distinct))
+        distinct = [distinct[k] for k in by_use]
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        pairs, counts = np.unique(owner * max(1, len(distinct)) + rank[ids], return_counts=True)
+        owner, units_ = np.divmod(pairs, max(1, len(distinct)))
+        bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+        steps = np.diff(units_, prepend=0)
+        first = bounds[:-1][np.diff(bounds) > 0]
+        steps[first] = units_[first]
         pieces = [split(u) for u in distinct]
         keys = [k.encode() for k in dict.fromkeys(chain.from_iterable(pieces))]
         crcs = np.fromiter(map(zlib.crc32, keys), np.uint32, len(keys))
         order = np.argsort(crcs, kind="stable")
         place = dict(zip((keys[k].decode() for k in order), range(len(keys)), strict=True))
         parts = np.fromiter(map(place.__getitem__, chain.from_iterable(pieces)), np.int32, sum(map(len, pieces)))
-        values = [pack(np.array(docs_, np.int64)), pack(np.array([len(t) for t in texts], np.int64)), pack(bounds), pack(ids), pack(np.array([len(p) for p in pieces], np.int32)), pack(parts)]
+        values = [pack(np.array(docs_, np.int64)), pack(np.array([len(t) for t in texts], np.int64)), pack(bounds.astype(np.int64)), pack(steps.astype(np.int32)), pack(counts.astype(np.uint32)), pack(np.array([len(p) for p in pieces], np.int32)), pack(parts)]
         values += [pack_words([keys[k] for k in order]), pack(crcs[order])]
         arrays = [*(pa.array([v], pa.binary()) for v in values), pa.array([len(keys)], pa.int64())]
         return pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in BLOCK.split(", ")])
@@ -155,15 +166,18 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512) -> Data
     def total(block: int, found: dict) -> list[list]:
         data = found[0][0][1]
         doc, sizes, bounds = (unpack(d, np.int64) for d in data[:3])
-        ids, splits, parts = (unpack(d, np.int32) for d in data[3:])
+        steps, counts, splits, parts = (unpack(d, t) for d, t in zip(data[3:], (np.int32, np.uint32, np.int32, np.int32), strict=True))
         pieces = np.concatenate([unpack(d[0], np.int64) for _, d in found[1]]) if 1 in found else np.zeros(0, np.int64)
         sums = np.concatenate([[0], np.cumsum(pieces[parts])])
         ends = np.cumsum(splits)
         of_unit = sums[ends] - sums[ends - splits]
-        tokens = np.concatenate([[0], np.cumsum(of_unit[ids])])[bounds]
+        run = np.cumsum(steps, dtype=np.int64)
+        begin = np.repeat(bounds[:-1], np.diff(bounds))
+        units_ = run - (run[begin] - steps[begin])
+        tokens = np.concatenate([[0], np.cumsum(of_unit[units_] * counts)])[bounds]
         return [[None if d == _NO_ID else d for d in doc.tolist()], sizes, np.diff(tokens)]
 
-    rows = [rows_of(blocks, 0, "docs", "sizes", "bounds", "ids", "splits", "parts"), rows_of(pre_token_pieces(blocks, tokenizer_path), 1, "pieces")]
+    rows = [rows_of(blocks, 0, "docs", "sizes", "bounds", "steps", "counts", "splits", "parts"), rows_of(pre_token_pieces(blocks, tokenizer_path), 1, "pieces")]
     return by_block(rows, total, "doc_id bigint, n_bytes bigint, n_tokens bigint").withColumn("over_limit", F.col("n_tokens") > limit)
 
 

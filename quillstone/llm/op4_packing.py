@@ -14,7 +14,8 @@ Only the last, incomplete bin of each class is left over; these few thousand pie
 by first-fit decreasing in one small task, whatever the size of the corpus.
 
 Defined results: a null text counts as empty; an empty text still has its
-separator id, so it is one piece of length 1; repeated rows are packed once each;
+separator id, so it is one piece of length 1; repeated rows are packed once each; very long texts are encoded whole and cut into as many
+pieces as they need; pieces of equal length tie by their row's number and start, which are written once;
 an empty table gives no pieces; other columns are ignored.
 """
 
