@@ -31,6 +31,34 @@ class Unavailable(RuntimeError):
     """The model can't be asked."""
 
 
+class Guarded:
+    """A model that is asked no more once it couldn't be; without one, nothing is said."""
+
+    def __init__(self, model: LanguageModel | None):
+        self.model, self.name = model, getattr(model, "name", None)
+
+    def says(self, prompt: str, system: str = "") -> str | None:
+        """Its answer, or None."""
+        if self.model is None:
+            return None
+        try:
+            return self.model.generate(prompt, system)
+        except Unavailable:
+            self.model = None
+            return None
+
+
+def conversation_name(model: Guarded, question: str, answer: str) -> str | None:
+    """A title of a few words for a conversation by its first turn, or None where the model has none to give."""
+    short = lambda t, n: " ".join(t.split())[:n]
+    said = model.says(f"Title this conversation.\nUser: {short(question, 300)}\nAssistant: {short(answer, 400)}\nTitle:")
+    if said is None:
+        return None
+    from pyspark.sql import SparkSession
+
+    return SparkSession.getActiveSession().range(1).select(text.llm_title(F.lit(said)).alias("t")).first()["t"] or None
+
+
 def evidence(hits: DataFrame) -> DataFrame:
     """Hits numbered from 1 by score, with evidence_id, locator and the parts of their metadata; ``hits`` are the few that retrieval kept."""
     columns = hits.columns

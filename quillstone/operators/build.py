@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..durable import durable
 from ..functions import scores, text
 from . import graph, memory, store
+from .answers import Guarded
 
 NODE = "node_id bigint, level int, node_type string, title string, content string, time_start timestamp, time_end timestamp, centrality double, fingerprint string, metadata_json string"
 
@@ -52,6 +53,22 @@ def concepts(nodes: DataFrame, edges: DataFrame, vectors: DataFrame, model: str,
     return _settled(nodes, edges, memory.concept_nodes(clusters, titles, model, theta), 3, "concept")
 
 
+def named(nodes: DataFrame, concepts_titles: DataFrame, model: Guarded, ask: str = "Name what these have in common in at most six words:") -> DataFrame:
+    """``nodes`` whose concepts bear the names that a model gives them; the others, and those of names that are no labels, keep theirs.
+
+    ``concepts_titles``: node_id, titles (the representative ones, eight at most). The model is asked where the driver is, a concept at a time.
+    """
+    said = []
+    for r in concepts_titles.toLocalIterator():
+        answer = model.says(ask + "\n" + "\n".join(r["titles"]))
+        if answer is None:
+            break
+        line = next(iter(answer.strip().strip("\"'").splitlines()), "").strip()
+        said.append((r["node_id"], line))
+    found = nodes.sparkSession.createDataFrame(said, "node_id bigint, __name string").where(text.valid_label(F.col("__name")))
+    return nodes.join(found, "node_id", "left").withColumn("title", F.coalesce("__name", "title")).select(nodes.columns)
+
+
 def links(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) with the relations of concepts made anew and every node's centrality."""
     related = durable(graph.concept_links(edges))

@@ -12,7 +12,7 @@ from quillstone import config
 from quillstone.durable import numbered
 from quillstone.functions import text, vectors
 from quillstone.operators import answers, build, conversations, graph, ingest, memory, retrieval, store, usage, views
-from quillstone.sources import files, git
+from quillstone.sources import files, git, sample
 # Workers can't import this file.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -355,3 +355,37 @@ def test_config(tmp_path):
     config.load_env(str(tmp_path / ".env"), env)
     config.load_env(str(tmp_path / "none"), env)
     assert env == {"A": "0", "B": "two"}
+
+
+def test_sample_workspace(spark, tmp_path):
+    vault, repository = sample.seed(str(tmp_path))
+    assert sample.seed(str(tmp_path)) == (vault, repository) and git.scan(spark, repository).count() == len(sample.COMMITS)
+    scans = {"notes": lambda p: ingest.note_scan(spark, p), "git": lambda p: ingest.git_scan(spark, p, sample.AUTHOR, sample.EMAIL)}
+    tables, _ = ingest.sync(ingest.read_tables(spark, "", -1), {"notes": [vault], "git": [repository]}, scans)
+    rows = tables["chunks"].join(tables["sources"].select(F.col("id").alias("source_id"), "source_uri", "source_type", "title", "timestamp"), "source_id").withColumn("ts", F.col("timestamp").cast("timestamp"))
+    rows = rows.cache()
+    asked = sample.queries(spark, vault).collect()
+    when = F.lit("2026-03-01").cast("timestamp")
+    for q in asked:
+        if q.expected_source_uris:
+            found = retrieval.lexical_retrieve(rows, q.query_text.removeprefix(sample.PREFIX), when, 3).collect()
+            assert {r.source_uri for r in found} & set(q.expected_source_uris), q
+    used = sample.uses(tables["sources"], tables["chunks"], vault)
+    log = usage.appended(spark.createDataFrame([], "target_kind string, target_id long, event_type string, event_at timestamp, weight double"), used)
+    n = rows.where("source_uri like '%locks.md'").count() * 3 + rows.where("source_uri like '%pears.md'").count()
+    assert log.count() == n and log.where("event_type = 'accepted_answer' and weight <> 3").count() == 0
+    left = store.without_prefix(tables["sources"], tables["chunks"], sample.queries(spark, vault), log, [vault + "/", repository + "@"], "[sample")
+    assert {k: v.count() for k, v in left.items()} == {"sources": 0, "chunks": 0, "queries": 0, "usage": 0}
+
+
+def test_models_that_fail_are_asked_once(spark):
+    failing = Model("x", fails=True)
+    guarded = answers.Guarded(failing)
+    assert [guarded.says("a"), guarded.says("b")] == [None, None] and len(failing.asked) == 1 and answers.Guarded(None).says("a") is None
+    nodes = spark.createDataFrame([(1, "old"), (2, "kept")], "node_id long, title string")
+    titles = spark.createDataFrame([(1, ["a", "b"])], "node_id long, titles array<string>")
+    assert {r.node_id: r.title for r in build.named(nodes, titles, answers.Guarded(Model('"Green teas"\n'))).collect()} == {1: "Green teas", 2: "kept"}
+    assert {r.title for r in build.named(nodes, titles, answers.Guarded(Model("These are all about tea."))).collect()} == {"old", "kept"}
+    assert {r.title for r in build.named(nodes, titles, answers.Guarded(failing)).collect()} == {"old", "kept"}
+    assert answers.conversation_name(answers.Guarded(Model('"Title: On tea."')), "q", "a") == "On tea"
+    assert answers.conversation_name(answers.Guarded(failing), "q", "a") is None
