@@ -172,14 +172,14 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 8000, unlabelled: i
     by_hash = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     texts = docs.select("doc_id", "text")
 
-    def sample(ids: DataFrame, n: int) -> np.ndarray:
-        # A doc_id may have many rows; as many rows as ids are taken, in an order that holds everywhere.
-        rows = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n)
-        found = [r[0] for r in _figure_frame(rows).collect()]
+    def sample(ids: DataFrame) -> np.ndarray:
+        # A doc_id may have many rows; one of them is taken, the same everywhere.
+        rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r"))
+        found = [r[0] for r in _figure_frame(rows.select("r.text")).collect()]  # at most the sample's size
         return np.array(found, np.float32).reshape(len(found), -1) if found else np.zeros((0, 1), np.float32)
 
-    p = sample(by_hash(train, positives), positives)
-    u = sample(by_hash(texts.where(~held_out(F.col("doc_id"))), unlabelled), unlabelled)
+    p = sample(by_hash(train, positives))
+    u = sample(by_hash(texts.where(~held_out(F.col("doc_id"))), unlabelled))
     if not len(p) or not len(u):
         return None, 0.5
     p, u = (x[np.lexsort(x.T)] for x in (p, u))  # the order of rows doesn't matter
