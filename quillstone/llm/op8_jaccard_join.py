@@ -37,7 +37,7 @@ from . import scratch
 from .components import components
 from .hot import join_groups
 from .op3_decontamination import _TABLE
-from .recompress import U, chained, mix, numbered, word_hashes
+from .recompress import U, chained, mix, numbered, word_digests
 
 _LAST = (1 << 63) - 1
 
@@ -61,7 +61,7 @@ def bands_for(recall: float, threshold: float, most: int = 64) -> tuple[int, int
 def gram_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text."""
     words, ids, bounds = numbered([(t or "").encode().translate(_TABLE).split() for t in texts])
-    hashes = word_hashes(words)[ids] if len(ids) else np.zeros(0, U)
+    hashes = word_digests(words)[ids] if len(ids) else np.zeros(0, U)
     grams = chained(hashes, size)
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):

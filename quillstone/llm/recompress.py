@@ -16,6 +16,7 @@ from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 
@@ -34,18 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-#: Digests of words that a worker has met lately.
-_known: dict[bytes, bytes] = {}
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64 bits of XXH3 of each word, never 0: enough where words are compared in full afterwards."""
+    found = np.fromiter(map(xxhash.xxh3_64_intdigest, words), U, len(words))
+    return np.where(found == 0, U(1), found)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64 bits of BLAKE2 of each word, never 0."""
-    if len(_known) > 1 << 18:
-        _known.clear()
-    for w in words:
-        if w not in _known and len(w) <= 64:
-            _known[w] = blake2b(w, digest_size=8).digest()
-    found = np.frombuffer(b"".join([_known.get(w) or blake2b(w, digest_size=8).digest() for w in words]), "<u8").astype(U)
+def word_digests(words: list[bytes]) -> np.ndarray:
+    """64 bits of BLAKE2 of each word, never 0: for words that are known by them alone."""
+    found = np.frombuffer(b"".join([blake2b(w, digest_size=8).digest() for w in words]), "<u8").astype(U)
     return np.where(found == 0, U(1), found)
 
 
