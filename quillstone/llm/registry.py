@@ -19,6 +19,7 @@ MODULES = {
     "op8_jaccard_join": "op8_jaccard_join",
     "op9_quality": "op9_quality",
     "op10_licenses": "op10_licenses",
+    "op11_collocations": "op11_collocations",
     "op12_secrets": "op12_secrets",
     "op13_filter_audit": "op13_filter_audit",
 }
