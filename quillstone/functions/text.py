@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKEN = "[a-zA-Z0-9_]+"
@@ -72,13 +70,13 @@ def valid_label(label: Column) -> Column:
 
 
 def citations(answer: Column) -> Column:
-    """Distinct evidence numbers of ``[E#]`` in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[E(\d+)\]"), F.lit(1)), lambda x: x.cast("int")))
+    """Distinct evidence numbers of ``[E#]`` in order; one beyond 64 bits is null, which no evidence has."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[E(\d+)\]"), F.lit(1)), lambda x: x.try_cast("bigint")))
 
 
 def split_citations(cited: Column, n_evidence: Column) -> Column:
     """struct(valid, invalid): cited numbers from 1 to ``n_evidence``, and the others, in order."""
-    known = lambda x: x.between(1, n_evidence)
+    known = lambda x: F.coalesce(x.between(1, n_evidence), F.lit(False))
     return F.struct(F.filter(cited, known).alias("valid"), F.filter(cited, lambda x: ~known(x)).alias("invalid"))
 
 
@@ -161,14 +159,23 @@ def format_locator(uri: Column, locator: Column) -> Column:
     )
 
 
+#: White space at the ends of a text.
+_ENDS = r"(?U)^\s+|\s+$"
+
+
 def gold_uris(raw: Column) -> Column:
-    """Expected sources: a JSON list, a JSON string, or text cut at commas; blank gives none."""
-    text = F.trim(F.coalesce(raw, F.lit("")))
-    listed = F.from_json(text, "array<string>")
-    single = F.when(text.rlike('^".*"$'), F.array(F.get_json_object(F.concat(F.lit('{"x":'), text, F.lit("}")), "$.x")))
-    cut = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
-    empty = F.array().cast("array<string>")
-    return F.when(text == "", empty).when(text.startswith("["), F.coalesce(listed, cut)).otherwise(F.coalesce(single, cut))
+    """Expected sources: a JSON list, a JSON string, or, where it is no JSON, text cut at commas; other JSON and blank text give none."""
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), _ENDS, "")
+    # In a list of its own, so that what stands behind a value shows.
+    whole = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    value = F.when(F.size(whole) == 1, F.get(whole, F.lit(0)))
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    # Items that are no strings stand as JSON writes them.
+    items = F.transform(listed, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    single = F.when(F.schema_of_variant(value) == "STRING", F.array(F.try_variant_get(value, "$", "string")))
+    cut = F.filter(F.transform(F.split(text, ","), lambda x: F.regexp_replace(x, _ENDS, "")), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    return F.when(value.isNull(), cut).otherwise(F.coalesce(F.when(F.schema_of_variant(value).startswith("ARRAY"), items), single, none))
 
 
 def uri_problem(uri: Column) -> Column:
@@ -190,45 +197,66 @@ def uri_warnings(queries: DataFrame, known: DataFrame | None = None) -> DataFram
     return each.where("issue is not null").select("query_text", "uri", "issue")
 
 
-#: What opens a comparison and what joins its sides (fixed values), the first that is found counting.
-COMPARISONS = [(["difference between", "differences between"], ["and"]), (["compare"], ["with", "to", "and"]), ([], ["vs", "vs.", "versus"])]
-#: Words that a side doesn't begin with, and marks that it neither begins nor ends with (fixed values).
-SIDE_FIRST, SIDE_MARKS = ["a", "an", "the", "using"], ",;:"
+#: What opens a comparison, word by word, and what joins its sides (fixed values); the first kind that gives two sides counts.
+COMPARISONS = [([["difference", "differences"], ["between"]], ["and"]), ([["compare"]], ["with", "to", "and"]), ([], ["vs", "vs.", "versus"])]
+#: Words that a side doesn't begin with, marks that it neither begins nor ends with, marks that end the second side (fixed values).
+SIDE_FIRST, SIDE_MARKS, SIDE_ENDS = ["a", "an", "the", "using"], ",;:", ".?!"
+
+
+def once(value: Column, body) -> Column:
+    """``body`` of ``value``, evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _side(found: Column) -> Column:
+    """A side without marks at its ends and a first word of ``SIDE_FIRST``; null where a line ends in it."""
 
+    def named(side: Column) -> Column:
+        parts = F.split(side, r"(?U)\s+", 2)
+        return once(parts, lambda p: F.when((F.size(p) > 1) & F.lower(p[0]).isin(SIDE_FIRST), F.regexp_replace(F.get(p, F.lit(1)), _ENDS, "")).otherwise(F.regexp_replace(side, _ENDS, "")))
 
-def _comparison(openings: list[str], joiners: list[str]) -> str:
-    """Anywhere: opening, side, joiner, side up to the end of the sentence. Without an opening the first side begins with the first word."""
-    either = lambda names: "(?:" + "|".join(re.escape(n).replace(r"\ ", r"\s+") for n in sorted(names, key=len, reverse=True)) + ")"
-    begin = rf"\b{either(openings)}\s+" if openings else r"^(?:.*?\b)?(?=\S)"
-    return rf"{begin}(.+?)\s+{either(joiners)}\s+(.+?)(?:[.?!]|$)"
+    return once(F.btrim(F.regexp_replace(found, _ENDS, ""), F.lit(SIDE_MARKS)), lambda side: F.when(~side.contains("\n"), named(side)))
 
 
-def _side(found: str) -> str:
-    bare = found.strip().strip(SIDE_MARKS)
-    first, _, rest = bare.partition(" ")
-    return (rest if rest.strip() and first.lower() in SIDE_FIRST else bare).strip()
+def _between(words: Column, said: Column, openings: list[list[str]], joiners: list[str]) -> Column:
+    """struct(left, right) around the first joiner that stands behind an opening and a word, or null. ``said``: the words in small letters, bare."""
+    n, at = F.size(words), F.sequence(F.lit(1), F.size(words))
+    begin = F.lit(1)
+    if openings:
 
+        def opens(i: Column) -> Column:
+            first = F.regexp_extract(F.element_at(said, i), r"(?U)(\w+)$", 1).isin(openings[0])  # of ``(compare``, ``compare``
+            for k, names in enumerate(openings[1:], 1):
+                first = first & F.coalesce(F.try_element_at(said, i + k).isin(names), F.lit(False))
+            return first
 
-def comparative_sides(query: str) -> tuple[str, str] | None:
-    """The two sides of a comparative question, or None."""
-    for openings, joiners in COMPARISONS:
-        if m := re.search(_comparison(openings, joiners), query, re.I):
-            sides = _side(m[1]), _side(m[2])
-            if all(sides) and sides[0].lower() != sides[1].lower():
-                return sides
-    return None
+        begin = F.try_element_at(F.filter(at, opens), F.lit(1)) + len(openings)
+
+    def cut(b: Column, j: Column) -> Column:
+        left = F.array_join(F.slice(words, b, j - b), "")
+        if not openings:
+            left = F.regexp_replace(left, r"(?U)^\W+(?=\w)", "")
+        ended = once(F.array_join(F.slice(words, j + 1, n), ""), lambda x: F.concat(F.left(x, F.lit(1)), F.split(F.substring(x, 2, 1 << 30), f"[{SIDE_ENDS}]")[0]))
+        return F.struct(_side(left).alias("left"), _side(ended).alias("right"))
+
+    joined = lambda b: F.try_element_at(F.filter(at, lambda j: (j > b) & (j < n) & F.element_at(said, j).isin(joiners)), F.lit(1))
+    found = once(begin, lambda b: once(joined(b), lambda j: F.when(j.isNotNull(), cut(b, j))))
+    return once(found, lambda s: F.when((s["left"] != "") & (s["right"] != "") & (F.lower(s["left"]) != F.lower(s["right"])), s))
 
 
 def comparative(query: Column) -> Column:
-    """``comparative_sides`` of a column: struct(left, right), or null."""
-
-    def side(pattern: str, group: int) -> Column:
-        bare = F.btrim(F.trim(F.regexp_extract(query, pattern, group)), F.lit(SIDE_MARKS))
-        return F.trim(F.regexp_replace(bare, rf"(?iU)^(?:{'|'.join(SIDE_FIRST)})\s+(?=\S)", ""))
-
-    found = []
-    for openings, joiners in COMPARISONS:
-        pattern = "(?iU)" + _comparison(openings, joiners)
-        left, right = side(pattern, 1), side(pattern, 2)
-        found.append(F.when((left != "") & (right != "") & (F.lower(left) != F.lower(right)), F.struct(left.alias("left"), right.alias("right"))))
-    return F.coalesce(*found)
+    """The sides of a comparative question, struct(left, right), or null.
+
+    A question is a row of words. Its first opening and the first joiner behind a word after that are found by position; the sides are what
+    stands between them, and behind the joiner up to the end of the sentence. Without an opening the left side begins with the first letter.
+    """
+    # Each word with the white space behind it, so that a side keeps its own.
+    words = F.split(F.regexp_replace(F.coalesce(query, F.lit("")), r"(?U)^\s+", ""), r"(?U)(?<=\s)(?=\S)")
+    said = lambda w: F.transform(w, lambda x: F.lower(F.regexp_replace(x, r"(?U)\s+$", "")))
+    return once(words, lambda w: once(said(w), lambda x: F.coalesce(*[_between(w, x, *kind) for kind in COMPARISONS])))
+
+
+def comparative_sides(spark: SparkSession, query: str) -> tuple[str, str] | None:
+    """``comparative`` of one question."""
+    found = spark.range(1).select(comparative(F.lit(query)).alias("s")).first()["s"]
+    return None if found is None else tuple(found)

@@ -17,6 +17,16 @@ from . import memory, store, views
 EVENT_CHARS = 8000
 
 
+def forget(tables: dict[str, DataFrame], gone: DataFrame) -> tuple[dict[str, DataFrame], int]:
+    """(tables without the sources in ``gone`` (source_type, source_uri), their chunks and vectors; how many sources went)."""
+    dead = durable(tables["sources"].join(gone.select(store.SOURCE).distinct(), store.SOURCE, "left_semi").select("id"))
+    n = dead.count()
+    if not n:
+        return tables, 0
+    chunks, vectors = store.replace_chunks(tables["chunks"], tables["vectors"], dead, tables["chunks"].limit(0).drop("chunk_id"))
+    return {**tables, "sources": durable(tables["sources"].join(dead, "id", "left_anti")), "chunks": durable(chunks), "vectors": durable(vectors)}, n
+
+
 def ingest(tables: dict[str, DataFrame], scanned: DataFrame, chunks: DataFrame, embedder=None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(tables, report) after a scan; ``tables``: sources, chunks, vectors.
 
@@ -24,7 +34,7 @@ def ingest(tables: dict[str, DataFrame], scanned: DataFrame, chunks: DataFrame,
     chunk_index, text, metadata_json. Unchanged sources keep their chunks; those of changed ones are made anew under new ids, and embedded at once where there is an
     ``embedder``. The report counts sources by state, and inserted chunks.
     """
-    states = store.source_changes(tables["sources"], scanned.withColumnRenamed("source_fingerprint", "source_fingerprint"))
+    states = store.source_changes(tables["sources"], scanned)
     sources, gone = store.upsert_sources(tables["sources"], scanned)
     sources = durable(sources)
     moved = states.where("state <> 'unchanged'").select(store.SOURCE).join(sources.select(F.col("id").alias("source_id"), *store.SOURCE), store.SOURCE)
@@ -50,14 +60,14 @@ def note_scan(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return sources, each.select(*store.SOURCE, "chunk_index", F.col("chunk_text").alias("text"), _metadata(modality=F.lit("text"), source_type=F.lit("note")).alias("metadata_json"))
 
 
-def git_scan(spark: SparkSession, repository: str, name: str, email: str, most: int = 300) -> tuple[DataFrame, DataFrame]:
-    """(sources, chunks) of an author's commits."""
-    found = durable(git.scan(spark, repository, most).where((F.col("author_name") == name) & (F.col("author_email") == email)).withColumn("source_type", F.lit("git_commit")))
+def git_scan(spark: SparkSession, repository: str, name: str, email: str, most: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sources, chunks) of an author's commits, and the sources that are commits of others."""
+    found, others = git.by_author(durable(git.scan(spark, repository, most).withColumn("source_type", F.lit("git_commit"))), name, email)
     about = {c: F.col(c) for c in ("repo", "sha", "author_name", "author_email", "fingerprint")}
     sources = found.select(*store.SOURCE, F.col("fingerprint").alias("source_fingerprint"), "timestamp", "title", _metadata(**about).alias("metadata_json"))
     each = chunking.chunk_rows(found, chunking.diff_chunks(F.col("text")), *store.SOURCE, "sha", "author_name", "author_email")
     own = {c: F.col(c) for c in ("sha", "author_name", "author_email")}
-    return sources, each.select(*store.SOURCE, "chunk_index", F.col("chunk_text").alias("text"), _metadata(modality=F.lit("code"), source_type=F.lit("git_commit"), **own).alias("metadata_json"))
+    return sources, each.select(*store.SOURCE, "chunk_index", F.col("chunk_text").alias("text"), _metadata(modality=F.lit("code"), source_type=F.lit("git_commit"), **own).alias("metadata_json")), others.select(F.lit("git_commit").alias("source_type"), "source_uri")
 
 
 def pdf_scan(spark: SparkSession, folder: str, read: Callable = files.pages_of) -> tuple[DataFrame, DataFrame]:
@@ -77,18 +87,22 @@ def image_scan(spark: SparkSession, folder: str, read: Callable = files.recognis
     return sources, each.select(*store.SOURCE, "chunk_index", F.col("chunk_text").alias("text"), _metadata(modality=F.lit("ocr"), source_type=F.lit("image"), ocr_confidence=F.col("ocr_confidence")).alias("metadata_json"))
 
 
-def sync(tables: dict[str, DataFrame], connectors: dict[str, list[str]], scans: dict[str, Callable[[str], tuple[DataFrame, DataFrame]]], embedder=None, progress: Callable[[str, int, int], Any] | None = None) -> tuple[dict[str, DataFrame], list[dict]]:
+def sync(tables: dict[str, DataFrame], connectors: dict[str, list[str]], scans: dict[str, Callable[[str], tuple[DataFrame, ...]]], embedder=None, progress: Callable[[str, int, int], Any] | None = None) -> tuple[dict[str, DataFrame], list[dict]]:
     """(tables, report) after all folders of all connectors.
 
-    ``scans``: how a connector reads a folder. A folder that can't be read is told in the report and stops nothing; a connector whose library is missing is skipped.
+    ``scans``: how a connector reads a folder: (sources, chunks) and, where it knows some, the sources that go. A folder that can't be read is told in the report and stops nothing; a connector whose library is missing is skipped.
     """
     needs, report = {"pdf": "pdf", "image": "image"}, []
     for name, paths in connectors.items():
-        entry: dict[str, Any] = {"connector": name, "paths": len(paths), "inserted": 0, "status": "ok" if paths else "no-paths"}
+        entry: dict[str, Any] = {"connector": name, "paths": len(paths), "inserted": 0, "removed": 0, "status": "ok" if paths else "no-paths"}
         errors: list[str] = []
         for k, path in enumerate(paths, 1):
             try:
-                tables, told = ingest(tables, *scans[name](path), embedder)
+                sources, chunks, *gone = scans[name](path)
+                for rows in gone:
+                    tables, n = forget(tables, rows)
+                    entry["removed"] += n
+                tables, told = ingest(tables, sources, chunks, embedder)
                 entry["inserted"] += sum(r.n for r in told.where("state = 'chunks_inserted'").collect())
             except files.MissingBackend as e:
                 entry["status"] = f"skipped: {e}" if name in needs else f"failed: {e}"

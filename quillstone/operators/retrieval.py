@@ -31,11 +31,6 @@ def query_tokens(query: str) -> Counter:
     return out
 
 
-def _once(value: Column, body) -> Column:
-    """``body`` of ``value``, evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def lexical(column: Column, query: str) -> Column:
     """Cosine of a text's raw token counts with the query's; 0 without a common token."""
     wanted = query_tokens(query)
@@ -64,9 +59,9 @@ def lexical(column: Column, query: str) -> Column:
 
     def score(tokens: Column) -> Column:
         dot = F.aggregate(F.filter(tokens, lambda t: t.isin(sorted(wanted))), F.lit(0), lambda s, t: s + weight(t))
-        return _once(dot, lambda d: F.when(d > 0, d / (F.lit(q_norm) * F.sqrt(norm2(tokens)))).otherwise(F.lit(0.0)))
+        return text.once(dot, lambda d: F.when(d > 0, d / (F.lit(q_norm) * F.sqrt(norm2(tokens)))).otherwise(F.lit(0.0)))
 
-    return F.when(F.coalesce(column.rlike(hint), F.lit(False)), _once(text.tokenize(column), score)).otherwise(F.lit(0.0))
+    return F.when(F.coalesce(column.rlike(hint), F.lit(False)), text.once(text.tokenize(column), score)).otherwise(F.lit(0.0))
 
 
 def with_lexical(rows: DataFrame, query: str, column: Column, name: str = "lexical") -> DataFrame:
@@ -277,7 +272,7 @@ def hybrid_retrieve(chunks: DataFrame, embeddings: DataFrame | None, query: str,
     if embeddings is None or query_vector is None or of_model(embeddings, options.get("model")).isEmpty():
         picked = {k: v for k, v in options.items() if k in ("restrict_ids", "source_types")}
         return whole(lexical_retrieve(chunks, query, now, top_k, cap, **picked))
-    sides = text.comparative_sides(query) if decompose and options.get("restrict_ids") is None and embed else None
+    sides = text.comparative_sides(chunks.sparkSession, query) if decompose and options.get("restrict_ids") is None and embed else None
 
     def once(q: str, v: list[float]) -> DataFrame:
         found = hybrid_scores(chunks, embeddings, q, v, now, top_k=top_k, **options)

@@ -183,13 +183,33 @@ def test_git_scan(spark, repository):
     rows = git.scan(spark, str(repository)).collect()
     assert [r.title for r in rows] == ["change 2", "change 1", "change 0"] and rows[0].text.startswith("commit: change 2\n\nbody 2") and "+line 2" in rows[0].text
     assert rows[0].source_uri == f"{repository.resolve()}@{rows[0].sha}" and git.scan(spark, str(repository), most=1).count() == 1
-    stored = spark.createDataFrame([(1, "git_commit", rows[1].source_uri), (2, "git_commit", rows[0].source_uri), (3, "note", "/n")], "id long, source_type string, source_uri string")
-    mine, gone = git.by_author(git.scan(spark, str(repository)), stored, "ann", "ann@x")
-    assert mine.count() == 2 and [r.id for r in gone.collect()] == [1]
+    assert [r.timestamp for r in rows] == [f"2024-01-0{k}T00:00:00+00:00" for k in (3, 2, 1)] and " f2.txt | 1 +" in rows[0].text and "diff --git a/f2.txt b/f2.txt" in rows[0].text
+    mine, others = git.by_author(git.scan(spark, str(repository)), "ann", "ann@x")
+    assert mine.count() == 2 and [r.source_uri for r in others.collect()] == [rows[1].source_uri]
     with pytest.raises(FileNotFoundError):
         git.scan(spark, str(repository / "none"))
 
 
+def test_commit_objects():
+    raw = b"tree t\nparent p\nauthor Ann B <ann@x> 1700000000 -0330\ncommitter C <c@x> 1700000000 +0530\ngpgsig -----\n author no\n\nA subject\nin two lines\n\nbody \xff\n\nmore\n"
+    found = git.commit_of(raw)
+    assert found == {"timestamp": "2023-11-15T03:43:20+05:30", "subject": "A subject in two lines", "body": "\nbody \ufffd\n\nmore".strip("\n"), "author_name": "Ann B", "author_email": "ann@x"}
+    assert list(git.objects_of(b"a commit 3\nx\ny\nb commit 0\n\n")) == [b"x\ny", b""]
+    assert git.patches_of(b"s1\n+a\n s2\ns3\n-b", ["s1", "s2", "s3"]) == {"s1": "+a\n s2", "s2": "", "s3": "-b"}
+
+
+def test_commits_of_others_go(spark, repository):
+    repo = {"git": [str(repository)]}
+    everyone = lambda p: ingest.git_scan(spark, p, "bob", "bob@x")
+    mine = lambda p: ingest.git_scan(spark, p, "ann", "ann@x")
+    tables, report = ingest.sync(ingest.read_tables(spark, "", -1), repo, {"git": everyone}, Embedder())
+    assert report[0]["removed"] == 0 and tables["sources"].count() == 1
+    tables, report = ingest.sync(tables, repo, {"git": mine}, Embedder())
+    authors = {r.a for r in tables["sources"].select(F.get_json_object("metadata_json", "$.author_name").alias("a")).collect()}
+    assert report[0]["removed"] == 1 and tables["sources"].count() == 2 and authors == {"ann"}
+    assert tables["chunks"].join(tables["sources"].selectExpr("id source_id"), "source_id", "left_anti").count() == 0 and tables["vectors"].count() == tables["chunks"].count()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "one.pdf").write_bytes(b"p1|p2 " + b"word " * 400)

@@ -23,11 +23,21 @@ def test_scores(spark):
 
 
 def test_text_parsers(spark):
-    assert text.comparative_sides("difference between the alpha and beta?") == ("alpha", "beta")
-    assert text.comparative_sides("alpha vs Alpha") is None and text.comparative_sides("tell me about alpha") is None
-    assert text.comparative_sides("Please compare using Rust to a Zig compiler. Now") == ("Rust", "Zig compiler") and text.comparative_sides("(tea) versus coffee!") == ("tea)", "coffee")
-    assert [text.comparative_sides(q) for q in ("", "difference in taste", "compare teas", "vs", "tea vs ")] == [None] * 5
+    sides_of = {
+        "difference between the alpha and beta?": ("alpha", "beta"), "alpha vs Alpha": None, "tell me about alpha": None, "Please compare using Rust to a Zig compiler. Now": ("Rust", "Zig compiler"), "(tea) versus coffee!": ("tea)", "coffee"), "": None,
+        "difference in taste": None, "compare teas": None, "vs": None, "tea vs ": None,
+        "Say what differences between   hot  tea and iced tea there are": ("hot  tea", "iced tea there are"), "COMPARE an old kettle WITH the new kettle!": ("old kettle", "new kettle"), "(compare tea to .NET v2. Ok)": ("tea", ".NET v2"),
+        "difference between tea, and: using": None, "is difference between tea and tea vs coffee": ("tea", "tea vs coffee"), "difference between tea and tea": None, "tea vs vs coffee": ("tea", "vs coffee"), "?? vs tea": ("??", "tea"),
+        "  mint tea\tversus  a\u00a0black tea ? no": ("mint tea", "black tea"), "compare a, with; b": None, "compare milk\nand tea": ("milk", "tea"), "compare a\nb and c": None, "differences between and and or and not": ("and", "or and not"),
+    }
+    asked = spark.createDataFrame([(q,) for q in sides_of], "q string").select("q", text.comparative(F.col("q")).alias("s"))
+    assert {r.q: r.s and tuple(r.s) for r in asked.collect()} == sides_of and text.comparative_sides(spark, "tea vs coffee") == ("tea", "coffee")
     assert one(spark, text.citations(F.lit("a [E2] b [E1] [E2]"))) == [2, 1]
+    assert one(spark, text.citations(F.lit("[E99999999999] [E1] [E99999999999999999999]"))) == [99999999999, 1, None]
+    assert one(spark, text.split_citations(F.array(F.lit(None).cast("bigint"), F.lit(1).cast("bigint"), F.lit(99999999999)), F.lit(3))).asDict() == {"valid": [1], "invalid": [None, 99999999999]}
+    uris_of = {'\n ["/a"]\u00a0': ["/a"], '{"a": 1}': [], "5": [], "true": [], "null": [], '["/a", 1, null]': ["/a", "1", "null"], '["/a"': ['["/a"'], "/a,, \n/b": ["/a", "/b"], ' "/a" ': ["/a"], '"/a", "/b"': ['"/a"', '"/b"'], "[]": []}
+    listed = spark.createDataFrame([(raw,) for raw in uris_of], "raw string").select("raw", text.gold_uris(F.col("raw")).alias("uris"))
+    assert {r.raw: r.uris for r in listed.collect()} == uris_of
     assert one(spark, text.gold_uris(F.lit('["/a", "/b"]'))) == ["/a", "/b"]
     assert one(spark, text.gold_uris(F.lit('"/a"'))) == ["/a"] and one(spark, text.gold_uris(F.lit("/a, /b"))) == ["/a", "/b"]
     assert one(spark, text.gold_uris(F.lit("  "))) == []
