@@ -21,15 +21,6 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(found, variants))
 
 
-def exploded_tokens(df: DataFrame, key: str, column: str) -> DataFrame:
-    """``key``, token: a row per token of ``tokenize``; after the match all steps run in generated code."""
-    raw = df.select(key, F.explode(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(TOKEN), F.lit(0))).alias("__raw"))
-    low = raw.select(key, F.lower("__raw").alias("token"))
-    squashed = F.replace(F.col("token"), F.lit("_"), F.lit(""))
-    both = F.when(F.col("token").contains("_") & (squashed != ""), F.array("token", squashed)).otherwise(F.array("token"))
-    return low.select(key, F.explode(both).alias("token"))
-
-
 def preview(text: Column, size: int = 220, tail: str = "...") -> Column:
     """White space collapsed; cut to ``size`` characters with ``tail``."""
     flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

@@ -10,25 +10,23 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable, numbered
 from ..functions import scores, text, vectors
 
 
-def query_tokens(query: str) -> Counter:
-    """The driver-side twin of ``text.tokenize`` for one query."""
-    out: Counter = Counter()
-    for t in re.findall(text.TOKEN, query):
-        low = t.lower()
-        out[low] += 1
-        if "_" in low and low.replace("_", ""):
-            out[low.replace("_", "")] += 1
-    return out
+def query_tokens(query: str | None) -> Counter:
+    """Counts of ``text.tokenize``, outside of Spark's expressions."""
+    found = " ".join(re.findall(text.TOKEN, query or "")).lower()
+    tokens = found.split()
+    if "_" in found:
+        tokens += [t.replace("_", "") for t in tokens if "_" in t and t.strip("_")]
+    return Counter(tokens)
 
 
 def lexical(column: Column, query: str) -> Column:
@@ -147,60 +145,93 @@ def source_cap(hits: DataFrame, cap: int = 2, score: str = "score", per: list[st
     return hits.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= cap).drop("__n")
 
 
-def _token_cosine(a: Counter, b: Counter) -> float:
-    if not a or not b:
-        return 0.0
-    return sum(n * b[t] for t, n in a.items()) / math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
-
-
 class _Kept:
-    """Hits kept so far, which a next one must differ from."""
+    """Hits kept so far, which a next one must differ from; by token, so that only hits with a word in common are compared."""
 
     def __init__(self, top_k: int, threshold: float):
-        self.top_k, self.threshold, self.bags = top_k, threshold, []
+        self.top_k, self.threshold = top_k, threshold
+        self.with_token: dict[str, list[tuple[int, int]]] = {}
+        self.norm2: list[int] = []
 
     def full(self) -> bool:
-        return len(self.bags) >= self.top_k
+        return len(self.norm2) >= self.top_k
 
     def takes(self, text_: str | None) -> bool:
-        mine = query_tokens(text_ or "")
-        if self.full() or any(_token_cosine(mine, t) >= self.threshold for t in self.bags):
+        if self.full():
+            return False
+        mine = query_tokens(text_)
+        dots, norm2 = [0] * len(self.norm2), sum(n * n for n in mine.values())
+        for t, n in mine.items():
+            for k, m in self.with_token.get(t, ()):
+                dots[k] += n * m
+        if any((d / math.sqrt(norm2 * self.norm2[k]) if d else 0.0) >= self.threshold for k, d in enumerate(dots)):
             return False
-        self.bags.append(mine)
+        for t, n in mine.items():
+            self.with_token.setdefault(t, []).append((len(self.norm2), n))
+        self.norm2.append(norm2)
         return True
 
 
-def dedupe_greedy(hits: DataFrame, top_k: int, threshold: float = 0.95, score: str = "score") -> DataFrame:
-    """Walk hits best first; drop one whose token cosine with a kept hit reaches ``threshold``; stop at ``top_k``.
+def _walked(hits: DataFrame, top_k: int, threshold: float, per: str) -> DataFrame:
+    """The hits that stay, of each ``per`` best first; the few hits of one stream through a task."""
 
-    The walk is sequential by nature: ranked hits are sorted once and come to the driver a
-    partition at a time until enough are kept or none are left; only kept ones stay there.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, kept = None, None
+        for batch in batches:
+            names = batch.schema.names
+            stays = []
+            for q, t in zip(batch.column(names.index(per)).to_pylist(), batch.column(names.index("text")).to_pylist(), strict=True):
+                if kept is None or q != asked:
+                    asked, kept = q, _Kept(top_k, threshold)
+                stays.append(kept.takes(t))
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return hits.repartition(per).sortWithinPartitions(per, F.desc("score"), "chunk_id").mapInArrow(run, hits.schema)
+
+
+def dedupe_prefixes(best: Callable[[int, DataFrame | None], DataFrame], texts: DataFrame | None, top_k: int, threshold: float = 0.95, per: str = "query_id", one: bool = False) -> DataFrame:
+    """Walk the hits of every ``per`` best first; drop one whose token cosine with a kept hit reaches ``threshold``; stop at ``top_k``.
+
+    ``best(n, open)`` gives the best ``n`` hits of each ``per`` in ``open`` (None: of all). Few are walked at first, and twice as many of those questions
+    whose hits ran out, so all hits count and few are looked at. ``texts`` (chunk_id, text) are joined to those only; without them hits have a text.
+    ``one``: there is a single question, so up to 10,000 hits are broadcast to the texts.
     """
-    kept, rows = _Kept(top_k, threshold), []
-    if top_k > 0:
-        for r in hits.orderBy(F.desc(score), "chunk_id").toLocalIterator():
-            if kept.takes(r["text"]):
-                rows.append(r)
-            if kept.full():
-                break
-    return hits.sparkSession.createDataFrame(rows, hits.schema)
+    n, open_, found = max(4 * top_k, 16), None, None
+    while True:
+        hits = durable(best(n, open_))
+        few = F.broadcast(hits) if one and n <= 10_000 else hits
+        named = hits if texts is None else few.join(texts, "chunk_id").select(*hits.columns, "text")
+        kept = durable(_walked(named, top_k, threshold, per))
+        found = kept if found is None else found.join(open_, per, "left_anti").unionByName(kept)
+        seen = hits.groupBy(per).agg(F.count("*").alias("__seen")).where(F.col("__seen") >= n)
+        full = kept.groupBy(per).agg(F.count("*").alias("__kept")).where(F.col("__kept") >= top_k)
+        open_ = durable(seen.join(full, per, "left_anti").select(per))
+        if open_.isEmpty():
+            return found
+        n *= 2
+
+
+def dedupe_greedy(hits: DataFrame, top_k: int, threshold: float = 0.95, score: str = "score", texts: DataFrame | None = None) -> DataFrame:
+    """``dedupe_prefixes`` of the hits of one question; ``texts``: where to find the texts of chunks if not in ``hits``."""
+    if top_k <= 0:
+        return hits.limit(0)
+    order = [F.desc(score), F.asc("chunk_id")]
+    named = hits.select("chunk_id", "text") if texts is None else texts.select("chunk_id", "text")
+    ids = hits.drop("text").withColumn("__one", F.lit(0))
+    rows = ids if score == "score" else ids.withColumn("score", F.col(score))
+    found = dedupe_prefixes(lambda n, _: rows.orderBy(*order).limit(n), named, top_k, threshold, "__one", one=True)
+    return found.orderBy(*order).select(*[c for c in hits.columns if c in found.columns], *([] if "text" in hits.columns else ["text"]))
 
 
 def dedupe_bulk(hits: DataFrame, top_k: int, threshold: float = 0.95, per: str = "query_id") -> DataFrame:
-    """``dedupe_greedy`` of every query at once: hits of a query stream through one task best first, which holds the kept ones only."""
+    """``dedupe_prefixes`` of ``hits`` that have their texts, of every question at once."""
+    order = Window.partitionBy(per).orderBy(F.desc("score"), "chunk_id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked, kept = None, None
-        for pdf in frames:
-            stays = []
-            for q, t in zip(pdf[per], pdf["text"], strict=True):
-                if q != asked or kept is None:
-                    asked, kept = q, _Kept(top_k, threshold)
-                stays.append(kept.takes(t))
-            yield pdf[stays]
+    def best(n: int, open_: DataFrame | None) -> DataFrame:
+        mine = hits if open_ is None else hits.join(open_, per, "left_semi")
+        return mine.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 
-    ranked = hits.repartition(per).sortWithinPartitions(per, F.desc("score"), "chunk_id")
-    return ranked.mapInPandas(run, hits.schema)
+    return dedupe_prefixes(best, None, top_k, threshold, per)
 
 
 #: Source types that a modality names (fixed values).
@@ -240,7 +271,7 @@ def lexical_hits(chunks: DataFrame, query: str, now: Column, restrict_ids: DataF
 def lexical_retrieve(chunks: DataFrame, query: str, now: Column, top_k: int = 5, cap: int = 2, restrict_ids: DataFrame | None = None, source_types: list[str] | None = None) -> DataFrame:
     """The best ``lexical_hits``, capped by source where all chunks are open, without near duplicates."""
     scored = lexical_hits(chunks, query, now, restrict_ids, source_types)
-    return dedupe_greedy(source_cap(scored, 0 if restrict_ids is not None else cap), top_k)
+    return dedupe_greedy(source_cap(scored, 0 if restrict_ids is not None else cap), top_k, texts=chunks)
 
 
 def hybrid_scores(
@@ -276,7 +307,7 @@ def hybrid_retrieve(chunks: DataFrame, embeddings: DataFrame | None, query: str,
 
     def once(q: str, v: list[float]) -> DataFrame:
         found = hybrid_scores(chunks, embeddings, q, v, now, top_k=top_k, **options)
-        return dedupe_greedy(source_cap(found, 0 if options.get("restrict_ids") is not None else cap), top_k)
+        return dedupe_greedy(source_cap(found, 0 if options.get("restrict_ids") is not None else cap), top_k, texts=chunks)
 
     if not sides:
         return whole(once(query, query_vector))
@@ -353,7 +384,7 @@ def drill_down(hits: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataF
     ranked = hits.select("node_id", place.alias("__place"))  # top-k hits
     reached = evidence.join(F.broadcast(ranked), "node_id").join(chunks.select("chunk_id", "source_uri"), "chunk_id")
     first = reached.groupBy(F.col("source_uri").alias("uri")).agg(F.min("__place").alias("__place"))
-    return first.select("uri", F.row_number().over(Window.orderBy("__place", "uri")).alias("rank"))  # uris under top-k nodes
+    return numbered(first, "rank", "__place", "uri").select("uri", F.col("rank").cast("int").alias("rank"))
 
 
 def level_retrieve(

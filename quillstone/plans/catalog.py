@@ -94,13 +94,6 @@ def lexical_source_cap(spark, sf_dir):
     return retrieval.source_cap(ranked).orderBy(F.desc("score"), "chunk_id").limit(20).select("chunk_id", "source_id", F.round("score", 6).alias("score"))
 
 
-@query()
-def dedupe_greedy(spark, sf_dir):
-    chunks = _chunks(spark, sf_dir)
-    ranked = retrieval.lexical_scores(chunks, QUERY).join(chunks, "chunk_id").withColumn("score", F.col("lexical")).select("chunk_id", "source_id", "text", "score")
-    return retrieval.dedupe_greedy(ranked, 10).select("chunk_id", F.round("score", 6).alias("score"))
-
-
 _COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings ORDER BY vec_id LIMIT 1))"
 
 
@@ -342,4 +335,4 @@ def chunk_documents(spark, sf_dir):
 
 
 # The other queries add themselves to the same tables.
-from . import changes, memories, texts  # noqa: E402, F401
+from . import changes, memories, questions, texts  # noqa: E402, F401

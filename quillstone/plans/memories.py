@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import scores
-from ..operators import answers, evaluation, graph, memory, retrieval, usage, views
+from ..durable import durable
+from ..functions import scores, text
+from ..operators import answers, bulk, evaluation, graph, memory, retrieval, usage, views
 from .catalog import _AGE, _COS, _TOK, QUERY, SQL_TOKENS, _chunks, _geography, _now, _project_events, _query_vector, _read, _vectors, query
 
 _Q2 = sum(n * n for n in retrieval.query_tokens(QUERY).values())
@@ -42,12 +43,43 @@ sc AS (SELECT item_id, doc_id, sum(n * m) / (sqrt(CAST(any_value(m2) AS DOUBLE))
 rk AS (SELECT item_id, doc_id, s, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS r FROM sc)"""
 
 
+def _asked(spark, sf_dir):
+    """Every benchmark item as a question, with the vector of its number."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return items.join(_vectors(spark, sf_dir).select(F.col("chunk_id").alias("query_id"), "vector"), "query_id", "left")
+
+
 def _bulk(spark, sf_dir, top: int):
-    """query_id, chunk_id, lexical, rank: the best documents of every benchmark item, all in one join."""
-    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    found = retrieval.bulk_scores(retrieval.postings(_chunks(spark, sf_dir)), queries)
-    order = Window.partitionBy("query_id").orderBy(F.round("lexical", 9).desc(), "chunk_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """query_id, chunk_id, lexical, rank: the best documents of every benchmark item, all in one pass."""
+    items = _asked(spark, sf_dir).withColumn("vector", F.lit(None).cast("array<float>"))
+    found = bulk.scan(_chunks(spark, sf_dir).select("chunk_id", "text"), items, top, (0.0, 1.0, 0.0))
+    return bulk.ranked(found).select("query_id", "chunk_id", "lexical", "rank")
+
+
+def _windows(rows, key: str, column: str, size: int = 12):
+    """``key``, window: hashes of all runs of ``size`` tokens; of fewer tokens, none."""
+    tokens = text.tokenize(F.col(column))
+    runs = lambda t: F.when(F.size(t) >= size, F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.xxhash64(F.slice(t, i, size))))
+    return rows.select(key, F.explode(F.array_distinct(text.once(tokens, runs))).alias("window"))
+
+
+def _gold(spark, sf_dir):
+    """query_id, uri: documents that share a run of twelve tokens with a benchmark item."""
+    items = _windows(_read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text")
+    docs = _windows(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("uri"), "text"), "uri", "text")
+    return docs.join(items, "window").select("query_id", "uri").distinct()
+
+
+_WINDOWS = "SELECT DISTINCT {1} AS {2}, array_to_string(t[i : i + 11], ' ') AS run FROM (SELECT {1}, t, unnest(range(1, len(t) - 10)) AS i FROM (SELECT {1}, {3} AS t FROM {0}))"
+_GOLD = f"""wi AS ({_WINDOWS.format('benchmark', 'item_id', 'query_id', SQL_TOKENS)}), wd AS ({_WINDOWS.format('documents', 'doc_id', 'uri', SQL_TOKENS)}),
+gold AS (SELECT DISTINCT query_id, uri FROM wi JOIN wd USING (run))"""
+_METRICS = """SELECT count(*) AS n_queries, round(avg(CASE WHEN rank <= {0} THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS citation_hit_rate,
+count(*) FILTER (WHERE rank IS NULL OR rank > {0}) AS misses FROM f"""
+
+
+def _metrics(first_ranks, top_k: int):
+    m = evaluation.retrieval_metrics(first_ranks, top_k)
+    return m.select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "citation_hit_rate")], "misses")
 
 
 @query(f"WITH {_BULK} SELECT item_id AS query_id, doc_id AS chunk_id, round(s, 6) AS lexical, CAST(r AS INTEGER) AS rank FROM rk WHERE r <= 10")
@@ -56,20 +88,12 @@ def lexical_bulk(spark, sf_dir):
     return _bulk(spark, sf_dir, 10).select("query_id", "chunk_id", F.round("lexical", 6).alias("lexical"), "rank")
 
 
-@query(
-    f"""WITH {_BULK}, g AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60))),
-f AS (SELECT item_id, min(r) AS rank FROM g LEFT JOIN rk USING (item_id, doc_id) GROUP BY 1)
-SELECT count(*) AS n_queries, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(CASE WHEN rank = 1 THEN 1.0 ELSE 0.0 END), 6) AS citation_hit_rate,
-count(*) FILTER (WHERE rank IS NULL OR rank > 5) AS misses FROM f"""
-)
+@query(f"WITH {_BULK}, {_GOLD}, f AS (SELECT query_id, min(r) AS rank FROM gold LEFT JOIN rk ON rk.item_id = query_id AND rk.doc_id = uri GROUP BY 1) {_METRICS.format(5)}")
 def eval_recall_mrr(spark, sf_dir):
-    """Retrieval of every benchmark item that some document quotes, the documents that quote its beginning being expected."""
-    ranked = _bulk(spark, sf_dir, 1 << 30).select("query_id", F.col("chunk_id").alias("uri"), "rank")
-    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("__head"))  # a set of evaluation queries, small by nature
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("uri"), "text")
-    gold = docs.join(F.broadcast(items), F.col("text").contains(F.col("__head"))).select("query_id", "uri")
-    m = evaluation.retrieval_metrics(evaluation.first_correct_rank(ranked, gold), 5)
-    return m.select("n_queries", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "citation_hit_rate")], "misses")
+    """Retrieval by words of every benchmark item that a document quotes; the rank of the first quoting document counts however deep it is."""
+    chunks, gold = _chunks(spark, sf_dir).select("chunk_id", "text"), durable(_gold(spark, sf_dir))
+    asked = _asked(spark, sf_dir).withColumn("vector", F.lit(None).cast("array<float>"))
+    return _metrics(bulk.first_ranks(chunks, asked, gold, (0.0, 1.0, 0.0)), 5)
 
 
 @query("SELECT item_id FROM benchmark WHERE lower(text) LIKE 'th%_e%'")
@@ -197,27 +221,6 @@ def distilled_retrieve(spark, sf_dir):
     return found.select("node_id", F.round("score", 6).alias("score"))
 
 
-_SOURCES = "(SELECT CAST(replace(source, 'src', '') AS BIGINT) AS node_id, string_agg(lang, ' ' ORDER BY doc_id) || ' the thing of ' || source AS content FROM documents GROUP BY source)"
-
-
-@query(
-    f"""WITH {_lexical_sql(_SOURCES, "node_id", "content")}, m AS (SELECT k FROM lx WHERE lexical > 0 ORDER BY 0.25 * lexical DESC, k DESC LIMIT 3), dl AS (WITH {_TOK} SELECT doc_id, source, lexical FROM lx)
-SELECT doc_id AS chunk_id, round(0.85 * lexical + 0.15 * exp(-{_AGE} / 45.0), 6) AS score FROM dl WHERE CAST(replace(source, 'src', '') AS BIGINT) IN (SELECT k FROM m)"""
-)
-def level_retrieve(spark, sf_dir):
-    """All hits among the chunks below the three best concepts, which are the documents' sources."""
-    docs = _read(spark, sf_dir, "documents")
-    number = F.regexp_replace("source", "src", "").cast("bigint")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "lang"))), lambda s: s["lang"]), " ")
-    nodes = docs.groupBy("source").agg(said.alias("__langs")).select(
-        number.alias("node_id"), F.lit(3).alias("level"), F.lit("concept").alias("node_type"), F.lit("").alias("title"), F.concat("__langs", F.lit(" the thing of "), "source").alias("content"), F.lit(None).cast("timestamp").alias("time_start"),
-        F.lit(None).cast("double").alias("centrality"),
-    )
-    matched = retrieval.top_nodes(retrieval.node_scores(retrieval.level_nodes(nodes, "concept"), None, QUERY, None, _now()), 3)
-    below = docs.select(number.alias("node_id"), F.col("doc_id").alias("chunk_id")).join(matched.select("node_id"), "node_id", "left_semi")
-    return retrieval.lexical_hits(_chunks(spark, sf_dir), QUERY, _now(), below).select("chunk_id", F.round("score", 6).alias("score"))
-
-
 _PR = """l AS (SELECT 'u:' || user_id AS a, 't:' || event_type AS b, CAST(count(*) AS DOUBLE) AS w FROM events GROUP BY ALL), e AS (SELECT a AS src, b AS dst, w FROM l UNION ALL SELECT b, a, w FROM l),
 o AS (SELECT src, sum(w) AS t FROM e GROUP BY 1), h AS (SELECT e.src, dst, w / t AS s FROM e JOIN o USING (src)), c AS (SELECT (SELECT count(*) FROM o) + (SELECT count(*) FROM region) AS n),
 r AS (SELECT 0 AS i, src AS node, 1.0 / n AS x, 5.0 / n AS lost, 1.0 / n AS z FROM o, c
