@@ -123,9 +123,28 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame, chunks: DataFrame) -> Dat
     return no_parent.unionByName(no_child).distinct()
 
 
+def supported(edges: DataFrame, chunks: DataFrame, max_depth: int = 8) -> DataFrame:
+    """level, node_id of all nodes with a live chunk below them, at most ``max_depth`` edges down.
+
+    One walk upwards from the live chunks, which passes every node once; no pairs of roots and nodes are made.
+    """
+    steps = edges.where(F.col("relation").isin(DRILL)).select(EDGE[:4]).distinct()
+    above = lambda rows: rows.select(F.col("parent_level").alias("level"), F.col("parent_id").alias("node_id")).distinct()
+    held = steps.where("child_level = 0").join(chunks.select(F.col("chunk_id").alias("child_id")), "child_id", "left_semi")
+    upper = steps.where("child_level <> 0")
+    found = frontier = durable(above(held))
+    for _ in range(max_depth - 1):
+        below = frontier.select(F.col("level").alias("child_level"), F.col("node_id").alias("child_id"))
+        frontier = durable(above(upper.join(below, ["child_level", "child_id"], "left_semi")).join(found, ["level", "node_id"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    return found
+
+
 def unsupported_nodes(nodes: DataFrame, edges: DataFrame, chunks: DataFrame) -> DataFrame:
-    reached = closure(edges, nodes, chunks).select(F.col("root_id").alias("node_id")).distinct()
-    return nodes.join(reached, "node_id", "left_anti")
+    """Nodes without a live chunk below them."""
+    return nodes.join(supported(edges, chunks), ["level", "node_id"], "left_anti").select(nodes.columns)
 
 
 def reanchor(edges: DataFrame, events: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..durable import durable, numbered
 from ..functions import chunking, repair
 from ..sources import files, git, notes
-from . import memory, store, views
+from . import memory, state, store, views
 
 # How much of a source events are made from.
 EVENT_CHARS = 8000
@@ -117,10 +117,10 @@ def sync(tables: dict[str, DataFrame], connectors: dict[str, list[str]], scans:
     return tables, report
 
 
-def stream_notes(spark: SparkSession, folder: str, state: str):
-    """A query that takes new notes of ``folder`` into the tables below ``state``, batch by batch; a file that comes again unchanged changes nothing.
+def stream_notes(spark: SparkSession, folder: str, root: str, embedder=None):
+    """A query that takes new notes of ``folder`` into the tables below ``root``, batch by batch; a file that comes again unchanged changes nothing.
 
-    Every batch writes the next version of the tables; ``version_of`` names the last whole one.
+    A batch writes what it changes (``state.take``); ``read_tables`` reads the tables of the last whole one.
     """
     rows = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     rows = rows.select(F.col("value").alias("text"), F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("source_uri"), F.col("_metadata.file_modification_time").alias("modified"))
@@ -134,25 +134,16 @@ def stream_notes(spark: SparkSession, folder: str, state: str):
         sources = found.select(*store.SOURCE, fingerprint(F.col("text")).alias("source_fingerprint"), time.alias("timestamp"), "title", F.lit(None).cast("string").alias("metadata_json"))
         each = chunking.chunk_rows(found, chunking.markdown_chunks(F.col("text"), F.col("title")), *store.SOURCE)
         chunks = each.select(*store.SOURCE, "chunk_index", F.col("chunk_text").alias("text"), F.lit(None).cast("string").alias("metadata_json"))
-        tables, _ = ingest(read_tables(spark, state, number - 1), sources, chunks)
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(f"{state}/{number:06d}/{name}")
+        state.take(spark, root, number, sources, chunks, embedder)
 
-    return rows.writeStream.foreachBatch(take).option("checkpointLocation", f"{state}/log").trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
 
 
-SCHEMAS = {
-    "sources": "id bigint, source_type string, source_uri string, source_fingerprint string, timestamp string, title string, metadata_json string",
-    "chunks": "chunk_id bigint, source_id bigint, chunk_index int, text string, metadata_json string",
-    "vectors": "chunk_id bigint, model string, dim int, vector array<float>",
-}
-
-
-def read_tables(spark: SparkSession, state: str, version: int) -> dict[str, DataFrame]:
-    """The tables of a version; empty ones before the first."""
-    if version < 0:
-        return {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
-    return {name: spark.read.schema(schema).parquet(f"{state}/{version:06d}/{name}") for name, schema in SCHEMAS.items()}
+def read_tables(spark: SparkSession, root: str | None = None) -> dict[str, DataFrame]:
+    """The tables below ``root``; empty ones without it."""
+    if root is None:
+        return {name: spark.createDataFrame([], schema) for name, schema in state.SCHEMAS.items()}
+    return state.read(spark, root)
 
 
 def source_texts(chunks: DataFrame, limit: int = EVENT_CHARS) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import versions
+from ..durable import numbered
 from ..functions import scores, text, vectors
 
 
@@ -199,3 +201,24 @@ def embed_pending(rows: DataFrame, stored: DataFrame, provider, key: str, text:
                 yield pd.DataFrame({key: part[key].to_numpy(), "model": name, "dim": dim, "vector": [list(map(float, v)) for v in provider.embed(part[text].tolist())]})
 
     return missing.mapInPandas(run, f"{key} long, model string, dim int, vector array<float>")
+
+
+def embed_in_batches(rows: DataFrame, stored: DataFrame, provider, key: str, text: str, folder: str, size: int = 50_000) -> DataFrame:
+    """``embed_pending`` in numbered batches that stay in ``folder``: a run that died goes on behind the last whole batch.
+
+    The pending rows are written once, in order of ``key``. A batch is whole when its folder has Spark's mark of success. The folder serves one set of rows; a next set takes another.
+    """
+    spark, plan = rows.sparkSession, versions.load(rows.sparkSession, folder)
+    if plan is None:
+        pending = numbered(rows.join(stored.where(F.col("model") == provider.name), key, "left_anti").select(key, text), "__n", key)
+        pending.withColumn("batch", F.floor((F.col("__n") - 1) / size)).drop("__n").repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/pending")
+        plan = {"model": provider.name, "batches": sorted(int(b.removeprefix("batch=")) for b in versions.folders(spark, f"{folder}/pending"))}
+        versions.commit(spark, folder, plan)
+    if plan["model"] != provider.name:
+        raise ValueError(f"{folder} holds vectors of {plan['model']}")
+    schema = f"{key} long, model string, dim int, vector array<float>"
+    for b in plan["batches"]:
+        if not versions.is_whole(spark, f"{folder}/vectors/batch={b}"):
+            pending = spark.read.parquet(f"{folder}/pending/batch={b}").repartition(spark.sparkContext.defaultParallelism)
+            embed_pending(pending, spark.createDataFrame([], schema), provider, key, text).write.mode("overwrite").parquet(f"{folder}/vectors/batch={b}")
+    return spark.read.schema(schema).parquet(*[f"{folder}/vectors/batch={b}" for b in plan["batches"]]) if plan["batches"] else spark.createDataFrame([], schema)

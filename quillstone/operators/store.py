@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import versions
 from ..durable import numbered
 
 
@@ -32,12 +34,13 @@ def source_changes(stored: DataFrame, scanned: DataFrame) -> DataFrame:
 SOURCE = ["source_type", "source_uri"]
 
 
-def upsert_sources(stored: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
+def upsert_sources(stored: DataFrame, scanned: DataFrame, top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(sources as they should be, ids whose chunks go) after a scan.
 
     ``stored``: id, source_type, source_uri, source_fingerprint, timestamp, title, metadata_json; ``scanned``: the same without id. Of
     several stored rows of a scanned source the newest stays. An unchanged one keeps its timestamp, and takes fingerprint,
     title and metadata only where it had no fingerprint; a changed one takes all, and its chunks go; new ones get the next ids. Sources that weren't scanned stay.
+    ``top``: the highest id so far, where ``stored`` holds some sources only.
     """
     values = ["source_fingerprint", "timestamp", "title", "metadata_json"]
     touched = stored.join(scanned.select(SOURCE).distinct(), SOURCE, "left_semi")
@@ -49,7 +52,7 @@ def upsert_sources(stored: DataFrame, scanned: DataFrame) -> tuple[DataFrame, Da
     same = F.coalesce(F.col("source_fingerprint") == F.col("__source_fingerprint"), F.lit(False)) | (legacy & F.col("timestamp").eqNullSafe(F.col("__timestamp")))
     taken = {c: F.when(~same, F.col(f"__{c}")).when(legacy & F.lit(c != "timestamp"), F.col(f"__{c}")).otherwise(F.col(c)) for c in values}
     kept = met.select("id", *SOURCE, *[v.alias(c) for c, v in taken.items()])
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] if top is None else top
     new = numbered(scanned.join(stored.select(SOURCE).distinct(), SOURCE, "left_anti").dropDuplicates(SOURCE).select(*SOURCE, *values), "__id", *SOURCE)
     new = new.select((F.col("__id") + top).alias("id"), *SOURCE, *values)
     others = stored.select("id", *SOURCE, *values).join(scanned.select(SOURCE).distinct(), SOURCE, "left_anti")
@@ -137,30 +140,48 @@ def without_prefix(sources: DataFrame, chunks: DataFrame, queries: DataFrame, us
     }
 
 
-def backup(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write every table below ``folder`` and, last, a manifest: name, n. A folder without a manifest is no backup."""
+MANIFEST = "_manifest.json"
+
+
+def backup(tables: dict[str, DataFrame], folder: str) -> dict[str, dict]:
+    """Write every table below ``folder`` and, last, a manifest of what each holds (``versions.content``). A folder without a manifest is no backup."""
     spark = next(iter(tables.values())).sparkSession
+    held = {}
     for name, table in tables.items():
         table.write.mode("errorifexists").parquet(f"{folder}/{name}")
-    counts = [(name, spark.read.parquet(f"{folder}/{name}").count()) for name in tables]
-    manifest = spark.createDataFrame(counts, "name string, n bigint")
-    manifest.coalesce(1).write.parquet(f"{folder}/_manifest")
-    return manifest
+        held[name] = versions.content(spark.read.parquet(f"{folder}/{name}"))
+    versions.commit(spark, folder, held, MANIFEST)
+    return held
+
+
+def restored(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+    """The tables that the last ``restore`` put below ``target``."""
+    live = versions.load(spark, target)
+    if live is None:
+        raise FileNotFoundError(f"{target} holds no tables")
+    return {name: spark.read.parquet(f"{target}/{live['folder']}/{name}") for name in live["tables"]}
 
 
 def restore(spark: SparkSession, folder: str, target: str, force: bool = False) -> dict[str, DataFrame]:
-    """The tables of a backup, written below ``target``. ValueError where it isn't complete; FileExistsError where the target has tables and ``force`` isn't set."""
+    """The tables of a backup, written below ``target`` in a folder of their own that one switch makes the live one.
+
+    ValueError where the backup isn't complete or any value isn't what was backed up; FileExistsError where the target has tables and ``force`` isn't set. Whatever fails, the target holds what it held.
+    """
+    held, live = versions.load(spark, folder, MANIFEST), versions.load(spark, target)
+    if held is None:
+        raise ValueError(f"{folder} holds no backup")
+    if live is not None and not force:
+        raise FileExistsError(f"{target} holds tables")
+    own = f"restored-{uuid.uuid4().hex[:12]}"
     try:
-        manifest = spark.read.parquet(f"{folder}/_manifest").collect()
-    except AnalysisException as e:
-        raise ValueError(f"{folder} holds no backup") from e
-    tables = {r.name: (spark.read.parquet(f"{folder}/{r.name}"), r.n) for r in manifest}
-    for name, (table, n) in tables.items():
-        if table.count() != n:
-            raise ValueError(f"{folder}/{name} isn't what was backed up")
-    for name, (table, _) in tables.items():
-        try:
-            table.write.mode("overwrite" if force else "errorifexists").parquet(f"{target}/{name}")
-        except AnalysisException as e:
-            raise FileExistsError(f"{target}/{name}") from e
-    return {name: spark.read.parquet(f"{target}/{name}") for name in tables}
+        for name, content in held.items():
+            spark.read.parquet(f"{folder}/{name}").write.parquet(f"{target}/{own}/{name}")
+            if versions.content(spark.read.parquet(f"{target}/{own}/{name}")) != content:
+                raise ValueError(f"{folder}/{name} isn't what was backed up")
+    except Exception as e:  # whatever it is, nothing of it stays
+        versions.remove(spark, f"{target}/{own}")
+        raise ValueError(f"{folder} isn't whole: {e}") from e
+    versions.commit(spark, target, {"folder": own, "tables": sorted(held)})
+    if live is not None:
+        versions.remove(spark, f"{target}/{live['folder']}")
+    return restored(spark, target)

@@ -202,7 +202,7 @@ def test_commits_of_others_go(spark, repository):
     repo = {"git": [str(repository)]}
     everyone = lambda p: ingest.git_scan(spark, p, "bob", "bob@x")
     mine = lambda p: ingest.git_scan(spark, p, "ann", "ann@x")
-    tables, report = ingest.sync(ingest.read_tables(spark, "", -1), repo, {"git": everyone}, Embedder())
+    tables, report = ingest.sync(ingest.read_tables(spark), repo, {"git": everyone}, Embedder())
     assert report[0]["removed"] == 0 and tables["sources"].count() == 1
     tables, report = ingest.sync(tables, repo, {"git": mine}, Embedder())
     authors = {r.a for r in tables["sources"].select(F.get_json_object("metadata_json", "$.author_name").alias("a")).collect()}
@@ -256,7 +256,7 @@ def test_sync_is_idempotent(spark, tmp_path, repository):
     scans = {"notes": lambda p: ingest.note_scan(spark, p), "git": lambda p: ingest.git_scan(spark, p, "ann", "ann@x"), "pdf": lambda p: ingest.pdf_scan(spark, p)}
     where = {"notes": [str(notes_dir), str(tmp_path / "none")], "git": [str(repository)], "pdf": [] if files.has_pdf() else [str(tmp_path)], "image": []}
     seen = []
-    tables, report = ingest.sync(ingest.read_tables(spark, "", -1), where, scans, Embedder(), lambda *a: seen.append(a))
+    tables, report = ingest.sync(ingest.read_tables(spark), where, scans, Embedder(), lambda *a: seen.append(a))
     by_name = {r["connector"]: r for r in report}
     assert by_name["notes"]["inserted"] == 3 and len(by_name["notes"]["errors"]) == 1 and by_name["git"]["inserted"] >= 2 and by_name["image"]["status"] == "no-paths" and seen
     assert files.has_pdf() or by_name["pdf"]["status"].startswith("skipped")
@@ -274,10 +274,10 @@ def test_stream_of_notes(spark, tmp_path):
     folder.mkdir()
     (folder / "a.md").write_text("hot tea")
     ingest.stream_notes(spark, str(folder), state).awaitTermination()
-    assert [r.text for r in ingest.read_tables(spark, state, 0)["chunks"].collect()] == ["a\n\nhot tea"]
+    assert [r.text for r in ingest.read_tables(spark, state)["chunks"].collect()] == ["a\n\nhot tea"]
     (folder / "b.md").write_text("coffee")
     ingest.stream_notes(spark, str(folder), state).awaitTermination()
-    assert ingest.read_tables(spark, state, 1)["sources"].count() == 2
+    assert ingest.read_tables(spark, state)["sources"].count() == 2
 
 
 def test_backup(spark, tmp_path):
@@ -381,7 +381,7 @@ def test_sample_workspace(spark, tmp_path):
     vault, repository = sample.seed(str(tmp_path))
     assert sample.seed(str(tmp_path)) == (vault, repository) and git.scan(spark, repository).count() == len(sample.COMMITS)
     scans = {"notes": lambda p: ingest.note_scan(spark, p), "git": lambda p: ingest.git_scan(spark, p, sample.AUTHOR, sample.EMAIL)}
-    tables, _ = ingest.sync(ingest.read_tables(spark, "", -1), {"notes": [vault], "git": [repository]}, scans)
+    tables, _ = ingest.sync(ingest.read_tables(spark), {"notes": [vault], "git": [repository]}, scans)
     rows = tables["chunks"].join(tables["sources"].select(F.col("id").alias("source_id"), "source_uri", "source_type", "title", "timestamp"), "source_id").withColumn("ts", F.col("timestamp").cast("timestamp"))
     rows = rows.cache()
     asked = sample.queries(spark, vault).collect()
