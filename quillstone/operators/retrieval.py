@@ -189,17 +189,21 @@ def _walked(hits: DataFrame, top_k: int, threshold: float, per: str) -> DataFram
     return hits.repartition(per).sortWithinPartitions(per, F.desc("score"), "chunk_id").mapInArrow(run, hits.schema)
 
 
-def dedupe_prefixes(best: Callable[[int, DataFrame | None], DataFrame], texts: DataFrame | None, top_k: int, threshold: float = 0.95, per: str = "query_id", one: bool = False) -> DataFrame:
+#: Hits, without texts, that are few enough for every task.
+BROADCAST_ROWS = 50_000
+
+
+def dedupe_prefixes(best: Callable[[int, DataFrame | None], DataFrame], texts: DataFrame | None, top_k: int, threshold: float = 0.95, per: str = "query_id") -> DataFrame:
     """Walk the hits of every ``per`` best first; drop one whose token cosine with a kept hit reaches ``threshold``; stop at ``top_k``.
 
     ``best(n, open)`` gives the best ``n`` hits of each ``per`` in ``open`` (None: of all). Few are walked at first, and twice as many of those questions
     whose hits ran out, so all hits count and few are looked at. ``texts`` (chunk_id, text) are joined to those only; without them hits have a text.
-    ``one``: there is a single question, so up to 10,000 hits are broadcast to the texts.
+    Up to ``BROADCAST_ROWS`` hits are broadcast to the texts.
     """
     n, open_, found = max(4 * top_k, 16), None, None
     while True:
         hits = durable(best(n, open_))
-        few = F.broadcast(hits) if one and n <= 10_000 else hits
+        few = F.broadcast(hits) if texts is not None and hits.count() <= BROADCAST_ROWS else hits
         named = hits if texts is None else few.join(texts, "chunk_id").select(*hits.columns, "text")
         kept = durable(_walked(named, top_k, threshold, per))
         found = kept if found is None else found.join(open_, per, "left_anti").unionByName(kept)
@@ -219,7 +223,7 @@ def dedupe_greedy(hits: DataFrame, top_k: int, threshold: float = 0.95, score: s
     named = hits.select("chunk_id", "text") if texts is None else texts.select("chunk_id", "text")
     ids = hits.drop("text").withColumn("__one", F.lit(0))
     rows = ids if score == "score" else ids.withColumn("score", F.col(score))
-    found = dedupe_prefixes(lambda n, _: rows.orderBy(*order).limit(n), named, top_k, threshold, "__one", one=True)
+    found = dedupe_prefixes(lambda n, _: rows.orderBy(*order).limit(n), named, top_k, threshold, "__one")
     return found.orderBy(*order).select(*[c for c in hits.columns if c in found.columns], *([] if "text" in hits.columns else ["text"]))
 
 

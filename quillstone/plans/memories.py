@@ -67,7 +67,7 @@ def _gold(spark, sf_dir):
     """query_id, uri: documents that share a run of twelve tokens with a benchmark item."""
     items = _windows(_read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id", "text")
     docs = _windows(_read(spark, sf_dir, "documents").select(F.col("doc_id").alias("uri"), "text"), "uri", "text")
-    return docs.join(items, "window").select("query_id", "uri").distinct()
+    return durable(docs.join(items, "window").select("query_id", "uri").distinct())
 
 
 _WINDOWS = "SELECT DISTINCT {1} AS {2}, array_to_string(t[i : i + 11], ' ') AS run FROM (SELECT {1}, t, unnest(range(1, len(t) - 10)) AS i FROM (SELECT {1}, {3} AS t FROM {0}))"
@@ -91,7 +91,7 @@ def lexical_bulk(spark, sf_dir):
 @query(f"WITH {_BULK}, {_GOLD}, f AS (SELECT query_id, min(r) AS rank FROM gold LEFT JOIN rk ON rk.item_id = query_id AND rk.doc_id = uri GROUP BY 1) {_METRICS.format(5)}")
 def eval_recall_mrr(spark, sf_dir):
     """Retrieval by words of every benchmark item that a document quotes; the rank of the first quoting document counts however deep it is."""
-    chunks, gold = _chunks(spark, sf_dir).select("chunk_id", "text"), durable(_gold(spark, sf_dir))
+    chunks, gold = _chunks(spark, sf_dir).select("chunk_id", "text"), _gold(spark, sf_dir)
     asked = _asked(spark, sf_dir).withColumn("vector", F.lit(None).cast("array<float>"))
     return _metrics(bulk.first_ranks(chunks, asked, gold, (0.0, 1.0, 0.0)), 5)
 
