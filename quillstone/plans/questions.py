@@ -1,4 +1,4 @@
-"""Queries over retrieval for many questions at once, beside their SQL.
+"""Queries over retrieval for many questions at once, and reports of the first rows of views, beside their SQL.
 
 Benchmark items are the questions, each with the vector of its number; documents are chunks, and nodes of their own.
 """
@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import bulk, evaluation, retrieval
-from .catalog import _AGE, _TOK, QUERY, SQL_TOKENS, _chunks, _now, _read, _vectors, query
-from .memories import _BULK, _GOLD, _METRICS, _asked, _gold, _lexical_sql, _metrics, _nodes
+from ..operators import bulk, conversations, evaluation, memory, retrieval, views
+from .catalog import _AGE, _TOK, QUERY, SQL, SQL_TOKENS, _chunks, _messages, _now, _project_events, _read, _vectors, query
+from .memories import _BULK, _GOLD, _METRICS, _asked, _gold, _lexical_sql, _metrics, _nodes, _user_evidence, _users
 
 #: rows of (item_id, vec_id, c): cosines of every item with every vector, and the 50 best of each item.
 _PAIRS = """pc AS (SELECT item_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS c FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings e),
@@ -163,3 +163,30 @@ def level_retrieve(spark, sf_dir):
     evidence = docs.select(number.alias("root_id"), F.col("doc_id").alias("chunk_id"))
     hits, _ = retrieval.level_retrieve(nodes, None, evidence, _chunks(spark, sf_dir), None, QUERY, None, _now(), "concept", 3)
     return hits.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT concept_id, overall_drift, support, relearning FROM ({SQL['drift_view']}) WHERE support >= 66 ORDER BY overall_drift DESC, least(1.0, support / 3.0) DESC, concept_id LIMIT 25")
+def drift_top(spark, sf_dir):
+    """The 25 users who moved most, of those with 66 events or more."""
+    evidence, chunks = _user_evidence(spark, sf_dir)
+    windows = memory.drift_windows(_project_events(spark, sf_dir).withColumnRenamed("project", "concept_id"), 3.0).withColumn("drift", (F.col("idx") % 5) / 5.0)
+    found = views.drift_view(windows, _users(spark, sf_dir), evidence, chunks, 25, 66)
+    return found.select("concept_id", F.round("overall_drift", 6).alias("overall_drift"), "support", "relearning")
+
+
+@query(f"SELECT node_id, core_count, full_count FROM ({SQL['distilled_view']}) ORDER BY core_count / full_count, node_id LIMIT 20")
+def distilled_top(spark, sf_dir):
+    """The 20 users whose clicks are the smallest share of their events."""
+    evidence, chunks = _user_evidence(spark, sf_dir)
+    clicks = F.array_sort(F.collect_list(F.when(F.col("event_type") == "click", F.col("event_id"))))
+    core = _read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("node_id")).agg(clicks.alias("core"))
+    distilled = core.select("node_id", F.lit(3).alias("level"), F.lit("s").alias("summary"), "core", F.lit(1.0).alias("confidence"))
+    return views.distilled_view(distilled, _users(spark, sf_dir), evidence, chunks, 20).select("node_id", "core_count", "full_count")
+
+
+@query("SELECT conv_id AS conversation_id, count(*) AS n_messages FROM conversations GROUP BY 1 ORDER BY max(turn) DESC, conv_id DESC LIMIT 10")
+def history_top(spark, sf_dir):
+    """The ten latest conversations, a conversation's last turn being its time."""
+    m = _messages(spark, sf_dir)
+    heads = m.groupBy("conversation_id").agg(F.max("turn_index").alias("updated_at"))
+    return conversations.history(heads, m, 10).select("conversation_id", "n_messages")
