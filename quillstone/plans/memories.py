@@ -5,7 +5,6 @@ Benchmark items are the evaluation queries, documents the chunks; events, their
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..durable import durable
