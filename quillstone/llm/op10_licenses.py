@@ -1,15 +1,15 @@
 """Licence scans by conditional compression.
 
 Stretches of a text around words that licences need are candidate blocks: a notice that holds ``SHARE`` of a template's words can't lack
-all of a set that makes up more than the rest, so the words of such sets, chosen by rule, find every block. Each block is compressed
-alone and with every template as a raw dictionary; templates are ranked by how many bytes the
-dictionary saves. All that hold enough of a template's words are confirmed by wording: words of
-the template are aligned with the block's, and what is missing or other is kept as the exact differences.
+all of a set that makes up more than the rest, so the words of such sets, chosen by rule, find every block. Templates of whose words a block
+holds enough are aligned with it word by word; what is missing or other is kept as the exact differences. The stretch that a template confirms is compressed
+alone and with the template as a raw dictionary, and the template whose dictionary saves most bytes, less a quarter of those it leaves, is the block's licence: a long text with words
+put into it goes before a short notice that stands in it unchanged, as its dictionary explains more, and a notice with a stray word before it after the same one without. A stretch may hold as many further words as the template has, where that has forty or more.
 
 All rows pass through one map over the table, with the templates as a fixed list.
 
-Defined results: null and empty texts have no blocks; texts of any length are searched whole, block by block; a stretch that matches equally well
-in two templates goes to the one with more words in common, then to that which saves more bytes, then by name; repeated rows give
+Defined results: null and empty texts have no blocks; texts of any length are searched whole, block by block; of templates that come out equal
+the first by name stands; repeated rows give
 repeated results; an empty table gives no rows; other columns are ignored.
 """
 
@@ -56,13 +56,25 @@ TEMPLATES = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC0-1.0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License, version 2."],
+    "EUPL-1.2": ["Licensed under the EUPL, Version 1.2.", "Licensed under the European Union Public Licence (EUPL), Version 1.2."],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
@@ -82,12 +94,16 @@ TEMPLATES = {
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     ],
 }
+#: Every licence that has an SPDX name is named by a line of source files too.
+for _license, _texts in TEMPLATES.items():
+    if _license != "Proprietary":
+        _texts.append(f"SPDX-License-Identifier: {_license}")
 WORD = re.compile(r"non[\s-]commercial\b|no[\s-]deriv(?:ative)?s\b|share[\s-]alike\b|[a-z0-9]+(?:\.[0-9]+)*")
 #: Words that licences are named by; a name is a run of them from one of ``NAMES`` on.
-NAMES = "apache boost bsd cc cc0 creative gnu mit mozilla".split()
-NAMED = {*NAMES, *"1.0 2 2.0 3 4.0 affero attribution by clause commons general international lesser license nc nd noncommercial noderivatives public sa sharealike v version".split()}
+NAMES = "apache boost bsd cc cc0 creative eupl european gnu mit mozilla".split()
+NAMED = {*NAMES, *"1.0 2 2.0 3 4.0 affero attribution by clause commons eupl general international lesser license nc nd noncommercial noderivatives public sa sharealike v version".split()}
 #: Words that tell licences apart wherever they stand.
-TELLING = re.compile(r"[0-9]|^(?:nc|nd|sa|by|mit|bsd|gnu|lesser|library|affero|apache|mozilla|noncommercial|noderivatives|sharealike|modified)$")
+TELLING = re.compile(r"[0-9]|^(?:nc|nd|sa|by|mit|bsd|gnu|lesser|library|affero|apache|mozilla|eupl|noncommercial|noderivatives|sharealike|modified)$")
 #: Words that a name may have or lack, besides those of ``_plain``.
 LOOSE = {"a", "an", "the", "v", "version", "license", "international", "software", "agpl", "gpl", "lgpl", "mpl"}
 #: The share of a template's words that a notice must hold.
@@ -111,7 +127,8 @@ def _compressors():
         for t in texts:
             raw = t.lower().encode()
             dictionary = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            out.append((name, t, [w for w, _, _ in words_of(t)], z.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)))
+            words = [w for w, _, _ in words_of(t)]
+            out.append((name, Counter(words), words, z.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)))
     return plain, out
 
 
@@ -148,19 +165,20 @@ def blocks(text: str, share: float = SHARE) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def ranked(block: str, share: float) -> list[tuple[int, str, list[str]]]:
-    """(bytes saved, name, words) of the templates whose words ``block`` holds to ``share``, best first.
+def candidates(block: str, share: float) -> list[tuple]:
+    """(name, bag of words, words, compressor) of the templates whose words ``block`` holds to ``share``.
 
     An alignment can have no more words in common than the two bags, so no template is left out that could be confirmed.
     """
-    plain, known = _compressors()
     have = Counter(w for w, _, _ in words_of(block))
-    known = [k for k in known if (Counter(k[2]) & have).total() >= share * len(k[2])]
-    if not known:
-        return []
-    raw = block.lower().encode()
-    alone = len(plain.compress(raw))
-    return sorted(((alone - len(c.compress(raw)), name, words) for name, _, words, c in known), key=lambda x: (-x[0], -len(x[2]), x[1]))
+    return [k for k in _compressors()[1] if sum(min(n, have[w]) for w, n in k[1].items()) >= share * len(k[2])]
+
+
+def saving(stretch: str, compressor) -> tuple[int, int]:
+    """How many bytes of a stretch a template's dictionary saves, and how many it leaves."""
+    raw = stretch.lower().encode()
+    left = len(compressor.compress(raw))
+    return len(_compressors()[0].compress(raw)) - left, left
 
 
 def _plain(words: list[str]) -> str:
@@ -182,8 +200,10 @@ def _tells(changes: list[tuple], words: list[str], behind: str) -> bool:
     """Whether ``changes`` (words of the text, words of the template, their place in it) make another licence.
 
     They do where a number or a word that tells licences apart is among them, or where any word inside the
-    licence's name is more, less or other. ``behind`` is the text that follows.
+    licence's name is more, less or other; lines of SPDX names bear no change at all. ``behind`` is the text that follows.
     """
+    if words[0] == "spdx":
+        return bool(changes) or re.match(r"(?:-(?!only\b|or-later\b)\w|\+\w)", behind) is not None
     first, end = _name(words)
     for new, old, c, d in changes:
         if _plain(new) != _plain(old) and (any(TELLING.search(w) for w in new + old) or (c < end and d > first)):
@@ -194,6 +214,16 @@ def _tells(changes: list[tuple], words: list[str], behind: str) -> bool:
     return False
 
 
+def _aligned(have: list[str], words: list[str], x: int, y: int, start: int, more: int, least: int) -> tuple[int, int, int, int]:
+    """(words in common, -more, first, behind the last) of a template laid at ``start`` in words x to y of a text, with room for ``more`` at both ends.
+
+    Runs below ``least`` words don't count.
+    """
+    low, high = max(x, start - more), min(y, start + len(words) + 2 + more)  # words that the text has besides the template's move its ends
+    same = [m for m in difflib.SequenceMatcher(None, have[low:high], words, autojunk=False).get_matching_blocks() if m.size >= least]
+    return (sum(m.size for m in same), -more, low + same[0].a, low + same[-1].a + same[-1].size) if same else (0, -more, x, x)
+
+
 def wording(block: str, words: list[str], share: float) -> tuple[int, int, int, list[str]] | None:
     """(start, end, words in common, differences) of the closest stretch of ``block`` that confirms a template, or None.
 
@@ -208,12 +238,12 @@ def wording(block: str, words: list[str], share: float) -> tuple[int, int, int,
             continue
         anchor = difflib.SequenceMatcher(None, have[x:y], words, autojunk=False).find_longest_match()
         at = x + anchor.a
-        tries = []
-        for more in (0, 2 + len(words) // 10):  # words that the text has besides the template's move its ends
-            low, high = max(x, at - anchor.b - more), min(y, at - anchor.b + len(words) + 2 + more)
-            same = [m for m in difflib.SequenceMatcher(None, have[low:high], words, autojunk=False).get_matching_blocks() if m.size]
-            tries.append((sum(m.size for m in same), -more, low + same[0].a, low + same[-1].a + same[-1].size))
-        common, _, first, last = max(tries)
+        near = max(_aligned(have, words, x, y, at - anchor.b, more, 1) for more in (0, 2 + len(words) // 10))
+        if len(words) >= 40 and near[0] < len(words):
+            # A passage may have been put into a long text: what is more of the template there counts against what is more besides.
+            wide = _aligned(have, words, x, y, at - anchor.b, len(words), 4)
+            near = max(near, wide, key=lambda t: 5 * t[0] - (t[3] - t[2]))
+        common, _, first, last = near
         if common >= share * len(words):
             part = have[first:last]
             changes = [(op, part[a:b], words[c:d], c, d) for op, a, b, c, d in difflib.SequenceMatcher(None, part, words, autojunk=False).get_opcodes() if op != "equal"]
@@ -230,7 +260,7 @@ def wording(block: str, words: list[str], share: float) -> tuple[int, int, int,
 def scan(text: str | None, share: float = SHARE) -> list[dict]:
     """Confirmed licences of a whole text, by place: license, start, end, saved, exact, differences.
 
-    The saving only ranks; wording confirms. The best match of a block splits it, and what lies
+    Wording confirms, the saving decides. The best match of a block splits it, and what lies
     before and behind is searched again.
     """
     out: list[dict] = []
@@ -239,13 +269,13 @@ def scan(text: str | None, share: float = SHARE) -> list[dict]:
     while todo:
         a, b = todo.pop()
         block, best = text[a:b], None
-        for saved, name, words in ranked(block, share):
+        for name, _, words, compressor in candidates(block, share):
             found = wording(block, words, share)
             if found is None:
                 continue
-            rank = (not found[3], found[2], saved)
-            if best is None or rank > best[0]:
-                best = (rank, saved, name, found)
+            saved, left = saving(block[found[0] : found[1]], compressor)
+            if best is None or 4 * saved - left > best[0]:
+                best = (4 * saved - left, saved, name, found)
         if best is None:
             continue
         _, saved, name, (s, e, _, differences) = best
