@@ -3,20 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the session's checkpoint folder."""
+    return f"{_checkpoints(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder (``spark.checkpoint.dir``; where that is unset, on one machine, a temporary one)."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    _checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
+def _checkpoints(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="quillstone-"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:

@@ -54,7 +54,11 @@ def relearned(windows: DataFrame, key: str = "concept_id") -> DataFrame:
 
 def drift_metric(vectors_by_window: DataFrame, keys: list[str], idx: str, vector: str) -> DataFrame:
     """``keys``, ``idx``, drift: 1 - cosine with the previous window that isn't empty, at least 0; 0 for the first."""
-    centres = vectors.centroids(vectors_by_window, [*keys, idx], vector)
+    return drift_of_centres(vectors.centroids(vectors_by_window, [*keys, idx], vector), keys, idx)
+
+
+def drift_of_centres(centres: DataFrame, keys: list[str], idx: str) -> DataFrame:
+    """``drift_metric`` of centroids that are known (``keys``, ``idx``, centroid)."""
     before = F.lag("centroid").over(Window.partitionBy(*keys).orderBy(idx))
     with_before = centres.withColumn("__before", before)
     drift = F.greatest(F.lit(0.0), 1.0 - vectors.cosine(F.col("centroid"), F.col("__before")))
@@ -98,9 +102,9 @@ def leader_clusters(embeddings: DataFrame, theta: float = 0.80, key: str = "node
     return found if per else found.drop("group")
 
 
-def distill_core(members: DataFrame, ratio: float = 0.5, group: str = "node_id", item: str = "chunk_id", vector: str = "vector") -> DataFrame:
-    """``group``, core (ascending ids), core_size, full_size: the items nearest to the group's centroid."""
-    centre = vectors.centroids(members.where(F.col(vector).isNotNull()), [group], vector)
+def distill_core(members: DataFrame, ratio: float = 0.5, group: str = "node_id", item: str = "chunk_id", vector: str = "vector", centres: DataFrame | None = None) -> DataFrame:
+    """``group``, core (ascending ids), core_size, full_size: the items nearest to the group's centroid (``centres``: those that are kept)."""
+    centre = vectors.centroids(members, [group], vector) if centres is None else centres.select(group, "centroid")
     sized = members.withColumn("full_size", F.count("*").over(Window.partitionBy(group)))
     # Rounded, so that equal cosines tie by id whatever the order of summation.
     near = F.round(F.coalesce(vectors.cosine(F.col(vector), F.col("centroid")), F.lit(-2.0)), 9)
@@ -143,9 +147,9 @@ def by_drift(summaries: DataFrame, top: int | None = None, min_support: int = 1)
     return ordered if top is None else ordered.limit(top)
 
 
-def central_ranks(members: DataFrame, group: str = "cluster", item: str = "node_id", vector: str = "vector") -> DataFrame:
-    """``members`` with place (from 1 per group): nearest to the group's centroid first, then by id, those without a vector last."""
-    centre = vectors.centroids(members, [group], vector)
+def central_ranks(members: DataFrame, group: str = "cluster", item: str = "node_id", vector: str = "vector", centres: DataFrame | None = None) -> DataFrame:
+    """``members`` with place (from 1 per group): nearest to the group's centroid (``centres``: those that are kept) first, then by id, those without a vector last."""
+    centre = vectors.centroids(members, [group], vector) if centres is None else centres.select(group, "centroid")
     # Rounded, so that equal cosines tie by id whatever the order of summation.
     near = F.when(F.col(vector).isNotNull(), F.round(vectors.cosine(F.col(vector), F.col("centroid")), 9))
     order = Window.partitionBy(group).orderBy(near.desc_nulls_last(), item)

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import folder
 from ..functions import text
-from ..operators import graph, ingest, retrieval, store, usage, views
+from ..operators import centres, graph, ingest, memory, retrieval, store, usage, views
 from .catalog import _geography, _now, _read, _usage, _vectors, query
 
 _TYPE = "CASE lang WHEN 'en' THEN 'note' ELSE 'pdf' END"
@@ -211,3 +212,47 @@ def extract_events(spark, sf_dir):
     made = ingest.extract_events(pending, sources, chunks, nodes, edges, known, lambda c: F.expr(_ANSWER), "m")
     held = made["edges"].groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("n_chunks"))
     return made["nodes"].join(held, "node_id", "left").select("node_id", text.event_source(F.col("metadata_json")).alias("source_id"), "title", "content", "n_chunks")
+
+
+def _moments(spark, sf_dir):
+    """Every embedding as an event of its label's concept, at the time of the event of its number; before some of them changed, came or went, and after."""
+    times = _read(spark, sf_dir, "events").select(F.col("event_id").alias("chunk_id"), F.col("ts").cast("timestamp").alias("ts"))
+    rows = _vectors(spark, sf_dir).join(times, "chunk_id", "left").select(F.col("label").cast("long").alias("concept_id"), F.col("chunk_id").alias("event_id"), "ts", "vector")
+    kind = F.col("event_id") % 10
+    other = rows.where(kind == 4).withColumn("vector", F.reverse("vector")).withColumn("ts", F.expr("timestampadd(HOUR, -5, ts)"))
+    strays = rows.where(kind == 5).withColumn("concept_id", F.col("concept_id") + F.expr("event_id div 10 % 2"))
+    came = rows.where(kind.isin(3, 4))
+    return rows, rows.where(~kind.isin(3, 4)).unionByName(other).unionByName(strays), came, other.unionByName(strays)
+
+
+_MOMENTS = """v AS (SELECT CAST(label AS BIGINT) AS concept_id, vec_id, ts, CAST(embedding AS DOUBLE[]) AS e FROM embeddings LEFT JOIN events ON event_id = vec_id),
+z AS (SELECT concept_id, min(ts) AS t0 FROM v GROUP BY 1), i AS (SELECT v.*, t0, CAST(floor((epoch_us(ts) - epoch_us(t0)) / 21600000000.0) AS BIGINT) AS idx FROM v JOIN z USING (concept_id)),
+p AS (SELECT concept_id, vec_id, idx, t0, generate_subscripts(e, 1) AS k, unnest(e) AS x, sqrt(list_dot_product(e, e)) AS n FROM i)"""
+
+
+@query(
+    f"""WITH {_MOMENTS}, m AS (SELECT concept_id, idx, t0, k, avg(x / n) AS x, count(*) AS support FROM p WHERE idx IS NOT NULL GROUP BY ALL), c AS (SELECT concept_id, idx, t0, support, list(x ORDER BY k) AS x FROM m GROUP BY ALL)
+SELECT concept_id, idx, t0 + to_hours(CAST(6 * idx AS INTEGER)) AS window_start, support, round(CASE WHEN b IS NULL THEN 0.0 ELSE greatest(0.0, 1 - list_cosine_similarity(x, b)) END, 6) AS drift
+FROM (SELECT *, lag(x) OVER (PARTITION BY concept_id ORDER BY idx) AS b FROM c)"""
+)
+def drift_kept(spark, sf_dir):
+    """How concepts moved, out of sums that were kept through a change of a fifth of their events."""
+    rows, before, came, went = _moments(spark, sf_dir)
+    root = folder(spark, "centres")
+    centres.take(spark, root, 0, before, before, days=0.25)
+    centres.take(spark, root, 1, rows, came, went, days=0.25)
+    return centres.drift(centres.read(spark, root), 0.25).select("concept_id", "idx", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "support", F.round("drift", 6).alias("drift"))
+
+
+@query(
+    f"""WITH {_MOMENTS}, m AS (SELECT concept_id, k, avg(x / n) AS x FROM p GROUP BY ALL), c AS (SELECT concept_id, list(x ORDER BY k) AS x FROM m GROUP BY 1)
+SELECT v.concept_id AS cluster, vec_id AS node_id, CAST(row_number() OVER (PARTITION BY v.concept_id ORDER BY round(list_cosine_similarity(e, x), 9) DESC, vec_id) AS INTEGER) AS place FROM v JOIN c USING (concept_id)"""
+)
+def central_kept(spark, sf_dir):
+    """The members of concepts, most central first, by centroids out of sums that were kept through a change."""
+    rows, before, came, went = _moments(spark, sf_dir)
+    root = folder(spark, "centres")
+    centres.take(spark, root, 0, before, before, days=0.25)
+    centres.take(spark, root, 1, rows, came, went, days=0.25)
+    known = centres.centres(centres.read(spark, root)).withColumnRenamed("concept_id", "cluster")
+    return memory.central_ranks(rows.select(F.col("concept_id").alias("cluster"), F.col("event_id").alias("node_id"), "vector"), centres=known).select("cluster", "node_id", "place")
