@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..durable import folder
+from ..durable import durable, folder, numbered
 from ..functions import text
-from ..operators import centres, graph, ingest, memory, retrieval, store, usage, views
+from ..operators import centres, follow, graph, ingest, memory, retrieval, store, usage, views
 from .catalog import _geography, _now, _read, _usage, _vectors, query
 
 _TYPE = "CASE lang WHEN 'en' THEN 'note' ELSE 'pdf' END"
@@ -256,3 +256,58 @@ def central_kept(spark, sf_dir):
     centres.take(spark, root, 1, rows, came, went, days=0.25)
     known = centres.centres(centres.read(spark, root)).withColumnRenamed("concept_id", "cluster")
     return memory.central_ranks(rows.select(F.col("concept_id").alias("cluster"), F.col("event_id").alias("node_id"), "vector"), centres=known).select("cluster", "node_id", "place")
+
+
+def _log(spark, sf_dir):
+    """(events as they are, as they were): some came, some were another user's and of another k, some went."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    now = _read(spark, sf_dir, "events").select((F.col("event_id") + 1).alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", k.alias("k"))
+    kind = F.col("event_id") % 10
+    other = now.where(kind == 4).withColumn("user_id", F.col("user_id") + 1).withColumn("k", F.col("k") + 1)
+    return now, now.where(~kind.isin(3, 4)).unionByName(other).unionByName(now.where(kind == 5).withColumn("event_id", F.col("event_id") + 100000000))
+
+
+def _event_nodes(log):
+    uri = F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/e"))
+    meta = F.to_json(F.struct(F.lit("note").alias("source_type"), uri.alias("source_uri")))
+    return log.select(
+        F.col("event_id").alias("node_id"), F.lit(1).alias("level"), F.lit("event").alias("node_type"), F.col("event_type").alias("title"), F.lit(None).cast("string").alias("content"), F.col("ts").alias("time_start"),
+        F.col("ts").alias("time_end"), F.lit(None).cast("double").alias("centrality"), F.lit(None).cast("string").alias("fingerprint"), meta.alias("metadata_json"),
+    )
+
+
+@query(
+    """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 14400000000 THEN 1 ELSE 0 END AS f FROM events),
+s AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT '/u/' || user_id AS project, min(event_id) + 1 AS first_event, count(*) AS n_events, min(ts) AS time_start, max(ts) AS time_end FROM s GROUP BY user_id, session"""
+)
+def episodes_followed(spark, sf_dir):
+    """Episodes of users with four hours between them, made of the events as they were and brought up to date by what changed."""
+    now, before = _log(spark, sf_dir)
+    old, new = _event_nodes(before), _event_nodes(now)
+    first = memory.episode_nodes(memory.sessionise(follow.projects(old).join(old.select(F.col("node_id").alias("event_id"), F.col("time_start").alias("ts"), "title"), "event_id"), 4.0), gap_hours=4.0)
+    first = durable(numbered(first, "node_id", "project", "session").withColumn("node_id", F.col("node_id") + 400000000).withColumn("level", F.lit(2)).withColumn("node_type", F.lit("episode")))
+    contains = first.select(F.lit(2).alias("parent_level"), F.col("node_id").alias("parent_id"), F.lit(1).alias("child_level"), F.explode("members").alias("child_id"), F.lit("contains").alias("relation"))
+    nodes = durable(new.unionByName(first.select([c for c in new.columns if c in first.columns]), allowMissingColumns=True))
+    differ = follow.projects(new).exceptAll(follow.projects(old)).union(follow.projects(old).exceptAll(follow.projects(new)))
+    change = follow.episodes(nodes, contains, durable(differ), 4.0)
+    nodes, edges = follow.applied(nodes, contains, change)
+    held = edges.select(F.col("parent_id").alias("node_id"), F.col("child_id").alias("event_id")).join(follow.projects(nodes), "event_id")
+    sizes = held.groupBy("node_id", "project").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n_events"))
+    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return nodes.where("level = 2").join(sizes, "node_id").select("project", "first_event", "n_events", ntz("time_start"), ntz("time_end"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT user_id AS e, CAST(json_extract(props, '$.k') AS BIGINT) AS c FROM events)
+SELECT x.c AS parent_id, y.c AS child_id, CAST(count(*) AS DOUBLE) AS weight FROM p x JOIN p y ON x.e = y.e AND x.c < y.c GROUP BY 1, 2"""
+)
+def links_followed(spark, sf_dir):
+    """Relations of concepts (the events' k) that share episodes (their users), brought up to date by the memberships that changed."""
+    now, before = _log(spark, sf_dir)
+    edge = lambda log, level, parent: log.select(F.lit(level).alias("parent_level"), F.col(parent).alias("parent_id"), F.lit(1).alias("child_level"), F.col("event_id").alias("child_id"), F.lit("contains").alias("relation"))
+    held = lambda log: edge(log, 3, "k").unionByName(edge(log, 2, "user_id")).withColumn("weight", F.lit(1.0))
+    old, new = held(before), held(now)
+    edges = durable(graph.concept_links(old))
+    change = follow.links(edges, old.exceptAll(new), new.exceptAll(old))
+    return follow.applied(old, edges, change)[1].where("relation = 'relates_to'").select("parent_id", "child_id", "weight")
