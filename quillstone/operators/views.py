@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import versions
+from ..durable import durable
 from ..functions import text
-from . import graph, memory
+from . import graph, memory, store
 
 
 def with_members(nodes: DataFrame, edges: DataFrame, level: int, node_type: str) -> DataFrame:
@@ -76,19 +80,50 @@ def recall_cards(risks: DataFrame, evidence: DataFrame, chunks: DataFrame, cache
     texts = joined_text(wanted.join(chunks.select("chunk_id", "text"), "chunk_id"), "root_id", "chunk_id", CARD_CHARS).withColumnRenamed("root_id", "node_id").withColumnRenamed("text", "__text")
     rows = risks.join(texts, "node_id", "left").withColumn("__text", F.coalesce("__text", F.lit("")))
     rows = rows.withColumn("fingerprint", F.sha2(F.concat_ws("\x1f", F.lit(version), F.coalesce("title", F.lit("")), "__text"), 256))
-    made = generate(F.col("title"), F.col("__text")) if generate else F.lit(None).cast("struct<question:string,answer:string>")
-    rows = rows.withColumn("__made", made)
     question = F.concat(F.lit("What do you remember about: "), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("this memory")), F.lit("?"))
     answer = F.when(F.trim("__text") != "", text.preview(F.col("__text"), 220, "…"))
     by_model = F.col("__made.question").isNotNull()
-    fresh = F.struct(F.coalesce("__made.question", question).alias("question"), F.when(by_model, F.col("__made.answer")).otherwise(answer).alias("answer"), F.when(by_model, "llm").otherwise("fallback").alias("generated_by"))
-    if cached is None:
-        rows = rows.withColumn("__card", fresh)
-    else:
-        old = cached.select("node_id", F.col("fingerprint").alias("__fp"), F.struct("question", "answer", "generated_by").alias("__old"))
-        rows = rows.join(old, "node_id", "left").withColumn("__card", F.when(F.col("__fp") == F.col("fingerprint"), F.col("__old")).otherwise(fresh))
+    card = F.struct(F.coalesce("__made.question", question).alias("question"), F.when(by_model, F.col("__made.answer")).otherwise(answer).alias("answer"), F.when(by_model, "llm").otherwise("fallback").alias("generated_by"))
+    # Only cards that aren't kept are asked for.
+    again = None
+    if cached is not None:
+        old = cached.select("node_id", F.col("fingerprint").alias("__fp"), F.struct("question", "answer", "generated_by").alias("__card"))
+        rows = rows.join(old, "node_id", "left")
+        again = rows.where("__fp = fingerprint")
+        rows = rows.where("not coalesce(__fp = fingerprint, false)")
+    made = generate(F.col("title"), F.col("__text")) if generate else F.lit(None).cast("struct<question:string,answer:string>")
+    rows = rows.withColumn("__made", made).withColumn("__card", card)
     kept = ["node_id", "level", "node_type", "title", "risk", "confidence", "evidence_source_uris", "fingerprint"]
-    return memory.by_risk(rows.select(*kept, "__card.*"))
+    found = rows.select(*kept, "__card.*")
+    return memory.by_risk(found if again is None else found.unionByName(again.select(*kept, "__card.*")))
+
+
+CARD = "node_id bigint, question string, answer string, generated_by string, fingerprint string"
+
+
+def read_cards(spark: SparkSession, root: str) -> DataFrame:
+    """The kept cards below ``root``, one per node; none before the first."""
+    manifest = versions.load(spark, root)
+    return spark.read.schema(CARD).parquet(f"{root}/{manifest['live']}") if manifest else spark.createDataFrame([], CARD)
+
+
+def keep_cards(spark: SparkSession, root: str, risks: DataFrame, evidence: DataFrame, chunks: DataFrame, nodes: DataFrame, generate=None, version: str = "1") -> DataFrame:
+    """The cards of ``risks`` as ``recall_cards`` makes them, with the table of cards below ``root`` brought up to date.
+
+    A kept card is used again while its title, its evidence and ``version`` stay as they were; others take its place. Cards of nodes that ``nodes`` (node_id) lacks go, those of
+    nodes that aren't asked for now stay. The table is written beside the old one and switched, so a run that dies changes nothing and asks again only for what it didn't keep.
+    """
+    manifest, stored = versions.load(spark, root), read_cards(spark, root)
+    found = durable(recall_cards(risks, evidence, chunks, stored, generate, version))
+    rows = store.replace_rows(stored.join(nodes.select("node_id").distinct(), "node_id", "left_semi"), found.select([c.split()[0] for c in CARD.split(", ")]), "node_id")
+    live = f"cards-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(f"{root}/{live}")
+    versions.commit(spark, root, {"live": live, "old": manifest and manifest["live"]})
+    for name in versions.folders(spark, root):
+        # What the switch replaced stays for readers that are under way.
+        if name not in (live, manifest and manifest["live"]):
+            versions.remove(spark, f"{root}/{name}")
+    return memory.by_risk(found)
 
 
 def distilled_view(distilled: DataFrame, nodes: DataFrame, evidence: DataFrame, chunks: DataFrame, top: int | None = None) -> DataFrame:

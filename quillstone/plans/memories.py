@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import durable, folder
 from ..functions import scores, text
 from ..operators import answers, bulk, evaluation, graph, memory, retrieval, usage, views
 from .catalog import _AGE, _COS, _TOK, QUERY, SQL_TOKENS, _chunks, _geography, _now, _project_events, _query_vector, _read, _vectors, query
@@ -345,6 +345,23 @@ def recall_cards(spark, sf_dir):
     return views.recall_cards(_risks(spark, sf_dir, 10), evidence, chunks).select("node_id", "question", "answer", "fingerprint", "generated_by")
 
 
+@query(
+    f"""WITH {_RISK}, x AS (SELECT node_id FROM r ORDER BY imp * stale DESC, least(1.0, support / 3.0) DESC, node_id LIMIT 30),
+p AS (SELECT user_id, left(string_agg(props, chr(10) || chr(10) ORDER BY event_id), 4000) AS t FROM events GROUP BY 1), f AS (SELECT user_id, t, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS c FROM p)
+SELECT node_id, CASE WHEN node_id % 2 = 0 THEN 'Who is user ' || node_id ELSE 'What do you remember about: user ' || node_id || '?' END AS question,
+CASE WHEN node_id % 2 = 0 THEN CAST(length(t) AS VARCHAR) WHEN length(c) > 220 THEN rtrim(left(c, 220)) || '…' ELSE c END AS answer, CASE WHEN node_id % 2 = 0 THEN 'llm' ELSE 'fallback' END AS generated_by FROM x JOIN f ON f.user_id = node_id"""
+)
+def cards_kept(spark, sf_dir):
+    """Cards of the thirty riskiest users out of the kept table, after the evidence of every other user changed; only theirs are made again, without a model."""
+    evidence, chunks = _user_evidence(spark, sf_dir)
+    users, risks, root = _users(spark, sf_dir), durable(_risks(spark, sf_dir, 30)), folder(spark, "cards")
+    before = chunks.join(evidence, "chunk_id").withColumn("text", F.when(F.col("root_id") % 2 == 1, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))).drop("root_id")
+    asked = lambda title, said: F.struct(F.concat(F.lit("Who is "), title).alias("question"), F.length(said).cast("string").alias("answer"))
+    views.keep_cards(spark, root, risks, evidence, before, users, asked)
+    views.keep_cards(spark, root, risks, evidence, chunks, users)
+    return views.read_cards(spark, root).select("node_id", "question", "answer", "generated_by")
+
+
 @query(
     """WITH k AS (SELECT user_id AS node_id, count(*) AS full_count, count(*) FILTER (WHERE event_type = 'click') AS core_count, min(event_id) FILTER (WHERE event_type = 'click') AS f FROM events GROUP BY 1)
 SELECT node_id, 'user ' || node_id AS title, core_count, full_count, round(core_count / full_count, 6) AS compression_ratio, CASE WHEN f IS NULL THEN NULL ELSE '/click' END AS evidence_source_uri FROM k"""
