@@ -129,3 +129,22 @@ def test_usage_and_history(spark):
 def test_gates():
     assert evaluation.modality_gate(1.0, 0.7) and not evaluation.modality_gate(1.0, 0.75) and not evaluation.modality_gate(0, 0)
     assert evaluation.distill_gate(1.0, 0.96, 0.5) and not evaluation.distill_gate(1.0, 0.9, 0.5)
+
+
+def test_reanchor_of_large_sources(spark):
+    """One source of many events and chunks is dealt out, equals plain loops, and no step stands above the pairs."""
+    edges = [(1, e, 0, 100 + e, "derived_from") for e in range(40)] + [(1, e, 0, 500 + e % 30, "derived_from") for e in range(0, 40, 3)] * 2 + [(1, 50, 0, 901, "derived_from"), (1, 51, 0, 902, "derived_from"), (1, 51, 0, 700, "derived_from"), (2, 1, 1, 3, "contains"), (2, 1, 0, 950, "derived_from")]
+    events = [(e, 7) for e in range(40)] * 2 + [(3, 8), (50, None), (51, 9)]
+    chunks = [(c, 7) for c in range(500, 530)] * 2 + [(600, 8), (700, 10), (101, None), (105, None)]
+    live = {c for c, _ in chunks}
+    hurt = {p for _, p, level, c, r in edges if r == "derived_from" and level == 0 and c not in live}
+    fresh = {(1, e, 0, c, "derived_from") for e, s in events if e in hurt for c, t in chunks if s is not None and s == t}
+    repaired = {p for _, p, *_ in fresh}
+    want = {x for x in edges if not (x[4] == "derived_from" and x[2] == 0 and x[3] not in live and x[1] in repaired)} | fresh
+    got = graph.reanchor(
+        spark.createDataFrame(edges, "parent_level int, parent_id long, child_level int, child_id long, relation string"),
+        spark.createDataFrame(events, "node_id long, source_id long"), spark.createDataFrame(chunks, "chunk_id long, source_id long"), part=8,
+    )
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    assert got.where("child_id between 500 and 529").select(F.spark_partition_id().alias("p")).distinct().count() > 2
