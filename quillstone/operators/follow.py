@@ -56,23 +56,23 @@ def links(edges: DataFrame, gone: DataFrame, came: DataFrame) -> dict[str, DataF
     ``edges``: all edges as they were, with the relations of then; ``gone``, ``came``: edges that went and came. Only episodes that hold an event of these are
     counted, as they were and as they are, and relations move by the difference.
     """
-    inside = "relation = 'contains' and child_level = 1 and parent_level in (2, 3)"
-    before, went, new = (df.where(inside).select("parent_level", "parent_id", "child_id").distinct() for df in (edges, gone, came))
-    events = durable(went.union(new).select("child_id").distinct())
-    keys = ["parent_level", "parent_id", "child_id"]
-    mine = before.where("parent_level = 2").union(new.where("parent_level = 2")).join(events, "child_id", "left_semi").select(F.col("parent_id").alias("episode")).distinct()
-    # All events of the touched episodes, as they were and as they are, with their concepts.
-    at = lambda rows, level, name: rows.where(F.col("parent_level") == level).select(F.col("child_id").alias("event"), F.col("parent_id").alias(name))
-    mine = durable(mine)
-    around = at(before, 2, "episode").union(at(new, 2, "episode")).join(mine, "episode", "left_semi").select(F.col("event").alias("child_id")).distinct()
-    was = durable(before.join(around, "child_id", "left_semi"))
-    now = durable(was.join(went, keys, "left_anti").union(new).distinct())
-
-    def pairs(rows: DataFrame, sign: int) -> DataFrame:
-        met = at(rows, 3, "concept").join(at(rows, 2, "episode").join(mine, "episode", "left_semi"), "event")
-        return graph.cooccurrence(met, "episode", "concept").withColumn("weight", F.col("weight") * sign)
-
-    moved = pairs(now, 1).union(pairs(was, -1)).groupBy(F.col("a").alias("parent_id"), F.col("b").alias("child_id")).agg(F.sum("weight").cast("double").alias("__d")).where("__d <> 0")
+    inside, keys = "relation = 'contains' and child_level = 1 and parent_level in (2, 3)", ["parent_level", "parent_id", "child_id"]
+    before, went, new = (df.where(inside).select(keys) for df in (edges, gone, came))
+    changed = durable(went.withColumn("came", F.lit(0)).union(new.withColumn("came", F.lit(1))).groupBy(keys).agg(F.max("came").alias("came")))
+    events = changed.select("child_id").distinct()
+    # Episodes that hold a changed event, as they were and as they are, and their events.
+    held = before.where("parent_level = 2").union(changed.where("parent_level = 2").select(keys)).select(F.col("parent_id").alias("episode"), "child_id")
+    mine = durable(held.join(events, "child_id", "left_semi").select("episode").distinct())
+    around = held.join(mine, "episode", "left_semi").select("child_id").distinct()
+    # Each membership of these events once: whether it was there, and is now; a change says the latter.
+    was = before.withColumn("was", F.lit(1)).withColumn("came", F.lit(None).cast("int"))
+    both = was.union(changed.select(*keys, F.lit(0).alias("was"), "came")).join(around, "child_id", "left_semi")
+    at = lambda level, name, end: (
+        both.where(F.col("parent_level") == level).groupBy(F.col("child_id"), F.col("parent_id").alias(name)).agg(F.max("was").alias(f"was_{end}"), F.coalesce(F.max("came"), F.max("was")).alias(f"now_{end}"))
+    )
+    met = at(3, "concept", "c").join(at(2, "episode", "e").join(mine, "episode", "left_semi"), "child_id")
+    members = met.groupBy("episode", "concept").agg(F.max(F.col("was_c") * F.col("was_e")).alias("was"), F.max(F.col("now_c") * F.col("now_e")).alias("now"))
+    moved = graph.cooccurrence_change(members.where("was + now > 0"), "episode", "concept").select(F.col("a").alias("parent_id"), F.col("b").alias("child_id"), F.col("change").cast("double").alias("__d"))
     old = edges.where("relation = 'relates_to'").select("parent_id", "child_id", F.col("weight").alias("__w"))
     both = durable(moved.join(old, ["parent_id", "child_id"], "left").withColumn("weight", F.coalesce("__w", F.lit(0.0)) + F.col("__d")))
     link = [F.lit(3).alias("parent_level"), "parent_id", F.lit(3).alias("child_level"), "child_id", F.lit("relates_to").alias("relation")]

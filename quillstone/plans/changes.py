@@ -307,7 +307,9 @@ def links_followed(spark, sf_dir):
     now, before = _log(spark, sf_dir)
     edge = lambda log, level, parent: log.select(F.lit(level).alias("parent_level"), F.col(parent).alias("parent_id"), F.lit(1).alias("child_level"), F.col("event_id").alias("child_id"), F.lit("contains").alias("relation"))
     held = lambda log: edge(log, 3, "k").unionByName(edge(log, 2, "user_id")).withColumn("weight", F.lit(1.0))
-    old, new = held(before), held(now)
-    edges = durable(graph.concept_links(old))
-    change = follow.links(edges, old.exceptAll(new), new.exceptAll(old))
+    old, rows = held(before), ["event_id", "user_id", "k"]
+    edges = old.unionByName(durable(graph.concept_links(old).where("relation = 'relates_to'")))
+    differ = before.select(*rows, F.lit(1).alias("n")).union(now.select(*rows, F.lit(-1).alias("n"))).groupBy(rows).agg(F.sum("n").alias("n"))
+    differ = durable(differ.where("n <> 0"))
+    change = follow.links(edges, held(differ.where("n > 0")), held(differ.where("n < 0")))
     return follow.applied(old, edges, change)[1].where("relation = 'relates_to'").select("parent_id", "child_id", "weight")

@@ -78,3 +78,21 @@ def test_events_that_were_dropped_before(spark):
     assert none["gone"].count() == none["came"].count() == none["gone_edges"].count() == 0
     still = follow.links(edges.withColumn("weight", F.lit(1.0)), edges.limit(0), edges.limit(0))
     assert still["gone_edges"].count() == still["came_edges"].count() == 0
+
+
+def test_links_count_pairs_once(spark, monkeypatch):
+    """Memberships that come, go, do both or are given twice, in one pass over pairs; equal to the relations of all edges."""
+    rng = random.Random(5)
+    member = lambda n: {(level, rng.randint(1, 6) + 10 * level, 1, rng.randint(1, 30), "contains", 1.0) for _ in range(n) for level in (2, 3)}
+    before, came = member(40), member(8)
+    went = set(rng.sample(sorted(before), 12)) | set(sorted(before & came)[:1]) | {(3, 39, 1, 99, "contains", 1.0)}
+    made = lambda rows: graph.concept_links(spark.createDataFrame(sorted(rows), EDGE))
+    edges, met = durable(made(before)), []
+    monkeypatch.setattr(graph, "_meetings", lambda *a, f=graph._meetings: met.append(a) or f(*a))
+    twice = lambda rows: spark.createDataFrame(sorted(rows) * 2, EDGE)
+    change = follow.links(edges, twice(went), twice(came))
+    assert len(met) == 1
+    monkeypatch.undo()
+    got = follow.applied(edges, edges, change)[1].where("relation = 'relates_to'")
+    want = made((before - went) | came).where("relation = 'relates_to'")
+    assert rows_of(got, *follow._LINK, "weight") == rows_of(want, *follow._LINK, "weight") != rows_of(edges.where("relation = 'relates_to'"), *follow._LINK, "weight")
