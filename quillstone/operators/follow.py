@@ -15,10 +15,12 @@ from . import graph, memory, store
 _LINK = ["parent_level", "parent_id", "child_level", "child_id", "relation"]
 
 
-def projects(nodes: DataFrame) -> DataFrame:
-    """event_id, project of events, by what they were taken from."""
-    key = text.project_key(F.get_json_object("metadata_json", "$.source_type"), F.get_json_object("metadata_json", "$.source_uri"))
-    return nodes.where("level = 1 and node_type = 'event'").select(F.col("node_id").alias("event_id"), key.alias("project"))
+def projects(nodes: DataFrame, *more) -> DataFrame:
+    """event_id, project of events, by what they were taken from, and ``more`` columns of them."""
+    # The key names its parts many times, which would read the JSON again each time.
+    said = lambda meta: F.struct(*[F.get_json_object(meta, f"$.{c}").alias(c) for c in ("source_type", "source_uri")])
+    key = text.once(F.col("metadata_json"), lambda meta: text.once(said(meta), lambda m: text.project_key(m["source_type"], m["source_uri"])))
+    return nodes.where("level = 1 and node_type = 'event'").select(F.col("node_id").alias("event_id"), key.alias("project"), *more)
 
 
 def episodes(nodes: DataFrame, edges: DataFrame, changed: DataFrame, gap_hours: float = 24.0) -> dict[str, DataFrame]:
@@ -29,14 +31,13 @@ def episodes(nodes: DataFrame, edges: DataFrame, changed: DataFrame, gap_hours:
     cut into sessions; an episode whose fingerprint is still desired stays as it is.
     """
     names = changed.select("project").distinct()
-    events = nodes.select("node_id", F.col("time_start").alias("ts"), "title").join(projects(nodes).join(names, "project", "left_semi"), F.col("node_id") == F.col("event_id"))
-    events = durable(events.select("event_id", "project", "ts", "title"))
+    events = durable(projects(nodes, F.col("time_start").alias("ts"), "title").join(names, "project", "left_semi"))
     held = edges.where("parent_level = 2 and child_level = 1 and relation = 'contains'")
     hit = events.select(F.col("event_id").alias("child_id")).union(changed.select("event_id")).distinct()
     old = nodes.where("level = 2 and node_type = 'episode'")
     mine = held.join(hit, "child_id", "left_semi").select(F.col("parent_id").alias("node_id"))
     empty = old.select("node_id").join(held.select(F.col("parent_id").alias("node_id")), "node_id", "left_anti")
-    mine = durable(old.join(mine.union(empty).distinct(), "node_id", "left_semi"))
+    mine = durable(old.join(mine.union(empty), "node_id", "left_semi"))
     made = memory.episode_nodes(memory.sessionise(events, gap_hours), gap_hours=gap_hours)
     made = durable(made.withColumn("level", F.lit(2)).withColumn("node_type", F.lit("episode")))
     kept = durable(store.reconciled(mine, made.select([c for c in nodes.columns if c in made.columns]), taken=nodes).select(nodes.columns))

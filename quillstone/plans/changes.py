@@ -285,12 +285,12 @@ def episodes_followed(spark, sf_dir):
     """Episodes of users with four hours between them, made of the events as they were and brought up to date by what changed."""
     now, before = _log(spark, sf_dir)
     old, new = _event_nodes(before), _event_nodes(now)
-    first = memory.episode_nodes(memory.sessionise(follow.projects(old).join(old.select(F.col("node_id").alias("event_id"), F.col("time_start").alias("ts"), "title"), "event_id"), 4.0), gap_hours=4.0)
-    first = durable(numbered(first, "node_id", "project", "session").withColumn("node_id", F.col("node_id") + 400000000).withColumn("level", F.lit(2)).withColumn("node_type", F.lit("episode")))
+    first = memory.episode_nodes(memory.sessionise(follow.projects(old, F.col("time_start").alias("ts"), "title"), 4.0), gap_hours=4.0)
+    first = numbered(first, "node_id", "project", "session").withColumn("node_id", F.col("node_id") + 400000000).withColumn("level", F.lit(2)).withColumn("node_type", F.lit("episode"))
     contains = first.select(F.lit(2).alias("parent_level"), F.col("node_id").alias("parent_id"), F.lit(1).alias("child_level"), F.explode("members").alias("child_id"), F.lit("contains").alias("relation"))
-    nodes = durable(new.unionByName(first.select([c for c in new.columns if c in first.columns]), allowMissingColumns=True))
-    differ = follow.projects(new).exceptAll(follow.projects(old)).union(follow.projects(old).exceptAll(follow.projects(new)))
-    change = follow.episodes(nodes, contains, durable(differ), 4.0)
+    nodes = new.unionByName(first.select([c for c in new.columns if c in first.columns]), allowMissingColumns=True)
+    differ = follow.projects(new, F.lit(1).alias("n")).union(follow.projects(old, F.lit(-1).alias("n"))).groupBy("event_id", "project").agg(F.sum("n").alias("n"))
+    change = follow.episodes(nodes, contains, durable(differ.where("n <> 0").drop("n")), 4.0)
     nodes, edges = follow.applied(nodes, contains, change)
     held = edges.select(F.col("parent_id").alias("node_id"), F.col("child_id").alias("event_id")).join(follow.projects(nodes), "event_id")
     sizes = held.groupBy("node_id", "project").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n_events"))

@@ -96,3 +96,14 @@ def test_links_count_pairs_once(spark, monkeypatch):
     got = follow.applied(edges, edges, change)[1].where("relation = 'relates_to'")
     want = made((before - went) | came).where("relation = 'relates_to'")
     assert rows_of(got, *follow._LINK, "weight") == rows_of(want, *follow._LINK, "weight") != rows_of(edges.where("relation = 'relates_to'"), *follow._LINK, "weight")
+
+
+def test_projects_read_metadata_once(spark):
+    """Columns come along without a join, and each part of the JSON is read once however often the key names it."""
+    nodes = event_nodes(spark, {1: ("a", 3), 2: ("b", None)})
+    odd = [(7, "not json"), (8, None), (9, "{}"), (10, '{"source_type": "git_commit", "source_uri": "/r/x@abc"}'), (11, '{"source_type": "chat", "source_uri": 5}')]
+    more = spark.createDataFrame(odd, "node_id long, metadata_json string").withColumns({"level": F.lit(1), "node_type": F.lit("event"), "title": F.lit("o")})
+    got = follow.projects(nodes.unionByName(more, allowMissingColumns=True), "title")
+    assert rows_of(got, "event_id", "project", "title") == sorted([(1, "/v/a", "t1"), (2, "/v/b", "t2"), (7, "unknown", "o"), (8, "unknown", "o"), (9, "unknown", "o"), (10, "/r/x", "o"), (11, "chat", "o")], key=str)
+    one = follow.projects(durable(nodes), "title")
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 2
