@@ -1,8 +1,10 @@
 """Retrieval for many questions against retrieval for each of them."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,35 @@ def test_first_ranks(chunks, queries):
     assert ranks == {r.query_id: r["rank"] for r in expected.collect()} and None in ranks.values() and max(filter(None, ranks.values())) > 1
 
 
+def test_ranks_need_one_pool_of_workers(spark, chunks, queries, monkeypatch):
+    """A list that is dealt out goes through Python workers of another kind, which stay beside the scan's on every executor."""
+
+    def dealt(*_, **__):
+        raise AssertionError("a list is dealt out to Python workers")
+
+    chunks.count(), queries.count()
+    gold = queries.select("query_id", F.lit(3).cast("bigint").alias("uri"))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", dealt)
+    monkeypatch.setattr(bulk, "MOST", 3)
+    ranks = {r.query_id: r["rank"] for r in bulk.first_ranks(chunks.select("chunk_id", "text"), queries, gold, (0.0, 1.0, 0.0)).collect()}
+    assert len(ranks) == len(QUESTIONS) and min(filter(None, ranks.values())) >= 1
+
+
+@pytest.mark.parametrize("column", ["text", "title"])
+def test_long_texts_are_read_one_by_one(column):
+    block = bulk.Block.of([{"query_id": 1, "query_text": "hot tea", "vector": None}])
+    long = ["tea " * 25_000, None, "", "hot tea", *["cup " * 25_000] * 96]
+    batch = pa.RecordBatch.from_pydict({"chunk_id": list(range(len(long))), column: pa.array(long, pa.string())})
+    next(bulk._scored(iter([batch.slice(0, 4)]), block, (0.0, 1.0, 1.0)))
+    tracemalloc.start()
+    (found,) = bulk._scored(iter([batch]), block, (0.0, 1.0, 1.0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.score[:5, 0].tolist() == [round(0.5**0.5, 9), 0.0, 0.0, 1.0, 0.0]
+    # All texts together have ten million characters; one and its words take three.
+    assert peak < 6e6
+
+
 def test_prefixes_grow(spark):
     """All hits but the first and the last repeat each other, so the walk goes on to the end."""
     rows = [(q, k, f"same words here {q}" if 0 < k < 150 else f"other{k} text{k}", 1.0 - k / 1000) for q in (1, 2) for k in range(152)] + [(3, 0, "alone", 1.0)]
