@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import scores, text, vectors
 from quillstone.operators import conversations, evaluation, graph, memory, retrieval, store, usage
+from quillstone.plans import catalog
 
 
 def one(spark, column):
@@ -148,3 +149,29 @@ def test_reanchor_of_large_sources(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert got._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
     assert got.where("child_id between 500 and 529").select(F.spark_partition_id().alias("p")).distinct().count() > 2
+
+
+def _product(spark, n_events, n_chunks, part):
+    """Edges remade for one source whose events are all hurt."""
+    nodes, live = spark.range(n_events).select(F.col("id").alias("node_id")), spark.range(10**6, 10**6 + n_chunks).select(F.col("id").alias("chunk_id"))
+    edges = nodes.select(F.lit(1).alias("parent_level"), F.col("node_id").alias("parent_id"), F.lit(0).alias("child_level"), (-1 - F.col("node_id")).alias("child_id"), F.lit("derived_from").alias("relation"))
+    return graph.reanchor(edges, nodes.withColumn("source_id", F.lit(7)), live.withColumn("source_id", F.lit(7)), part=part)
+
+
+def test_reanchor_files(spark, tmp_path):
+    """Every pair stands once, also over many areas, and files of pairs take a small part of a byte for each."""
+    pairs = _product(spark, 200, 300, 2)
+    assert pairs.count() == pairs.distinct().count() == 60_000 and pairs.where("parent_id between 0 and 199 and child_id between 1000000 and 1000299").count() == 60_000
+    _product(spark, 3000, 1500, 2048).select("parent_id", "child_id").write.parquet(str(tmp_path / "pairs"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 4_500_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.3 * 4_500_000
+
+
+def test_reanchor_of_keys_that_meet(spark, tmp_path):
+    """A pending order is dead evidence also where its key is a supplier's number as a chunk, and an order that is one of its customer's chunks stands once."""
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("customer", [(1, 5), (2, 5), (3, 6)], "c_custkey long, c_nationkey int")
+    put("supplier", [(0, 5), (1, 5), (2, 7), (3, 5)], "s_suppkey long, s_nationkey int")
+    put("orders", [(10000000, 1, "P"), (10000001, 1, "F"), (10000002, 1, "O"), (10000003, 2, "O"), (10000004, 3, "P"), (10000005, 3, "F")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    got = sorted(map(tuple, catalog.QUERIES["reanchor"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 10000000), (1, 10000001), (1, 10000002), (1, 10000003), (2, 10000003), (3, 10000004), (3, 10000005)]
